@@ -1,8 +1,11 @@
 """Registered queries: a Spark builder plus its DuckDB twin.
 
 Both sides are wrapped by the same output spec, so names, types and rounding
-agree: ``("col", "i")`` -> BIGINT, ``("col", 6)`` -> DOUBLE rounded to 6
-decimals (``+ 0.0`` folds -0.0 into 0.0), ``("col", "date")`` -> DATE,
+agree: ``("col", "i")`` -> BIGINT, ``("col", <int>)`` -> DOUBLE rounded to 30
+significant bits (about 9 decimal digits) with the same IEEE formula on both
+sides: ``floor(x * 2^(30-e) + 0.5) / 2^(30-e)``, ``e = floor(log2|x|)``.  A
+binary grid has no exact ties for means of short decimals (they need fewer
+bits), and identical doubles round identically.  ``("col", "date")`` -> DATE,
 ``("col", "s")`` -> STRING, ``("col", "b")`` -> BOOLEAN.
 """
 
@@ -15,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Out = Sequence[tuple[str, object]]
+BITS = 30
 
 
 @dataclass(frozen=True)
@@ -44,7 +48,11 @@ def finalize(df: DataFrame, out: Out) -> DataFrame:
         elif fmt == "b":
             c = c.cast("boolean")
         elif isinstance(fmt, int):
-            c = F.round(c.cast("double"), fmt) + F.lit(0.0)
+            x = c.cast("double")
+            e = F.greatest(F.least(F.floor(F.log2(F.abs(x))), F.lit(990)), F.lit(-990))
+            sc = F.pow(F.lit(2.0), F.lit(BITS) - e)
+            c = F.when(x == 0, F.lit(0.0)).otherwise(
+                F.floor(x * sc + F.lit(0.5)).cast("double") / sc)
         cols.append(c.alias(name))
     return df.select(*cols)
 
@@ -62,7 +70,11 @@ def finalize_sql(sql: str, out: Out) -> str:
         elif fmt == "b":
             e = f"CAST({q} AS BOOLEAN)"
         elif isinstance(fmt, int):
-            e = f"round(CAST({q} AS DOUBLE), {fmt}) + 0.0"
+            x = f"CAST({q} AS DOUBLE)"
+            ex = f"greatest(least(floor(log2(abs({x}))), 990), -990)"
+            sc = f"pow(CAST(2.0 AS DOUBLE), {BITS} - {ex})"
+            e = (f"CASE WHEN {x} = 0 THEN CAST(0.0 AS DOUBLE) "
+                 f"ELSE CAST(floor({x} * {sc} + CAST(0.5 AS DOUBLE)) AS DOUBLE) / {sc} END")
         else:
             e = q
         exprs.append(f'{e} AS "{name}"')
