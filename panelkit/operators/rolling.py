@@ -167,3 +167,18 @@ def lags(df: DataFrame, value: str, ns: Sequence[int], keys: Keys = "series_id",
     w = series_window(keys, order)
     p = prefix or value
     return df.withColumns({f"{p}_lag_{n}": lag(value, n, w) for n in ns})
+
+
+def attach(df: DataFrame, stats: DataFrame, keys: Keys) -> DataFrame:
+    """Join per-group statistics back to rows.
+
+    With keys: an equi-join (AQE broadcasts the stats side only when its
+    measured size is under the broadcast threshold).  Without keys the stats
+    table is one aggregate row, so it is broadcast on a constant key.
+    """
+    ks = _keys(keys)
+    if ks:
+        return df.join(stats, ks, "inner")
+    one = F.lit(1).alias("pk_one")
+    return (df.select("*", one).join(F.broadcast(stats.select("*", one)), "pk_one", "inner")
+            .drop("pk_one"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.functions.compat import ColumnOrName, clip, col, finite, hinge, cap, safe_div
-from panelkit.operators.rolling import Keys, _keys, cummax, series_window
+from panelkit.operators.rolling import Keys, _keys, attach, cummax, series_window
 
 # Fixed values of the contest metric (must equal the reference's)
 MIN_INVESTMENT = 0.0
@@ -181,7 +181,7 @@ def vol_factor(df: DataFrame, vol: str = "MOM_std_21", by: Keys = (),
     ks = _keys(by)
     src = df if train_only is None else df.where(F.col(train_only))
     med = src.groupBy(*ks).agg(F.median(vol).alias("_med"))
-    out = df.join(med, ks, "left") if ks else df.crossJoin(med)
+    out = df.join(med, ks, "left") if ks else attach(df, med, ks)
     return out.withColumn("vol_factor", safe_div(vol, "_med")).drop("_med")
 
 
