@@ -267,3 +267,48 @@ SELECT series_id, date_diff('day', min(t), max(t)) / 365.25 AS years FROM panel
 def d2_years_between(spark, sf_dir):
     p = T_.panel(spark, sf_dir)
     return p.groupBy("series_id").agg(years_between(F.min("t"), F.max("t")).alias("years"))
+
+
+_CSV_SCHEMA = "series_id long, t date, px string, qty string, forward_returns string"
+
+
+@register("a1_csv_scan", ctes.PANEL + """
+SELECT series_id, t, px, qty, forward_returns FROM panel""",
+          KEY + [("px", 6), ("qty", 6), ("forward_returns", 8)])
+def a1_csv_scan(spark, sf_dir):
+    """CSV with a header read back with an explicit schema, then the lenient numeric cast.
+
+    The panel is written as CSV under the session's checkpoint folder first
+    (17 significant digits, so doubles round-trip exactly)."""
+    from panelkit.streaming.stream import scratch
+    path = scratch(spark, "panel-csv")
+    p = T_.panel(spark, sf_dir).select(
+        "series_id", "t", *[F.format_string("%.17g", c).alias(c) for c in ("px", "qty", "forward_returns")])
+    p.write.mode("overwrite").option("header", True).csv(path)
+    return IO.lenient_cast(IO.read_csv(spark, path, _CSV_SCHEMA), keep=("series_id", "t"))
+
+
+@register("a4_submission_sink", ctes.PANEL + ctes.SCORES + """
+SELECT series_id, t, prediction FROM scores""", KEY + [("prediction", 8)])
+def a4_submission_sink(spark, sf_dir):
+    """Submission written with ids first (overwrite, idempotent on retry) and read back."""
+    from panelkit.streaming.stream import scratch
+    path = scratch(spark, "submission")
+    s = T_.scores(spark, sf_dir).select("prediction", "t", "series_id")
+    IO.write_submission(s, ["series_id", "t"], path)
+    out = spark.read.parquet(path)
+    assert out.columns[:2] == ["series_id", "t"]
+    return out
+
+
+@register("e4_aligned_columns", ctes.PANEL + f"""
+SELECT series_id, t, forward_returns,
+       {G.roll('stddev_samp', 'forward_returns', 21)} AS vol21,
+       forward_returns / nullif({G.roll('stddev_samp', 'forward_returns', 21)}, 0) AS z
+FROM panel""", KEY + [("forward_returns", 8), ("vol21", 6), ("z", 6)])
+def e4_aligned_columns(spark, sf_dir):
+    """Positional concat of derived columns as one projection on the same plan (no join)."""
+    p = T_.panel(spark, sf_dir)
+    w = R.series_window()
+    d = p.select("series_id", "t", "forward_returns", R.roll_std("forward_returns", 21, w).alias("vol21"))
+    return d.withColumn("z", U.safe_div("forward_returns", "vol21"))
