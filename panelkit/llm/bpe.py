@@ -165,8 +165,7 @@ class PieceEncoder:
         starts, ends, first, inside = self._spans(data, off, any(s in raw for s in self.special))
         if not len(starts):
             return starts, np.zeros(0, np.int64), first
-        h = span_hash(data, starts, inside, 1)
-        h2 = span_hash(data, starts, inside, 2)
+        h, h2 = span_hash(data, starts, inside, twice=True)
         codes, uniq = pd.factorize(h)
         at = np.empty(len(uniq), np.int64)
         at[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)

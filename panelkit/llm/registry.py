@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelkit.llm import bpe_codec, token_counts
+from panelkit.llm import bpe_codec, line_rules, shards, token_counts, token_files
+from panelkit.llm.store import scratch
 from panelkit.sources.tables import table
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "token-files")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path)
+    return token_files.read_token_files(spark, path)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -16,5 +23,13 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_token_counts, op8_bpe_codec)}
+def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_plan(table(spark, sf_dir, "documents"), shards=40)
+
+
+def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.judge(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_token_files, op5_token_counts, op8_bpe_codec, op9_shards, op10_line_rules)}
 SQL: dict[str, str] = {}

@@ -16,24 +16,18 @@ SLICE_BYTES = 4 << 20
 #: ``[\x20\x09-\x0D]``
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _splitmix(n: int, seed: int) -> np.ndarray:
-    z = (np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 40)) * _MIX
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (z ^ (z >> np.uint64(31))) | np.uint64(1)
+_COEF = np.zeros(0, np.uint64)
 
 
-_TABLES: dict[int, np.ndarray] = {}
-
-
-def _table(n: int, seed: int) -> np.ndarray:
-    t = _TABLES.get(seed)
-    if t is None or len(t) < n:
-        t = _TABLES[seed] = _splitmix(max(n, 4096, 2 * len(t) if t is not None else 0), seed)
-    return t
+def _table(n: int) -> np.ndarray:
+    """Odd pseudo-random coefficients by place in a span (a fixed sequence)."""
+    global _COEF
+    if len(_COEF) < n:
+        z = np.arange(1, max(n, 4096, 2 * len(_COEF)) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        _COEF = mix64(z) | np.uint64(1)
+    return _COEF
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -64,21 +58,32 @@ def text_slices(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = j
 
 
-def span_hash(data: np.ndarray, starts: np.ndarray, inside: np.ndarray | None = None, seed: int = 1) -> np.ndarray:
+def span_hash(data: np.ndarray, starts: np.ndarray, inside: np.ndarray | None = None,
+              twice: bool = False) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
     """64-bit hash of each span ``[starts[i], starts[i+1])``; bytes with
-    ``inside`` false do not count (they must follow the counted ones)."""
+    ``inside`` false do not count (they must follow the counted ones).  With
+    ``twice`` also a second one, of other coefficients of the bytes, as a check."""
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        none = np.zeros(0, np.uint64)
+        return (none, none) if twice else none
     a = int(starts[0])
-    s = (starts - a).astype(np.int64)
+    s = starts - a
     d = data[a:]
     lens = np.diff(np.append(s, len(d)))
-    pos = np.arange(len(d), dtype=np.int64) - np.repeat(s, lens)
-    c = _table(int(lens.max()), seed)[pos]
-    c *= d.astype(np.uint64) + np.uint64(1)
+    pos = np.arange(len(d), dtype=np.int32 if len(d) < 1 << 31 else np.int64)
+    pos -= np.repeat(s.astype(pos.dtype), lens)
+    c = _table(int(lens.max()))[pos]
+    v = d.astype(np.uint64)
+    v += np.uint64(1)
     if inside is not None:
-        c *= inside[a:]
-    return mix64(np.add.reduceat(c, s))
+        v *= inside[a:]
+    c *= v
+    h = mix64(np.add.reduceat(c, s))
+    if not twice:
+        return h
+    v += np.uint64(0x51)
+    c *= v
+    return h, np.add.reduceat(c, s)
 
 
 class Words:
@@ -100,8 +105,8 @@ class Words:
         run = np.append(0, np.cumsum(self.inside, dtype=np.int64))
         return self.starts + run[nxt] - run[self.starts]
 
-    def hashes(self, seed: int = 1) -> np.ndarray:
-        return span_hash(self.data, self.starts, self.inside, seed)
+    def hashes(self) -> np.ndarray:
+        return span_hash(self.data, self.starts, self.inside)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
