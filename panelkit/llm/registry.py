@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelkit.llm import bpe_codec, line_rules, shards, token_counts, token_files
+from panelkit.llm import bpe_codec, decontaminate, line_rules, quality, shards, token_counts, token_files
 from panelkit.llm.store import scratch
 from panelkit.sources.tables import table
 
@@ -15,10 +15,18 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(table(spark, sf_dir, "documents"))
 
@@ -31,5 +39,6 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op5_token_counts, op8_bpe_codec, op9_shards, op10_line_rules)}
+QUERIES = {f.__name__: f for f in (op3_token_files, op4_winnowing, op5_token_counts, op7_quality, op8_bpe_codec,
+                                   op9_shards, op10_line_rules)}
 SQL: dict[str, str] = {}
