@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelkit.llm import bpe_codec, decontaminate, line_rules, ngram_join, quality, shards, token_counts, token_files
+from panelkit.llm import bpe_codec, decontaminate, line_rules, ngram_join, quality, shards, substrings, token_counts, token_files
 from panelkit.llm.store import scratch
 from panelkit.sources.tables import table
 
@@ -13,6 +13,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removals(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path)
@@ -43,6 +47,6 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_token_files, op4_winnowing, op5_token_counts, op7_quality,
-                                   op8_bpe_codec, op9_shards, op10_line_rules)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_substrings, op3_token_files, op4_winnowing,
+                                   op5_token_counts, op7_quality, op8_bpe_codec, op9_shards, op10_line_rules)}
 SQL: dict[str, str] = {}
