@@ -98,18 +98,14 @@ def measures(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     again[real] = _seen_before(key[real])
     chars = char[ends] - char[lines.starts]
     signs = symbol[ends] - symbol[lines.starts]
-    one = np.diff(np.append(w.starts, len(data))) if len(w.starts) else np.zeros(0, np.int64)
-    first_byte = data[w.starts]
-    lone = np.zeros(len(w.starts), bool)
-    if len(w.starts):
-        nxt = np.minimum(w.starts + 1, len(data) - 1)
-        lone = (first_byte == 0x7C) & ((one == 1) | ~w.inside[nxt])
+    lone = (w.ends - w.starts == 1) & (data[w.starts] == 0x7C)
     mark = np.zeros(len(data) + 1, np.int64)
     np.add.at(mark, w.starts[lone], 1)
     bars = _running(mark[:-1])
     loud = np.zeros(len(data), bool)
     if len(data) > 1:
         loud[1:] = (data[1:] == 33) & (data[:-1] == 33)
+        loud[off[:-1][off[:-1] < len(data)]] = False
     loud_run = _running(loud)
     bounds = np.append(w.starts, len(data))
     shouted = np.zeros(len(data) + 1, np.int64)
