@@ -36,23 +36,46 @@ def pack(items: np.ndarray, shards: int) -> np.ndarray:
     """Shard of each item; ``items`` is n x 3 (bytes, tokens, rows).
 
     Heaviest items first.  An item goes to the shard with the highest dot
-    product of item and residual capacity (all in shares of one shard), among
-    the shards it does not push above the mean plus the item itself, i.e. those
-    whose bytes are below their fair share so far."""
+    product of item and residual capacity (all in shares of one shard) among
+    the shards where it fits in every dimension; if there is none, among those
+    where its bytes fit; if there is none either, to the shard with most room
+    in bytes."""
     total = items.sum(0).astype(float)
     cap = np.where(total > 0, total / shards, 1.0)
     v = items / cap
     left = np.ones((shards, items.shape[1]))
     out = np.zeros(len(items), np.int64)
-    for i in np.lexsort((np.arange(len(items)), -v.max(1), -v[:, 0])):
-        room = left[:, 0]
-        fits = room >= min(v[i, 0], room.max())  # the fullest shard it fits, else the emptiest
+    for i in np.lexsort((np.arange(len(items)), -v.max(1))):
+        fits = (left >= v[i]).all(1)
+        if not fits.any():
+            fits = left[:, 0] >= min(v[i, 0], left[:, 0].max())
         dot = left @ v[i]
         dot[~fits] = -np.inf
         s = int(np.argmax(dot))
         out[i] = s
         left[s] -= v[i]
-    return out
+    return _level(items[:, 0].astype(float), out, shards)
+
+
+def _level(size: np.ndarray, where: np.ndarray, shards: int) -> np.ndarray:
+    """Move single items from the fullest shard to the emptiest while that
+    brings the two closer; the packing leaves little to do."""
+    total = np.bincount(where, size, shards)
+    for _ in range(40 * shards):
+        hi, lo = int(total.argmax()), int(total.argmin())
+        gap = total[hi] - total[lo]
+        if gap <= 1e-3 * total.mean():
+            break
+        own = np.flatnonzero((where == hi) & (size > 0) & (size < gap))
+        if not len(own):
+            break
+        i = own[np.argmin(np.abs(size[own] - gap / 2))]
+        if min(size[i], gap - size[i]) <= 0.01 * gap:
+            break
+        where[i] = lo
+        total[hi] -= size[i]
+        total[lo] += size[i]
+    return where
 
 
 def shard_plan(docs: DataFrame, shards: int = 40, cells_per_shard: int = CELLS_PER_SHARD, split: int = SPLIT,
