@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelkit.llm.bpe import IdTable, each_slice, encoder
 
@@ -52,8 +53,8 @@ def _encode(tokenizer: str):
 def encode(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """``docs`` with ``ids array<int>`` (an ``ids`` column it had is replaced)."""
     docs = docs.drop("ids")
-    schema = docs.schema.add("ids", "array<int>")
-    return docs.mapInArrow(_encode(tokenizer), schema)
+    ids = T.StructField("ids", T.ArrayType(T.IntegerType()))
+    return docs.mapInArrow(_encode(tokenizer), T.StructType([*docs.schema.fields, ids]))
 
 
 def decode(ids: str | Column, tokenizer: str = TOKENIZER) -> Column:
