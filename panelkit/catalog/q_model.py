@@ -220,7 +220,7 @@ def v4_walk_forward_oof(spark, sf_dir):
 
 @register("v4_walk_forward_folds", None,
           [("series_id", "i"), ("fold", "i"), ("train_size", "i"), ("test_size", "i"), ("r2", 8), ("rmse", 8),
-           ("mae", 8), ("adjusted_sharpe", 8), ("rmse_factor", 8)])
+           ("mae", 8), ("adjusted_sharpe", 8), ("rmse_factor", 8), ("status", "s")])
 def v4_walk_forward_folds(spark, sf_dir):
     """Per-fold metrics table of the walk-forward run."""
     _, fm = _wf(spark, sf_dir)

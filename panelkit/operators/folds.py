@@ -32,13 +32,16 @@ def time_folds(counts: DataFrame, n_splits: int, test_size: int, gap: int = 0,
     tail = F.greatest(F.least(F.floor(F.col("train_hi") / EVAL_TAIL_SHARE), F.lit(EVAL_TAIL_MAX)),
                       F.lit(EVAL_TAIL_MIN))
     f = f.withColumn("fit_hi", F.col("train_hi") - tail)
-    return f.withColumn("valid", F.col(n) > n_splits * test_size).withColumn("fold", F.col("fold") + 1)
+    status = (F.when(F.col(n) <= n_splits * test_size, "too_short")
+              .when(F.col("fit_hi") <= 0, "no_fit_rows").otherwise("ok"))
+    return (f.withColumn("valid", F.col(n) > n_splits * test_size).withColumn("status", status)
+            .withColumn("fold", F.col("fold") + 1))
 
 
 def assign_roles(df: DataFrame, folds: DataFrame, keys: Keys = "series_id", rn: str = "rn") -> DataFrame:
     """Rows x folds with ``role`` in {fit, eval, test} (train = fit + eval)."""
     ks = _keys(keys)
-    j = attach(df, folds.where("valid").drop("valid"), ks)
+    j = attach(df, folds.where("valid").drop("valid", "status"), ks)
     r = F.col(rn)
     role = (F.when((r >= F.col("test_lo")) & (r < F.col("test_hi")), "test")
             .when(r < F.col("fit_hi"), "fit")

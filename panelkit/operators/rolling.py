@@ -169,16 +169,28 @@ def lags(df: DataFrame, value: str, ns: Sequence[int], keys: Keys = "series_id",
     return df.withColumns({f"{p}_lag_{n}": lag(value, n, w) for n in ns})
 
 
+def join_same(df: DataFrame, other: DataFrame, keys: Keys, how: str = "left") -> DataFrame:
+    """Equi-join on ``keys`` where NULL equals NULL, so rows with NULL keys keep
+    their group; ``other``'s key columns are dropped."""
+    ks = _keys(keys)
+    renamed = other.withColumnsRenamed({k: f"pk_r_{k}" for k in ks})
+    on = [F.col(k).eqNullSafe(F.col(f"pk_r_{k}")) for k in ks]
+    cond = on[0]
+    for c in on[1:]:
+        cond = cond & c
+    return df.join(renamed, cond, how).drop(*[f"pk_r_{k}" for k in ks])
+
+
 def attach(df: DataFrame, stats: DataFrame, keys: Keys) -> DataFrame:
-    """Join per-group statistics back to rows.
+    """Join per-group statistics back to rows; every row of ``df`` stays.
 
-    With keys: an equi-join (AQE broadcasts the stats side only when its
-    measured size is under the broadcast threshold).  Without keys the stats
-    table is one aggregate row, so it is broadcast on a constant key.
+    With keys: a NULL-safe equi-join (AQE broadcasts the stats side only when
+    its measured size is under the broadcast threshold).  Without keys the
+    stats table is one aggregate row, so it is broadcast on a constant key.
     """
     ks = _keys(keys)
     if ks:
-        return df.join(stats, ks, "inner")
+        return join_same(df, stats, ks)
     one = F.lit(1).alias("pk_one")
-    return (df.select("*", one).join(F.broadcast(stats.select("*", one)), "pk_one", "inner")
+    return (df.select("*", one).join(F.broadcast(stats.select("*", one)), "pk_one", "left")
             .drop("pk_one"))

@@ -12,11 +12,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelkit.functions.compat import ColumnOrName, clip, col, finite, hinge, cap, safe_div
-from panelkit.operators.rolling import Keys, _keys, attach, cummax, series_window
+from panelkit.operators.rolling import Keys, _keys, attach, series_window
 
 # Fixed values of the contest metric (must equal the reference's)
 MIN_INVESTMENT = 0.0
@@ -39,14 +39,43 @@ def strategy_return(position: ColumnOrName, fwd: ColumnOrName, rf: ColumnOrName)
     return r * (1 - p) + p * fr
 
 
+def _growth(r: ColumnOrName) -> tuple[Column, Column, Column]:
+    """log|1 + r| (NULL at r = -1), and flags for r = -1 and r < -1."""
+    r = col(r)
+    log = F.when(r > -1, F.log1p(r)).when(r < -1, F.log(-(1 + r)))
+    return log, (r == -1).cast("int"), (r < -1).cast("int")
+
+
+def _product(logs: Column, zeros: Column, negatives: Column) -> tuple[Column, Column]:
+    """Sign (0 if a factor is 0) and log of the absolute product, from sums."""
+    sign = F.when(F.coalesce(zeros, F.lit(0)) > 0, 0).when(F.coalesce(negatives, F.lit(0)) % 2 == 1, -1).otherwise(1)
+    return sign, F.coalesce(logs, F.lit(0.0))
+
+
 def geo_mean(r: ColumnOrName) -> Column:
-    """Aggregate: (prod(1 + r)) ** (1/n) - 1 as exp(avg(log1p r)) - 1."""
-    return finite(F.expm1(F.avg(F.log1p(col(r)))))
+    """Aggregate: (prod(1 + r)) ** (1/n) - 1 (F18), from sums of logs.
+
+    ``n`` counts all rows, NULL returns are factors of 1; a factor of 0 gives
+    -1, a negative product has no real root (NULL) unless n is 1.
+    """
+    log, zero, neg = _growth(r)
+    sign, total = _product(F.sum(log), F.sum(zero), F.sum(neg))
+    n = F.count(F.lit(1))
+    return finite(F.when(sign == 0, F.lit(-1.0)).when(sign == 1, F.expm1(total / n))
+                  .when(n == 1, -F.exp(total) - 1))
 
 
 def total_return(r: ColumnOrName) -> Column:
-    """Aggregate: prod(1 + r) - 1."""
-    return finite(F.expm1(F.sum(F.log1p(col(r)))))
+    """Aggregate: prod(1 + r) - 1 (F18); factors of 0 and below included."""
+    log, zero, neg = _growth(r)
+    sign, total = _product(F.sum(log), F.sum(zero), F.sum(neg))
+    return finite(F.when(sign == 1, F.expm1(total)).otherwise(sign * F.exp(total) - 1))
+
+
+def running_product(r: ColumnOrName, w: WindowSpec) -> tuple[Column, Column]:
+    """Sign and log of |prod(1 + r)| up to each row of ``w`` (an unbounded frame)."""
+    log, zero, neg = _growth(r)
+    return _product(F.sum(log).over(w), F.sum(zero).over(w), F.sum(neg).over(w))
 
 
 def adjusted_sharpe(df: DataFrame, by: Keys = (), position: str = "position",
@@ -74,6 +103,8 @@ def adjusted_sharpe(df: DataFrame, by: Keys = (), position: str = "position",
               .when(F.col("_pmin") < MIN_INVESTMENT, "position_below_min")
               .when(F.coalesce(F.col("_ss"), F.lit(0.0)) == 0, "strategy_std_zero")
               .when(F.coalesce(F.col("_sm"), F.lit(0.0)) == 0, "market_std_zero")
+              .when(F.col("_se").isNull(), "strategy_product_negative")
+              .when(F.col("_me").isNull(), "market_product_negative")
               .otherwise("ok"))
     sharpe = safe_div(F.col("_se"), F.col("_ss")) * ann
     vol_pen = 1 + hinge(safe_div(F.col("_ss"), F.col("_sm")) - VOL_LIMIT)
@@ -113,12 +144,18 @@ def perf_metrics(df: DataFrame, by: Keys = (), order: str = "t", position: str =
     z = df.select(*ks, order, position, fwd, rf).dropna()
     p = clip(position, MIN_INVESTMENT, MAX_INVESTMENT)
     z = z.withColumn("_p", p).withColumn("_s", strategy_return("_p", fwd, rf))
-    logeq = F.sum(F.log1p("_s")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    sign, logeq = running_product("_s", run)
     z = (z.withColumn("_x", F.col("_s") - F.col(rf))
-         .withColumn("_leq", logeq)
+         .withColumn("_leq", logeq).withColumn("_sg", sign)
          .withColumn("_dp", F.abs(F.col("_p") - F.lag("_p").over(w))))
-    # drawdown from log-equity: eq / cummax(eq) - 1 = exp(leq - cummax(leq)) - 1
-    z = z.withColumn("_dd", F.expm1(F.col("_leq") - cummax("_leq", w)))
+    # drawdown from log-equity: eq / cummax(eq) - 1 = exp(leq - cummax(leq)) - 1;
+    # a ruined strategy (equity 0 or below) falls against its last positive peak
+    z = z.withColumn("_pk", F.max(F.when(F.col("_sg") == 1, F.col("_leq"))).over(run))
+    fall = F.col("_leq") - F.col("_pk")
+    eq = F.col("_sg") * F.exp("_leq")
+    z = z.withColumn("_dd", F.when(F.col("_pk").isNull(), safe_div(eq, F.max(eq).over(run)) - 1)
+                     .when(F.col("_sg") == 1, F.expm1(fall)).otherwise(F.col("_sg") * F.exp(fall) - 1))
     a = z.groupBy(*ks).agg(
         F.count(F.lit(1)).alias("obs"),
         total_return("_s").alias("total_return"),
@@ -142,10 +179,9 @@ def cumulative_curves(df: DataFrame, by: Keys = (), order: str = "t", position:
     ks = _keys(by)
     w = series_window(ks, order).rowsBetween(Window.unboundedPreceding, 0)
     p = clip(position, MIN_INVESTMENT, MAX_INVESTMENT)
-    return df.select(
-        *ks, order,
-        F.exp(F.sum(F.log1p(col(ret))).over(w)).alias("cum_market"),
-        F.exp(F.sum(F.log1p(p * col(ret))).over(w)).alias("cum_strategy"))
+    ms, ml = running_product(ret, w)
+    ss, sl = running_product(p * col(ret), w)
+    return df.select(*ks, order, (ms * F.exp(ml)).alias("cum_market"), (ss * F.exp(sl)).alias("cum_strategy"))
 
 
 def signal_to_position(test: DataFrame, train_pred_stats: DataFrame, on: Keys,

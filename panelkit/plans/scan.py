@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelkit.operators.rolling import Keys, _keys
+from panelkit.operators.rolling import Keys, _keys, join_same
 
 DEFAULT_BLOCK_ROWS = 1 << 16
 
@@ -43,16 +43,22 @@ def time_bucket(df: DataFrame, order: str, span: int = 1024) -> F.Column:
 
 def row_index(df: DataFrame, keys: Keys = "series_id", order: str = "t", out: str = "rn",
               bucket_span: int = 1024) -> DataFrame:
-    """Add the exact 0-based position of each row inside its series."""
+    """Add the exact 0-based position of each row inside its series.
+
+    No row is lost: rows with NULL keys form one series, rows with a NULL order
+    value keep a NULL position (and are spread, as they need no numbering).
+    """
     ks = _keys(keys)
+    placed = F.col(order).isNotNull()
     b = df.withColumn("_tb", time_bucket(df, order, bucket_span))
-    counts = b.groupBy(*ks, "_tb").agg(F.count(F.lit(1)).alias("_c"))
+    counts = b.where(placed).groupBy(*ks, "_tb").agg(F.count(F.lit(1)).alias("_c"))
     wo = Window.partitionBy(*ks).orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select(*ks, "_tb", F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_off"))
-    wr = Window.partitionBy(*ks, "_tb").orderBy(order)
-    return (b.join(offs, [*ks, "_tb"], "inner")
-            .withColumn(out, (F.col("_off") + F.row_number().over(wr) - 1).cast("long"))
-            .drop("_tb", "_off"))
+    spread = F.when(~placed, F.monotonically_increasing_id() % 1024)
+    wr = Window.partitionBy(*ks, "_tb", "_sp").orderBy(order)
+    return (join_same(b.withColumn("_sp", spread), offs, [*ks, "_tb"])
+            .withColumn(out, F.when(placed, (F.col("_off") + F.row_number().over(wr) - 1).cast("long")))
+            .drop("_tb", "_off", "_sp"))
 
 
 def with_blocks(df: DataFrame, block_rows: int, rn: str = "rn", out: str = "blk") -> DataFrame:
@@ -187,7 +193,8 @@ def ewm(df: DataFrame, value: str, alphas: Mapping[str, float], adjust: bool = F
     avals = [float(alphas[n]) for n in names]
     base = df if rn else row_index(df, ks, order, out="pk_rn")
     rcol = rn or "pk_rn"
-    rows = with_blocks(base, block_rows, rcol, "pk_blk")
+    unplaced = base.where(F.col(rcol).isNull())  # no position: no mean, but the row stays
+    rows = with_blocks(base.where(F.col(rcol).isNotNull()), block_rows, rcol, "pk_blk")
     gkeys = [*ks, "pk_blk"]
     J = range(len(names))
     dbl = T.DoubleType()
@@ -292,8 +299,7 @@ def ewm(df: DataFrame, value: str, alphas: Mapping[str, float], adjust: bool = F
 
     # (4) apply the carry with JVM expressions
     if adjust:
-        bl = blocks.select(*gkeys, "first_rn")
-        j_ = loc.join(carries, gkeys, "left")
+        j_ = join_same(loc, carries, gkeys)
         res = {}
         for j, n, a in zip(J, names, avals):
             dec = F.pow(F.lit(1.0 - a), r - F.col("prev_in"))
@@ -304,7 +310,7 @@ def ewm(df: DataFrame, value: str, alphas: Mapping[str, float], adjust: bool = F
         out = j_.withColumns(res)
     else:
         fb = blocks.select(*gkeys, "f_rn", "f_x")
-        j_ = loc.join(carries, gkeys, "left").join(fb, gkeys, "left")
+        j_ = join_same(join_same(loc, carries, gkeys), fb, gkeys)
         res = {}
         for j, n, a in zip(J, names, avals):
             m_in = F.col(f"cm{j}")
@@ -316,7 +322,8 @@ def ewm(df: DataFrame, value: str, alphas: Mapping[str, float], adjust: bool = F
             res[n] = F.when(m_in.isNull() & F.col("last_in").isNull(), F.col(f"pk_l{j}")).otherwise(corrected)
         out = j_.withColumns(res)
     keep = [c for c in rows.columns if c != "pk_blk" and (rn or c != "pk_rn")]
-    return out.select(*keep, *names)
+    none = [F.lit(None).cast("double").alias(n) for n in names]
+    return out.select(*keep, *names).unionByName(unplaced.select(*keep, *none))
 
 
 def ewm_spans(df: DataFrame, value: str, spans: Mapping[str, float], adjust: bool = False,

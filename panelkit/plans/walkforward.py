@@ -49,6 +49,9 @@ def walk_forward(df: DataFrame, features: Sequence[str], label: str, n_splits: i
     """Fit / predict / position / score every fold; returns (oof, fold_metrics).
 
     ``label`` is the log target; predictions are mapped back with expm1.
+    The fold table has a row for every (series, fold), with ``status`` ok,
+    too_short or no_fit_rows; folds without a model keep their out-of-fold
+    rows with NULL predictions and positions.
     ``vol`` (e.g. a 21-row rolling std) feeds the vol factor against its
     median over all rows, as in the reference; ``regime`` marks bad regimes.
     """
@@ -69,11 +72,12 @@ def walk_forward(df: DataFrame, features: Sequence[str], label: str, n_splits: i
     rmse = residual_rmse_factor(train, fk)
     if vol is not None:
         med = base.groupBy(*ks).agg(F.median(vol).alias("_vm"))
-        test = test.join(med, ks, "left").withColumn("vol_factor", safe_div(vol, "_vm")).drop("_vm")
+        test = R.join_same(test, med, ks).withColumn("vol_factor", safe_div(vol, "_vm")).drop("_vm")
     else:
         test = test.withColumn("vol_factor", F.lit(0.0))
-    test = test.join(rmse.select(*fk, "rmse_factor"), fk, "left")
+    test = R.join_same(test, rmse.select(*fk, "rmse_factor"), fk)
     pos = S.signal_to_position(test, stats, fk, pred="y_pred_log", regime=regime)
+    pos = pos.withColumn("position", F.when(F.col("y_pred_log").isNotNull(), F.col("position")))
     oof = pos.select(*ks, order, "fold", F.col(label).alias("y_log"), expm1(label).alias("y_arith"),
                      "y_pred_log", expm1("y_pred_log").alias("y_pred_arith"), "position", fwd, rf)
 
@@ -81,6 +85,7 @@ def walk_forward(df: DataFrame, features: Sequence[str], label: str, n_splits: i
     sharpe = S.adjusted_sharpe(oof, fk, position="position", fwd=fwd, rf=rf).select(
         *fk, F.col("adjusted_sharpe"))
     meta = FO.fold_metadata(rows, order, ks)
-    fm = (meta.join(metrics.drop("n"), fk, "left").join(sharpe, fk, "left")
-          .join(rmse, fk, "left"))
+    fm = folds.select(*fk, "status")
+    for part in (meta, metrics.drop("n"), sharpe, rmse):
+        fm = R.join_same(fm, part, fk)
     return oof, fm
