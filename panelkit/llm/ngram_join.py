@@ -13,14 +13,15 @@ when ``100 * |A and B| >= percent * |A or B|``.
 3. *Heavy and light.*  Small sets (up to a boundary ``x``) enumerate the
    2-subsets of their extended prefix; large ones, and those small ones that
    may link with them, enter inverted lists by single token.  ``x`` minimises
-   the number of subsets plus the entries that list scans would read, from a
-   table of both by size class.
-4. *Candidates.*  In every list all members are compared with three pivots (the
-   members that come first in three hash orders).  What links is merged into
-   components.  Then every pair of a list whose components still differ is
-   compared, except pairs inside a list's largest component, which are
-   connected already.  So a list of n near copies costs O(n), and no link
-   between components is missed.
+   the list entries plus the comparisons that scanning them takes, from a
+   table of both by size class.  Lists are split by size band: a set probes the
+   bands of smaller partners and is indexed in its own, in both cases only as
+   far as its tokens after this one suffice for a link.
+4. *Candidates.*  In every list all members are compared with three pivots.
+   What links is merged into components.  Then every pair of a list whose
+   components still differ is compared, except pairs inside a list's largest
+   component, which are connected already.  So a list of n near copies costs
+   O(n), and no link between components is missed.
 5. *Check.*  Candidates intersect their shared tokens exactly.
 
 Equal texts are one set from the start.  Defined results: texts without words
@@ -51,6 +52,8 @@ PERCENT = 75
 RUN_TOKENS = 1 << 20
 RUN_DOCS = 1 << 16
 MIN_RANGES = 256
+PIVOTS = 3
+BANDS = 7.0  # size bands per unit of the logarithm: two for each step of 4/3
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _TOKENS = pa.schema([("part", pa.int32()), ("run", pa.int64()), ("tok", pa.binary()), ("top", pa.binary()),
@@ -197,13 +200,15 @@ def token_sets(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame
 
 
 def _boundary(sets: DataFrame) -> int:
-    """The set size up to which 2-subsets cost less than list scans."""
+    """The set size up to which 2-subsets cost less than list scans: a subset is
+    one list entry; a token is one entry and its comparisons with pivots."""
     prefix = F.slice("lead", F.lit(1), F.col("m1"))
     entries = sets.select("rid", "n", F.explode(prefix).alias("t"))
     lists = entries.groupBy("t").agg(F.count(F.lit(1)).alias("len"))
     m = F.size("lead")
     step = F.ceil(F.log2("n") * 4).cast("int")
-    scan = entries.join(lists, "t").groupBy(step.alias("s")).agg(F.sum("len").alias("scan"))
+    scan = entries.join(lists, "t").groupBy(step.alias("s")).agg(
+        F.sum(1 + F.least(F.col("len") - 1, F.lit(PIVOTS))).alias("scan"))
     subsets = sets.groupBy(step.alias("s")).agg(F.sum(m * (m - 1) / 2).alias("subsets"), F.max("n").alias("top"))
     table = sorted(subsets.join(scan, "s").collect(), key=lambda r: r.s)  # one row per size class, at most 4 x 31
     best, x, light = sum(r.scan for r in table), 1, 0.0
@@ -215,21 +220,48 @@ def _boundary(sets: DataFrame) -> int:
     return x
 
 
-def _lists(sets: DataFrame, x: int, percent: int) -> DataFrame:
-    """``(key, rid, n)``: 2-subset lists of small sets, token lists of the others."""
+def _entries(sets: DataFrame, x: int, percent: int) -> DataFrame:
+    """``(key, rid, n, p, cap)``: 2-subset entries of small sets, token entries of
+    the others.  ``p`` is the place of the (last) token in the set's order and
+    ``cap`` the most tokens the set can share with one it first meets here."""
+    before = F.col("n") - F.size("shared")  # tokens of this text alone come first
     pairs = F.flatten(F.transform("lead", lambda a, i: F.transform(
-        F.slice("lead", i + 2, F.size("lead")), lambda b: F.xxhash64(a, b, F.lit("pair")))))
-    single = F.slice("lead", F.lit(1), F.col("m1"))
-    small = sets.where((F.col("n") <= x) & (F.col("n") > 1)).select("rid", "n", F.explode(pairs).alias("key"))
+        F.slice("lead", i + 2, F.size("lead")), lambda b, j: F.struct(
+            F.xxhash64(a, b, F.lit("pair")).alias("key"), (before + i + j + 2).alias("p")))))
+    single = F.transform(F.slice("lead", F.lit(1), F.col("m1")), lambda t, i: F.struct(
+        F.xxhash64(t).alias("key"), (before + i + 1).alias("p")))
+    small = sets.where((F.col("n") <= x) & (F.col("n") > 1)).select("rid", "n", F.explode(pairs).alias("e"), F.lit(2).alias("k"))
     large = sets.where((F.col("n") * 100 >= percent * (x + 1)) | (F.col("n") == 1)) \
-        .select("rid", "n", F.explode(F.transform(single, lambda t: F.xxhash64(t))).alias("key"))
-    both = stored(small.unionByName(large).select("key", "rid", "n"), "lists")
-    many = both.groupBy("key").agg(F.count(F.lit(1)).alias("len")).where(F.col("len") > 1)
-    return stored(both.join(many, "key").select("key", "rid", "n"), "lists")
+        .select("rid", "n", F.explode(single).alias("e"), F.lit(1).alias("k"))
+    return small.unionByName(large).select("e.key", "rid", "n", "e.p", (F.col("n") - F.col("e.p") + F.col("k")).alias("cap"))
+
+
+def _band(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) * BANDS).cast("int")
 
 
-def _fits(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _lists(sets: DataFrame, x: int, percent: int) -> DataFrame:
+    """``(key, band, rid, n, p, cap, idx)``: every entry probes the bands of the
+    partners it may link with that are no larger than its own set, and is
+    indexed (``idx``) in its own band if it may link with any that are no
+    smaller.  A pair that links meets where the larger set probes."""
+    low = F.ceil(F.col("n") * percent / 100)
+    most = F.floor(F.col("cap") * (100 + percent) / percent) - F.col("n")  # largest partner that cap allows
+    high = F.least(F.col("n"), most)
+    rows = (_entries(sets, x, percent).withColumn("most", most).where(high >= low)
+            .withColumn("band", F.explode(F.sequence(_band(low), _band(high))))
+            .withColumn("idx", (F.col("most") >= F.col("n")) & (F.col("band") == _band(F.col("n")))).drop("most"))
+    rows = stored(rows.select("key", "band", "rid", "n", "p", "cap", "idx"), "lists")
+    many = rows.groupBy("key", "band").agg(F.count(F.lit(1)).alias("len"), F.max("idx").alias("any")) \
+        .where((F.col("len") > 1) & F.col("any")).select("key", "band")
+    return stored(rows.join(many, ["key", "band"]), "lists")
+
+
+def _may(a: str, b: str, percent: int) -> Column:
+    """Sizes and caps of two entries (structs or prefixes ending in a dot) allow a link."""
+    n1, n2, c1, c2 = F.col(f"{a}n"), F.col(f"{b}n"), F.col(f"{a}cap"), F.col(f"{b}cap")
+    return ((100 * F.least(n1, n2) >= percent * F.greatest(n1, n2))
+            & (percent * (n1 + n2) <= (100 + percent) * F.least(c1, c2)))
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -247,29 +279,44 @@ def _labels(sets: DataFrame, links: DataFrame) -> DataFrame:
         .select("rid", F.coalesce("v", "rid").alias("label"))
 
 
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
+
+
 def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``(rid, label)`` for the rows of ``sets`` that may link; rows of one
     component have one label, their smallest rid."""
     lists = _lists(sets, _boundary(sets), percent)
-    order = [F.min(F.struct(F.xxhash64("rid", F.lit(s)).alias("o"), "rid", "n")).alias(f"p{s}") for s in (1, 2, 3)]
-    pivots = lists.groupBy("key").agg(*order).select(
-        "key", F.explode(F.array_distinct(F.array("p1", "p2", "p3"))).alias("p"))
-    pairs = (lists.join(pivots, "key").where((F.col("rid") != F.col("p.rid")) & _fits(F.col("n"), F.col("p.n"), percent))
-             .select(F.greatest("rid", "p.rid").alias("u"), F.least("rid", "p.rid").alias("v")).distinct())
+    # pivots: the text with the fewest rarer tokens (in a group of near copies
+    # that is the one the others stem from), and two by hash
+    one = ["rid", "n", "cap"]
+    order = [F.min(F.struct("p", F.xxhash64("rid").alias("o"), *one)).alias("p0")]
+    order += [F.min(F.struct(F.lit(0).alias("p"), F.xxhash64("rid", F.lit(s)).alias("o"), *one)).alias(f"p{s}")
+              for s in range(1, PIVOTS)]
+    pivots = lists.where("idx").groupBy("key", "band").agg(*order).select(
+        "key", "band", F.explode(F.array(*[f"p{s}" for s in range(PIVOTS)])).alias("v"))
+    pairs = (lists.alias("a").join(pivots, ["key", "band"])
+             .where((F.col("a.rid") != F.col("v.rid")) & _may("a.", "v.", percent))
+             .select(*_pair("a.rid", "v.rid")).distinct())
     links = stored(_links(pairs, sets, percent), "links")
     labels = stored(_labels(sets, links), "labels")
-    # every pair of a list whose labels differ still: the members outside the
-    # list's largest component with all members
+    # every pair of a list whose labels differ still: what lies outside the
+    # list's largest component against everything
     seen = stored(lists.join(labels, "rid"), "labelled-lists")
-    sizes = seen.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    top = sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("top"),
-                                   F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
-    open_ = seen.join(top, "key")
-    rest = open_.where(F.col("label") != F.col("top")).select(
-        "key", F.col("rid").alias("r"), F.col("n").alias("rn"), F.col("label").alias("rl"))
-    more = (rest.join(open_.select("key", "rid", "n", "label"), "key")
-            .where((F.col("rl") != F.col("label")) & _fits(F.col("n"), F.col("rn"), percent))
-            .select(F.greatest("rid", "r").alias("u"), F.least("rid", "r").alias("v")).distinct())
+    sizes = seen.groupBy("key", "band", "label").agg(F.count(F.lit(1)).alias("c"))
+    top = sizes.groupBy("key", "band").agg(F.max_by("label", F.struct("c", "label")).alias("top"),
+                                           F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
+    open_ = stored(seen.join(top, ["key", "band"]).withColumn("rest", F.col("label") != F.col("top"))
+                   .drop("top", "kinds"), "open-lists")
+
+    def cross(probe: DataFrame, index: DataFrame) -> DataFrame:
+        larger = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.rid") > F.col("y.rid")))
+        return (probe.alias("x").join(index.alias("y"), ["key", "band"])
+                .where((F.col("x.label") != F.col("y.label")) & larger & _may("x.", "y.", percent))
+                .select(*_pair("x.rid", "y.rid")))
+
+    more = cross(open_.where("rest"), open_.where("idx")).unionByName(
+        cross(open_.where("not rest"), open_.where("idx and rest"))).distinct()
     links = stored(links.unionByName(_links(more, sets, percent)), "links")
     return _labels(sets, links)
 
