@@ -56,24 +56,29 @@ def scaler_apply(df: DataFrame, stats: DataFrame, cols: Sequence[str], by: Keys
 
 
 def _matrices(g: pd.DataFrame, p: int):
-    """Gram rows of one group -> n, Sx (p), Sxx (p x p) for the p+1 columns."""
+    """Gram rows of one group -> n, means and centred sums of the p+1 columns
+    (complete rows, so the diagonal's means hold for all pairs)."""
     m = p + 1
+    i, j = g["i"].to_numpy(), g["j"].to_numpy()
     S = np.zeros((m, m))
-    sx = np.zeros(m)
-    n = 0.0
-    for r in g.itertuples(index=False):
-        S[int(r.i), int(r.j)] = r.sxy
-        if int(r.j) == 0:
-            sx[int(r.i)] = r.sx
-        n = max(n, r.n)
-    return n, sx, S
+    S[i, j] = g["cxy"].to_numpy()
+    mean = np.zeros(m)
+    diag = i == j
+    mean[i[diag]] = g["mx"].to_numpy()[diag]
+    return float(g["n"].max()), mean, S
 
 
-def _moments(n, sx, S, p):
-    mx, my = sx[:p] / n, sx[p] / n
-    C = S[:p, :p] / n - np.outer(mx, mx)
-    c = S[:p, p] / n - mx * my
-    return mx, my, C, c
+def _moments(n, mean, S, p):
+    return mean[:p], mean[p], S[:p, :p] / n, S[:p, p] / n
+
+
+def _without(all_, part):
+    """Statistics of all rows but those of ``part``."""
+    n, m, S = all_
+    nf, mf, Sf = part
+    no = n - nf
+    mo = (n * m - nf * mf) / no
+    return no, mo, S - Sf - np.outer(mf - mo, mf - mo) * (nf * no / n)
 
 
 def enet_cd(C: np.ndarray, c: np.ndarray, alpha: float, l1: float, w0=None,
@@ -116,8 +121,8 @@ def fit(df: DataFrame, features: Sequence[str], label: str, by: Keys = (), alpha
                                 T.StructField("coef", T.ArrayType(T.DoubleType()))])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, sx, S = _matrices(pdf, p)
-        mx, my, C, c = _moments(n, sx, S, p)
+        n, mean, S = _matrices(pdf, p)
+        mx, my, C, c = _moments(n, mean, S, p)
         w = _solve_ols(C, c) if alpha == 0 else enet_cd(C, c, alpha, l1_ratio, max_iter=max_iter)
         row = {k: pdf[k].iloc[0] for k in ks}
         row.update(n=n, intercept=float(my - mx @ w), coef=[float(v) for v in w])
@@ -152,23 +157,27 @@ def enet_cv(df: DataFrame, features: Sequence[str], label: str, fold: str = "fol
         folds = {}
         for fk, fg in pdf.groupby(fold):
             folds[fk] = _matrices(fg, p)
-        tot_n = sum(v[0] for v in folds.values())
-        tot_sx = sum(v[1] for v in folds.values())
-        tot_S = sum(v[2] for v in folds.values())
+        total = None
+        for n, m, S in folds.values():
+            if total is None:
+                total = n, m, S
+                continue
+            n0, m0, S0 = total
+            total = n0 + n, (n0 * m0 + n * m) / (n0 + n), S0 + S + np.outer(m - m0, m - m0) * (n0 * n / (n0 + n))
         mses = np.zeros(len(alphas))
-        for fk, (nf, sxf, Sf) in folds.items():
-            n_o, sx_o, S_o = tot_n - nf, tot_sx - sxf, tot_S - Sf
-            mx, my, C, c = _moments(n_o, sx_o, S_o, p)
+        for fk, own in folds.items():
+            nf, mf, Sf = own
+            mx, my, C, c = _moments(*_without(total, own), p)
             w = np.zeros(p)
             for ai in sorted(range(len(alphas)), key=lambda i: -alphas[i]):  # warm starts
                 w = enet_cd(C, c, alphas[ai], l1_ratio, w0=w, max_iter=max_iter)
                 b = my - mx @ w
                 beta = np.concatenate([w, [-1.0]])
                 # held-out SSE of (x.w + b - y) from the fold's statistics
-                sse = beta @ Sf @ beta + 2 * b * (beta @ sxf) + nf * b * b
+                sse = beta @ Sf @ beta + nf * (beta @ mf + b) ** 2
                 mses[ai] += sse / nf
         mses /= len(folds)
-        return tot_n, tot_sx, tot_S, mses
+        return *total, mses
 
     def cv(pdf: pd.DataFrame) -> pd.DataFrame:
         _, _, _, mses = per_group(pdf)
@@ -178,9 +187,9 @@ def enet_cv(df: DataFrame, features: Sequence[str], label: str, fold: str = "fol
         return out[[f.name for f in cv_schema.fields]]
 
     def refit(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, sx, S, mses = per_group(pdf)
+        n, mean, S, mses = per_group(pdf)
         best = alphas[int(np.argmin(mses))]
-        mx, my, C, c = _moments(n, sx, S, p)
+        mx, my, C, c = _moments(n, mean, S, p)
         w = enet_cd(C, c, best, l1_ratio, max_iter=max_iter)
         row = {k: pdf[k].iloc[0] for k in ks}
         row.update(alpha=best, intercept=float(my - mx @ w), coef=[float(v) for v in w])

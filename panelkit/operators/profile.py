@@ -223,42 +223,91 @@ def target_correlations(df_long: DataFrame, target: str, by: Keys = "feature",
 
 # ----------------------------------------------------------------- Gram matrix
 
+GRAM_STATS = ("n", "mx", "my", "cxx", "cyy", "cxy")
+GRAM_HELD = 1 << 22  # numbers a task keeps before it emits its partial statistics
+
+
+def _batch_moments(X: np.ndarray) -> np.ndarray:
+    """Pairwise-complete count, means and centred sums of one block: 6 x p x p.
+
+    The block is shifted by its own column means first, so large offsets do
+    not cancel."""
+    M = ~np.isnan(X)
+    k = M.sum(0)
+    mu = np.where(M, X, 0.0).sum(0) / np.maximum(k, 1)
+    Z = np.where(M, X - mu, 0.0)
+    M = M.astype("float64")
+    n = M.T @ M
+    d = np.maximum(n, 1.0)
+    sx, sy = Z.T @ M, M.T @ Z
+    return np.stack([n, mu[:, None] + sx / d, mu[None, :] + sy / d, (Z * Z).T @ M - sx * sx / d,
+                     M.T @ (Z * Z) - sy * sy / d, Z.T @ Z - sx * sy / d])
+
+
+def merge_moments(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pairwise update of (n, mx, my, cxx, cyy, cxy), elementwise over arrays."""
+    n = a[0] + b[0]
+    d = np.maximum(n, 1.0)
+    dx, dy = b[1] - a[1], b[2] - a[2]
+    dx, dy = np.where((a[0] > 0) & (b[0] > 0), dx, 0.0), np.where((a[0] > 0) & (b[0] > 0), dy, 0.0)
+    f = a[0] * b[0] / d
+    only = a[0] == 0
+    return np.stack([n, np.where(only, b[1], a[1] + dx * b[0] / d), np.where(only, b[2], a[2] + dy * b[0] / d),
+                     a[3] + b[3] + dx * dx * f, a[4] + b[4] + dy * dy * f, a[5] + b[5] + dx * dy * f])
+
+
 def gram(df: DataFrame, cols: Sequence[str], by: Keys = ()) -> DataFrame:
-    """Sufficient statistics per group from per-batch partial sums (M1).
+    """Sufficient statistics per group over pairs of ``cols`` (M1).
 
-    Output long table ``(by..., i, j, n, sx, sy, sxx, syy, sxy)`` over pairs
-    of ``cols`` where both are non-null (pairwise complete): every Arrow
-    batch contributes p*p partial rows, summed by a partial aggregation.
+    Output long table ``(by..., i, j, n, sx, sy, sxx, syy, sxy, mx, my, cxx,
+    cyy, cxy)``, pairwise complete; ``m`` are means, ``c`` centred sums.  Each
+    task keeps one centred p x p state per group and emits it once, as one row
+    per (group, i) with arrays over j (earlier if it holds ``GRAM_HELD``
+    numbers); the rows of a (group, i) are merged pairwise.
     """
     ks = _keys(by)
     p = len(cols)
     kf = [f for f in df.schema.fields if f.name in ks]
-    schema = T.StructType(kf + [T.StructField(n, t) for n, t in [
-        ("i", T.IntegerType()), ("j", T.IntegerType()), ("n", T.DoubleType()),
-        ("sx", T.DoubleType()), ("sy", T.DoubleType()), ("sxx", T.DoubleType()),
-        ("syy", T.DoubleType()), ("sxy", T.DoubleType())]])
-    ii, jj = np.meshgrid(np.arange(p), np.arange(p), indexing="ij")
+    arr = T.ArrayType(T.DoubleType())
+    part_schema = T.StructType(kf + [T.StructField("i", T.IntegerType())] + [T.StructField(c, arr) for c in GRAM_STATS])
+    raw = ("sx", "sy", "sxx", "syy", "sxy")
+    out_schema = T.StructType(kf + [T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())] +
+                              [T.StructField(c, T.DoubleType()) for c in ("n", *raw, *GRAM_STATS[1:])])
+
+    def rows_of(state: dict) -> pd.DataFrame:
+        recs = [{**dict(zip(ks, key)), "i": i, **{c: m[q, i] for q, c in enumerate(GRAM_STATS)}}
+                for key, m in state.items() for i in range(p)]
+        return pd.DataFrame(recs, columns=[f.name for f in part_schema.fields])
 
     def partial(it):
+        state: dict = {}
         for pdf in it:
             groups = pdf.groupby(ks, sort=False, dropna=False) if ks else [((), pdf)]
             for key, g in groups:
-                X = g[list(cols)].to_numpy(dtype="float64")
-                M = (~np.isnan(X)).astype("float64")
-                X0 = np.where(M > 0, X, 0.0)
-                out = pd.DataFrame({
-                    "i": ii.ravel().astype("int32"), "j": jj.ravel().astype("int32"),
-                    "n": (M.T @ M).ravel(), "sx": (X0.T @ M).ravel(), "sy": (M.T @ X0).ravel(),
-                    "sxx": ((X0 * X0).T @ M).ravel(), "syy": (M.T @ (X0 * X0)).ravel(),
-                    "sxy": (X0.T @ X0).ravel()})
-                key = key if isinstance(key, tuple) else (key,)
-                for k, v in zip(ks, key):
-                    out[k] = v
-                yield out[[f.name for f in schema.fields]]
-
-    parts = df.select(*ks, *[F.col(c).cast("double") for c in cols]).mapInPandas(partial, schema)
-    return parts.groupBy(*ks, "i", "j").agg(*[F.sum(c).alias(c) for c in
-                                              ("n", "sx", "sy", "sxx", "syy", "sxy")])
+                key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
+                m = _batch_moments(g[list(cols)].to_numpy(dtype="float64"))
+                state[key] = merge_moments(state[key], m) if key in state else m
+                if len(state) * 6 * p * p > GRAM_HELD and len(state) > 1:
+                    yield rows_of(state)
+                    state = {}
+        if state:
+            yield rows_of(state)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = None
+        for r in pdf.itertuples(index=False):
+            x = np.stack([np.asarray(getattr(r, c), dtype="float64") for c in GRAM_STATS])
+            m = x if m is None else merge_moments(m, x)
+        n, mx, my, cxx, cyy, cxy = m
+        out = pd.DataFrame({"j": np.arange(p, dtype="int32"), "n": n, "sx": n * mx, "sy": n * my,
+                            "sxx": cxx + n * mx * mx, "syy": cyy + n * my * my, "sxy": cxy + n * mx * my,
+                            "mx": mx, "my": my, "cxx": cxx, "cyy": cyy, "cxy": cxy})
+        for k in [*ks, "i"]:
+            out[k] = pdf[k].iloc[0]
+        return out[[f.name for f in out_schema.fields]]
+
+    parts = df.select(*ks, *[F.col(c).cast("double") for c in cols]).mapInPandas(partial, part_schema)
+    return parts.groupBy(*ks, "i").applyInPandas(merge, out_schema)
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str], by: Keys = ()) -> DataFrame:
@@ -266,13 +315,11 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], by: Keys = ()) -> DataFrame:
     ks = _keys(by)
     g = gram(df, cols, ks)
     names = F.array(*[F.lit(c) for c in cols])
-    num = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
-    den = F.sqrt((F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"))
-                 * (F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")))
+    den = F.sqrt(F.col("cxx")) * F.sqrt(F.col("cyy"))
     return g.select(*ks, F.element_at(names, F.col("i") + 1).alias("feature_a"),
                     F.element_at(names, F.col("j") + 1).alias("feature_b"),
                     F.col("n").cast("long").alias("n"),
-                    F.when(F.col("n") > 1, safe_div(num, den)).alias("corr"))
+                    F.when(F.col("n") > 1, safe_div("cxy", den)).alias("corr"))
 
 
 def fit_line(df: DataFrame, x: str, y: str, by: Keys = (), points: int = 200) -> DataFrame:
