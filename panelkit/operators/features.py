@@ -75,24 +75,16 @@ def momentum(df: DataFrame, target: str = "log_market_forward_excess_returns",
              block_rows: int = scan.DEFAULT_BLOCK_ROWS) -> DataFrame:
     """37 momentum columns on the target shifted by one row; NULL -> fill."""
     ks = _keys(keys)
-    w = R.series_window(ks, order)
-    s = df.withColumn("_s", R.lag(target, 1, w))
-    s = _ewm_cols(s, "_s", "MOM", ks, order, None, block_rows)
-    cols: dict[str, Column] = {}
-    for k in windows:
-        cols[f"MOM_mean_{k}"] = R.roll_mean("_s", k, w)
-        cols[f"MOM_std_{k}"] = R.roll_std("_s", k, w)
-        cols[f"MOM_roc_{k}"] = R.roc("_s", k, w)
-        cols[f"MOM_cum_{k}"] = R.roll_sum("_s", k, w)
-    s = s.withColumns(cols)
+    s = scan.row_index(df, ks, order, out="pk_rn")
+    s = scan.window_stats(s, target, windows, lags, ks, "pk_rn", prefix="MOM_", shifted="_s", block_rows=block_rows)
+    s = _ewm_cols(s, "_s", "MOM", ks, order, "pk_rn", block_rows)
     s = s.withColumns({
         "MOM_ema_diff": F.col("MOM_ema_fast") - F.col("MOM_ema_slow"),
         "MOM_ema_ratio": safe_div("MOM_ema_fast", "MOM_ema_slow") - 1,
         "MOM_std_21_252_ratio": safe_div("MOM_std_21", "MOM_std_252"),
     })
-    s = s.withColumns({f"MOM_lag_{j}": R.lag(target, j, w) for j in lags})
     names = momentum_names(windows, lags)
-    return s.withColumns({n: sentinel(n, fill) for n in names}).drop("_s")
+    return s.withColumns({n: sentinel(n, fill) for n in names}).drop("_s", "pk_rn")
 
 
 def momentum_names(windows: Sequence[int] = WINDOWS, lags: Sequence[int] = LAGS) -> list[str]:
@@ -201,23 +193,15 @@ def extend_long(df_long: DataFrame, keys: Keys = "series_id", order: str = "t",
     u; lags ``lag(u, j-1)``; EWM fast/slow on u; NULL/non-finite -> fill.
     """
     ks = [*_keys(keys), feature]
-    w = R.series_window(ks, order)
-    d = df_long.withColumn("_u", R.lag(value, 1, w))
-    d = _ewm_cols(d, "_u", "x", ks, order, rn, block_rows).withColumnsRenamed(
+    base = df_long if rn else scan.row_index(df_long, ks, order, out="pk_rn")
+    d = scan.window_stats(base, value, windows, lags, ks, rn or "pk_rn", min_periods, block_rows=block_rows)
+    d = _ewm_cols(d, "_u", "x", ks, order, rn or "pk_rn", block_rows).withColumnsRenamed(
         {"x_ema_fast": "ema_fast", "x_ema_slow": "ema_slow"})
-    cols: dict[str, Column] = {}
-    for k in windows:
-        cols[f"mean_{k}"] = R.roll_mean("_u", k, w, min_periods)
-        cols[f"std_{k}"] = R.roll_std("_u", k, w, min_periods)
-        cols[f"roc_{k}"] = R.roc("_u", k, w)
-        cols[f"cum_{k}"] = R.roll_sum("_u", k, w, min_periods)
-    for j in lags:
-        cols[f"lag_{j}"] = F.col("_u") if j == 1 else R.lag("_u", j - 1, w)
-    d = d.withColumns(cols).withColumns({
+    d = d.withColumns({
         "ema_diff": F.col("ema_fast") - F.col("ema_slow"),
         "ema_ratio": safe_div("ema_fast", "ema_slow") - 1})
     names = extension_names(windows, lags)
-    return d.withColumns({n: sentinel(n, fill) for n in names}).drop("_u")
+    return d.withColumns({n: sentinel(n, fill) for n in names}).drop("_u", *([] if rn else ["pk_rn"]))
 
 
 def guard_stats(df_long: DataFrame, feature: str = "feature", value: str = "value",

@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -352,3 +353,85 @@ def rolling_blocked(df: DataFrame, cols: Mapping[str, tuple[str, str, int, int |
     exprs = {n: fns[s](v, k, w, mp) for n, (s, v, k, mp) in cols.items()}
     return (b.withColumns(exprs).where("_home")
             .drop("pk_blk", "_home", *([] if rn else ["pk_rn"])))
+
+
+# ------------------------------------------------------- windows of a block
+
+_CHUNK = 1 << 13
+
+
+def _trailing(u: np.ndarray, k: int, min_periods: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, sample std and sum of every trailing k values of ``u`` (NaN = NULL)."""
+    n = len(u)
+    mean, std, total = (np.full(n, np.nan) for _ in range(3))
+    wide = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(k - 1, np.nan), u]), k)
+    for a in range(0, n, _CHUNK):
+        w = wide[a: a + _CHUNK]
+        have = ~np.isnan(w)
+        c = have.sum(1)
+        v = np.where(have, w, 0.0)
+        t = v.sum(1)
+        m = t / np.maximum(c, 1)
+        d = np.where(have, v - m[:, None], 0.0)
+        ok = c >= max(min_periods, 1)
+        mean[a: a + _CHUNK] = np.where(ok, m, np.nan)
+        total[a: a + _CHUNK] = np.where(ok, t, np.nan)
+        std[a: a + _CHUNK] = np.where(ok & (c > 1), np.sqrt((d * d).sum(1) / np.maximum(c - 1, 1)), np.nan)
+    return mean, std, total
+
+
+def _shifted(u: np.ndarray, j: int) -> np.ndarray:
+    out = np.full(len(u), np.nan)
+    if j < len(u):
+        out[j:] = u[: len(u) - j] if j else u
+    return out
+
+
+def window_stats(df: DataFrame, value: str, windows: Sequence[int], lags: Sequence[int], keys: Keys, rn: str,
+                 min_periods: int | None = None, prefix: str = "", shifted: str = "_u",
+                 block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """Lagged, rolling and rate-of-change statistics of ``value`` in one pass.
+
+    Adds ``shifted`` = lag(value, 1) =: u and, for every window k, the columns
+    ``mean_k``, ``std_k``, ``cum_k`` (trailing k rows of u; ``min_periods``,
+    k by default) and ``roc_k`` = u / lag(u, k) - 1; for every j ``lag_j`` =
+    lag(value, j).  Rows are grouped by (series, block) with a halo of the
+    longest reach, so one exchange serves all windows and no group is larger
+    than ``block_rows`` plus the halo.  Rows without a position get NULLs.
+    """
+    ks = _keys(keys)
+    reach = max([*windows, *lags]) + 2
+    names = [f"{prefix}{s}_{k}" for k in windows for s in ("mean", "std", "roc", "cum")]
+    names += [f"{prefix}lag_{j}" for j in lags]
+    fields = [T.StructField(n, T.DoubleType()) for n in (shifted, *names)]
+    placed = df.where(F.col(rn).isNotNull())
+    rows = halo(with_blocks(placed, max(block_rows, reach), rn, "pk_wblk"), reach, max(block_rows, reach), rn,
+                "pk_wblk").withColumnRenamed("_home", "pk_home")
+    schema = T.StructType(df.schema.fields + fields)
+    own = df.columns
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(rn).reset_index(drop=True)
+        x = pdf[value].to_numpy(dtype="float64", na_value=np.nan).copy()
+        x[~np.isfinite(x)] = np.nan
+        home = pdf["pk_home"].to_numpy(dtype=bool)
+        u = _shifted(x, 1)
+        cols = {shifted: u}
+        for k in windows:
+            mean, std, total = _trailing(u, k, k if min_periods is None else min_periods)
+            base = _shifted(u, k)
+            with np.errstate(all="ignore"):
+                roc = np.where(base != 0, u / base, np.nan) - 1
+            roc[~np.isfinite(roc)] = np.nan
+            cols.update({f"{prefix}mean_{k}": mean, f"{prefix}std_{k}": std, f"{prefix}roc_{k}": roc,
+                         f"{prefix}cum_{k}": total})
+        for j in lags:
+            cols[f"{prefix}lag_{j}"] = _shifted(x, j)
+        new = pd.DataFrame({c: pd.arrays.FloatingArray(np.nan_to_num(v[home]), np.isnan(v[home]))
+                            for c, v in cols.items()})
+        old = pdf.loc[home, own].reset_index(drop=True)
+        return pd.concat([old, new], axis=1)
+
+    done = rows.groupBy(*ks, "pk_wblk").applyInPandas(block, schema)
+    none = [F.lit(None).cast("double").alias(f.name) for f in fields]
+    return done.unionByName(df.where(F.col(rn).isNull()).select("*", *none))
