@@ -210,15 +210,14 @@ def p5_guard_stats(spark, sf_dir):
     return st.withColumn("keep", (F.col("vmin") != F.col("vmax")) & (F.col("var_pop") > FE.VARIANCE_FLOOR))
 
 
+_KEPT_SQL = " UNION ALL ".join(
+    f"SELECT series_id, t, '{c}' AS feature, coalesce(CAST({c} AS DOUBLE), -9999.0) AS value FROM filled "
+    f"WHERE (SELECT min(coalesce({c}, -9999.0)) <> max(coalesce({c}, -9999.0)) "
+    f"AND var_pop(coalesce({c}, -9999.0)) > 1e-10 FROM filled)" for c in _GAP_FEATS)
+
+
 @register("p5_guard_long",
-          ctes.PANEL + ctes.GAPS + """,
-base5 AS (SELECT series_id, t, P1, E1, V1, M1, D1 FROM panel_gaps),
-lng AS (SELECT * FROM base5 UNPIVOT INCLUDE NULLS (value FOR feature IN (P1, E1, V1, M1, D1))),
-st AS (SELECT feature FROM lng GROUP BY feature
-       HAVING min(coalesce(value, -9999.0)) <> max(coalesce(value, -9999.0))
-          AND var_pop(coalesce(value, -9999.0)) > 1e-10)
-SELECT series_id, t, feature, coalesce(value, -9999.0) AS value
-FROM lng WHERE feature IN (SELECT feature FROM st)""",
+          ctes.PANEL + ctes.GAPS + ", filled AS MATERIALIZED (SELECT * FROM panel_gaps) " + _KEPT_SQL,
           KEY + [("feature", "s"), ("value", 6)])
 def p5_guard_long(spark, sf_dir):
     """Guarded long panel: kept features only (semi join), non-finite -> sentinel."""

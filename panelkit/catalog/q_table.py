@@ -14,6 +14,7 @@ from panelkit.functions import compat as U
 from panelkit.functions.calendar import years_between
 from panelkit.operators import features as FE
 from panelkit.operators import rolling as R
+from panelkit.operators import order as OR
 from panelkit.operators import score as S
 from panelkit.sources import io as IO
 from panelkit.sources import tables as T_
@@ -183,21 +184,8 @@ SELECT bool_and(coalesce(ts >= prev, true)) AS is_sorted, count(*) FILTER (WHERE
 FROM (SELECT ts, lag(ts) OVER (ORDER BY event_id) AS prev FROM events) x""",
           [("is_sorted", "b"), ("violations", "i")])
 def c5_sortedness_check(spark, sf_dir):
-    """Is the time key sorted in arrival order?  Per arrival block, no global sort.
-
-    Arrival order is ``event_id``; rows are ranged into blocks by event_id and
-    each block checks itself plus the previous block's last timestamp.
-    """
-    e = T_.table(spark, sf_dir, "events").select("event_id", "ts")
-    blk = F.floor(F.col("event_id") / F.lit(65536)).alias("blk")
-    b = e.select("event_id", "ts", blk)
-    last = b.groupBy("blk").agg(F.max_by("ts", "event_id").alias("last_ts"), F.max("event_id").alias("last_id"))
-    carry = last.select((F.col("blk") + 1).alias("blk"), F.col("last_ts").alias("carry_ts"))
-    w = Window.partitionBy("blk").orderBy("event_id")
-    j = b.join(carry, "blk", "left").withColumn("prev", F.coalesce(F.lag("ts").over(w), F.when(
-        F.row_number().over(w) == 1, F.col("carry_ts"))))
-    return j.agg(F.bool_and(F.coalesce(F.col("ts") >= F.col("prev"), F.lit(True))).alias("is_sorted"),
-                 F.count_if(F.col("ts") < F.col("prev")).alias("violations"))
+    """Is the time key sorted in arrival order (``event_id``)?  Per block, no global sort."""
+    return OR.sortedness(T_.table(spark, sf_dir, "events"), "event_id", "ts")
 
 
 @register("c6_ordered_distinct_keys", ctes.EVENTS + """
@@ -212,9 +200,8 @@ def c6_ordered_distinct_keys(spark, sf_dir):
 
 
 @register("e2_join_dropna", ctes.PANEL + ctes.GAPS + """
-SELECT p.series_id, p.t, g.P1, g.E1, p.forward_returns
-FROM panel p JOIN panel_gaps g ON p.series_id = g.series_id AND p.t = g.t
-WHERE g.P1 IS NOT NULL AND g.E1 IS NOT NULL AND p.forward_returns IS NOT NULL""",
+SELECT series_id, t, P1, E1, forward_returns  -- (series, t) is unique, so the join of the panel with itself is the panel
+FROM panel_gaps WHERE P1 IS NOT NULL AND E1 IS NOT NULL AND forward_returns IS NOT NULL""",
           KEY + [("P1", 6), ("E1", 6), ("forward_returns", 8)])
 def e2_join_dropna(spark, sf_dir):
     """Inner equi-join on (series, t) followed by dropna."""
