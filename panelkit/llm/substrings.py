@@ -42,7 +42,7 @@ from panelkit.llm.store import scratch
 
 SPAN = 35
 GRAM = 16
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 6 << 20
 MIN_BUCKETS = 24
 RANGES = 256
 _DIGIT = 32
@@ -248,11 +248,10 @@ def covered_words(b: _Bucket, tok: np.ndarray, chk: np.ndarray, span: int) -> np
 def _kept(b: _Bucket, gone: np.ndarray) -> Iterator[bytes]:
     """The kept words of each text, joined by one space."""
     w = b.words
-    raw = w.data.tobytes()
-    starts, ends = w.starts.tolist(), w.ends.tolist()
-    keep = (~gone).tolist()
+    raw, starts, ends = w.data.tobytes(), w.starts, w.ends
     for a, z in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
-        yield b" ".join([raw[starts[i]: ends[i]] for i in range(a, z) if keep[i]])
+        at = a + np.flatnonzero(~gone[a:z])
+        yield b" ".join([raw[x:y] for x, y in zip(starts[at].tolist(), ends[at].tolist())])
 
 
 def _marked(texts: pa.Table, found: pa.Table, span: int):
