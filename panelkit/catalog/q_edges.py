@@ -183,3 +183,32 @@ def a5_run_result_json(spark, sf_dir):
     path = ST.scratch(spark, "a5")
     IO.write_run_result(st, path)
     return spark.read.schema("Succeeded boolean, ErrorType int, ErrorName string, ErrorDetails string").json(path)
+
+
+@register("t3_batch_validation", ctes.PANEL + """,
+e AS (SELECT series_id % 6 AS batch_id, series_id, t, day(t) = 7 AS odd, qty FROM panel),
+p AS (SELECT batch_id, series_id, t, CASE WHEN odd AND batch_id = 4 THEN 'infinity'::DOUBLE WHEN odd AND batch_id = 5 THEN NULL
+             ELSE CAST(qty AS DOUBLE) END AS v FROM e WHERE NOT (odd AND batch_id = 1)
+      UNION ALL SELECT batch_id, series_id + CASE WHEN batch_id = 2 THEN 100000 ELSE 0 END, t, 1.0 FROM e
+      WHERE odd AND batch_id IN (2, 3)),
+g AS (SELECT batch_id, series_id, t, count(*) AS r, count(*) FILTER (WHERE v IS NULL OR isinf(v)) AS b FROM p GROUP BY ALL),
+j AS (SELECT coalesce(g.batch_id, e.batch_id) AS batch_id, coalesce(r, 0) AS r, coalesce(b, 0) AS b,
+             CASE WHEN e.t IS NULL THEN 0 ELSE 1 END AS e
+      FROM g FULL JOIN e ON g.batch_id = e.batch_id AND g.series_id = e.series_id AND g.t = e.t),
+a AS (SELECT batch_id, sum(r) AS received, sum(e) AS expected, count(*) FILTER (WHERE e > 0 AND r = 0) AS missing,
+             count(*) FILTER (WHERE e = 0) AS unexpected, sum(greatest(r - 1, 0)) AS repeated, sum(b) AS bad_values
+      FROM j GROUP BY batch_id)
+SELECT *, CASE WHEN bad_values > 0 THEN 'invalid_prediction' WHEN repeated > 0 THEN 'repeated_id'
+               WHEN missing > 0 OR unexpected > 0 THEN 'id_mismatch' ELSE 'ok' END AS status FROM a""",
+          [("batch_id", "i"), ("received", "i"), ("expected", "i"), ("missing", "i"), ("unexpected", "i"),
+           ("repeated", "i"), ("bad_values", "i"), ("status", "s")])
+def t3_batch_validation(spark, sf_dir):
+    """Batches with missing, unexpected, repeated, infinite and NULL predictions, and one that is right."""
+    e = T.panel(spark, sf_dir).select((F.col("series_id") % 6).alias("batch_id"), "series_id", "t",
+                                      F.col("qty").cast("double").alias("prediction"))
+    odd, b = F.dayofmonth("t") == 7, F.col("batch_id")
+    v = F.when(odd & (b == 4), F.lit(float("inf"))).when(odd & (b == 5), F.lit(None).cast("double")) \
+        .otherwise(F.col("prediction"))
+    more = e.where(odd & b.isin(2, 3)).withColumn("series_id", F.col("series_id") + F.when(b == 2, 100_000).otherwise(0))
+    pred = e.where(~(odd & (b == 1))).withColumn("prediction", v).unionByName(more)
+    return ST.validate_batches(pred, e, ["series_id", "t"])

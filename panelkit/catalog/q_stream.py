@@ -76,8 +76,8 @@ def _signal(batch):
 
 
 @register("t2_t3_stream_scoring", None, [("batch_id", "i"), ("received", "i"), ("expected", "i"),
-                                         ("missing", "i"), ("unexpected", "i"), ("bad_values", "i"),
-                                         ("status", "s")])
+                                         ("missing", "i"), ("unexpected", "i"), ("repeated", "i"),
+                                         ("bad_values", "i"), ("status", "s")])
 def t2_t3_stream_scoring(spark, sf_dir):
     """Score each micro-batch and validate it (row count, ids, finite values)."""
     src = _source(spark, sf_dir)

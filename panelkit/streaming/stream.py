@@ -136,30 +136,52 @@ def hourly_with_watermark(stream: DataFrame, delay: str = "1 hour") -> DataFrame
 
 # ----------------------------------------------------------------- T2 / T3
 
-def validate_batch(pred: DataFrame, expected_ids: DataFrame, ids: list[str], value: str = "prediction") -> DataFrame:
-    """One status row per batch: nulls, non-finite, missing and unexpected ids."""
-    missing = expected_ids.join(pred.select(*ids), ids, "left_anti").agg(F.count(F.lit(1)).alias("missing"))
-    extra = pred.select(*ids).join(expected_ids, ids, "left_anti").agg(F.count(F.lit(1)).alias("unexpected"))
-    st = pred.agg(F.count(F.lit(1)).alias("received"),
-                  F.count_if(F.col(value).isNull() | F.isnan(value)).alias("bad_values"))
-    exp = expected_ids.agg(F.count(F.lit(1)).alias("expected"))
-    one = F.lit(1).alias("pk_one")
-    j = (st.select("*", one).join(exp.select("*", one), "pk_one").join(missing.select("*", one), "pk_one")
-         .join(extra.select("*", one), "pk_one").drop("pk_one"))
+def validate_batches(pred: DataFrame, expected: DataFrame, ids: list[str], value: str = "prediction",
+                     by: str = "batch_id") -> DataFrame:
+    """One status row per batch from received and expected ids.
+
+    ``received`` must equal ``expected`` id by id: missing, unexpected and
+    repeated ids are counted, and so are values that are NULL, NaN or infinite.
+    """
+    bad = F.col(value).isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
+    got = pred.groupBy(by, *ids).agg(F.count(F.lit(1)).alias("_r"), F.count_if(bad).alias("_b"))
+    want = expected.select(by, *ids).distinct().withColumn("_e", F.lit(1))
+    want = want.withColumnsRenamed({c: f"pk_{c}" for c in (by, *ids)})
+    on = [F.col(c).eqNullSafe(F.col(f"pk_{c}")) for c in (by, *ids)]
+    j = got.join(want, on, "full").withColumn(by, F.coalesce(by, f"pk_{by}"))
+    r, e = F.coalesce("_r", F.lit(0)), F.coalesce("_e", F.lit(0))
+    a = j.groupBy(by).agg(
+        F.sum(r).alias("received"), F.sum(e).cast("long").alias("expected"),
+        F.count_if((e > 0) & (r == 0)).alias("missing"), F.count_if(e == 0).alias("unexpected"),
+        F.sum(F.greatest(r - 1, F.lit(0))).alias("repeated"), F.coalesce(F.sum("_b"), F.lit(0)).alias("bad_values"))
     status = (F.when(F.col("expected") == 0, "no_expected_rows").when(F.col("bad_values") > 0, "invalid_prediction")
+              .when(F.col("repeated") > 0, "repeated_id")
               .when((F.col("missing") > 0) | (F.col("unexpected") > 0), "id_mismatch").otherwise("ok"))
-    return j.withColumn("status", status)
+    return a.withColumn("status", status)
+
+
+def validate_batch(pred: DataFrame, expected_ids: DataFrame, ids: list[str], value: str = "prediction") -> DataFrame:
+    """T3 for a single batch: one status row; an empty batch has the status ``no_expected_rows``."""
+    one = F.lit(0).alias("batch_id")
+    st = validate_batches(pred.select("*", one), expected_ids.select("*", one), ids, value)
+    blank = st.sparkSession.range(1).select(F.col("id").cast("int").alias("batch_id"))
+    out = blank.join(st, "batch_id", "left").drop("batch_id")
+    counts = ["received", "expected", "missing", "unexpected", "repeated", "bad_values"]
+    return out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in counts}).withColumn(
+        "status", F.coalesce("status", F.lit("no_expected_rows")))
 
 
 def score_stream(stream: DataFrame, out: str, signal: Callable[[DataFrame], DataFrame], ckpt: str) -> None:
-    """T2 + T3: score each micro-batch, validate it, write predictions and a
-    status row keyed by the batch id (idempotent on retry)."""
+    """T2 + T3: score each micro-batch, validate it, write a status row and the
+    predictions keyed by the batch id (idempotent on retry).  The predictions
+    of a batch that fails go to ``quarantine`` instead of ``pred``."""
     def each(batch: DataFrame, epoch: int) -> None:
         ids = ["series_id", "t"]
         pred = signal(batch)
         expected = batch.select(F.col("event_type").alias("series_id"),
                                 F.date_trunc("hour", F.col("ts")).alias("t")).distinct()
-        st = validate_batch(pred, expected, ids)
-        pred.write.mode("overwrite").parquet(f"{out}/pred/batch_id={epoch}")
-        st.write.mode("overwrite").parquet(f"{out}/status/batch_id={epoch}")
+        where = f"{out}/status/batch_id={epoch}"
+        validate_batch(pred, expected, ids).write.mode("overwrite").parquet(where)
+        good = batch.sparkSession.read.parquet(where).first().status == "ok"
+        pred.write.mode("overwrite").parquet(f"{out}/{'pred' if good else 'quarantine'}/batch_id={epoch}")
     run_available_now(stream, out, ckpt, foreach=each)
