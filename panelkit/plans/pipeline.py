@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelkit.operators import features as FE
 from panelkit.operators.rolling import Keys, _keys, join_same
 from panelkit.plans import scan
+from panelkit.session import checkpoint_dir
 
 LOG_TARGET = "log_market_forward_excess_returns"
 DERIVED_PREFIXES = ("MOM_", "VI_")
@@ -42,11 +43,15 @@ def panel_pipeline(df: DataFrame, arith: str = "market_forward_excess_returns",
     excluded = [*FE.EXCLUDED, arith, LOG_TARGET]
     base = [c for c in base_features(df.columns, excluded, ks) if extend is None or c in extend]
     d = FE.momentum(d, LOG_TARGET, keys, order, fill, block_rows=block_rows)
-    d = FE.volatility(d, LOG_TARGET, keys, order, first_fill)
+    checkpoint_dir(df.sparkSession)
+    # the frame feeds the counts of P3, the fill and the guards: worked out once
+    d = FE.volatility(d, LOG_TARGET, keys, order, first_fill).checkpoint()
     filled, _ = FE.impute(d, fill, excluded, ks)
-    source = filled if impute_first else d
+    # P4 reads base features only, so it starts from the raw panel
+    source = df.select(*ks, *[F.coalesce(F.col(c).cast("double"), F.lit(float(fill))).alias(c) if impute_first
+                              else F.col(c) for c in base])
     lng = FE.extend_long(FE.to_long(source, base, ks), keys, order, fill=fill, block_rows=block_rows)
     kept = list(stats) if stats is not None else FE.extension_names()
     wide = FE.to_wide(lng, base, kept, ks)
-    both = join_same(filled, wide, ks)
+    both = join_same(filled, wide, ks).checkpoint()
     return FE.guard_wide(both, fill, excluded, ks)
