@@ -31,8 +31,8 @@ Defined results: rows without conv_id or call_id link with nothing (a call is
 ``unanswered``, a result an ``orphan``); null arguments are an empty object,
 null content is null; an identifier with several calls or results gives each
 call the result that stands first; extra columns are ignored; empty tables give
-an empty result.  Ordering takes a join per level of the deepest dependency
-chain, each over the calls that are still open.
+an empty result.  Ordering takes a join per power of two of the longest chain
+of calls with one dependency, and one per level of calls with several.
 """
 
 from __future__ import annotations
@@ -46,30 +46,63 @@ _NAMES = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "D
           "boolean": ("BOOLEAN",), "array": ("ARRAY",), "object": ("OBJECT",)}
 
 
+def _chains(single: DataFrame) -> DataFrame:
+    """``(conv_id, call_id, head, dist)``: from each call with one dependency the
+    first call behind it that has none or several, and the steps to it, by
+    pointer doubling (a join per power of two).  Calls in or behind a cycle of
+    such calls have no head."""
+    p = stored(single.select("conv_id", "call_id", F.col("dep").alias("head"), F.lit(1).cast("long").alias("dist")),
+               "call-chains")
+    own = p.select("conv_id", F.col("call_id").alias("head"), F.lit(True).alias("inner"))
+    for _ in range(p.count().bit_length() + 1):
+        if p.join(own, ["conv_id", "head"], "left_semi").isEmpty():
+            break
+        q = p.select("conv_id", F.col("call_id").alias("head"), F.col("head").alias("h2"), F.col("dist").alias("d2"))
+        p = stored(p.join(q, ["conv_id", "head"], "left").select(
+            "conv_id", "call_id", F.coalesce("h2", "head").alias("head"),
+            (F.col("dist") + F.coalesce("d2", F.lit(0))).alias("dist")), "call-chains")
+    return p.join(own, ["conv_id", "head"], "left").select(
+        "conv_id", "call_id", F.when(F.col("inner").isNull(), F.col("head")).alias("head"), "dist")
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """``(conv_id, call_id, level, lost)`` per identifier of ``calls``; ``lost``
     if some dependency names no call.  Level is null in or behind a cycle."""
+    key = ["conv_id", "call_id"]
     nodes = calls.where(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull())
-    ids = nodes.select("conv_id", "call_id").distinct()
-    wanted = nodes.select("conv_id", "call_id", F.explode("depends_on").alias("dep")).distinct()
+    ids = nodes.select(*key).distinct()
+    wanted = nodes.select(*key, F.explode("depends_on").alias("dep")).distinct()
     known = ids.select("conv_id", F.col("call_id").alias("dep"), F.lit(True).alias("known"))
     edges = stored(wanted.join(known, ["conv_id", "dep"], "left"), "call-edges")
-    lost = edges.where(F.col("known").isNull()).select("conv_id", "call_id", F.lit(True).alias("lost")).distinct()
-    open_ = edges.where(F.col("known")).select("conv_id", "call_id", "dep")
-    fresh = stored(ids.join(open_, ["conv_id", "call_id"], "left_anti"), "call-level")
-    level, placed = 0, fresh.withColumn("level", F.lit(0))
-    while True:
-        done = fresh.select("conv_id", F.col("call_id").alias("dep"))
-        rest = stored(open_.join(done, ["conv_id", "dep"], "left_anti").select("conv_id", "call_id", "dep"),
-                      "call-edges")
-        fresh = stored(open_.select("conv_id", "call_id").distinct()
-                       .join(rest, ["conv_id", "call_id"], "left_anti"), "call-level")
-        if fresh.isEmpty():
-            break
-        level, open_ = level + 1, rest
-        placed = placed.unionByName(fresh.withColumn("level", F.lit(level)))
-    return (ids.join(placed, ["conv_id", "call_id"], "left").join(lost, ["conv_id", "call_id"], "left")
-            .select("conv_id", "call_id", "level", F.coalesce("lost", F.lit(False)).alias("lost")))
+    lost = edges.where(F.col("known").isNull()).select(*key, F.lit(True).alias("lost")).distinct()
+    deps = edges.where(F.col("known")).groupBy(*key).agg(F.count(F.lit(1)).alias("deps"), F.first("dep").alias("dep"))
+    nodes = stored(ids.join(deps, key, "left"), "call-nodes")
+    chains = stored(_chains(nodes.where(F.col("deps") == 1)), "call-chains")
+    placed = fresh = nodes.where(F.col("deps").isNull()).select(*key, F.lit(0).cast("long").alias("level"))
+    # calls with several dependencies, over the heads of their dependencies' chains
+    several = nodes.where(F.col("deps") > 1).select(*key)
+    if not several.isEmpty():
+        via = chains.select("conv_id", F.col("call_id").alias("dep"), F.lit(True).alias("inner"), "head", "dist")
+        open_ = edges.where(F.col("known")).join(several, key, "left_semi").join(via, ["conv_id", "dep"], "left").select(
+            *key, F.when(F.col("inner").isNull(), F.col("dep")).otherwise(F.col("head")).alias("head"),
+            F.coalesce("dist", F.lit(0)).alias("dist"), F.lit(None).cast("long").alias("far"))
+        open_ = stored(open_, "call-open")
+        while True:  # a round per level of calls with several dependencies
+            at = fresh.select("conv_id", F.col("call_id").alias("head"), "level")
+            open_ = stored(open_.join(at, ["conv_id", "head"], "left").select(
+                *key, "head", "dist", F.coalesce("far", F.col("level") + F.col("dist")).alias("far")), "call-open")
+            done = open_.groupBy(*key).agg((F.max("far") + 1).alias("level"), F.count("far").alias("n"),
+                                           F.count(F.lit(1)).alias("of")).where(F.col("n") == F.col("of"))
+            fresh = stored(done.select(*key, "level"), "call-level")
+            if fresh.isEmpty():
+                break
+            open_ = open_.join(fresh.select(*key), key, "left_anti")
+            placed = placed.unionByName(fresh)
+    at = placed.select("conv_id", F.col("call_id").alias("head"), F.col("level").alias("base"))
+    inner = chains.join(at, ["conv_id", "head"]).select(*key, (F.col("base") + F.col("dist")).alias("level"))
+    found = placed.unionByName(inner)
+    return (ids.join(found, key, "left").join(lost, key, "left")
+            .select(*key, F.col("level").cast("int").alias("level"), F.coalesce("lost", F.lit(False)).alias("lost")))
 
 
 def _checked(calls: DataFrame, schemas: DataFrame) -> DataFrame:

@@ -121,12 +121,16 @@ def test_tool_calls(spark):
     assert tool_calls.link(calls.limit(0), results.limit(0), rules).count() == 0
 
 
-def test_tool_call_chain(spark):
-    n = 12
-    calls = spark.createDataFrame([(1, str(i), i, "f", "{}", [str(i - 1)] if i else []) for i in range(n)],
+def test_tool_call_levels(spark):
+    """Long chains, joins of chains, a cycle, and what stands behind it."""
+    deps = {str(i): [str(i - 1)] if i else [] for i in range(70)}
+    deps.update(x=["69", "3"], y=["x"], z=["y", "10", "x"], c=["d"], d=["e"], e=["c"], f=["e"], g=["f", "0"], h=["g"])
+    calls = spark.createDataFrame([(1, k, 0, "f", "{}", v) for k, v in deps.items()],
                                   "conv_id long, call_id string, turn long, name string, arguments string, "
                                   "depends_on array<string>")
-    assert {r.call_id: r.level for r in tool_calls.levels(calls).collect()} == {str(i): i for i in range(n)}
+    want = {str(i): i for i in range(70)}
+    want.update(x=70, y=71, z=72, c=None, d=None, e=None, f=None, g=None, h=None)
+    assert {r.call_id: r.level for r in tool_calls.levels(calls).collect()} == want
 
 
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001"])
