@@ -52,6 +52,7 @@ PERCENT = 75
 RUN_TOKENS = 1 << 20
 RUN_DOCS = 1 << 16
 MIN_RANGES = 256
+RANGE_TOKENS = 1 << 22
 PIVOTS = 3
 BANDS = 7.0  # size bands per unit of the logarithm: two for each step of 4/3
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -193,7 +194,7 @@ def token_sets(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame
     prefix; both are null where nothing can link."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(MIN_RANGES, min(1 << 22, size // 8 // RUN_TOKENS))
+    ranges = max(MIN_RANGES, min(1 << 22, size // 8 // RANGE_TOKENS))
     tokens = rows.mapInArrow(_tokens(k, ranges), _TOKENS_SQL)
     back = tokens.groupBy("part").applyInArrow(_shared, _SHARED_SQL)
     return stored(back.groupBy("run").applyInArrow(_prefixes(percent), _SETS_SQL), "token-sets")

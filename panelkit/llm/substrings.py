@@ -44,7 +44,10 @@ SPAN = 35
 GRAM = 16
 BUCKET_BYTES = 6 << 20
 MIN_BUCKETS = 24
+EVEN_BUCKETS = 2048
+MAX_FILES = 100_000
 RANGES = 256
+RANGE_BYTES = 128 << 20
 _DIGIT = 32
 
 _PARTS = pa.schema([("part", pa.int32()), ("_bucket", pa.int32()), ("tok", pa.binary()), ("chk", pa.binary()),
@@ -56,21 +59,28 @@ _BACK_SQL = "_bucket int, tok binary, chk binary"
 
 def bucketed(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
     """``docs`` with ``_bucket``, written as a table bucketed by it (one file per
-    bucket), and the number of token ranges to use with it."""
+    bucket, or per some buckets where there are very many), and the number of
+    token ranges to use with it."""
     spark = docs.sparkSession
     docs = docs.drop("_bucket")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(MIN_BUCKETS, size // bucket_bytes + 1)
-    # one bucket number per hash partition, so that every file gets one bucket
-    place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n))
-    names = [r.b for r in spark.range(16 * n).groupBy(place.alias("p")).agg(F.min("id").cast("int").alias("b"))
-             .orderBy("p").collect()]
-    key = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(len(names))).cast("int")
-    rows = docs.withColumn("_bucket", F.get(F.array(*map(F.lit, names)), key))
+    groups = max(MIN_BUCKETS, size // bucket_bytes + 1)
+    if groups <= EVEN_BUCKETS:
+        # one bucket number per hash partition, so that every file gets one bucket
+        files = groups
+        place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(files))
+        names = [r.b for r in spark.range(16 * files).groupBy(place.alias("p"))
+                 .agg(F.min("id").cast("int").alias("b")).orderBy("p").collect()]
+        key = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(len(names))).cast("int")
+        bucket = F.get(F.array(*map(F.lit, names)), key)
+    else:  # many buckets to a file even out by themselves
+        files = min(MAX_FILES, max(EVEN_BUCKETS, groups // 16))
+        bucket = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(groups)).cast("int")
+    rows = docs.withColumn("_bucket", bucket)
     table, path = f"texts_{uuid.uuid4().hex}", scratch(spark, "texts")
-    (rows.repartition(n, "_bucket").write.bucketBy(n, "_bucket").option("path", path).format("parquet")
+    (rows.repartition(files, "_bucket").write.bucketBy(files, "_bucket").option("path", path).format("parquet")
      .saveAsTable(table))
-    return spark.table(table), max(RANGES, size // (64 << 20))
+    return spark.table(table), max(RANGES, size // RANGE_BYTES)
 
 
 def _texts(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
