@@ -108,7 +108,9 @@ class PieceEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.known = np.zeros(0, np.uint64)  # sorted hashes of the pieces, and their slots:
+        self.place = np.zeros(0, np.int64)   # a quarter of the memory that a dict takes
+        self.size = 0
         self.h2 = np.zeros(1 << 14, np.uint64)
         self.off = np.zeros(1 << 14, np.int64)
         self.len = np.zeros(1 << 14, np.int64)
@@ -120,7 +122,7 @@ class PieceEncoder:
         return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, hashes: np.ndarray, h2: np.ndarray, pieces: list[str]) -> np.ndarray:
-        at = len(self.slot)
+        at = self.size
         got = self.direct(pieces)
         lens = np.fromiter(map(len, got), np.int64, len(got))
         need, n = self.used + int(lens.sum()), at + len(got)
@@ -133,9 +135,13 @@ class PieceEncoder:
             self.flat[self.used: need] = np.concatenate(got)
         self.off[at:n] = self.used + np.cumsum(lens) - lens
         self.len[at:n], self.h2[at:n] = lens, h2
-        self.slot.update(zip(hashes.tolist(), range(at, n)))
-        self.used = need
-        return np.arange(at, n)
+        slots = np.arange(at, n)
+        order = np.argsort(hashes)
+        where = np.searchsorted(self.known, hashes[order])
+        self.known = np.insert(self.known, where, hashes[order])
+        self.place = np.insert(self.place, where, slots[order])
+        self.used, self.size = need, n
+        return slots
 
     def _spans(self, data: np.ndarray, off: np.ndarray, special: bool):
         """Starts and ends of the pieces, the pieces of each text, and the bytes that count."""
@@ -169,10 +175,13 @@ class PieceEncoder:
         codes, uniq = pd.factorize(h)
         at = np.empty(len(uniq), np.int64)
         at[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-        if len(self.slot) + len(uniq) > MAX_PIECES:
+        if self.size + len(uniq) > MAX_PIECES:
             self._clear()
-        get = self.slot.get
-        slots = np.fromiter((get(x, -1) for x in uniq.tolist()), np.int64, len(uniq))
+        slots = np.full(len(uniq), -1, np.int64)
+        if len(self.known):
+            i = np.minimum(np.searchsorted(self.known, uniq), len(self.known) - 1)
+            hit = self.known[i] == uniq
+            slots[hit] = self.place[i[hit]]
         new = np.flatnonzero(slots < 0)
         if len(new):
             s, e = starts[at[new]].tolist(), ends[at[new]].tolist()
@@ -180,9 +189,9 @@ class PieceEncoder:
         slots = slots[codes]
         if not np.array_equal(self.h2[slots], h2):  # two pieces with one hash: encode each place by itself
             self._clear()
-            slots = self._learn(np.arange(len(starts)), h2,
+            slots = self._learn(np.arange(len(starts), dtype=np.uint64), h2,
                                 [raw[x:y].decode() for x, y in zip(starts.tolist(), ends.tolist())])
-            self.slot.clear()
+            self.known, self.place = self.known[:0], self.place[:0]
         return starts, slots, first
 
     def counts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:

@@ -49,7 +49,7 @@ from panelkit.llm.store import stored
 
 K = 5
 PERCENT = 75
-RUN_TOKENS = 1 << 20
+RUN_TOKENS = 1 << 19
 RUN_DOCS = 1 << 16
 MIN_RANGES = 256
 RANGE_TOKENS = 1 << 22

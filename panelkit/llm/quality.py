@@ -104,10 +104,13 @@ class Model:
         return np.clip(np.interp(self.raw(x), self.edges, self.levels), 0.0, 1.0)
 
 
-def held_out(doc_id: str | Column = "doc_id") -> Column:
-    """Rows nothing is learned from."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False)) \
-        if isinstance(doc_id, str) else F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+def _checksum() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+
+def held_out() -> Column:
+    """Rows (by their ``doc_id``) nothing is learned from."""
+    return F.coalesce(_checksum() % 3 == 1, F.lit(False))
 
 
 def _stats_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,8 +178,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
     """Learn from ``stats(doc_id, x)`` and ``labels(doc_id, quality)``."""
     known = labels.select("doc_id", F.col("quality").cast("double").alias("y")).where(F.col("y").isin(0.0, 1.0))
     rows = stored(stats.where(~held_out()).join(known.where(~held_out()), "doc_id")
-                  .select("x", "y", ((F.crc32(F.col("doc_id").cast("string").cast("binary")) / 3).cast("long") % 4 == 0)
-                          .alias("cal")), "quality-train")
+                  .select("x", "y", ((_checksum() / 3).cast("long") % 4 == 0).alias("cal")), "quality-train")
     p = len(STATS)
     s = _summed(rows, lambda x, y: np.concatenate([[len(y), y.sum()], x.sum(0), (x * x).sum(0)]), 2 + 2 * p)
     n, pos = s[0], s[1]

@@ -56,6 +56,7 @@ def text_slices(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         j = min(max(j, i + 1), len(col))
         yield i, j, data[off[i]: off[j]], off[i: j + 1] - off[i]
         i = j
+    pa.default_memory_pool().release_unused()  # else a reused worker keeps its largest batch
 
 
 def span_hash(data: np.ndarray, starts: np.ndarray, inside: np.ndarray | None = None,

@@ -42,7 +42,7 @@ from panelkit.llm.store import scratch
 
 SPAN = 35
 GRAM = 16
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 4 << 20
 MIN_BUCKETS = 24
 EVEN_BUCKETS = 2048
 MAX_FILES = 100_000
