@@ -91,7 +91,8 @@ class PieceEncoder:
     """Encodes slices of texts; ``kind`` is ``byte`` (white space belongs to
     tokens) or ``word`` (white space is dropped)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, max_pieces: int = MAX_PIECES):
+        self.max_pieces = max_pieces
         from tokenizers import Tokenizer
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tok = Tokenizer.from_file(path)
@@ -175,7 +176,7 @@ class PieceEncoder:
         codes, uniq = pd.factorize(h)
         at = np.empty(len(uniq), np.int64)
         at[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-        if self.size + len(uniq) > MAX_PIECES:
+        if self.size + len(uniq) > self.max_pieces:
             self._clear()
         slots = np.full(len(uniq), -1, np.int64)
         if len(self.known):
@@ -209,9 +210,9 @@ class PieceEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(name: str) -> PieceEncoder:
+def encoder(name: str, max_pieces: int = MAX_PIECES) -> PieceEncoder:
     """One encoder for each vocabulary and worker process."""
-    return PieceEncoder(tokenizer_path(name))
+    return PieceEncoder(tokenizer_path(name), max_pieces)
 
 
 class IdTable:

@@ -20,12 +20,14 @@ from pyspark.sql import types as T
 from panelkit.llm.bpe import IdTable, each_slice, encoder
 
 TOKENIZER = "word_bpe_49k.json"
+#: a worker keeps its piece table for later tasks, beside whatever they need
+MAX_PIECES = 400_000
 
 
 @lru_cache(maxsize=4)
 def _tables(tokenizer: str) -> tuple[IdTable, IdTable]:
     """Decimal ids and token strings, each followed by one space."""
-    enc = encoder(tokenizer)
+    enc = encoder(tokenizer, MAX_PIECES)
     if enc.tok.decoder is not None:
         raise ValueError("this decoder does more than join tokens with spaces; use decode() of the library")
     size = enc.tok.get_vocab_size(with_added_tokens=True)
@@ -40,7 +42,7 @@ def _sha(raw: bytes, off: np.ndarray) -> list[str]:
 
 def _encode(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, MAX_PIECES)
         for b in batches:
             for i, j, d, o in each_slice(b):
                 ids, n = enc.ids(d, o)
@@ -62,14 +64,14 @@ def decode(ids: str | Column, tokenizer: str = TOKENIZER) -> Column:
     ``decode(ids, skip_special_tokens=False)``."""
     @F.pandas_udf("string")
     def run(col):
-        tok = encoder(tokenizer).tok
+        tok = encoder(tokenizer, MAX_PIECES).tok
         return col.map(lambda x: tok.decode(list(x), skip_special_tokens=False) if x is not None else None)
     return run(ids)
 
 
 def _digest(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, MAX_PIECES)
         as_id, as_token = _tables(tokenizer)
         for b in batches:
             n_tokens, id_sha, text_sha = [], [], []
