@@ -322,14 +322,20 @@ def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     return _labels(sets, links)
 
 
-def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for each row of ``docs``."""
+def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``token_sets``, and ``(h, low, label)`` for each distinct text:
+    its smallest doc_id and its component."""
     rows = token_sets(docs, k, percent)
     classes = stored(rows.groupBy("h").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("low")), "classes")
     sets = stored(rows.where(F.col("lead").isNotNull()).join(classes.select("h", "rid"), ["h", "rid"], "left_semi")
                   .select("rid", "n", "lead", "m1", "shared"), "sets")
     labels = stored(link_components(sets, percent), "labels")
-    named = classes.join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+    return rows, classes.join(labels, "rid", "left").select("h", "low", F.coalesce("label", "rid").alias("label"))
+
+
+def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` for each row of ``docs``."""
+    rows, named = _classes(docs, k, percent)
     lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
     named = named.join(lowest, "label").select("h", "component_id")
     return rows.select("doc_id", "h", "n").join(named, "h").select(
@@ -338,15 +344,24 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
 
 
 def keep_one(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """The row of each component with the smallest doc_id, all columns kept; of
-    repeated rows with that doc_id one stays.  Rows without words all stay but
-    for repeated doc_ids; rows without doc_id stay only where their whole
-    component has none."""
-    found = near_duplicates(docs, k, percent)
-    keep = stored(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id")
-                  .agg(F.count(F.lit(1)).alias("times")), "kept")
-    same = docs["doc_id"].eqNullSafe(keep["doc_id"])
-    kept = docs.join(keep.select("doc_id"), same, "left_semi")
-    if keep.where(F.col("times") > 1).isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id"])
+    """One row of each component, all columns kept: the one with the smallest
+    doc_id (nulls last), of several texts under that doc_id the one with the
+    smallest hash, of rows equal in doc_id and text any one.  Rows without words
+    all stay but for those equal in doc_id and text.  Rows without doc_id stay
+    only where their whole component has none; doc_ids need not be unique."""
+    rows, named = _classes(docs, k, percent)
+    first = F.min(F.struct(F.col("low").isNull().alias("none"), F.col("low").alias("doc_id"), "h"))
+    best = named.groupBy("label").agg(first.alias("r")).select(
+        F.col("r.doc_id").alias("best_id"), F.col("r.h").alias("best_h"), F.lit(True).alias("best"))
+    times = rows.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("times"), F.max("n").alias("n"))
+    keep = stored(times.join(best, (F.col("h") == F.col("best_h")) & F.col("doc_id").eqNullSafe(F.col("best_id")), "left")
+                  .where((F.col("n") == 0) | F.col("best")).select("doc_id", "h", "times"), "kept")
+
+    def rows_of(part: DataFrame) -> DataFrame:
+        h = F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")))
+        return docs.join(part, (h == part["h"]) & docs["doc_id"].eqNullSafe(part["doc_id"]), "left_semi")
+
+    again = keep.where(F.col("times") > 1)
+    if again.isEmpty():
+        return rows_of(keep)
+    return rows_of(keep.where(F.col("times") == 1)).unionByName(rows_of(again).dropDuplicates(["doc_id", "text"]))

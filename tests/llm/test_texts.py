@@ -41,6 +41,24 @@ def test_ngram_join(docs):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_keep_one_with_null_and_equal_ids(spark):
+    """One row of each component stays, whatever the doc_ids are; one repeated row does not touch the others."""
+    base = [f"w{i}" for i in range(40)]
+    near = [" ".join(base[:20] + [f"v{i}"] + base[20:]) for i in range(3)]
+    alone = [f"alone {i} " + " ".join(f"x{i}_{j}" for j in range(9)) for i in range(8)]
+    rows = [(None, alone[0]), (None, alone[1]), (None, alone[2]), (None, alone[2]), (7, alone[3]), (7, alone[4]),
+            (8, alone[5]), (8, alone[5]), (9, alone[6]), (None, alone[6]), (3, near[0]), (5, near[1]), (5, alone[7]),
+            (None, near[2]), (6, ""), (6, ""), (6, None), (6, " "), (None, None), (None, "")]
+    frame = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, h int")
+    want = [(None, alone[0]), (None, alone[1]), (None, alone[2]), (7, alone[3]), (7, alone[4]), (8, alone[5]),
+            (9, alone[6]), (3, near[0]), (5, alone[7]), (6, ""), (6, None), (6, " "), (None, None), (None, "")]
+    same(ngram_join.keep_one(frame).select("doc_id", "text").collect(), want)
+    unrepeated = frame.where("text is not null and text not in ('', ' ')").dropDuplicates(["doc_id", "text"])
+    same(ngram_join.keep_one(unrepeated).select("doc_id", "text").collect(), [r for r in want if (r[1] or "").strip()])
+    copies = spark.createDataFrame([(4, " ".join(base + [x])) for x in "pqr"], "doc_id long, text string")
+    assert ngram_join.keep_one(copies).count() == 1
+
+
 def test_ngram_join_small_and_large_sets(spark):
     """Chains, a large group of near copies that differ from each other, and both sides of the boundary."""
     base = [f"t{i}" for i in range(120)]
