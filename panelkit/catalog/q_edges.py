@@ -53,6 +53,36 @@ def w6_ewm_with_nulls(spark, sf_dir):
     return scan.ewm(h, "qty", {"ema": scan.alpha_of(span=10)}, block_rows=128).select("series_id", "t", "ema")
 
 
+_NULL_KEY_SQL = ctes.PANEL + """,
+holes AS (SELECT CASE WHEN series_id <> 3 THEN series_id END AS series_id,
+                 CASE WHEN day(t) <> 7 THEN t END AS t, qty FROM panel)"""
+
+
+def _null_key(spark, sf_dir):
+    """The whole panel, with the key of series 3 and every 7th of a month's time set to NULL."""
+    return T.panel(spark, sf_dir).select(F.when(F.col("series_id") != 3, F.col("series_id")).alias("series_id"),
+                                         F.when(F.dayofmonth("t") != 7, F.col("t")).alias("t"), "qty")
+
+
+@register("w22_row_number_null_key", _NULL_KEY_SQL + """
+SELECT series_id, t, qty, CASE WHEN t IS NOT NULL THEN row_number() OVER (PARTITION BY series_id, t IS NULL ORDER BY t) - 1 END
+       AS rn FROM holes""", KEY + [("qty", 6), ("rn", "i")])
+def w22_row_number_null_key(spark, sf_dir):
+    """As w22_row_number_with_nulls, over all series."""
+    return scan.row_index(_null_key(spark, sf_dir), "series_id", "t", out="rn")
+
+
+@register("w6_ewm_null_key", G.recursive(_NULL_KEY_SQL + """,
+placed AS (SELECT coalesce(series_id, -1) AS series_id, t, CAST(qty AS DOUBLE) AS qty FROM holes WHERE t IS NOT NULL)"""
+          + G.ewm_ctes("placed", "qty", {"ema": scan.alpha_of(span=10)}) + """
+SELECT CASE WHEN series_id >= 0 THEN series_id END AS series_id, t, ema FROM ewm
+UNION ALL SELECT series_id, t, NULL FROM holes WHERE t IS NULL"""), KEY + [("ema", 6)])
+def w6_ewm_null_key(spark, sf_dir):
+    """As w6_ewm_with_nulls, over all series."""
+    h = _null_key(spark, sf_dir).withColumn("qty", F.col("qty").cast("double"))
+    return scan.ewm(h, "qty", {"ema": scan.alpha_of(span=10)}, block_rows=128).select("series_id", "t", "ema")
+
+
 @register("v1_fold_status", ctes.PANEL + """,
 c AS (SELECT series_id, count(*) AS n FROM panel GROUP BY series_id),
 f AS (SELECT series_id, n, i + 1 AS fold, n - (8 - i) * 60 - 1 AS train_hi FROM c, range(0, 8) r(i))

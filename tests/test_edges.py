@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+import __spark_entry__ as E
 from panelkit.operators import features as FE
 from panelkit.operators import order as OR
 from panelkit.operators import profile as PR
@@ -13,6 +14,7 @@ from panelkit.operators import score as S
 from panelkit.plans import pipeline as PL
 from panelkit.plans import scan
 from panelkit.plans import walkforward as WF
+from panelkit.sources import tables as T
 
 
 def test_rows_with_null_keys_and_times_stay(spark):
@@ -133,3 +135,13 @@ def test_pipeline_is_its_steps(spark, first):
     raw = pd.Series([r[3] for r in rows[:60]], dtype=float)
     u = (raw.fillna(FE.SENTINEL) if first else raw).shift(1)
     assert np.allclose(one["E1_mean_5"], u.rolling(5, 5).mean().fillna(FE.SENTINEL))
+
+
+def test_null_key_queries_keep_all_series(spark):
+    sf = "/root/testdata/sf0.01"  # series 13, 23, ... must stay
+    rows = T.panel(spark, sf).count()
+    series = T.panel(spark, sf).select("series_id").distinct().count()
+    for name in ("w22_row_number_null_key", "w6_ewm_null_key"):
+        got = E.queries()[name](spark, sf)
+        assert got.count() == rows
+        assert got.select("series_id").distinct().count() == series
