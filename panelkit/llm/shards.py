@@ -9,7 +9,8 @@ Nothing that grows with the corpus reaches the driver.  Groups are summed by a
 fixed number of cells (``cells_per_shard`` x shards, by hash of the text), so a
 cell holds whole groups; a group that is heavier than a shard's
 ``1 / split`` in any dimension leaves its cell and is cut into pieces by a hash
-of doc_id (at most 3 x split x shards such groups exist).  The driver packs
+of the row's number, which is written once with the rows, so rows that share a
+doc_id spread too (at most 3 x split x shards such groups exist).  The driver packs
 these bounded items; rows then look up their cell's or piece's shard.
 
 Defined results: null or empty text has size ``overhead`` and 0 tokens; null
@@ -88,7 +89,7 @@ def shard_plan(docs: DataFrame, shards: int = 40, cells_per_shard: int = CELLS_P
         "doc_id", (F.octet_length(text) + overhead).cast("long").alias("size"),
         F.regexp_count(text, F.lit(TOKEN_PATTERN)).cast("long").alias("tokens"),
         F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("g"),
-        F.octet_length(text).alias("n")), "shard-rows")
+        F.octet_length(text).alias("n"), F.monotonically_increasing_id().alias("at")), "shard-rows")
     sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")]
     groups = stored(rows.groupBy("g", "n").agg(*sums), "shard-groups")
     total = groups.agg(*[F.sum(c) for c in ("size", "tokens", "rows")]).first()
@@ -103,7 +104,7 @@ def shard_plan(docs: DataFrame, shards: int = 40, cells_per_shard: int = CELLS_P
     placed = (rows.join(hot, ["g", "n"], "left")
               .withColumn("cell", F.when(F.col("pieces").isNull(), cell))
               .withColumn("piece", F.when(F.col("pieces").isNotNull(),
-                                          F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("pieces")).cast("int")))
+                                          F.pmod(F.xxhash64("at", F.lit(2)), F.col("pieces")).cast("int")))
               .withColumn("hg", F.when(F.col("pieces").isNotNull(), F.col("g")))
               .withColumn("hn", F.when(F.col("pieces").isNotNull(), F.col("n"))))
     item = ["cell", "hg", "hn", "piece"]
@@ -118,7 +119,7 @@ def shard_plan(docs: DataFrame, shards: int = 40, cells_per_shard: int = CELLS_P
     plan = spark.createDataFrame(
         [(r["cell"], r["hg"], r["hn"], r["piece"], int(s), int(f)) for r, s, f in zip(got, where, first)],
         "c int, h long, m int, p int, shard int, first long")
-    w = Window.partitionBy(*item).orderBy("doc_id", "text_crc32")
+    w = Window.partitionBy(*item).orderBy("doc_id", "text_crc32", "at")
     numbered = placed.withColumn("rn", F.row_number().over(w) - 1)
     same = (F.col("cell").eqNullSafe(F.col("c")) & F.col("hg").eqNullSafe(F.col("h"))
             & F.col("hn").eqNullSafe(F.col("m")) & F.col("piece").eqNullSafe(F.col("p")))

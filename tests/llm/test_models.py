@@ -83,6 +83,17 @@ def test_shards_hot_group(spark):
     assert shards.shard_plan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_shards_repeated_rows(spark):
+    """A third of all rows is one row over and over, a sixth has neither doc_id nor text."""
+    rows = [(7, "hot text " * 9)] * 3000 + [(None, None)] * 1500
+    rows += [(10000 + i, f"text {i} " * (5 + i % 7)) for i in range(4500)]
+    got, by = _plan(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(got) == len(rows)
+    size = {s: sum(r["size"] for r in x) for s, x in by.items()}
+    assert max(size.values()) / min(size.values()) < 1.05
+    assert len({r.shard for r in got if r.doc_id == 7}) > 5
+
+
 def test_pack_balances_every_dimension():
     rng = np.random.default_rng(0)
     v = rng.lognormal(3, 1, (4000, 3))
