@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import (bpe_codec, decontaminate, line_rules, ngram_join, oracles, quality, shards, substrings,
-                          token_counts, token_files, tool_calls)
+from panelkit.llm import (bpe_codec, decontaminate, lexical, line_rules, ngram_join, oracles, periodic, pq, quality, shards,
+                          substrings, token_counts, token_files, tool_calls)
 from panelkit.llm.store import scratch
 from panelkit.sources.tables import table
 
@@ -55,8 +55,22 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(table(spark, sf_dir, "documents")).drop("n_bad_lines", "lost_chars")
 
 
+def op11_term_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.plant(table(spark, sf_dir, "documents")))
+
+
+def op13_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_substrings, op3_token_files, op4_winnowing, op5_token_counts,
-                                   op6_tool_calls, op7_quality, op8_bpe_codec, op9_shards, op10_line_rules)}
+                                   op6_tool_calls, op7_quality, op8_bpe_codec, op9_shards, op10_line_rules,
+                                   op11_term_pipeline, op12_periodic_runs, op13_pq_dedup)}
 #: the others hold a tokenizer, a fitted model or a packing, which SQL does not express; tests use brute force
 SQL: dict[str, str] = {"op1_ngram_join": oracles.OP1, "op2_substrings": oracles.OP2, "op4_winnowing": oracles.OP4,
-                       "op6_tool_calls": oracles.OP6, "op10_line_rules": oracles.OP10}
+                       "op6_tool_calls": oracles.OP6, "op10_line_rules": oracles.OP10,
+                       "op11_term_pipeline": oracles.OP11}

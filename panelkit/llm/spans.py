@@ -137,6 +137,18 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
         block = mix64(block[:m] * np.uint64(0xA0761D6478BD642F) + block[half: half + m])
 
 
+def slide(x: np.ndarray, width: int, f) -> np.ndarray:
+    """``f`` (minimum or maximum) over every ``width`` consecutive entries."""
+    n = len(x) - width + 1
+    if n <= 0:
+        return x[:0]
+    size, y = 1, x
+    while 2 * size <= width:
+        y = f(y[: len(y) - size], y[size:])
+        size *= 2
+    return f(y[:n], y[width - size: width - size + n])
+
+
 def window_ok(first: np.ndarray, n_windows: int, k: int) -> np.ndarray:
     """True for window starts whose ``k`` words lie in one text."""
     ok = np.ones(n_windows, bool)

@@ -1,9 +1,13 @@
 """Plain Python versions of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+
 SPACE = r"[^\x20\x09-\x0D]+"
 
 
@@ -94,3 +98,99 @@ def line_rules(docs):
         out.append((d, len(w), chars, len(re.findall(r"[#*$%&|<>]", t)), dup, len(rep), failed,
                     not failed and lost <= 0.5 * chars))
     return out
+
+
+def ranking(docs, items, top=10):
+    """Plain scores of the ranked search's contract."""
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or ""))
+    held = [(d, Counter(cut(t))) for d, t in docs]
+    n_docs = sum(1 for _, c in held if c)
+    total = sum(sum(c.values()) for _, c in held)
+    df = Counter(t for _, c in held for t in c)
+    wanted = defaultdict(set)
+    for i, t in items:
+        wanted[i] |= set(cut(t))
+    out = []
+    for i, terms in wanted.items():
+        got = []
+        for d, c in held:
+            n, score = sum(c.values()), 0
+            for t in terms & set(c):
+                w = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1)))
+                score += w * ((1000000000 * c[t]) // (1000 * c[t] + 8 * (10 + 90 * n * n_docs // total)))
+            if score > 0:
+                got.append((-score, d is None, d or 0, d))
+        out += [(i, r + 1, x[3], -x[0]) for r, x in enumerate(sorted(got, key=lambda x: x[:3])[:top])]
+    return out
+
+
+def planted(d, t):
+    """The words of the periodic contract."""
+    w = re.findall(SPACE, t or "")
+    h = zlib.crc32(str(d).encode()) if d is not None else 1
+    if h % 10 == 0 and w:
+        g, n = h // 10, len(w)
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        w = w[:a] + [w[a + (i - a) % p] for i in range(a, n)]
+    return w
+
+
+def runs(w):
+    """``(start, length, period)`` of all runs, by comparing every period at every place."""
+    out = {}
+    for q in range(1, len(w) // 4 + 1):
+        i = 0
+        while i + q < len(w):
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            if j + q - i >= 4 * q:
+                out.setdefault((i, j + q - i), q)  # the smallest period of a stretch comes first
+            i = j + 1
+    return sorted((s, n, q) for (s, n), q in out.items() if n >= 6)
+
+
+def periodic(docs):
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    out = []
+    for d, t in docs:
+        w = planted(d, t)
+        r = runs(w)
+        gone = {i for s, n, q in r for i in range(s + q, s + n)}
+        best = min(((-n, s, q) for s, n, q in r), default=None)
+        out.append((d, len(r), *((best[1], -best[0], best[2], -1000 * best[0] // best[2]) if best else (None,) * 4),
+                    sha("".join(f"{s},{n},{q}\n" for s, n, q in r)), sha(" ".join(x for i, x in enumerate(w) if i not in gone))))
+    return out
+
+
+def vector_links(rows, cosine=0.95):
+    """``(vec_id, n_links, component_id, kept)`` by all cosines."""
+    width = max([len(v) for _, v in rows if v] + [1])
+    unit = []
+    for _, v in rows:
+        ok = bool(v) and all(x is not None and math.isfinite(x) for x in v) and any(v)
+        x = np.zeros(width)
+        if ok:
+            x[: len(v)] = np.array(v, float) / max(map(abs, v))
+            x /= np.linalg.norm(x)
+        unit.append(x)
+    near = np.array(unit) @ np.array(unit).T >= cosine
+    np.fill_diagonal(near, False)
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in zip(*np.nonzero(near)):
+        up[root(a)] = root(b)
+    ids = defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        ids[root(i)].append(d)
+    out = []
+    for i, (d, _) in enumerate(rows):
+        low = min([x for x in ids[root(i)] if x is not None], default=None)
+        out.append((d, int(near[i].sum()), low, d == low))
+    return out
