@@ -1,16 +1,20 @@
 """Token counts with overlap resynchronisation for huge documents.
 
-A document longer than ``chunk_chars`` becomes overlapping chunks that any task
-may encode.  Both neighbours of an overlap report, from the piece offsets, the
-first and last forced boundary inside it and a checksum of the ids between.
-Where they agree the documents are spliced at the first boundary: each chunk
-counts the ids between its left and its right splice.  Where they disagree, or
-an overlap holds no boundary, the document is encoded again with an overlap
-eight times as wide, at last as one chunk.
-
-Defined results: null or empty text has 0 bytes and 0 tokens; repeated rows are
-counted row by row; null doc_id is kept; extra columns are ignored; an empty
-table gives an empty result.
+A document of more than ``chunk_bytes`` is cut into chunks that any task may
+encode, each reaching ``overlap_bytes`` into its right neighbour.  Both sides of
+an overlap report the forced boundaries strictly inside it, with the number of
+ids before each and a running checksum of the ids between them.  A boundary
+that both report is proven stable: neither the text before the right chunk nor
+that after the left one has a say in it.  The documents are spliced at the first
+such boundary, and every other common one must agree on ids and checksums.
+
+Where an overlap holds fewer than two common boundaries, or they disagree, only
+the two chunks beside it are encoded again, with an overlap eight times as wide;
+once that would exceed a chunk, the two become one.
+
+Each distinct long text is encoded once.  Defined results: null or empty text
+has 0 bytes and 0 tokens; repeated rows are counted row by row; null doc_id is
+kept; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.llm.bpe import each_slice, encoder
+from panelkit.llm.spans import mix64, text_slices
 from panelkit.llm.store import stored
 
-CHUNK_CHARS = 1 << 16
-OVERLAP_CHARS = 1 << 9
+CHUNK_BYTES = 1 << 16
+OVERLAP_BYTES = 1 << 9
 WIDER = 8
 
 
@@ -42,114 +47,138 @@ def _count(tokenizer: str):
     return run
 
 
-def _zone(enc, starts, slots, lo: int, hi: int) -> tuple[int | None, int, int]:
-    """First boundary in ``[lo, hi]``, its piece, and a checksum of the ids up to the last one."""
-    inside = np.flatnonzero((starts > lo) & (starts <= hi))
-    if len(inside) < 2:
-        return None, 0, 0
-    k, z = inside[0], inside[-1]
-    ids = b"".join(enc.flat[enc.off[s]: enc.off[s] + enc.len[s]].tobytes() for s in slots[k:z])
-    return int(starts[k]), int(k), zlib.crc32(ids + int(starts[z] - starts[k]).to_bytes(8, "little"))
+#: one chunk of a text: its bytes ``[start, stop)``, the overlaps at both ends, and once encoded the
+#: number of ids and what it reports about each overlap (places, ids before them, running checksums)
+_STATE = pa.schema([("h", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("n_text", pa.int64()),
+                    ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64()),
+                    *((f"{side}_{c}", pa.list_(pa.int64())) for side in ("l", "r") for c in ("at", "n", "sum")),
+                    ("total", pa.int64())])
+_STATE_SQL = ("h string, start long, stop long, n_text long, left long, right long, n long, l_at array<long>, "
+              "l_n array<long>, l_sum array<long>, r_at array<long>, r_n array<long>, r_sum array<long>, total long")
+_PIECE = pa.schema([*list(_STATE)[:6], ("piece", pa.binary())])
+_PIECE_SQL = "h string, start long, stop long, n_text long, left long, right long, piece binary"
 
 
-def _chunk(tokenizer: str, overlap: int):
+def _aligned(data: np.ndarray, at: int) -> int:
+    """The next place from ``at`` on where a character begins."""
+    while at < len(data) and data[at] & 0xC0 == 0x80:
+        at += 1
+    return min(at, len(data))
+
+
+def _cut(chunk: int, overlap: int):
+    """``(h, text, todo)`` -> the chunks named in ``todo``, or all of a text at first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, todo = b.column(0).to_pylist(), b.column(2).to_pylist()
+            for i, _, data, _ in text_slices(b.column(1), 1):
+                n, plan = len(data), todo[i]
+                if plan is None:
+                    cuts = [_aligned(data, c * chunk) for c in range(max(1, n // chunk))] + [n]
+                    plan = [{"start": a, "stop": z, "left": overlap, "right": overlap} for a, z in zip(cuts, cuts[1:])]
+                for p in plan:
+                    piece = data[p["start"]: _aligned(data, p["stop"] + p["right"])]
+                    row = {"h": names[i], "n_text": n, **p, "piece": piece.tobytes()}
+                    yield pa.RecordBatch.from_pylist([row], _PIECE)
+    return run
+
+
+def _zone(enc, base: int, starts, slots, before, lo: int, hi: int) -> tuple[list, list, list]:
+    """The boundaries strictly between ``lo`` and ``hi``, ids before each, and checksums between them."""
+    k = np.flatnonzero((starts > lo) & (starts < hi))
+    crc = [zlib.crc32(enc.flat[enc.off[s]: enc.off[s] + enc.len[s]].tobytes()) for s in slots[k]]
+    at = base + starts[k]
+    v = mix64(at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.array(crc, np.uint64))
+    return at.tolist(), before[k].tolist(), (np.cumsum(v) - v).view(np.int64).tolist()
+
+
+def _encode(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for b in batches:
             out = []
-            for _, _, (base, n_left, n_core, n_text, last), d, o in _rows(b):
-                # zones are bytes of this chunk; their characters begin at the
-                # chunk's start (left zone) and at n_core (right zone)
-                starts, slots, _ = enc.pieces(d, o)
-                run_ = np.append(0, np.cumsum(enc.len[slots]))
-                first, at, left, right, lcrc, rcrc = 0, 0, None, None, 0, 0
-                if base:
-                    left, first, lcrc = _zone(enc, starts, slots, 0, n_left)
-                end = len(slots)
-                if not last:
-                    right, end, rcrc = _zone(enc, starts, slots, n_core, n_text)
-                ok = (not base or left is not None) and (last or right is not None)
-                out.append((None if left is None else base + left, lcrc,
-                            None if right is None else base + right, rcrc,
-                            int(run_[end] - run_[first]) if ok else None))
-            cols = list(zip(*out)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), b.column(3),
-                 *(pa.array(c, pa.int64()) for c in cols)],
-                names=["doc_id", "h", "k", "n_chunks", "left_at", "left_crc", "right_at", "right_crc", "n"])
-
-    def _rows(b: pa.RecordBatch):
-        meta = [b.column(b.schema.get_field_index(c)).to_pylist()
-                for c in ("base", "left_bytes", "core_bytes", "text_bytes", "last")]
-        row = 0
-        for i, j, d, o in each_slice(b):
-            for r in range(i, j):
-                x = d[o[r - i]: o[r - i + 1]]
-                yield r, row, tuple(m[r] for m in meta), x, np.array([0, len(x)])
-                row += 1
+            for row in b.to_pylist():
+                data = np.frombuffer(row.pop("piece"), np.uint8)
+                starts, slots, _ = enc.pieces(data, np.array([0, len(data)]))
+                before = np.append(0, np.cumsum(enc.len[slots]))
+                core = row["stop"] - row["start"]
+                zones = {"l": (0, row["left"] if row["start"] else 0), "r": (core, len(data))}
+                for side, (lo, hi) in zones.items():
+                    row[f"{side}_at"], row[f"{side}_n"], row[f"{side}_sum"] = _zone(
+                        enc, row["start"], starts, slots, before, lo, hi)
+                row["n"] = int(before[-1])
+                out.append(row)
+            yield pa.RecordBatch.from_pylist(out, _STATE)
     return run
 
 
-def _spliced(long: DataFrame, tokenizer: str, chunk: int, overlap: int) -> DataFrame:
-    """One row per long text ``(doc_id, h, n_tokens)``; null where a splice failed."""
-    n = F.greatest(F.lit(1), F.ceil((F.col("chars") - overlap) / chunk)).cast("long")
-    part = lambda a, ln: F.col("text").substr(a, ln)
-    a = (F.col("k") * chunk + 1).cast("int")
-    rows = (long.withColumn("n_chunks", n)
-            .withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1)))
-            .withColumn("last", F.col("k") == F.col("n_chunks") - 1)
-            .withColumn("piece", F.when(F.col("last"), part(a, F.col("chars").cast("int")))
-                        .otherwise(part(a, F.lit(chunk + overlap))))
-            .select("doc_id", "h", "k", "n_chunks", F.col("piece").alias("text"),
-                    # byte positions: what stands before this chunk, its left overlap, its core
-                    (F.octet_length(part(F.lit(1), (F.col("k") * chunk).cast("int")))).cast("long").alias("base"),
-                    F.octet_length(F.substring("piece", 1, overlap)).cast("long").alias("left_bytes"),
-                    F.octet_length(F.substring("piece", 1, chunk)).cast("long").alias("core_bytes"),
-                    F.octet_length("piece").cast("long").alias("text_bytes"), "last")
-            .repartition("doc_id", "h", "k"))
-    got = rows.mapInArrow(_chunk(tokenizer, overlap),
-                          "doc_id long, h string, k long, n_chunks long, left_at long, left_crc long, "
-                          "right_at long, right_crc long, n long").dropDuplicates(["doc_id", "h", "k"])
-    # each inner splice is reported by both sides; it holds if they say the same
-    edge = F.explode(F.array(
-        F.struct(F.col("k").alias("e"), F.col("left_at").alias("at"), F.col("left_crc").alias("crc")),
-        F.struct((F.col("k") + 1).alias("e"), F.col("right_at").alias("at"), F.col("right_crc").alias("crc"))))
-    inner = (F.col("x.e") > 0) & (F.col("x.e") < F.col("n_chunks"))
-    bad = (got.select("doc_id", "h", "n_chunks", edge.alias("x")).where(inner)
-           .groupBy("doc_id", "h", "x.e")
-           .agg((F.count("x.at") < 2).alias("none"), (F.min("x.at") != F.max("x.at")).alias("off"),
-                (F.min("x.crc") != F.max("x.crc")).alias("ids"))
-           .groupBy("doc_id", "h").agg(F.max(F.col("none") | F.coalesce("off", F.lit(True)) | F.col("ids")).alias("bad")))
-    total = got.groupBy("doc_id", "h").agg(F.sum("n").alias("n"), (F.count("n") == F.max("n_chunks")).alias("all"))
-    same = total.doc_id.eqNullSafe(bad.doc_id) & (total.h == bad.h)
-    return total.join(bad, same, "left").select(
-        total.doc_id, total.h,
-        F.when(F.col("all") & ~F.coalesce("bad", F.lit(False)), F.col("n")).alias("n_tokens"))
+def _agreed(a: dict, b: dict) -> int | None:
+    """Ids of ``a`` before the splice less those of ``b`` before it; null where the two do not align."""
+    _, i, j = np.intersect1d(a["r_at"], b["l_at"], return_indices=True)
+    if len(i) < 2:
+        return None
+    n = np.array(a["r_n"])[i] - np.array(b["l_n"])[j]
+    s = np.array(a["r_sum"])[i] - np.array(b["l_sum"])[j]
+    return int(n[0]) if (n == n[0]).all() and (s == s[0]).all() else None
+
+
+def _splice(chunk: int):
+    """All chunks of one text: its total, or the chunks with those to encode again (``n`` null)."""
+    def run(t: pa.Table) -> pa.Table:
+        rows = sorted(t.to_pylist(), key=lambda r: r["start"])
+        edge = [_agreed(a, b) for a, b in zip(rows, rows[1:])]
+        if None not in edge:
+            done = {"h": rows[0]["h"], "total": sum(edge) + rows[-1]["n"]}
+            return pa.Table.from_pylist([done], _STATE)
+        out = rows[:1]
+        for e, row in zip(edge, rows[1:]):
+            prev = out[-1]
+            if e is not None:
+                out.append(row)
+                continue
+            wide = prev["right"] * WIDER
+            if wide >= chunk:
+                prev["stop"], prev["right"] = row["stop"], row["right"]
+            else:
+                prev["right"] = row["left"] = wide
+                row["n"] = None
+                out.append(row)
+            prev["n"] = None
+        return pa.Table.from_pylist(out, _STATE)
+    return run
+
+
+def long_counts(texts: DataFrame, tokenizer: str, chunk: int, overlap: int) -> tuple[DataFrame, int]:
+    """``(h, n_tokens)`` for each row of ``texts(h, text)``, and the number of rounds that took."""
+    spark, done, rounds = texts.sparkSession, None, 0
+    todo = texts.select("h", "text", F.lit(None).cast(
+        "array<struct<start: long, stop: long, left: long, right: long>>").alias("todo"))
+    kept = None
+    while True:
+        rounds += 1
+        pieces = todo.mapInArrow(_cut(chunk, overlap), _PIECE_SQL).repartition("h", "start")
+        state = pieces.mapInArrow(_encode(tokenizer), _STATE_SQL)
+        state = state if kept is None else state.unionByName(kept)
+        got = stored(state.groupBy("h").applyInArrow(_splice(chunk), _STATE_SQL), "token-counts")
+        ready = got.where("total is not null").select("h", F.col("total").alias("n_tokens"))
+        done = ready if done is None else done.unionByName(ready)
+        again = got.where("total is null")
+        if again.isEmpty():
+            return done, rounds
+        kept = again.where("n is not null")
+        plan = again.where("n is null").groupBy("h").agg(F.collect_list(F.struct("start", "stop", "left", "right")).alias("todo"))
+        todo = texts.join(plan, "h").select("h", "text", "todo")
 
 
 def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = 512,
-                 chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
+                 chunk_bytes: int = CHUNK_BYTES, overlap_bytes: int = OVERLAP_BYTES) -> DataFrame:
     """``(doc_id, n_bytes, n_tokens, over_limit)`` for each row of ``docs``."""
-    spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    chars = F.char_length("text")
-    short = (rows.where(chars <= chunk_chars)
-             .select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
+    size = F.octet_length("text").cast("long")
+    short = (rows.where(size <= chunk_bytes).select("doc_id", size.alias("n_bytes"), "text")
              .mapInArrow(_count(tokenizer), "doc_id long, n_bytes long, n_tokens long"))
-    long = rows.where(chars > chunk_chars).select("doc_id", "text", F.md5(F.col("text")).alias("h"),
-                                                  chars.cast("long").alias("chars"))
-    done, todo, overlap = None, long, min(overlap_chars, chunk_chars)
-    while True:
-        got = stored(_spliced(todo, tokenizer, max(chunk_chars, overlap), overlap), "token-counts")
-        good = got.where(F.col("n_tokens").isNotNull())
-        done = good if done is None else done.unionByName(good)
-        if got.where(F.col("n_tokens").isNull()).isEmpty():
-            break
-        overlap *= WIDER
-        left = got.where(F.col("n_tokens").isNull()).select(F.col("doc_id").alias("d"), F.col("h").alias("g"))
-        todo = long.join(left, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left_semi")
-    done = done.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "n_tokens")
-    slow = (long.select("doc_id", "h", F.octet_length("text").cast("long").alias("n_bytes"))
-            .join(done, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")))
-            .select("doc_id", "n_bytes", "n_tokens"))
+    long = rows.where(size > chunk_bytes).select("doc_id", size.alias("n_bytes"), F.md5("text").alias("h"), "text")
+    texts = stored(long.groupBy("h").agg(F.first("text").alias("text")), "long-texts")
+    counts, _ = long_counts(texts, tokenizer, chunk_bytes, min(overlap_bytes, chunk_bytes // 2))
+    slow = long.select("doc_id", "n_bytes", "h").join(counts, "h").select("doc_id", "n_bytes", "n_tokens")
     return short.unionByName(slow).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -55,11 +55,28 @@ def test_counts(docs):
     tok = library("byte_bpe_50k.json")
     n = [len(tok.encode(t, add_special_tokens=False).ids) for _, t in rows]
     want = sorted(((d, len(t.encode()), k, k > 512) for (d, t), k in zip(rows, n)), key=key)
-    for chunk, overlap in ((1 << 16, 1 << 9), (700, 8)):  # short overlaps fail and are widened
-        got = token_counts.token_counts(frame, chunk_chars=chunk, overlap_chars=overlap)
+    for chunk, overlap in ((1 << 16, 1 << 9), (700, 8), (60, 30)):  # short overlaps fail and are widened
+        got = token_counts.token_counts(frame, chunk_bytes=chunk, overlap_bytes=overlap)
         assert sorted(map(tuple, got.collect()), key=key) == want
 
 
+def test_huge_text_splices_in_one_round(spark):
+    """Millions of characters align at the first try; a text without boundaries becomes one chunk."""
+    tok = library("byte_bpe_50k.json")
+    texts = [r.text for r in table(spark, "/root/testdata/sf0.1", "documents").where("length(text) > 1500").orderBy("doc_id").limit(2500).collect()]
+    huge = "\n".join(texts)[:5_000_000]
+    assert len(huge) > 3_000_000
+    n = len(tok.encode(huge, add_special_tokens=False).ids)
+    frame = spark.createDataFrame([("a", huge)], "h string, text string")
+    for overlap in (512, 4096, 32768):
+        got, rounds = token_counts.long_counts(frame, "byte_bpe_50k.json", 1 << 16, overlap)
+        assert (rounds, [tuple(r) for r in got.collect()]) == (1, [("a", n)])
+    odd = [("b", "é" * 40_000 + huge[:90_000] + "<|endoftext|>" * 9000 + huge[:200_000]), ("c", "x" * 90_000), ("d", huge[:1])]
+    odd = [(h, t, len(tok.encode(t, add_special_tokens=False).ids)) for h, t in odd]
+    got, rounds = token_counts.long_counts(spark.createDataFrame([x[:2] for x in odd], frame.schema), "byte_bpe_50k.json", 1 << 13, 64)
+    assert sorted(map(tuple, got.collect())) == [(h, n) for h, _, n in odd] and rounds > 2
+
+
 def test_codec(docs):
     frame, rows = docs
     tok = library("word_bpe_49k.json")
