@@ -11,15 +11,22 @@ folder), so the passes below read a bucket's texts without another shuffle.
    recurring cannot recur.
 2. *Confirm.*  The windows over recurring phrases are counted likewise, by an
    80-bit hash.  What recurs comes back to the buckets that hold it.
-3. *Locate.*  Each bucket cuts the recurring passages (runs of windows, each
-   taken where the bucket meets it first) into phrases, half a window long, so
-   that each window holds one whole phrase.  They are compiled into the
-   bucket's Aho-Corasick automaton, and every text is streamed through it; the
-   windows around each occurrence that recur cover their words.
+3. *Locate.*  Each bucket cuts the confirmed passages (runs of recurring windows,
+   each window taken where the bucket meets it first) into phrases, half a
+   window long, so that each window holds one whole phrase.  They are dealt by
+   passage to shards and compiled into Aho-Corasick automata; every text of the
+   bucket is streamed through all shards.  An automaton names the phrase it
+   met, the words around are compared with those of the passage, and what agrees
+   over a window or more is covered.  Nothing else marks words: the windows'
+   hashes choose the passages, the automata find where they occur.
 
 Only hashes are grouped across buckets, once per bucket however many copies
 there are, so no passage or group of copies gathers in one task.
 
+Texts are dealt by the row's number in its input partition, so repeated rows
+spread like others; ``docs`` must read its rows in a stable order (files or a
+table, as everywhere in this library).
+
 Defined results: null and empty texts have no words; texts of fewer than
 ``span`` words lose nothing; repeated rows are copies of each other; null doc_id
 is kept; extra columns are ignored by ``removals`` and kept by ``remove``; an
@@ -37,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm.spans import Words, mix64, text_slices, windows
+from panelkit.llm.spans import Words, mix64, ragged, slide, text_slices, windows
 from panelkit.llm.store import scratch
 
 SPAN = 35
@@ -48,6 +55,8 @@ EVEN_BUCKETS = 2048
 MAX_FILES = 100_000
 RANGES = 256
 RANGE_BYTES = 128 << 20
+SHARD_PHRASES = 1 << 15
+PAIRS = 1 << 20
 _DIGIT = 32
 
 _PARTS = pa.schema([("part", pa.int32()), ("_bucket", pa.int32()), ("tok", pa.binary()), ("chk", pa.binary()),
@@ -57,30 +66,30 @@ _BACK = pa.schema([("_bucket", pa.int32()), ("tok", pa.binary()), ("chk", pa.bin
 _BACK_SQL = "_bucket int, tok binary, chk binary"
 
 
-def bucketed(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
-    """``docs`` with ``_bucket``, written as a table bucketed by it (one file per
-    bucket, or per some buckets where there are very many), and the number of
-    token ranges to use with it."""
-    spark = docs.sparkSession
-    docs = docs.drop("_bucket")
+def bucketed(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, str, int]:
+    """``docs`` with a bucket column, written as a table bucketed by it (one file
+    per bucket, or per some buckets where there are very many), that column's
+    name (no column of ``docs`` has it), and the number of token ranges to use."""
+    spark, name = docs.sparkSession, uuid.uuid4().hex
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(MIN_BUCKETS, size // bucket_bytes + 1)
+    row = F.xxhash64(F.monotonically_increasing_id())
     if groups <= EVEN_BUCKETS:
         # one bucket number per hash partition, so that every file gets one bucket
         files = groups
         place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(files))
         names = [r.b for r in spark.range(16 * files).groupBy(place.alias("p"))
                  .agg(F.min("id").cast("int").alias("b")).orderBy("p").collect()]
-        key = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(len(names))).cast("int")
-        bucket = F.get(F.array(*map(F.lit, names)), key)
+        bucket = F.get(F.array(*map(F.lit, names)), F.pmod(row, F.lit(len(names))).cast("int"))
     else:  # many buckets to a file even out by themselves
         files = min(MAX_FILES, max(EVEN_BUCKETS, groups // 16))
-        bucket = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(groups)).cast("int")
-    rows = docs.withColumn("_bucket", bucket)
-    table, path = f"texts_{uuid.uuid4().hex}", scratch(spark, "texts")
-    (rows.repartition(files, "_bucket").write.bucketBy(files, "_bucket").option("path", path).format("parquet")
-     .saveAsTable(table))
-    return spark.table(table), max(RANGES, size // RANGE_BYTES)
+        bucket = F.pmod(row, F.lit(groups)).cast("int")
+    key, table, path = f"bucket_{name}", f"texts_{name}", scratch(spark, "texts")
+    (docs.withColumn(key, bucket).repartition(files, key).write.bucketBy(files, key).option("path", path)
+     .format("parquet").saveAsTable(table))
+    texts = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the catalog's entry; the files stay, and ``texts`` reads them
+    return texts, key, max(RANGES, size // RANGE_BYTES)
 
 
 def _texts(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -100,22 +109,10 @@ class _Bucket:
         self.ok = doc[:n] == doc[span - 1: span - 1 + n]
 
 
-def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
-    """``f`` (minimum or maximum) over every ``width`` consecutive entries."""
-    n = len(x) - width + 1
-    if n <= 0:
-        return x[:0]
-    size, y = 1, x
-    while 2 * size <= width:
-        y = f(y[: len(y) - size], y[size:])
-        size *= 2
-    return f(y[:n], y[width - size: width - size + n])
-
-
 def _lowest(b: _Bucket, span: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Phrase hashes, and the winnowed phrase of each window (0 across texts)."""
     phrase = windows(b.h, gram) | np.uint64(1)
-    low = _slide(phrase, span - gram + 1, np.minimum)
+    low = slide(phrase, span - gram + 1, np.minimum)
     return phrase, np.where(b.ok, low, np.uint64(0))
 
 
@@ -147,7 +144,7 @@ def _phrases(span: int, gram: int, ranges: int):
         b = _Bucket(t, span)
         phrase, low = _lowest(b, span, gram)
         reach = span - gram + 1
-        best = _slide(np.pad(low, (reach - 1, reach - 1)), reach, np.maximum)[: len(phrase)]
+        best = slide(np.pad(low, (reach - 1, reach - 1)), reach, np.maximum)[: len(phrase)]
         tok = phrase[: len(best)][best == phrase[: len(best)]]
         return _ship(t.column("_bucket")[0].as_py(), tok, np.zeros(len(tok), np.uint16), ranges)
     return run
@@ -211,50 +208,99 @@ def _codes(h: np.ndarray) -> tuple[str, int]:
     return digits.tobytes().decode("ascii"), width
 
 
-def covered_words(b: _Bucket, tok: np.ndarray, chk: np.ndarray, span: int) -> np.ndarray:
-    """True for the words of the bucket inside a recurring window."""
-    import ahocorasick
-    out = np.zeros(len(b.h), bool)
-    if not len(tok) or not b.ok.any():
-        return out
+def _passages(b: _Bucket, tok: np.ndarray, chk: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-last words of the passages: recurring windows at their first
+    place in the bucket, joined where they are neighbours."""
     key = _key(windows(b.h, span), _check(b, span))
     known = np.sort(_key(tok, chk))
     valid = np.flatnonzero(b.ok)
     place = np.minimum(np.searchsorted(known, key[valid]), len(known) - 1)
-    recurs = np.zeros(len(key), bool)
-    recurs[valid[known[place] == key[valid]]] = True
-    # passages: windows at their first place in the bucket, joined where they are neighbours
-    at = np.flatnonzero(recurs)
+    at = valid[known[place] == key[valid]]
     first = np.sort(at[np.unique(key[at], return_index=True)[1]])
     doc = b.words.doc_of_word()
     split = np.flatnonzero((np.diff(first) > 1) | (doc[first[1:]] != doc[first[:-1]])) + 1
+    lo = first[np.append(0, split)] if len(first) else first
+    return lo, first[np.append(split, len(first)) - 1] + span if len(first) else first
+
+
+class _Shard:
+    """The automaton of some passages' phrases; a phrase's number leads to its places."""
+
+    def __init__(self, text: str, width: int, size: int, place: np.ndarray):
+        import ahocorasick
+        self.size, self.width, self.auto = size, width, ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        number: dict[str, int] = {}
+        ids = [number.setdefault(text[p * width: (p + size) * width], len(number)) for p in place.tolist()]
+        for phrase, i in number.items():
+            self.auto.add_word(phrase, i)
+        self.auto.make_automaton()
+        order = np.argsort(ids, kind="stable")
+        self.place = place[order]  # of each phrase, one after another
+        self.first = np.searchsorted(np.array(ids, np.int64)[order], np.arange(len(number) + 1))
+
+    def meet(self, text: str, lo: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Where the phrases occur in a text that starts at word ``lo``: (word there, word in the passage).
+        Ends that are not on a word's last character are no words."""
+        got = [(e, i) for e, i in self.auto.iter(text) if (e + 1) % self.width == 0]
+        if not got:
+            return
+        end, i = np.array(got, np.int64).T
+        word = lo + (end + 1) // self.width - self.size
+        n = self.first[i + 1] - self.first[i]
+        a = 0
+        while a < len(word):  # a phrase may stand in many passages: some pairs at a time
+            z = max(a + 1, a + int(np.searchsorted(np.cumsum(n[a:]), PAIRS, "right")))
+            yield np.repeat(word[a:z], n[a:z]), self.place[ragged(self.first[i[a:z]], n[a:z])]
+            a = z
+
+
+def covered_words(b: _Bucket, tok: np.ndarray, chk: np.ndarray, span: int) -> np.ndarray:
+    """True for the words of the bucket inside an occurrence of a confirmed window."""
+    out = np.zeros(len(b.h), bool)
+    if not len(tok) or not b.ok.any():
+        return out
+    start, stop = _passages(b, tok, chk, span)
     half = (span + 1) // 2
+    count = (stop - start) // half
+    place = np.repeat(start, count) + half * ragged(np.zeros(len(count), np.int64), count)
+    own = np.repeat(np.arange(len(count)), count)  # the passage of each phrase
     text, width = _codes(b.h)
-    auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    edge = np.concatenate([[0], split, [len(first)]])
-    for a, z in zip(edge[:-1].tolist(), edge[1:].tolist()):
-        lo, hi = int(first[a]), int(first[z - 1]) + span
-        for s in range(lo, hi - half + 1, half):
-            auto.add_word(text[s * width: (s + half) * width])
-    auto.make_automaton()
-    # every text streams through; ends that are not on a word's last character are no words
-    near = np.zeros(len(key) + 1, np.int64)
+    mark = np.zeros(len(b.h) + 1, np.int64)
     bounds = b.words.first.tolist()
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
-        if hi - lo < span:
+    shards = np.append(np.searchsorted(np.cumsum(count), np.arange(0, max(len(place), 1), SHARD_PHRASES), "right"), len(count))
+    for s, e in zip(shards[:-1].tolist(), shards[1:].tolist()):
+        mine = place[(own >= s) & (own < e)]
+        if not len(mine):
             continue
-        ends = [e for e, _ in auto.iter(text[lo * width: hi * width]) if (e + 1) % width == 0]
-        if ends:
-            p = lo + (np.array(ends, np.int64) + 1) // width - half
-            np.add.at(near, np.maximum(p - (span - half), lo), 1)
-            np.add.at(near, np.minimum(p, len(key) - 1) + 1, -1)
-    hit = np.flatnonzero((np.cumsum(near[:-1]) > 0) & recurs)
-    mark = np.zeros(len(b.h) + 1, np.int64)
-    np.add.at(mark, hit, 1)
-    np.add.at(mark, hit + span, -1)
+        shard = _Shard(text, width, half, mine)
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            if hi - lo < span:
+                continue
+            for word, spot in shard.meet(text[lo * width: hi * width], lo):
+                # how far the words before and after the phrase agree with the passage's
+                p = np.searchsorted(start, spot, "right") - 1
+                left = _agree(b.h, word, spot, -1, np.minimum(word - lo, spot - start[p]), span - half)
+                right = _agree(b.h, word + half - 1, spot + half - 1, 1,
+                               np.minimum(hi - half - word, stop[p] - half - spot), span - half)
+                full = left + half + right >= span
+                np.add.at(mark, (word - left)[full], 1)
+                np.add.at(mark, (word + half + right)[full], -1)
     return np.cumsum(mark[:-1]) > 0
 
 
+def _agree(h: np.ndarray, a: np.ndarray, b: np.ndarray, step: int, room: np.ndarray, most: int) -> np.ndarray:
+    """How many words next to ``a`` equal those next to ``b``, going by ``step``, up to ``room`` and ``most``."""
+    n = np.zeros(len(a), np.int64)
+    live = np.arange(len(a))
+    for k in range(1, most + 1):
+        live = live[room[live] >= k]
+        live = live[h[a[live] + step * k] == h[b[live] + step * k]]
+        if not len(live):
+            break
+        n[live] = k
+    return n
+
+
 def _kept(b: _Bucket, gone: np.ndarray) -> Iterator[bytes]:
     """The kept words of each text, joined by one space."""
     w = b.words
@@ -304,9 +350,9 @@ def _rewrite(span: int, columns: list[str], lengths: str | None):
     return run
 
 
-def _found(texts: DataFrame, ranges: int, span: int, gram: int) -> DataFrame:
+def _found(texts: DataFrame, key: str, ranges: int, span: int, gram: int) -> DataFrame:
     """``(_bucket, tok, chk)``: the recurring windows of each bucket."""
-    small = texts.select("_bucket", "text").groupBy("_bucket")
+    small = texts.select(F.col(key).alias("_bucket"), "text").groupBy("_bucket")
     phrases = (small.applyInArrow(_phrases(span, gram, ranges), _PARTS_SQL)
                .groupBy("part").applyInArrow(_recurring, _BACK_SQL))
     return (small.cogroup(phrases.groupBy("_bucket")).applyInArrow(_windows(span, gram, ranges), _PARTS_SQL)
@@ -315,8 +361,8 @@ def _found(texts: DataFrame, ranges: int, span: int, gram: int) -> DataFrame:
 
 def removals(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256)`` for each row of ``docs``."""
-    texts, ranges = bucketed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    return texts.groupBy("_bucket").cogroup(_found(texts, ranges, span, gram).groupBy("_bucket")).applyInArrow(
+    texts, key, ranges = bucketed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    return texts.groupBy(key).cogroup(_found(texts, key, ranges, span, gram).groupBy("_bucket")).applyInArrow(
         _digest(span), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -325,6 +371,6 @@ def remove(docs: DataFrame, span: int = SPAN, gram: int = GRAM, lengths: str | N
     loses words becomes its kept words joined by one space (and ``lengths``, if
     there is such a column, its new length); one that keeps none is dropped;
     other rows stay as they are."""
-    texts, ranges = bucketed(docs)
-    return texts.groupBy("_bucket").cogroup(_found(texts, ranges, span, gram).groupBy("_bucket")).applyInArrow(
+    texts, key, ranges = bucketed(docs)
+    return texts.groupBy(key).cogroup(_found(texts, key, ranges, span, gram).groupBy("_bucket")).applyInArrow(
         _rewrite(span, docs.columns, lengths), docs.schema)

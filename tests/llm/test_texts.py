@@ -96,6 +96,71 @@ def test_substrings_across_places(spark):
     same(substrings.removals(frame).collect(), brute.removals(rows))
 
 
+class _Broken:
+    """Stands in for the library's automaton."""
+
+    def __init__(self, _):
+        pass
+
+    def add_word(self, *_):
+        pass
+
+    def make_automaton(self):
+        pass
+
+
+class _Silent(_Broken):
+    def iter(self, text):
+        return iter(())
+
+
+class _Everywhere(_Broken):
+    def iter(self, text):
+        return ((e, 0) for e in range(len(text)) if e >= 80)
+
+
+def test_substrings_come_from_the_automata(monkeypatch):
+    """What the automata report decides which words go; shards of any size report the same."""
+    import ahocorasick
+    import numpy as np
+    p = [f"p{i}" for i in range(200)]
+    texts = [" ".join(["a"] * 3 + p), " ".join(p[20:140] + ["b"] * 40 + p[:60]), " ".join(["c", "d"] * 50), "e " * 20]
+    data = np.frombuffer("".join(t + " " for t in texts).encode(), np.uint8)
+    b = substrings._Bucket.__new__(substrings._Bucket)
+    b.words = substrings.Words(data, np.append(0, np.cumsum([len(t) + 1 for t in texts])))
+    b.h = b.words.hashes()
+    doc = b.words.doc_of_word()
+    b.ok = doc[: len(b.h) - 34] == doc[34:]
+    key = substrings.windows(b.h, 35)
+    _, n = np.unique(key, return_counts=True)
+    twice = np.unique(key)[n > 1]
+    at = np.flatnonzero(b.ok & np.isin(key, twice))
+    found = key[at], substrings._check(b, 35)[at]
+    got = substrings.covered_words(b, *found, 35)
+    want = [x for (_, w, _, _), t in zip(brute.removals(list(enumerate(texts))), texts) for x in [w]]
+    assert len(want) == len(texts) and got.sum() == sum(k for _, _, k, _ in brute.removals(list(enumerate(texts))))
+    monkeypatch.setattr(substrings, "SHARD_PHRASES", 2)
+    monkeypatch.setattr(substrings, "PAIRS", 3)
+    assert (substrings.covered_words(b, *found, 35) == got).all()
+    monkeypatch.setattr(ahocorasick, "Automaton", _Silent)
+    assert not substrings.covered_words(b, *found, 35).any()
+    monkeypatch.setattr(ahocorasick, "Automaton", _Everywhere)
+    assert (substrings.covered_words(b, *found, 35) != got).any()
+
+
+def test_substrings_spread_repeated_rows(spark):
+    """A third of all rows are one row: it fills no bucket; columns may carry any name."""
+    rows = [(7, "same text " * 40, "k", 1) for _ in range(400)] + [(i, f"other {i}", "k", 1) for i in range(800)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _bucket string, part int")
+    texts, key, _ = substrings.bucketed(frame)
+    size = [r["count"] for r in texts.where("doc_id = 7 and length(text) > 100").groupBy(key).count().collect()]
+    assert len(size) >= 20 and max(size) <= 50
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("texts_")]
+    out = substrings.remove(frame)
+    assert out.columns == frame.columns and out.count() == 800
+    same(substrings.removals(frame).collect(), brute.removals([r[:2] for r in rows]))
+
+
 def test_decontamination(spark, docs):
     frame, rows = docs
     items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
@@ -128,4 +193,4 @@ def test_empty(spark, run):
 
 def test_twins_name_registered_queries():
     assert set(registry.SQL) <= set(registry.QUERIES)
-    assert oracles.OP1 and len(registry.QUERIES) == 10
+    assert oracles.OP1 and len(registry.QUERIES) == 13
