@@ -76,10 +76,8 @@ g AS (SELECT *, MOM_ema_fast - MOM_ema_slow AS MOM_ema_diff,
 p1 AS (SELECT series_id, t, y, s, forward_returns, risk_free_rate, {filled} FROM g)""")
 
 
-def _p1_spark(spark, sf_dir):
-    p = FE.target_log(T.panel(spark, sf_dir)).select(
-        "series_id", "t", "forward_returns", "risk_free_rate", "log_market_forward_excess_returns")
-    return FE.momentum(p)
+def _target(spark, sf_dir):
+    return FE.target_log(T.panel(spark, sf_dir)).select("series_id", "t", "log_market_forward_excess_returns")
 
 
 @register("p1_momentum",
@@ -87,7 +85,7 @@ def _p1_spark(spark, sf_dir):
           KEY + [(n, _digits(n)) for n in FE.momentum_names()])
 def p1_momentum(spark, sf_dir):
     """37 momentum columns of the log target, shifted by one row, NULL -> -9999."""
-    return _p1_spark(spark, sf_dir).select("series_id", "t", *FE.momentum_names())
+    return FE.momentum(_target(spark, sf_dir)).select("series_id", "t", *FE.momentum_names())
 
 
 def _p2_sql(first_fill: float) -> str:
@@ -113,15 +111,13 @@ _P2_OUT = KEY + [(n, "i") for n in FE.volatility_names()[:3]] + [(n, _digits(n))
 @register("p2_volatility_faithful", G.recursive(_p2_sql(-9999.0)), _P2_OUT)
 def p2_volatility_faithful(spark, sf_dir):
     """Regime indicators with the reference's -9999 first fill of the wealth curve."""
-    return FE.volatility(_p1_spark(spark, sf_dir), first_fill=FE.SENTINEL).select(
-        "series_id", "t", *FE.volatility_names())
+    return FE.momentum_volatility(_target(spark, sf_dir)).select("series_id", "t", *FE.volatility_names())
 
 
 @register("p2_volatility_corrected", G.recursive(_p2_sql(0.0)), _P2_OUT)
 def p2_volatility_corrected(spark, sf_dir):
     """Regime indicators with the wealth curve starting at 1 (first fill 0)."""
-    return FE.volatility(_p1_spark(spark, sf_dir), first_fill=0.0).select(
-        "series_id", "t", *FE.volatility_names())
+    return FE.momentum_volatility(_target(spark, sf_dir), first_fill=0.0).select("series_id", "t", *FE.volatility_names())
 
 
 @register("b10_target_log",

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelkit.catalog import ctes
 from panelkit.catalog import sqlgen as G
 from panelkit.catalog.spec import register
-from panelkit.functions.compat import clip, finite, flag
+from panelkit.functions.compat import flag, safe_div
 from panelkit.operators import rolling as R
+from panelkit.operators.quantiles import median
+from panelkit.plans import scan
 from panelkit.sources import tables as T
 
 WINDOWS = [5, 10, 21, 63, 126, 252]
@@ -52,13 +53,8 @@ for _id, _stat, _sql in [("w2_rolling_mean", "mean", "avg"), ("w3_rolling_std",
           KEY + [(f"e1_{s}_{k}", 6) for k in (21, 63) for s in ("mean", "std")])
 def w2_rolling_min_periods(spark, sf_dir):
     """Rolling mean/std with min_periods=5 over a column with scattered gaps."""
-    g = T.panel_gaps(spark, sf_dir)
-    w = R.series_window()
-    cols = {}
-    for k in (21, 63):
-        cols[f"e1_mean_{k}"] = R.roll_mean("E1", k, w, 5)
-        cols[f"e1_std_{k}"] = R.roll_std("E1", k, w, 5)
-    return g.select("series_id", "t", *[v.alias(n) for n, v in cols.items()])
+    g = T.panel_gaps(spark, sf_dir).select("series_id", "t", "E1")
+    return R.rolling(g, "E1", (21, 63), ("mean", "std"), 5, prefix="e1").drop("E1")
 
 
 @register("w5_rate_of_change",
@@ -79,11 +75,8 @@ SELECT series_id, t, {G.sdiv(G.roll('stddev_samp', 'forward_returns', 21), G.rol
 FROM panel""", KEY + [("std_21_252_ratio", 6)])
 def w9_vol_ratio(spark, sf_dir):
     p = T.panel(spark, sf_dir)
-    w = R.series_window()
-    s = p.select("series_id", "t", R.roll_std("forward_returns", 21, w).alias("s21"),
-                 R.roll_std("forward_returns", 252, w).alias("s252"))
-    from panelkit.functions.compat import safe_div
-    return s.select("series_id", "t", safe_div("s21", "s252").alias("std_21_252_ratio"))
+    s = R.rolling(p.select("series_id", "t", "forward_returns"), "forward_returns", (21, 252), ("std",), prefix="s")
+    return s.select("series_id", "t", safe_div("s_std_21", "s_std_252").alias("std_21_252_ratio"))
 
 
 @register("w10_pct_change",
@@ -101,8 +94,7 @@ SELECT series_id, t, product(1 + forward_returns) OVER {G.win()} AS wealth FROM
           KEY + [("wealth", 6)])
 def w11_cumprod(spark, sf_dir):
     p = T.panel(spark, sf_dir)
-    return p.select("series_id", "t",
-                    R.cumprod(1 + F.col("forward_returns"), R.series_window()).alias("wealth"))
+    return scan.carry(p, {"wealth": ("product", 1 + F.col("forward_returns"))}).select("series_id", "t", "wealth")
 
 
 @register("w12_drawdown",
@@ -114,10 +106,9 @@ SELECT series_id, t, wealth, peak, wealth / peak - 1 AS drawdown,
 FROM dd""", KEY + [("wealth", 6), ("peak", 6), ("drawdown", 6), ("max_drawdown", 6)])
 def w12_drawdown(spark, sf_dir):
     p = T.panel(spark, sf_dir)
-    w = R.series_window()
-    e = p.select("series_id", "t", R.cumprod(1 + F.col("forward_returns"), w).alias("wealth"))
-    e = e.withColumn("peak", R.cummax("wealth", w)).withColumn("drawdown", R.drawdown("wealth", w))
-    return e.withColumn("max_drawdown", F.min("drawdown").over(Window.partitionBy("series_id")))
+    e = scan.carry(p.select("series_id", "t", "forward_returns"), {"wealth": ("product", 1 + F.col("forward_returns"))},
+                   {"peak": ("max", "wealth")}).withColumn("drawdown", safe_div("wealth", "peak") - 1)
+    return R.attach(e, e.groupBy("series_id").agg(F.min("drawdown").alias("max_drawdown")), "series_id")
 
 
 @register("w13_turnover",
@@ -143,9 +134,9 @@ SELECT series_id, t, CASE WHEN mkt > {G.roll('avg', 'mkt', 200)} THEN 1 ELSE 0 E
 def w14_trend_regime(spark, sf_dir):
     """Wealth curve above its 200-row moving average (NULL -> 0)."""
     p = T.panel(spark, sf_dir)
-    w = R.series_window()
-    m = p.select("series_id", "t", R.cumprod(1 + F.col("forward_returns"), w).alias("mkt"))
-    return m.select("series_id", "t", flag(F.col("mkt") > R.roll_mean("mkt", 200, w)).alias("bull"))
+    m = scan.carry(p.select("series_id", "t", "forward_returns"), {"mkt": ("product", 1 + F.col("forward_returns"))})
+    m = scan.series_pass(m, {"sma": scan.Stat("mean", "mkt", 200)})
+    return m.select("series_id", "t", flag(F.col("mkt") > F.col("sma")).alias("bull"))
 
 
 @register("w15_shock_zscore",
@@ -158,11 +149,8 @@ SELECT series_id, t, {G.sdiv('x', 'sd')} AS z,
 def w15_shock_zscore(spark, sf_dir):
     """z = x / std21(lag x); shock = |z| > 2.5 (std 0 with x != 0 counts as a shock)."""
     p = T.panel(spark, sf_dir)
-    w = R.series_window()
-    s = p.select("series_id", "t", F.col("forward_returns").alias("x"),
-                 R.lag("forward_returns", 1, w).alias("x1"))
-    s = s.withColumn("sd", R.roll_std("x1", 21, w))
-    from panelkit.functions.compat import safe_div
+    s = scan.series_pass(p.select("series_id", "t", F.col("forward_returns").alias("x")),
+                         {"sd": scan.Stat("std", "x", 21, shift=1)})
     return s.select("series_id", "t", safe_div("x", "sd").alias("z"),
                     flag(F.abs("x") > 2.5 * F.col("sd")).alias("shock"))
 
@@ -176,10 +164,9 @@ def w15_shock_zscore(spark, sf_dir):
               for c in ("P1", "E1", "M1")) + " FROM panel_gaps",
           KEY + [("p1_filled", 6), ("e1_filled", 6), ("m1_filled", 6)])
 def w16_bfill_ffill(spark, sf_dir):
-    g = T.panel_gaps(spark, sf_dir)
-    w = R.series_window()
-    return g.select("series_id", "t", *[R.bfill_ffill(c, w).alias(f"{c.lower()}_filled")
-                                        for c in ("P1", "E1", "M1")])
+    g, names = T.panel_gaps(spark, sf_dir), ("P1", "E1", "M1")
+    f = scan.carry(g, {f"{k}_{c}": (k, c) for c in names for k in ("next", "last")})
+    return f.select("series_id", "t", *[F.coalesce(f"next_{c}", f"last_{c}").alias(f"{c.lower()}_filled") for c in names])
 
 
 _ERR = ctes.PANEL + ctes.SCORES + """,
@@ -194,7 +181,7 @@ SELECT series_id, t,
 FROM e""", KEY + [("roll_corr", 6)])
 def w17_rolling_corr(spark, sf_dir):
     e = _err(spark, sf_dir)
-    return e.select("series_id", "t", R.roll_corr("y", "yhat", 126, R.series_window()).alias("roll_corr"))
+    return scan.series_pass(e, {"roll_corr": scan.Stat("corr", "y", 126, other="yhat")}).drop("y", "yhat")
 
 
 def _err(spark, sf_dir):
@@ -209,8 +196,8 @@ SELECT series_id, t, sqrt({G.roll('avg', '(y - yhat) * (y - yhat)', 126)}) AS ro
           KEY + [("roll_rmse", 8)])
 def w18_rolling_rmse(spark, sf_dir):
     e = _err(spark, sf_dir)
-    return e.select("series_id", "t",
-                    R.roll_rmse(F.col("y") - F.col("yhat"), 126, R.series_window()).alias("roll_rmse"))
+    e = e.withColumn("e2", F.pow(F.col("y") - F.col("yhat"), 2))
+    return scan.series_pass(e, {"mse": scan.Stat("mean", "e2", 126)}).select("series_id", "t", F.sqrt("mse").alias("roll_rmse"))
 
 
 @register("w19_directional_accuracy",
@@ -221,7 +208,7 @@ SELECT series_id, t, {G.roll('avg', 'hit', 252)} AS rolling_acc FROM h""",
 def w19_directional_accuracy(spark, sf_dir):
     e = _err(spark, sf_dir)
     h = e.withColumn("hit", R.directional_hit("y", "yhat"))
-    return h.select("series_id", "t", R.roll_mean("hit", 252, R.series_window()).alias("rolling_acc"))
+    return scan.series_pass(h, {"rolling_acc": scan.Stat("mean", "hit", 252)}).select("series_id", "t", "rolling_acc")
 
 
 @register("w20_smoothed",
@@ -230,9 +217,7 @@ SELECT series_id, t, {G.roll('avg', 'y', 21)} AS y_ma21, {G.roll('avg', 'yhat',
           KEY + [("y_ma21", 8), ("yhat_ma21", 8)])
 def w20_smoothed(spark, sf_dir):
     e = _err(spark, sf_dir)
-    w = R.series_window()
-    return e.select("series_id", "t", R.roll_mean("y", 21, w).alias("y_ma21"),
-                    R.roll_mean("yhat", 21, w).alias("yhat_ma21"))
+    return scan.series_pass(e, {f"{c}_ma21": scan.Stat("mean", c, 21) for c in ("y", "yhat")}).drop("y", "yhat")
 
 
 @register("w22_row_number",
@@ -257,14 +242,11 @@ FROM x JOIN m USING (series_id) JOIN d USING (series_id)""",
           KEY + [("target", 8)])
 def w23_winsorised_excess(spark, sf_dir):
     """Return minus its trailing 5-year mean, clipped to median +- 4 MAD per series."""
-    p = T.panel(spark, sf_dir)
-    w = R.series_window()
-    x = p.select("series_id", "t",
-                 (F.col("forward_returns") - R.roll_mean("forward_returns", 1260, w, 1)).alias("ex"))
-    m = x.groupBy("series_id").agg(F.median("ex").alias("med"))
-    d = x.join(m, "series_id").groupBy("series_id").agg(
-        F.median(F.abs(F.col("ex") - F.col("med"))).alias("mad"))
-    j = x.join(m, "series_id").join(d, "series_id")
+    p = scan.series_pass(T.panel(spark, sf_dir).select("series_id", "t", "forward_returns"),
+                         {"mean": scan.Stat("mean", "forward_returns", 1260, 1)})
+    x = p.select("series_id", "t", (F.col("forward_returns") - F.col("mean")).alias("ex"))
+    x = R.attach(x, median(x, "ex", "series_id", "med"), "series_id").withColumn("off", F.abs(F.col("ex") - F.col("med")))
+    x = R.attach(x, median(x, "off", "series_id", "mad"), "series_id")
     lo, hi = F.col("med") - 4 * F.col("mad"), F.col("med") + 4 * F.col("mad")
     tgt = F.when(F.col("ex").isNull(), None).otherwise(F.least(F.greatest("ex", lo), hi))
-    return j.select("series_id", "t", tgt.alias("target"))
+    return x.select("series_id", "t", tgt.alias("target"))

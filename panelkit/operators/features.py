@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from panelkit.functions.compat import finite, flag, safe_div, sentinel, log1p
 from panelkit.operators import rolling as R
+from panelkit.operators.quantiles import exact_quantiles
 from panelkit.operators.rolling import Keys, _keys
 from panelkit.plans import scan
 
@@ -28,6 +29,7 @@ SENTINEL = -9999.0
 WINDOWS = (5, 10, 21, 63, 126, 252)
 LAGS = (1, 2, 3, 5, 10, 21, 63, 126)
 EMA_SPANS = {"ema_fast": 10, "ema_slow": 50}
+_EMA_ALPHAS = {n: scan.alpha_of(span=s) for n, s in EMA_SPANS.items()}
 EXCLUDED = ("date", "date_id", "forward_returns", "risk_free_rate",
             "market_forward_excess_returns", "log_market_forward_excess_returns")
 HIGHVOL_RATIO = 1.2
@@ -62,37 +64,22 @@ def category_catalogue(df_long: DataFrame, feature: str = "feature") -> DataFram
             .agg(F.sort_array(F.collect_list(feature)).alias("features")))
 
 
-def _ewm_cols(df: DataFrame, value: str, prefix: str, keys: Keys, order: str,
-              rn: str | None, block_rows: int) -> DataFrame:
-    alphas = {f"{prefix}_{n}": scan.alpha_of(span=s) for n, s in EMA_SPANS.items()}
-    return scan.ewm(df, value, alphas, adjust=False, keys=keys, order=order, rn=rn,
-                    block_rows=block_rows)
-
-
 def momentum(df: DataFrame, target: str = "log_market_forward_excess_returns",
              keys: Keys = "series_id", order: str = "t", fill: float = SENTINEL,
              windows: Sequence[int] = WINDOWS, lags: Sequence[int] = LAGS,
              block_rows: int = scan.DEFAULT_BLOCK_ROWS) -> DataFrame:
     """37 momentum columns on the target shifted by one row; NULL -> fill."""
-    ks = _keys(keys)
-    w = R.series_window(ks, order)
-    s = df.withColumn("_s", R.lag(target, 1, w))
-    s = _ewm_cols(s, "_s", "MOM", ks, order, None, block_rows)
-    cols: dict[str, Column] = {}
-    for k in windows:
-        cols[f"MOM_mean_{k}"] = R.roll_mean("_s", k, w)
-        cols[f"MOM_std_{k}"] = R.roll_std("_s", k, w)
-        cols[f"MOM_roc_{k}"] = R.roc("_s", k, w)
-        cols[f"MOM_cum_{k}"] = R.roll_sum("_s", k, w)
-    s = s.withColumns(cols)
+    outs = scan.shifted_stats(target, windows, lags, None, "MOM_", ewms=_EMA_ALPHAS)
+    return _momentum_columns(scan.series_pass(df, outs, keys, order, block_rows), fill, windows, lags)
+
+
+def _momentum_columns(s: DataFrame, fill: float, windows: Sequence[int] = WINDOWS, lags: Sequence[int] = LAGS) -> DataFrame:
     s = s.withColumns({
         "MOM_ema_diff": F.col("MOM_ema_fast") - F.col("MOM_ema_slow"),
         "MOM_ema_ratio": safe_div("MOM_ema_fast", "MOM_ema_slow") - 1,
         "MOM_std_21_252_ratio": safe_div("MOM_std_21", "MOM_std_252"),
     })
-    s = s.withColumns({f"MOM_lag_{j}": R.lag(target, j, w) for j in lags})
-    names = momentum_names(windows, lags)
-    return s.withColumns({n: sentinel(n, fill) for n in names}).drop("_s")
+    return s.withColumns({n: sentinel(n, fill) for n in momentum_names(windows, lags)})
 
 
 def momentum_names(windows: Sequence[int] = WINDOWS, lags: Sequence[int] = LAGS) -> list[str]:
@@ -104,24 +91,47 @@ def momentum_names(windows: Sequence[int] = WINDOWS, lags: Sequence[int] = LAGS)
 
 
 def volatility(df: DataFrame, target: str = "log_market_forward_excess_returns",
-               keys: Keys = "series_id", order: str = "t", first_fill: float = SENTINEL) -> DataFrame:
+               keys: Keys = "series_id", order: str = "t", first_fill: float = SENTINEL,
+               block_rows: int = scan.DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Regime indicators and interactions over the (filled) P1 columns.
 
     ``first_fill`` is the value used for the missing first shifted target in
     the wealth curve: ``-9999`` reproduces the reference (whose curve is then
     negative and the bull flag inverted), ``0.0`` gives the intended curve.
     """
-    ks = _keys(keys)
-    w = R.series_window(ks, order)
-    s = df.withColumn("_s", R.lag(target, 1, w))
-    s = s.withColumn("_s1", R.lag("_s", 1, w))
-    s = s.withColumn("_mkt", R.cumprod(1 + F.coalesce(F.col("_s"), F.lit(float(first_fill))), w))
+    s = _wealth(df, target, keys, order, first_fill)
+    s = scan.series_pass(s, {**_regime_stats(target), "_v1": scan.Stat("lag", "MOM_std_21", 1)}, keys, order, block_rows)
+    return _volatility_columns(s)
+
+
+def momentum_volatility(df: DataFrame, target: str = "log_market_forward_excess_returns", keys: Keys = "series_id",
+                        order: str = "t", fill: float = SENTINEL, first_fill: float = SENTINEL,
+                        block_rows: int = scan.DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """P1 and P2 together: one running product, then one pass over the series for all windows."""
+    s = _wealth(df, target, keys, order, first_fill)
+    outs = {**scan.shifted_stats(target, WINDOWS, LAGS, None, "MOM_", ewms=_EMA_ALPHAS), **_regime_stats(target)}
+    s = _momentum_columns(scan.series_pass(s, outs, keys, order, block_rows), fill)
+    # MOM_std_21 of the row before, filled as P1 fills it; the first row has none before
+    return _volatility_columns(s.withColumn("_v1", F.when(F.col("_has").isNotNull(), sentinel("_sd", fill))))
+
+
+def _wealth(df: DataFrame, target: str, keys: Keys, order: str, first_fill: float) -> DataFrame:
+    """The target one row earlier, and the wealth curve over it."""
+    return scan.carry(df, {"_s": ("lag", target), "_has": ("lag", F.lit(1))},
+                      {"_mkt": ("product", 1 + F.coalesce(F.col("_s"), F.lit(float(first_fill))))}, keys=keys, order=order)
+
+
+def _regime_stats(target: str) -> dict:
+    return {"_sd": scan.Stat("std", target, 21, shift=2), "_sma": scan.Stat("mean", "_mkt", BULL_SMA)}
+
+
+def _volatility_columns(s: DataFrame) -> DataFrame:
     s = s.withColumns({
         "VI_regime_highvol": flag(F.col("MOM_std_21_252_ratio") > HIGHVOL_RATIO, "tinyint"),
         # |s / sd| > z without a division: sd = 0 and s != 0 counts (inf > z)
-        "VI_regime_shock": flag(F.abs("_s") > SHOCK_Z * R.roll_std("_s1", 21, w), "tinyint"),
-        "VI_regime_bull": flag(F.col("_mkt") > R.roll_mean("_mkt", BULL_SMA, w), "tinyint"),
-        "VI_volofvol_21": R.pct_change("MOM_std_21", w),
+        "VI_regime_shock": flag(F.abs("_s") > SHOCK_Z * F.col("_sd"), "tinyint"),
+        "VI_regime_bull": flag(F.col("_mkt") > F.col("_sma"), "tinyint"),
+        "VI_volofvol_21": F.coalesce(safe_div("MOM_std_21", "_v1") - 1, F.lit(0.0)),
     })
     inter = {}
     for c in INTERACTED:
@@ -130,7 +140,7 @@ def volatility(df: DataFrame, target: str = "log_market_forward_excess_returns",
             inter[f"VI_{c}_x_highvol"] = F.col(c) * F.col("VI_regime_highvol")
     ema = F.col("MOM_ema_diff") if "MOM_ema_diff" in s.columns else F.lit(0.0)
     inter["VI_regime_highvol_x_ema"] = F.col("VI_regime_highvol") * ema
-    return s.withColumns(inter).drop("_s", "_s1", "_mkt")
+    return s.withColumns(inter).drop("_s", "_has", "_sd", "_v1", "_mkt", "_sma")
 
 
 def volatility_names() -> list[str]:
@@ -201,23 +211,12 @@ def extend_long(df_long: DataFrame, keys: Keys = "series_id", order: str = "t",
     u; lags ``lag(u, j-1)``; EWM fast/slow on u; NULL/non-finite -> fill.
     """
     ks = [*_keys(keys), feature]
-    w = R.series_window(ks, order)
-    d = df_long.withColumn("_u", R.lag(value, 1, w))
-    d = _ewm_cols(d, "_u", "x", ks, order, rn, block_rows).withColumnsRenamed(
-        {"x_ema_fast": "ema_fast", "x_ema_slow": "ema_slow"})
-    cols: dict[str, Column] = {}
-    for k in windows:
-        cols[f"mean_{k}"] = R.roll_mean("_u", k, w, min_periods)
-        cols[f"std_{k}"] = R.roll_std("_u", k, w, min_periods)
-        cols[f"roc_{k}"] = R.roc("_u", k, w)
-        cols[f"cum_{k}"] = R.roll_sum("_u", k, w, min_periods)
-    for j in lags:
-        cols[f"lag_{j}"] = F.col("_u") if j == 1 else R.lag("_u", j - 1, w)
-    d = d.withColumns(cols).withColumns({
+    outs = scan.shifted_stats(value, windows, lags, min_periods, ewms=_EMA_ALPHAS)
+    d = scan.series_pass(df_long, outs, ks, order, block_rows, rn).withColumns({
         "ema_diff": F.col("ema_fast") - F.col("ema_slow"),
         "ema_ratio": safe_div("ema_fast", "ema_slow") - 1})
     names = extension_names(windows, lags)
-    return d.withColumns({n: sentinel(n, fill) for n in names}).drop("_u")
+    return d.withColumns({n: sentinel(n, fill) for n in names})
 
 
 def guard_stats(df_long: DataFrame, feature: str = "feature", value: str = "value",
@@ -269,22 +268,16 @@ def example_dataset(df: DataFrame, keys: Keys = "series_id", order: str = "t",
                     target: str = "target", keep: Sequence[str] = EXAMPLE_KEEP,
                     block_rows: int = scan.DEFAULT_BLOCK_ROWS) -> DataFrame:
     """U1 = I2 - I1, U2 = M11 / mean(I2, I9, I7); keep 13 features; fill
-    each NULL with the column's EWM (com 0.5, adjust=True); drop rows that
-    still hold a NULL."""
+    each NULL with the column's EWM (com 0.5, adjust=True), all in one pass; drop
+    rows whose target or features still hold a NULL (a NULL key or time is none)."""
     ks = _keys(keys)
     d = df.withColumns({"U1": F.col("I2") - F.col("I1"),
                         "U2": safe_div("M11", (F.col("I2") + F.col("I9") + F.col("I7")) / 3)})
     d = d.select(*ks, order, target, *keep)
-    # one EWM pass over the long layout: (series, feature) groups, all features at once
-    lng = to_long(d, keep, keys=(*ks, order), feature="pk_feature", value="pk_value")
     a = scan.alpha_of(com=0.5)
-    e = scan.ewm(lng, "pk_value", {"pk_ewm": a}, adjust=True, keys=[*ks, "pk_feature"], order=order,
-                 block_rows=block_rows)
-    e = e.withColumn("pk_value", F.coalesce("pk_value", "pk_ewm"))
-    wide = to_wide(e, keep, ["pk_value"], keys=(*ks, order), feature="pk_feature",
-                   name_fmt="{feature}")
-    d = d.select(*ks, order, target).join(wide, [*ks, order], "inner").select(*ks, order, target, *keep)
-    return d.dropna("any")
+    e = scan.series_pass(d, {f"pk_e_{c}": scan.Ewm(c, a, adjust=True) for c in keep}, ks, order, block_rows)
+    e = e.withColumns({c: F.coalesce(F.col(c), F.col(f"pk_e_{c}")) for c in keep})
+    return e.select(*ks, order, target, *keep).dropna(subset=[target, *keep])
 
 
 def first_complete(df: DataFrame, features: Sequence[str], keys: Keys = "series_id",
@@ -295,7 +288,7 @@ def first_complete(df: DataFrame, features: Sequence[str], keys: Keys = "series_
                                               for c in features]).alias("_start")) \
         if len(features) > 1 else df.groupBy(*ks).agg(
             F.min(F.when(F.col(features[0]).isNotNull(), F.col(order))).alias("_start"))
-    return df.join(starts, ks, "inner").where(F.col(order) >= F.col("_start")).drop("_start")
+    return R.attach(df, starts, ks).where(F.col(order) >= F.col("_start")).drop("_start")
 
 
 def impute_expanding_mean(df: DataFrame, features: Sequence[str], keys: Keys = "series_id",
@@ -308,7 +301,9 @@ def impute_expanding_mean(df: DataFrame, features: Sequence[str], keys: Keys = "
 def impute_global_median(df: DataFrame, features: Sequence[str], keys: Keys = "series_id") -> DataFrame:
     """P9 research mode (looks ahead): NULL -> the series' median."""
     ks = _keys(keys)
-    med = df.groupBy(*ks).agg(*[F.median(c).alias(f"_m_{c}") for c in features])
-    j = df.join(med, ks, "left")
+    lng = to_long(df, features, ks, "pk_feature", "pk_value")
+    half = exact_quantiles(lng, "pk_value", [0.5], [*ks, "pk_feature"])
+    med = half.groupBy(*ks).agg(*[F.max(F.when(F.col("pk_feature") == c, F.col("quantile"))).alias(f"_m_{c}") for c in features])
+    j = R.attach(df, med, ks)
     return j.withColumns({c: F.coalesce(F.col(c), F.col(f"_m_{c}")) for c in features}).drop(
         *[f"_m_{c}" for c in features])

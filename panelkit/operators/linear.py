@@ -13,16 +13,19 @@ intercept unpenalised; coordinate descent on the covariance form
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelkit.operators.profile import gram
 from panelkit.operators.rolling import Keys, _keys, attach
+from panelkit.plans.written import written
 
 # Fixed values of the reference's elastic-net set-up
 L1_RATIO = 0.5
@@ -30,6 +33,8 @@ N_ALPHAS = 100
 ALPHA_LOG_RANGE = (-4.0, 2.0)
 CV_FOLDS = 10
 
+ALPHA_CHUNK = 10  # alphas that one task solves
+
 
 def alphas_grid(n: int = N_ALPHAS, lo: float = ALPHA_LOG_RANGE[0], hi: float = ALPHA_LOG_RANGE[1]) -> list[float]:
     return [float(10 ** (lo + (hi - lo) * i / (n - 1))) for i in range(n)]
@@ -72,6 +77,12 @@ def _moments(n, mean, S, p):
     return mean[:p], mean[p], S[:p, :p] / n, S[:p, p] / n
 
 
+def _joined(a, b):
+    """Statistics of the rows of both."""
+    (n0, m0, S0), (n, m, S) = a, b
+    return n0 + n, (n0 * m0 + n * m) / (n0 + n), S0 + S + np.outer(m - m0, m - m0) * (n0 * n / (n0 + n))
+
+
 def _without(all_, part):
     """Statistics of all rows but those of ``part``."""
     n, m, S = all_
@@ -133,77 +144,92 @@ def fit(df: DataFrame, features: Sequence[str], label: str, by: Keys = (), alpha
             lambda pdf: solve(pdf), schema)
 
 
+_STATS = pa.schema([("n", pa.float64()), ("mean", pa.list_(pa.float64())), ("s", pa.list_(pa.float64()))])
+_STATS_SQL = "n double, mean array<double>, s array<double>"
+
+
+def _packed(g: DataFrame, keys: list[str], p: int) -> DataFrame:
+    """Gram rows as one row per group: ``n``, the means and the centred sums (row by row)."""
+    rows = g.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "j", "n", "mx", "cxy"))).alias("r"))
+    diagonal = F.filter("r", lambda r: r["i"] == r["j"])
+    return rows.select(*keys, F.array_max("r.n").alias("n"), F.transform(diagonal, lambda r: r["mx"]).alias("mean"),
+                       F.col("r.cxy").alias("s"))
+
+
+def _stats(row: dict, p: int):
+    return row["n"], np.array(row["mean"]), np.array(row["s"]).reshape(p + 1, p + 1)
+
+
+def _table(rows: list[dict], like: pa.Table, keys: list[str], fields: list[tuple]) -> pa.Table:
+    return pa.Table.from_pylist(rows, pa.schema([*(like.schema.field(k) for k in keys), *fields]))
+
+
 def enet_cv(df: DataFrame, features: Sequence[str], label: str, fold: str = "fold",
             by: Keys = (), alphas: Sequence[float] | None = None, l1_ratio: float = L1_RATIO,
-            max_iter: int = 10_000) -> tuple[DataFrame, DataFrame]:
+            max_iter: int = 10_000, chunk: int = ALPHA_CHUNK) -> tuple[DataFrame, DataFrame]:
     """ElasticNetCV over contiguous folds from one scan (M5) and refit (M6).
 
     Returns (cv table: group, alpha, mse; model table: group, alpha,
     intercept, coef).  Fold-out statistics = total - fold; the held-out MSE
-    is computed from the held-out fold's own statistics.
+    is computed from the held-out fold's own statistics.  A task solves
+    ``chunk`` neighbouring alphas of one fold, from the largest on with warm
+    starts.  Both the packed statistics and the CV result are written once; the
+    refit reads them.
     """
-    ks = _keys(by)
-    p = len(features)
-    alphas = list(alphas or alphas_grid())
-    data = df.select(*ks, fold, *features, label).dropna()
-    g = gram(data, [*features, label], [*ks, fold])
-    kf = [f for f in g.schema.fields if f.name in ks]
-    cv_schema = T.StructType(kf + [T.StructField("alpha", T.DoubleType()), T.StructField("mse", T.DoubleType())])
-    model_schema = T.StructType(kf + [T.StructField("alpha", T.DoubleType()),
-                                      T.StructField("intercept", T.DoubleType()),
-                                      T.StructField("coef", T.ArrayType(T.DoubleType()))])
-
-    def per_group(pdf: pd.DataFrame):
-        folds = {}
-        for fk, fg in pdf.groupby(fold):
-            folds[fk] = _matrices(fg, p)
-        total = None
-        for n, m, S in folds.values():
-            if total is None:
-                total = n, m, S
-                continue
-            n0, m0, S0 = total
-            total = n0 + n, (n0 * m0 + n * m) / (n0 + n), S0 + S + np.outer(m - m0, m - m0) * (n0 * n / (n0 + n))
-        mses = np.zeros(len(alphas))
-        for fk, own in folds.items():
-            nf, mf, Sf = own
-            mx, my, C, c = _moments(*_without(total, own), p)
-            w = np.zeros(p)
-            for ai in sorted(range(len(alphas)), key=lambda i: -alphas[i]):  # warm starts
-                w = enet_cd(C, c, alphas[ai], l1_ratio, w0=w, max_iter=max_iter)
-                b = my - mx @ w
-                beta = np.concatenate([w, [-1.0]])
-                # held-out SSE of (x.w + b - y) from the fold's statistics
-                sse = beta @ Sf @ beta + nf * (beta @ mf + b) ** 2
-                mses[ai] += sse / nf
-        mses /= len(folds)
-        return *total, mses
-
-    def cv(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, _, _, mses = per_group(pdf)
-        out = pd.DataFrame({"alpha": alphas, "mse": mses})
-        for k in ks:
-            out[k] = pdf[k].iloc[0]
-        return out[[f.name for f in cv_schema.fields]]
-
-    def refit(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, mean, S, mses = per_group(pdf)
-        best = alphas[int(np.argmin(mses))]
-        mx, my, C, c = _moments(n, mean, S, p)
-        w = enet_cd(C, c, best, l1_ratio, max_iter=max_iter)
-        row = {k: pdf[k].iloc[0] for k in ks}
-        row.update(alpha=best, intercept=float(my - mx @ w), coef=[float(v) for v in w])
-        return pd.DataFrame([row])
-
-    gk = ks if ks else ["pk_one"]
-    gg = g if ks else g.withColumn("pk_one", F.lit(1))
-    cv_t = gg.groupBy(*gk).applyInPandas(cv, cv_schema if ks else T.StructType(
-        cv_schema.fields + [T.StructField("pk_one", T.IntegerType())]))
-    m_t = gg.groupBy(*gk).applyInPandas(refit, model_schema if ks else T.StructType(
-        model_schema.fields + [T.StructField("pk_one", T.IntegerType())]))
-    if not ks:
-        cv_t, m_t = cv_t.drop("pk_one"), m_t.drop("pk_one")
-    return cv_t, m_t
+    ks, p = _keys(by), len(features)
+    alphas = sorted(alphas or alphas_grid())
+    data = df.select(*ks, fold, *features, label).dropna(subset=[fold, *features, label])
+    data = data.withColumn("pk_fold", F.col(fold)).withColumn("pk_all", F.lit(0))
+    gk = [*ks, "pk_all"]
+    own = written(_packed(gram(data, [*features, label], [*gk, "pk_fold"]), [*gk, "pk_fold"], p), "cv-stats")
+    kf = "".join(f"`{k}` {own.schema[k].dataType.simpleString()}, " for k in gk)
+    pair = [("pk_fold", pa.int64()), *((f.name, f.type) for f in _STATS), *((f"out_{f.name}", f.type) for f in _STATS)]
+
+    def leave_out(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        folds = [_stats(r, p) for r in rows]
+        total = functools.reduce(_joined, folds)
+        out = []
+        for r, f in [*zip(rows, folds), ({**rows[0], "pk_fold": None}, None)]:  # no fold: all rows
+            n, m, S = total if f is None else _without(total, f)
+            out.append({**r, "out_n": n, "out_mean": m.tolist(), "out_s": S.reshape(-1).tolist()})
+        return _table(out, t, gk, pair)
+
+    out_sql = ", ".join(f"out_{c}" for c in _STATS_SQL.split(", "))
+    parts = written(own.groupBy(*gk).applyInArrow(leave_out, f"{kf}pk_fold long, {_STATS_SQL}, {out_sql}"), "cv-folds")
+    chunks = -(-len(alphas) // chunk)
+    jobs = parts.where("pk_fold is not null").withColumn("pk_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+
+    def solve(t: pa.Table) -> pa.Table:
+        r = t.to_pylist()[0]
+        mx, my, C, c = _moments(*_out(r), p)
+        nf, mf, Sf = _stats(r, p)
+        w, rows = np.zeros(p), []
+        for a in reversed(alphas[r["pk_chunk"] * chunk: (r["pk_chunk"] + 1) * chunk]):  # warm starts
+            w = enet_cd(C, c, a, l1_ratio, w0=w, max_iter=max_iter)
+            beta, b = np.append(w, -1.0), my - mx @ w
+            # held-out SSE of (x.w + b - y) from the fold's statistics
+            rows.append({**{k: r[k] for k in gk}, "alpha": a, "mse": (beta @ Sf @ beta + nf * (beta @ mf + b) ** 2) / nf})
+        return _table(rows, t, gk, [("alpha", pa.float64()), ("mse", pa.float64())])
+
+    def _out(r: dict):
+        return r["out_n"], np.array(r["out_mean"]), np.array(r["out_s"]).reshape(p + 1, p + 1)
+
+    losses = jobs.groupBy(*gk, "pk_fold", "pk_chunk").applyInArrow(solve, f"{kf}alpha double, mse double")
+    cv = written(losses.groupBy(*gk, "alpha").agg(F.avg("mse").alias("mse")), "cv-losses")
+    best = cv.groupBy(*gk).agg(F.min(F.struct("mse", "alpha"))["alpha"].alias("alpha"))
+    whole = attach(parts.where("pk_fold is null"), best, gk)
+
+    def refit(t: pa.Table) -> pa.Table:
+        rows = []
+        for r in t.to_pylist():
+            mx, my, C, c = _moments(*_out(r), p)
+            w = enet_cd(C, c, r["alpha"], l1_ratio, max_iter=max_iter)
+            rows.append({**{k: r[k] for k in gk}, "alpha": r["alpha"], "intercept": my - mx @ w, "coef": w.tolist()})
+        return _table(rows, t, gk, [("alpha", pa.float64()), ("intercept", pa.float64()), ("coef", pa.list_(pa.float64()))])
+
+    model = whole.groupBy(*gk).applyInArrow(refit, f"{kf}alpha double, intercept double, coef array<double>")
+    return cv.drop("pk_all"), model.drop("pk_all")
 
 
 def predict(df: DataFrame, model: DataFrame, features: Sequence[str], by: Keys = (),

@@ -3,7 +3,7 @@
 Everything is a grouped aggregate over the long layout ``(keys..., feature,
 value)`` or over a grouping column, so one plan serves any number of
 features.  Exact quantiles never buffer a whole group in one task (see
-``exact_quantiles``); the Gram matrix is built from per-batch partial sums.
+``quantiles``); the Gram matrix is built from per-batch partial sums.
 """
 
 from __future__ import annotations
@@ -13,87 +13,21 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelkit.functions.compat import finite, safe_div
+from panelkit.operators.quantiles import exact_quantiles, quantile_columns
 from panelkit.operators.rolling import Keys, _keys, attach
 
 
-# ----------------------------------------------------------------- quantiles
-
-def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Keys = (),
-                    buckets: int = 256) -> DataFrame:
-    """Linear-interpolated quantiles (pandas / ``quantile_cont``), exact.
-
-    Plan: distinct values with multiplicity (partial aggregation collapses hot
-    values) -> approximate equi-depth edges per group -> bucket index ->
-    per-bucket counts and their running offset (one small row per bucket) ->
-    each distinct value's position range -> the two neighbours of every
-    requested position are found by an equi-join on (group, bucket).
-    Output: ``by`` keys, ``q`` and ``quantile``.
-    """
-    ks = _keys(by)
-    x = df.select(*ks, F.col(value).cast("double").alias("v")).where(
-        F.col("v").isNotNull() & ~F.isnan("v"))
-    d = x.groupBy(*ks, "v").agg(F.count(F.lit(1)).alias("c"))
-    probs = [i / buckets for i in range(1, buckets)]
-    edges = x.groupBy(*ks).agg(F.percentile_approx("v", probs, 10000).alias("edges"),
-                               F.count(F.lit(1)).alias("n"))
-    db = attach(d, edges, ks)
-    db = db.withColumn("b", F.size(F.filter("edges", lambda e: e < F.col("v")))).drop("edges")
-    bc = db.groupBy(*ks, "b").agg(F.sum("c").alias("bc"))
-    wb = Window.partitionBy(*ks).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    bc = bc.withColumn("off", F.coalesce(F.sum("bc").over(wb), F.lit(0)))
-    wv = Window.partitionBy(*ks, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranges = (db.join(bc.select(*ks, "b", "off"), [*ks, "b"], "inner")
-              .withColumn("hi_pos", F.col("off") + F.sum("c").over(wv) - 1)
-              .withColumn("lo_pos", F.col("hi_pos") - F.col("c") + 1))
-    qdf = F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")
-    tg = edges.select(*ks, "n", qdf).withColumn("h", F.col("q") * (F.col("n") - 1))
-    tg = tg.withColumn("lo", F.floor("h")).withColumn("hi", F.ceil("h"))
-    # which bucket holds each target position: join on the group key only,
-    # the bucket table has at most ``buckets`` rows per group
-    bk = bc.withColumn("end", F.col("off") + F.col("bc") - 1)
-
-    def locate(pos: str) -> DataFrame:
-        t = tg.select(*ks, "q", "h", "lo", F.col(pos).alias("p"))
-        j = (t.join(bk.select(*ks, "b", "off", "end"), ks, "inner") if ks
-             else _bucket_join(t, bk, ks))
-        j = j.where((F.col("p") >= F.col("off")) & (F.col("p") <= F.col("end")))
-        r = ranges.select(*ks, "b", "v", "lo_pos", "hi_pos")
-        j = j.join(r, [*ks, "b"], "inner").where(
-            (F.col("p") >= F.col("lo_pos")) & (F.col("p") <= F.col("hi_pos")))
-        return j.select(*ks, "q", "h", "lo", F.col("v").alias(f"v_{pos}"))
-
-    lo, hi = locate("lo"), locate("hi")
-    out = lo.join(hi.select(*ks, "q", "v_hi"), [*ks, "q"], "inner")
-    val = F.col("v_lo") + (F.col("h") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo"))
-    return out.select(*ks, "q", val.alias("quantile"))
-
-
-def _bucket_join(t: DataFrame, bk: DataFrame, ks: list[str]) -> DataFrame:
-    """Targets x bucket table of one group: both small (targets x buckets)."""
-    one = F.lit(1).alias("pk_one")
-    return (t.select("*", one).join(F.broadcast(bk.select("b", "off", "end", one)), "pk_one")
-            .drop("pk_one"))
-
-
 def _bucket_join_all(grid: DataFrame, bins: DataFrame) -> DataFrame:
     """Grid points x histogram bins of one group: bounded by points x bins."""
     one = F.lit(1).alias("pk_one")
     return grid.select("*", one).join(F.broadcast(bins.select("*", one)), "pk_one").drop("pk_one")
 
 
-def quantile_columns(qdf: DataFrame, by: Keys, qs: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """Pivot the long quantile table to one column per requested q."""
-    ks = _keys(by)
-    aggs = [F.max(F.when(F.col("q") == F.lit(float(q)), F.col("quantile"))).alias(n)
-            for q, n in zip(qs, names)]
-    return qdf.groupBy(*ks).agg(*aggs) if ks else qdf.agg(*aggs)
-
-
 # ----------------------------------------------------------------- moments
 
 def describe(df_long: DataFrame, by: Keys = "feature", value: str = "value") -> DataFrame:
@@ -105,8 +39,7 @@ def describe(df_long: DataFrame, by: Keys = "feature", value: str = "value") ->
         F.min(v).alias("min"), F.max(v).alias("max"))
     qs = exact_quantiles(df_long, value, [0.25, 0.5, 0.75], ks)
     qc = quantile_columns(qs, ks, [0.25, 0.5, 0.75], ["q25", "q50", "q75"])
-    return base.join(qc, ks, "left").select(*ks, "count", "mean", "std", "min", "q25", "q50",
-                                            "q75", "max")
+    return attach(base, qc, ks).select(*ks, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def null_profile(df_long: DataFrame, by: Keys = "feature", value: str = "value",

@@ -3,7 +3,9 @@
 Every operator takes the series keys and the order key as arguments and is
 expressed with Spark window functions, so rows of one series are shuffled
 together once and all frames of one ``WindowSpec`` share one Exchange + Sort
-+ Window node.  Keep the spec textually identical across expressions.
++ Window node.  Keep the spec textually identical across expressions.  These
+expressions recompute a frame per row and keep a series in one task: for long
+windows or series use ``rolling`` and ``scan.series_pass`` / ``scan.carry``.
 
 Frames are row frames ``rowsBetween(-(k-1), 0)`` as in pandas ``rolling(k)``.
 ``min_periods`` follows pandas: a frame with fewer non-null values yields NULL.
@@ -154,12 +156,11 @@ def directional_hit(y: ColumnOrName, yhat: ColumnOrName) -> Column:
 def rolling(df: DataFrame, value: str, windows: Sequence[int],
             stats: Sequence[str] = ("mean", "std", "sum"), min_periods: int | None = None,
             keys: Keys = "series_id", order: str = "t", prefix: str | None = None) -> DataFrame:
-    """Add ``{prefix}_{stat}_{k}`` columns for every window k."""
-    fns = {"mean": roll_mean, "std": roll_std, "sum": roll_sum, "min": roll_min, "max": roll_max}
-    w = series_window(keys, order)
+    """Add ``{prefix}_{stat}_{k}`` columns for every window k (W2-W4): mean, std or sum,
+    O(n) whatever the windows, in blocks (``scan.series_pass``)."""
+    from panelkit.plans import scan
     p = prefix or value
-    cols = {f"{p}_{s}_{k}": fns[s](value, k, w, min_periods) for k in windows for s in stats}
-    return df.withColumns(cols)
+    return scan.series_pass(df, {f"{p}_{s}_{k}": scan.Stat(s, value, k, min_periods) for k in windows for s in stats}, keys, order)
 
 
 def lags(df: DataFrame, value: str, ns: Sequence[int], keys: Keys = "series_id",

@@ -2,9 +2,11 @@
 
 All scores are grouped aggregates: ``by`` names the grouping keys (series,
 fold, model ...), so thousands of strategies are scored in one pass with a
-partial (map-side) aggregation.  Geometric means use ``exp(avg(log1p(r)))``,
-which equals the reference's ``prod(1 + r) ** (1/n)`` without overflow or
-underflow on long series.
+partial (map-side) aggregation.  Geometric means use sums of ``log|1 + r|`` with
+counts of the factors at and below zero, which equals the reference's
+``prod(1 + r) ** (1/n)`` without overflow or underflow on long series.  Running
+products and peaks are scans over blocks (``scan.carry``), so one long series
+spreads over tasks.
 """
 
 from __future__ import annotations
@@ -12,11 +14,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.functions.compat import ColumnOrName, clip, col, finite, hinge, cap, safe_div
-from panelkit.operators.rolling import Keys, _keys, attach, series_window
+from panelkit.operators.quantiles import median
+from panelkit.operators.rolling import Keys, _keys, attach
+from panelkit.plans import scan
 
 # Fixed values of the contest metric (must equal the reference's)
 MIN_INVESTMENT = 0.0
@@ -72,10 +76,10 @@ def total_return(r: ColumnOrName) -> Column:
     return finite(F.when(sign == 1, F.expm1(total)).otherwise(sign * F.exp(total) - 1))
 
 
-def running_product(r: ColumnOrName, w: WindowSpec) -> tuple[Column, Column]:
-    """Sign and log of |prod(1 + r)| up to each row of ``w`` (an unbounded frame)."""
-    log, zero, neg = _growth(r)
-    return _product(F.sum(log).over(w), F.sum(zero).over(w), F.sum(neg).over(w))
+def running_product(r: ColumnOrName, name: str) -> tuple[dict, Column, Column]:
+    """Running sums for ``scan.carry``, and from them the sign and log of |prod(1 + r)| up to each row."""
+    parts = dict(zip((f"{name}_l", f"{name}_z", f"{name}_n"), _growth(r)))
+    return {n: ("sum", c) for n, c in parts.items()}, *_product(*map(F.col, parts))
 
 
 def adjusted_sharpe(df: DataFrame, by: Keys = (), position: str = "position",
@@ -136,26 +140,23 @@ def perf_metrics(df: DataFrame, by: Keys = (), order: str = "t", position: str =
     """Total return, CAGR, Sharpe, Sortino, max drawdown, turnover, obs.
 
     Rows with any NULL among the inputs are dropped first (as the reference's
-    dropna after the join).  One window pass (equity, running max, position
-    change) then one grouped aggregate.
+    dropna after the join); NULL keys are one group.  Two scans over blocks (equity and
+    position change, then peaks) on one exchange, then one grouped aggregate.
     """
     ks = _keys(by)
-    w = series_window(ks, order)
-    z = df.select(*ks, order, position, fwd, rf).dropna()
+    z = df.select(*ks, order, position, fwd, rf).dropna(subset=[order, position, fwd, rf])
     p = clip(position, MIN_INVESTMENT, MAX_INVESTMENT)
     z = z.withColumn("_p", p).withColumn("_s", strategy_return("_p", fwd, rf))
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    sign, logeq = running_product("_s", run)
-    z = (z.withColumn("_x", F.col("_s") - F.col(rf))
-         .withColumn("_leq", logeq).withColumn("_sg", sign)
-         .withColumn("_dp", F.abs(F.col("_p") - F.lag("_p").over(w))))
+    sums, sign, logeq = running_product("_s", "_r")
     # drawdown from log-equity: eq / cummax(eq) - 1 = exp(leq - cummax(leq)) - 1;
     # a ruined strategy (equity 0 or below) falls against its last positive peak
-    z = z.withColumn("_pk", F.max(F.when(F.col("_sg") == 1, F.col("_leq"))).over(run))
-    fall = F.col("_leq") - F.col("_pk")
-    eq = F.col("_sg") * F.exp("_leq")
-    z = z.withColumn("_dd", F.when(F.col("_pk").isNull(), safe_div(eq, F.max(eq).over(run)) - 1)
-                     .when(F.col("_sg") == 1, F.expm1(fall)).otherwise(F.col("_sg") * F.exp(fall) - 1))
+    eq = sign * F.exp(logeq)
+    z = scan.carry(z, {**sums, "_pv": ("lag", "_p")}, {"_pk": ("max", F.when(sign == 1, logeq)), "_top": ("max", eq)},
+                   keys=ks, order=order)
+    fall = logeq - F.col("_pk")
+    z = (z.withColumn("_x", F.col("_s") - F.col(rf)).withColumn("_dp", F.abs(F.col("_p") - F.col("_pv")))
+         .withColumn("_dd", F.when(F.col("_pk").isNull(), safe_div(eq, F.col("_top")) - 1)
+                     .when(sign == 1, F.expm1(fall)).otherwise(sign * F.exp(fall) - 1)))
     a = z.groupBy(*ks).agg(
         F.count(F.lit(1)).alias("obs"),
         total_return("_s").alias("total_return"),
@@ -177,11 +178,11 @@ def cumulative_curves(df: DataFrame, by: Keys = (), order: str = "t", position:
                       ret: str = "y_arith") -> DataFrame:
     """Growth of one unit for the market and for position x excess return."""
     ks = _keys(by)
-    w = series_window(ks, order).rowsBetween(Window.unboundedPreceding, 0)
     p = clip(position, MIN_INVESTMENT, MAX_INVESTMENT)
-    ms, ml = running_product(ret, w)
-    ss, sl = running_product(p * col(ret), w)
-    return df.select(*ks, order, (ms * F.exp(ml)).alias("cum_market"), (ss * F.exp(sl)).alias("cum_strategy"))
+    market, ms, ml = running_product(ret, "_m")
+    own, ss, sl = running_product(p * col(ret), "_w")
+    z = scan.carry(df.select(*ks, order, position, ret), {**market, **own}, keys=ks, order=order)
+    return z.select(*ks, order, (ms * F.exp(ml)).alias("cum_market"), (ss * F.exp(sl)).alias("cum_strategy"))
 
 
 def signal_to_position(test: DataFrame, train_pred_stats: DataFrame, on: Keys,
@@ -194,7 +195,7 @@ def signal_to_position(test: DataFrame, train_pred_stats: DataFrame, on: Keys,
     predictions per ``on`` group (one small row per group).
     """
     ks = _keys(on)
-    t = test.join(train_pred_stats.select(*ks, "mu", "sigma"), ks, "left")
+    t = attach(test, train_pred_stats.select(*ks, "mu", "sigma"), ks)
     beta = F.lit(0.25) / (1 + 0.5 * col(vol_factor) + 0.5 * col(rmse_factor))
     ok = (F.col("sigma") != 0) & ~F.isnan("sigma") & F.col("sigma").isNotNull()
     z = (col(pred) - F.col("mu")) / F.col("sigma")
@@ -216,8 +217,7 @@ def vol_factor(df: DataFrame, vol: str = "MOM_std_21", by: Keys = (),
     restricting the median to train rows (no look-ahead)."""
     ks = _keys(by)
     src = df if train_only is None else df.where(F.col(train_only))
-    med = src.groupBy(*ks).agg(F.median(vol).alias("_med"))
-    out = df.join(med, ks, "left") if ks else attach(df, med, ks)
+    out = attach(df, median(src, vol, ks, "_med"), ks)
     return out.withColumn("vol_factor", safe_div(vol, "_med")).drop("_med")
 
 

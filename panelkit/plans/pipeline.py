@@ -42,10 +42,9 @@ def panel_pipeline(df: DataFrame, arith: str = "market_forward_excess_returns",
     d = FE.target_log(d, arith, LOG_TARGET)
     excluded = [*FE.EXCLUDED, arith, LOG_TARGET]
     base = [c for c in base_features(df.columns, excluded, ks) if extend is None or c in extend]
-    d = FE.momentum(d, LOG_TARGET, keys, order, fill, block_rows=block_rows)
     checkpoint_dir(df.sparkSession)
     # the frame feeds the counts of P3, the fill and the guards: worked out once
-    d = FE.volatility(d, LOG_TARGET, keys, order, first_fill).checkpoint()
+    d = FE.momentum_volatility(d, LOG_TARGET, keys, order, fill, first_fill, block_rows).checkpoint()
     filled, _ = FE.impute(d, fill, excluded, ks)
     # P4 reads base features only, so it starts from the raw panel
     source = df.select(*ks, *[F.coalesce(F.col(c).cast("double"), F.lit(float(fill))).alias(c) if impute_first

@@ -7,24 +7,27 @@
 * ``with_blocks`` / ``halo``: row blocks of B rows, and the last k-1 rows of
   each block copied into the next one, so that k-row windows can be computed
   per (series, block) and give exactly the per-series result.
-* ``ewm``: exponentially weighted means as an affine scan over blocks: block
-  summaries (``applyInPandas``) -> per-series carry over the summaries (one
-  row per block, small) -> local scan of every block with its carry-in
-  (``cogroup``).  Matches pandas ``ewm(..., ignore_na=False).mean()``.
+* ``series_pass``: trailing windows, lags, rates and EWMs per (series, block) in one
+  Arrow pass, O(n) for every window; EWM states cross blocks through one summary
+  row per block.  Matches pandas ``rolling`` and ``ewm(..., ignore_na=False)``.
+* ``carry``: running sums, extremes and last values as a scan over blocks, all in
+  JVM expressions.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from panelkit.operators.rolling import Keys, _keys, join_same
+from panelkit.functions import series
+from panelkit.operators.rolling import Keys, _keys
 
 DEFAULT_BLOCK_ROWS = 1 << 16
 
@@ -42,35 +45,49 @@ def time_bucket(df: DataFrame, order: str, span: int = 1024) -> F.Column:
     return F.floor(v / F.lit(span)).cast("long")
 
 
+def one_key(keys: Sequence[str]) -> F.Column:
+    """All keys as one struct: equal also where keys are NULL, so joins and windows
+    on it share one partitioning."""
+    return F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0))
+
+
 def row_index(df: DataFrame, keys: Keys = "series_id", order: str = "t", out: str = "rn",
-              bucket_span: int = 1024) -> DataFrame:
-    """Add the exact 0-based position of each row inside its series.
+              bucket_span: int = 1024, size: str | None = None) -> DataFrame:
+    """Add the exact 0-based position of each row inside its series (and, as ``size``,
+    the number of placed rows of the series).
 
     No row is lost: rows with NULL keys form one series, rows with a NULL order
     value keep a NULL position (and are spread, as they need no numbering).
     """
     ks = _keys(keys)
-    placed = F.col(order).isNotNull()
-    b = df.withColumn("_tb", time_bucket(df, order, bucket_span))
-    counts = b.where(placed).groupBy(*ks, "_tb").agg(F.count(F.lit(1)).alias("_c"))
-    wo = Window.partitionBy(*ks).orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(*ks, "_tb", F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_off"))
-    spread = F.when(~placed, F.monotonically_increasing_id() % 1024)
-    wr = Window.partitionBy(*ks, "_tb", "_sp").orderBy(order)
-    return (join_same(b.withColumn("_sp", spread), offs, [*ks, "_tb"])
-            .withColumn(out, F.when(placed, (F.col("_off") + F.row_number().over(wr) - 1).cast("long")))
-            .drop("_tb", "_off", "_sp"))
+    b = _bucketed(df, ks, order, bucket_span)
+    counts = b.where(F.col(order).isNotNull()).groupBy("pk_key", "pk_tb").agg(F.count(F.lit(1)).alias("pk_c"))
+    wo = Window.partitionBy("pk_key").orderBy("pk_tb").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("pk_key", "pk_tb", F.coalesce(F.sum("pk_c").over(wo), F.lit(0)).alias("pk_off"),
+                         F.sum("pk_c").over(Window.partitionBy("pk_key")).alias("pk_size"))
+    wr = Window.partitionBy("pk_key", "pk_tb").orderBy(order)
+    extra = [F.col("pk_size").alias(size)] if size else []
+    # rows without a time find no offset
+    return b.join(offs, ["pk_key", "pk_tb"], "left").select(
+        *df.columns, (F.col("pk_off") + F.row_number().over(wr) - 1).cast("long").alias(out), *extra)
+
+
+def _bucketed(df: DataFrame, ks: Sequence[str], order: str, span: int) -> DataFrame:
+    """``df`` with its key as one column and a time bucket; rows without a time are spread over buckets of their own."""
+    none = F.lit(-(1 << 62)) - F.monotonically_increasing_id() % 1024
+    return df.select("*", one_key(ks).alias("pk_key"), F.when(F.col(order).isNull(), none).otherwise(
+        time_bucket(df, order, span)).alias("pk_tb"))
 
 
 def with_blocks(df: DataFrame, block_rows: int, rn: str = "rn", out: str = "blk") -> DataFrame:
     return df.withColumn(out, F.floor(F.col(rn) / F.lit(block_rows)).cast("long"))
 
 
-def halo(df: DataFrame, k: int, block_rows: int, rn: str = "rn", blk: str = "blk") -> DataFrame:
+def halo(df: DataFrame, k: int, block_rows: int, rn: str = "rn", blk: str = "blk", home: str = "_home") -> DataFrame:
     """Copy the last k-1 rows of every block into the next block.
 
-    Adds ``_home`` (true for the row's own block).  After windowing by
-    (keys, blk) ordered by ``rn``, keep ``_home`` rows only.
+    Adds ``home`` (true for the row's own block).  After windowing by
+    (keys, blk) ordered by ``rn``, keep ``home`` rows only.
     """
     if k - 1 > block_rows:
         raise ValueError("block must hold at least k-1 rows")
@@ -79,7 +96,7 @@ def halo(df: DataFrame, k: int, block_rows: int, rn: str = "rn", blk: str = "blk
     copies = F.when(tail, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     return (df.withColumn("_d", F.explode(copies))
             .withColumn(blk, F.col(blk) + F.col("_d"))
-            .withColumn("_home", F.col("_d") == 0).drop("_d"))
+            .withColumn(home, F.col("_d") == 0).drop("_d"))
 
 
 # --------------------------------------------------------------------------- EWM
@@ -95,236 +112,254 @@ def alpha_of(span: float | None = None, com: float | None = None, alpha: float |
     return float(alpha)
 
 
-def _valid(x) -> bool:
-    return x is not None and not (isinstance(x, float) and (math.isnan(x) or math.isinf(x)))
-
-
-def _scan(xs, rns, a: float, adjust: bool, state):
-    """Sequential EWM over one block; returns (outputs, end state)."""
-    b = 1.0 - a
-    out = [None] * len(xs)
-    if adjust:
-        num, den, prev = state
-        for i, (x, r) in enumerate(zip(xs, rns)):
-            if den > 0 and prev is not None:
-                d = b ** (r - prev)
-                num *= d
-                den *= d
-            prev = r
-            if _valid(x):
-                num += x
-                den += 1.0
-            out[i] = num / den if den > 0 else None
-        return out, (num, den, prev)
-    m, last = state
-    for i, (x, r) in enumerate(zip(xs, rns)):
-        if _valid(x):
-            if m is None:
-                m = x
-            elif m != x:
-                w = b ** (r - last)
-                m = (w * m + a * x) / (w + a)
-            last = r
-        out[i] = m
-    return out, (m, last)
-
-
-def _local(xs, rns, a: float, adjust: bool):
-    """Scan of one block from an empty state, plus what the carry-in needs.
-
-    adjust=False: per row (local value, pre, A, B) with m_t = A*m_f + B for
-    rows at or after the block's first observation f (``pre`` rows carry the
-    incoming value).  adjust=True: per row local (num, den) sums.
+# ------------------------------------------------------------ scans in the JVM
+
+#: kind -> (over a frame of rows, over a block's rows, over the blocks before, carried in and local value)
+_both = lambda f, zero: lambda pre, own: F.when(
+    pre.isNotNull() | own.isNotNull(), f(F.coalesce(pre, F.lit(zero)), F.coalesce(own, F.lit(zero))))
+_SCANS = {
+    "sum": (F.sum, lambda x, o: F.sum(x), F.sum, _both(lambda a, b: a + b, 0)),
+    "product": (F.product, lambda x, o: F.product(x), F.product, _both(lambda a, b: a * b, 1.0)),
+    "max": (F.max, lambda x, o: F.max(x), F.max, lambda pre, own: F.greatest(pre, own)),
+    "min": (F.min, lambda x, o: F.min(x), F.min, lambda pre, own: F.least(pre, own)),
+    "last": (lambda x: F.last(x, ignorenulls=True), lambda x, o: F.max_by(x, F.when(x.isNotNull(), o)),
+             lambda x: F.last(x, ignorenulls=True), lambda pre, own: F.coalesce(own, pre)),
+    "next": (lambda x: F.first(x, ignorenulls=True), lambda x, o: F.min_by(x, F.when(x.isNotNull(), o)),
+             lambda x: F.first(x, ignorenulls=True), lambda pre, own: F.coalesce(own, pre)),
+}
+
+
+def carry(df: DataFrame, *stages: Mapping[str, tuple[str, F.Column | str]], keys: Keys = "series_id", order: str = "t",
+          span: int = 1024) -> DataFrame:
+    """Add running values per series: name -> (kind, value), kinds ``sum``, ``product``, ``max``, ``min``, ``last``
+    (non-NULL so far), ``next`` (first non-NULL from here on) and ``lag`` (the row before).
+
+    A block is the rows of one series within ``span`` time steps.  Windows run inside
+    blocks; one summary row per block is scanned per series, and what it carries into a
+    block is combined with the local value.  So a hot series spreads over tasks.
+    Later stages may use the names of earlier ones; all share one exchange.
+    Rows without a time belong to no order and get NULLs.
     """
-    b = 1.0 - a
-    n = len(xs)
-    if adjust:
-        num = den = 0.0
-        nums, dens, vals = [0.0] * n, [0.0] * n, [None] * n
-        for i, x in enumerate(xs):
-            if den > 0:
-                num *= b
-                den *= b
-            if _valid(x):
-                num += x
-                den += 1.0
-            nums[i], dens[i] = num, den
-            vals[i] = num / den if den > 0 else None
-        return vals, nums, dens
-    vals, pre, As, Bs = [None] * n, [True] * n, [None] * n, [None] * n
-    m, last, A, B = None, None, 1.0, 0.0
-    for i, (x, r) in enumerate(zip(xs, rns)):
-        if _valid(x):
-            if m is None:
-                m, A, B = x, 1.0, 0.0
-            else:
-                w = b ** (r - last)
-                c = w / (w + a)
-                d = a * x / (w + a)
-                if m != x:
-                    m = (w * m + a * x) / (w + a)
-                A, B = c * A, c * B + d
-            last = r
-        if m is not None:
-            pre[i], As[i], Bs[i] = False, A, B
-        vals[i] = m
-    return vals, pre, As, Bs
-
-
-def _obj(s: pd.Series) -> list:
-    return [None if pd.isna(v) else v for v in s.astype(object).tolist()]
-
-
-def ewm(df: DataFrame, value: str, alphas: Mapping[str, float], adjust: bool = False,
-        keys: Keys = "series_id", order: str = "t", block_rows: int = DEFAULT_BLOCK_ROWS,
-        rn: str | None = None) -> DataFrame:
-    """Add one EWM-mean column per ``alphas`` entry (name -> alpha).
-
-    Plan: (1) one ``applyInPandas`` over (series, block) scans every block
-    from an empty state and emits per-row affine coefficients; (2) a grouped
-    aggregate reduces them to one row per block; (3) only for series that span
-    several blocks, a Python pass over those block rows (tiny) computes each
-    block's carry-in; (4) a join on (series, block) and JVM expressions apply
-    the carry.  A series shorter than ``block_rows`` goes through step 1 only.
-    ``rn`` names an existing 0-based row-position column; otherwise one is
-    computed with ``row_index``.  Output keeps every input column.
+    ks = _keys(keys)
+    out = _bucketed(df, ks, order, span)
+    block = ["pk_key", "pk_tb"]
+    rows = Window.partitionBy(*block).orderBy(order)
+    blocks = Window.partitionBy("pk_key").orderBy("pk_tb")
+    start, end = Window.unboundedPreceding, Window.unboundedFollowing
+    for outs in stages:
+        sums, ins, done = [], [], {}
+        for i, (name, (kind, x)) in enumerate(outs.items()):
+            x, inside, before = (F.col(x) if isinstance(x, str) else x), f"pk_s{i}", f"pk_i{i}"
+            if kind == "lag":
+                sums.append(F.max_by(F.struct(x.alias("v")), F.col(order)).alias(inside))
+                ins.append(F.lag(inside).over(blocks)["v"].alias(before))
+                first = F.row_number().over(rows) == 1
+                done[name] = F.when(first, F.col(before)).otherwise(F.lag(x).over(rows))
+                continue
+            local, total, prefix, both = _SCANS[kind]
+            sums.append(total(x, F.col(order)).alias(inside))
+            ahead = kind == "next"
+            ins.append(prefix(F.col(inside)).over(blocks.rowsBetween(1, end) if ahead else blocks.rowsBetween(start, -1)).alias(before))
+            done[name] = both(F.col(before), local(x).over(rows.rowsBetween(0, end) if ahead else rows.rowsBetween(start, 0)))
+        into = out.where(F.col(order).isNotNull()).groupBy(*block).agg(*sums).select(*block, *ins)
+        done = {n: F.when(F.col(order).isNotNull(), c) for n, c in done.items()}
+        out = out.join(into, block, "left").withColumns(done).drop(*[f"pk_i{i}" for i in range(len(outs))])
+    return out.drop(*block)
+
+
+# ------------------------------------------------------- one pass over blocks
+
+
+class _Block:
+    """The rows of one (series, block) in order, with the halo before them."""
+
+    def __init__(self, t: pa.Table, rn: str):
+        self.table = t
+        rows = t.column(rn).to_numpy()
+        self.order = np.argsort(rows, kind="stable")
+        self.rn = rows[self.order]
+        self.home = t.column(_HOME).to_numpy()[self.order].astype(bool)
+        self.cache: dict = {}
+
+    def values(self, name: str, shift: int = 0) -> np.ndarray:
+        if (name, shift) not in self.cache:
+            x = np.array(self.table.column(name).cast(pa.float64()).to_numpy(), float)[self.order]
+            x[~np.isfinite(x)] = np.nan
+            self.cache[name, shift] = series.shifted(x, shift) if shift else x
+        return self.cache[name, shift]
+
+    def trailing(self, name: str, shift: int, k: int, mp: int | None) -> dict:
+        key = (name, shift, k, mp, "trailing")
+        if key not in self.cache:
+            self.cache[key] = series.trailing(self.values(name, shift), k, mp)
+        return self.cache[key]
+
+    def stat(self, w: "Stat") -> np.ndarray:
+        if w.kind == "corr":
+            return series.trailing_corr(self.values(w.value, w.shift), self.values(w.other, w.shift), w.k, w.min_periods)
+        if w.kind == "lag":
+            return self.values(w.value, w.shift + w.k)
+        if w.kind == "roc":
+            return series.rate(self.values(w.value, w.shift), w.k)
+        return self.trailing(w.value, w.shift, w.k, w.min_periods)[w.kind]
+
+
+@dataclass(frozen=True)
+class Stat:
+    """One output column: ``kind`` is mean, std, sum, corr (with ``other``), lag or roc over the
+    trailing ``k`` rows of ``value`` taken ``shift`` rows earlier; ``min_periods`` is ``k`` by default."""
+
+    kind: str
+    value: str
+    k: int
+    min_periods: int | None = None
+    shift: int = 0
+    other: str | None = None
+
+
+@dataclass(frozen=True)
+class Ewm:
+    """Exponentially weighted mean of ``value`` taken ``shift`` rows earlier."""
+
+    value: str
+    alpha: float
+    adjust: bool = False
+    shift: int = 0
+
+
+_HOME, _BLK, _N, _RN = "pk_home", "pk_blk", "pk_n", "pk_rn"
+
+
+def series_pass(df: DataFrame, outs: Mapping[str, Stat | Ewm], keys: Keys = "series_id", order: str = "t",
+                block_rows: int = DEFAULT_BLOCK_ROWS, rn: str | None = None) -> DataFrame:
+    """Add all ``outs`` in one pass over (series, block) groups.
+
+    Every block sees the last rows of the one before (a halo of the longest
+    window), so no group holds more than ``block_rows`` plus the halo, however
+    long the series, and one exchange serves all columns.  EWMs need the state at the
+    block's start: for series of several blocks a narrow pass sums each block up in one
+    row, and a walk over those rows gives the states; series of one block skip it.
+    ``rn`` names a 0-based row position; otherwise it is computed.  Rows without
+    a position get NULLs.
     """
     ks = _keys(keys)
-    names = list(alphas)
-    avals = [float(alphas[n]) for n in names]
-    base = df if rn else row_index(df, ks, order, out="pk_rn")
-    rcol = rn or "pk_rn"
-    unplaced = base.where(F.col(rcol).isNull())  # no position: no mean, but the row stays
-    rows = with_blocks(base.where(F.col(rcol).isNotNull()), block_rows, rcol, "pk_blk")
-    gkeys = [*ks, "pk_blk"]
-    J = range(len(names))
-    dbl = T.DoubleType()
-    if adjust:
-        extra = [T.StructField(f"pk_l{j}", dbl) for j in J] + \
-                [T.StructField(f"pk_n{j}", dbl) for j in J] + [T.StructField(f"pk_d{j}", dbl) for j in J]
-    else:
-        extra = [T.StructField(f"pk_l{j}", dbl) for j in J] + \
-                [T.StructField(f"pk_A{j}", dbl) for j in J] + [T.StructField(f"pk_B{j}", dbl) for j in J] + \
-                [T.StructField("pk_pre", T.BooleanType()), T.StructField("pk_obs", T.BooleanType())]
-    local_schema = T.StructType(rows.schema.fields + extra)
-
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(rcol).reset_index(drop=True)
-        xs, rns = _obj(pdf[value]), pdf[rcol].astype("int64").tolist()
-        for j, a in zip(J, avals):
-            if adjust:
-                v, nums, dens = _local(xs, rns, a, True)
-                pdf[f"pk_l{j}"] = pd.array(v, dtype="Float64")
-                pdf[f"pk_n{j}"], pdf[f"pk_d{j}"] = nums, dens
+    outs = dict(outs)
+    ewms = {n: o for n, o in outs.items() if isinstance(o, Ewm)}
+    reach = max([o.shift + (o.k if isinstance(o, Stat) else 0) for o in outs.values()] + [1])
+    block_rows = max(block_rows, reach)
+    base, rcol = (_sized(df, ks, rn) if ewms else df, rn) if rn else (row_index(df, ks, order, out=_RN, size=_N), _RN)
+    own = df.columns
+    placed = with_blocks(base, block_rows, rcol, _BLK)  # rows without a position are spread over blocks of their own
+    placed = placed.withColumn(_BLK, F.coalesce(_BLK, -1 - F.monotonically_increasing_id() % 1024))
+    rows = halo(placed, reach + 1, block_rows, rcol, _BLK, _HOME).select(
+        *own, *([] if rn else [_RN]), _BLK, _HOME)
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.DoubleType()) for n in outs)])
+
+    def block(t: pa.Table, states: pa.Table | None = None) -> pa.Table:
+        if t.column(rcol).null_count:
+            out = t.select(own)
+            for n in outs:
+                out = out.append_column(n, pa.nulls(t.num_rows, pa.float64()))
+            return out
+        b = _Block(t, rcol)
+        start = states.column("states")[0].as_py() if states is not None and states.num_rows else None
+        cols = {}
+        for i, (n, o) in enumerate(outs.items()):
+            if isinstance(o, Stat):
+                cols[n] = b.stat(o)[b.home]
+        for (n, o), st in zip(ewms.items(), start or [None] * len(ewms)):
+            x = b.values(o.value, o.shift)[b.home]
+            cols[n], _ = series.ewm(x, b.rn[b.home], o.alpha, o.adjust, _state(st))
+        out = t.select(own).take(pa.array(b.order[b.home]))
+        for n in outs:
+            out = out.append_column(n, pa.array(cols[n], pa.float64(), mask=np.isnan(cols[n])))
+        return out
+
+    gk = [*ks, _BLK]
+    if ewms:
+        states = _block_states(placed.where((F.col(_N) > block_rows) & F.col(rcol).isNotNull()), ewms, ks, rcol, block_rows, reach)
+        return rows.groupBy(*gk).cogroup(states.groupBy(*gk)).applyInArrow(
+            lambda t, s: block(t, s) if t.num_rows else to_arrow_schema(schema).empty_table(), schema)
+    return rows.groupBy(*gk).applyInArrow(lambda t: block(t), schema)
+
+
+def _sized(df: DataFrame, ks: list[str], rn: str) -> DataFrame:
+    """``df`` with the number of placed rows of each series."""
+    n = df.groupBy(one_key(ks).alias("pk_key")).agg(F.count(rn).alias(_N))
+    return df.withColumn("pk_key", one_key(ks)).join(n, "pk_key").drop("pk_key")
+
+
+def _state(s: dict | None) -> tuple:
+    return (None, None, 0.0) if s is None or s["last"] is None else (s["last"], s["mean"], s["weight"])
+
+
+_STATES = pa.list_(pa.struct([("last", pa.int64()), ("mean", pa.float64()), ("weight", pa.float64())]))
+_STATES_SQL = "array<struct<last: long, mean: double, weight: double>>"
+
+
+def _block_states(placed: DataFrame, ewms: Mapping[str, Ewm], ks: list[str], rn: str, block_rows: int, reach: int) -> DataFrame:
+    """``(keys, block, states)``: the state of every EWM at the start of each block.
+
+    A block is summed up by what it does to any state: where its values begin and
+    end, the first one, and the affine map of the mean (and of the weight)."""
+    values = list(dict.fromkeys(o.value for o in ewms.values()))
+    rows = halo(placed.select(*ks, rn, _BLK, *values), reach + 1, block_rows, rn, _BLK, _HOME)
+    kf = ", ".join(f"`{k}` {placed.schema[k].dataType.simpleString()}" for k in ks)
+    gk = [*ks, _BLK]
+    part = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("x", pa.float64()),
+                               *((c, pa.float64()) for c in ("c", "d", "wc", "wd"))]))
+
+    def summary(t: pa.Table) -> pa.Table:
+        b, out = _Block(t, rn), []
+        for o in ewms.values():
+            x, at = b.values(o.value, o.shift)[b.home], b.rn[b.home]
+            have = np.flatnonzero(~np.isnan(x))
+            if not len(have):
+                out.append(None)
+                continue
+            v, pos = x[have], at[have]
+            w = (1.0 - o.alpha) ** np.diff(pos).astype(float)
+            if o.adjust:  # weighted sums relative to the first value
+                c, d = series.affine(np.append(1.0, w), np.append(0.0, v[1:] - v[0]))
+                wc, wd = series.affine(np.append(1.0, w), np.append(0.0, np.ones(len(w))))
             else:
-                v, pre, As, Bs = _local(xs, rns, a, False)
-                pdf[f"pk_l{j}"] = pd.array(v, dtype="Float64")
-                pdf[f"pk_A{j}"] = pd.array(As, dtype="Float64")
-                pdf[f"pk_B{j}"] = pd.array(Bs, dtype="Float64")
-                pdf["pk_pre"] = pre
-        if not adjust:
-            pdf["pk_obs"] = [_valid(x) for x in xs]
-        return pdf
-
-    loc = rows.groupBy(*gkeys).applyInPandas(local, local_schema)
-
-    # (2) one row per block, only for series with more than one block
-    r = F.col(rcol)
-    if adjust:
-        aggs = [F.min(r).alias("first_rn"), F.max(r).alias("last_rn")] + \
-               [F.max_by(f"pk_n{j}", r).alias(f"n{j}") for j in J] + \
-               [F.max_by(f"pk_d{j}", r).alias(f"d{j}") for j in J]
-    else:
-        obs = F.col("pk_obs")
-        aggs = [F.min(F.when(obs, r)).alias("f_rn"), F.max(F.when(obs, r)).alias("lo_rn"),
-                F.min_by(F.when(obs, F.col(value)), F.when(obs, r)).alias("f_x")] + \
-               [F.max_by(f"pk_A{j}", r).alias(f"A{j}") for j in J] + \
-               [F.max_by(f"pk_B{j}", r).alias(f"B{j}") for j in J]
-    blocks = loc.groupBy(*gkeys).agg(*aggs)
-    multi = (blocks.withColumn("_nb", F.count(F.lit(1)).over(Window.partitionBy(*ks)))
-             .where(F.col("_nb") > 1).drop("_nb"))
-
-    carry_fields = [f for f in rows.schema.fields if f.name in gkeys]
-    if adjust:
-        carry_fields += [T.StructField("prev_in", T.LongType())] + \
-                        [T.StructField(f"cn{j}", dbl) for j in J] + [T.StructField(f"cd{j}", dbl) for j in J]
-    else:
-        carry_fields += [T.StructField("last_in", T.LongType())] + [T.StructField(f"cm{j}", dbl) for j in J]
-    carry_schema = T.StructType(carry_fields)
-
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pk_blk").reset_index(drop=True)
-        out = {k: [pdf[k].iloc[0]] * len(pdf) for k in ks}
-        out["pk_blk"] = pdf["pk_blk"].tolist()
-        if adjust:
-            prev, nums, dens = None, [0.0] * len(J), [0.0] * len(J)
-            rec_prev, rec_n, rec_d = [], [[] for _ in J], [[] for _ in J]
-            for row in pdf.itertuples(index=False):
-                rec_prev.append(prev)
-                for j in J:
-                    rec_n[j].append(nums[j])
-                    rec_d[j].append(dens[j])
-                    dec = (1.0 - avals[j]) ** (row.last_rn - prev) if prev is not None else 0.0
-                    nums[j] = nums[j] * dec + getattr(row, f"n{j}")
-                    dens[j] = dens[j] * dec + getattr(row, f"d{j}")
-                prev = int(row.last_rn)
-            out["prev_in"] = rec_prev
-            for j in J:
-                out[f"cn{j}"], out[f"cd{j}"] = rec_n[j], rec_d[j]
-        else:
-            last, ms = None, [None] * len(J)
-            rec_last, rec_m = [], [[] for _ in J]
-            for row in pdf.itertuples(index=False):
-                rec_last.append(last)
-                for j in J:
-                    rec_m[j].append(ms[j])
-                if pd.isna(row.f_rn):
-                    continue
-                for j in J:
-                    a, m = avals[j], ms[j]
-                    if m is None:
-                        mf = row.f_x
-                    elif m == row.f_x:
-                        mf = m
-                    else:
-                        w = (1.0 - a) ** (row.f_rn - last)
-                        mf = (w * m + a * row.f_x) / (w + a)
-                    ms[j] = getattr(row, f"A{j}") * mf + getattr(row, f"B{j}")
-                last = int(row.lo_rn)
-            out["last_in"] = rec_last
-            for j in J:
-                out[f"cm{j}"] = rec_m[j]
-        return pd.DataFrame(out)
-
-    carries = multi.groupBy(*ks).applyInPandas(carry, carry_schema)
-
-    # (4) apply the carry with JVM expressions
-    if adjust:
-        j_ = join_same(loc, carries, gkeys)
-        res = {}
-        for j, n, a in zip(J, names, avals):
-            dec = F.pow(F.lit(1.0 - a), r - F.col("prev_in"))
-            num = F.col(f"pk_n{j}") + dec * F.col(f"cn{j}")
-            den = F.col(f"pk_d{j}") + dec * F.col(f"cd{j}")
-            res[n] = F.when(F.col("prev_in").isNull(), F.col(f"pk_l{j}")).otherwise(
-                F.when(den > 0, num / den))
-        out = j_.withColumns(res)
-    else:
-        fb = blocks.select(*gkeys, "f_rn", "f_x")
-        j_ = join_same(join_same(loc, carries, gkeys), fb, gkeys)
-        res = {}
-        for j, n, a in zip(J, names, avals):
-            m_in = F.col(f"cm{j}")
-            w = F.pow(F.lit(1.0 - a), F.col("f_rn") - F.col("last_in"))
-            mf = (F.when(m_in.isNull(), F.col("f_x")).when(m_in == F.col("f_x"), m_in)
-                  .otherwise((w * m_in + F.lit(a) * F.col("f_x")) / (w + F.lit(a))))
-            corrected = F.when(F.col("pk_pre"), m_in).otherwise(
-                F.col(f"pk_A{j}") * mf + F.col(f"pk_B{j}"))
-            res[n] = F.when(m_in.isNull() & F.col("last_in").isNull(), F.col(f"pk_l{j}")).otherwise(corrected)
-        out = j_.withColumns(res)
-    keep = [c for c in rows.columns if c != "pk_blk" and (rn or c != "pk_rn")]
-    none = [F.lit(None).cast("double").alias(n) for n in names]
-    return out.select(*keep, *names).unionByName(unplaced.select(*keep, *none))
+                c, d = series.affine(np.append(1.0, w / (w + o.alpha)), np.append(0.0, o.alpha / (w + o.alpha) * (v[1:] - v[0])))
+                wc = wd = np.zeros(1)
+            out.append({"first": int(pos[0]), "last": int(pos[-1]), "x": v[0], "c": c[-1], "d": d[-1], "wc": wc[-1], "wd": wd[-1]})
+        return pa.table([*(t.column(k).slice(0, 1) for k in gk), pa.array([out], part)], names=[*gk, "parts"])
+
+    sums = rows.groupBy(*gk).applyInArrow(
+        summary, f"{kf}, {_BLK} long, parts array<struct<first: long, last: long, x: double, c: double, d: double, wc: double, wd: double>>")
+
+    def walk(t: pa.Table) -> pa.Table:
+        t = t.take(pa.array(np.argsort(t.column(_BLK).to_numpy())))
+        now, out = [_state(None)] * len(ewms), []
+        for parts in t.column("parts").to_pylist():
+            out.append([{"last": s[0], "mean": s[1], "weight": s[2]} for s in now])
+            now = [_after(s, p, o) for s, p, o in zip(now, parts, ewms.values())]
+        return t.select(gk).append_column("states", pa.array(out, _STATES))
+
+    return sums.groupBy(*ks).applyInArrow(walk, f"{kf}, {_BLK} long, states {_STATES_SQL}")
+
+
+def _after(state: tuple, p: dict | None, o: Ewm) -> tuple:
+    """The state after a block that began with ``state``."""
+    if p is None:
+        return state
+    last, mean, weight = state
+    w = 0.0 if last is None else (1.0 - o.alpha) ** float(p["first"] - last)
+    dev = 0.0 if mean is None else mean - p["x"]  # deviations from the block's first value
+    if not o.adjust:
+        return p["last"], p["x"] + p["c"] * (w / (w + o.alpha) * dev) + p["d"], 1.0
+    weight = w * weight  # of what came before, at the first value
+    total = p["wc"] * (weight + 1) + p["wd"]
+    return p["last"], p["x"] + (p["c"] * weight * dev + p["d"]) / total, total
+
+
+def ewm(df: DataFrame, value: str, alphas: Mapping[str, float], adjust: bool = False, keys: Keys = "series_id",
+        order: str = "t", block_rows: int = DEFAULT_BLOCK_ROWS, rn: str | None = None) -> DataFrame:
+    """Add one EWM-mean column per ``alphas`` entry (name -> alpha); every input row and column stays."""
+    return series_pass(df, {n: Ewm(value, float(a), adjust) for n, a in alphas.items()}, keys, order, block_rows, rn)
 
 
 def ewm_spans(df: DataFrame, value: str, spans: Mapping[str, float], adjust: bool = False,
@@ -335,103 +370,25 @@ def ewm_spans(df: DataFrame, value: str, spans: Mapping[str, float], adjust: boo
 def rolling_blocked(df: DataFrame, cols: Mapping[str, tuple[str, str, int, int | None]],
                     keys: Keys = "series_id", order: str = "t",
                     block_rows: int = DEFAULT_BLOCK_ROWS, rn: str | None = None) -> DataFrame:
-    """Rolling statistics computed per (series, block) with a halo.
-
-    ``cols``: out name -> (stat, value column, k, min_periods).  Identical to
-    the per-series window, but no window partition is larger than
-    ``block_rows + k - 1`` rows.
-    """
-    from panelkit.operators import rolling as R
-    ks = _keys(keys)
-    kmax = max(k for _, _, k, _ in cols.values())
-    base = df if rn else row_index(df, ks, order, out="pk_rn")
-    rcol = rn or "pk_rn"
-    b = halo(with_blocks(base, block_rows, rcol, "pk_blk"), kmax, block_rows, rcol, "pk_blk")
-    w = Window.partitionBy(*ks, "pk_blk").orderBy(rcol)
-    fns = {"mean": R.roll_mean, "std": R.roll_std, "sum": R.roll_sum, "min": R.roll_min,
-           "max": R.roll_max}
-    exprs = {n: fns[s](v, k, w, mp) for n, (s, v, k, mp) in cols.items()}
-    return (b.withColumns(exprs).where("_home")
-            .drop("pk_blk", "_home", *([] if rn else ["pk_rn"])))
-
-
-# ------------------------------------------------------- windows of a block
-
-_CHUNK = 1 << 13
-
-
-def _trailing(u: np.ndarray, k: int, min_periods: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean, sample std and sum of every trailing k values of ``u`` (NaN = NULL)."""
-    n = len(u)
-    mean, std, total = (np.full(n, np.nan) for _ in range(3))
-    wide = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(k - 1, np.nan), u]), k)
-    for a in range(0, n, _CHUNK):
-        w = wide[a: a + _CHUNK]
-        have = ~np.isnan(w)
-        c = have.sum(1)
-        v = np.where(have, w, 0.0)
-        t = v.sum(1)
-        m = t / np.maximum(c, 1)
-        d = np.where(have, v - m[:, None], 0.0)
-        ok = c >= max(min_periods, 1)
-        mean[a: a + _CHUNK] = np.where(ok, m, np.nan)
-        total[a: a + _CHUNK] = np.where(ok, t, np.nan)
-        std[a: a + _CHUNK] = np.where(ok & (c > 1), np.sqrt((d * d).sum(1) / np.maximum(c - 1, 1)), np.nan)
-    return mean, std, total
-
-
-def _shifted(u: np.ndarray, j: int) -> np.ndarray:
-    out = np.full(len(u), np.nan)
-    if j < len(u):
-        out[j:] = u[: len(u) - j] if j else u
-    return out
+    """``cols``: out name -> (mean, std or sum; value column; k; min_periods)."""
+    return series_pass(df, {n: Stat(*c) for n, c in cols.items()}, keys, order, block_rows, rn)
 
 
 def window_stats(df: DataFrame, value: str, windows: Sequence[int], lags: Sequence[int], keys: Keys, rn: str,
                  min_periods: int | None = None, prefix: str = "", shifted: str = "_u",
-                 block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """Lagged, rolling and rate-of-change statistics of ``value`` in one pass.
-
-    Adds ``shifted`` = lag(value, 1) =: u and, for every window k, the columns
-    ``mean_k``, ``std_k``, ``cum_k`` (trailing k rows of u; ``min_periods``,
-    k by default) and ``roc_k`` = u / lag(u, k) - 1; for every j ``lag_j`` =
-    lag(value, j).  Rows are grouped by (series, block) with a halo of the
-    longest reach, so one exchange serves all windows and no group is larger
-    than ``block_rows`` plus the halo.  Rows without a position get NULLs.
-    """
-    ks = _keys(keys)
-    reach = max([*windows, *lags]) + 2
-    names = [f"{prefix}{s}_{k}" for k in windows for s in ("mean", "std", "roc", "cum")]
-    names += [f"{prefix}lag_{j}" for j in lags]
-    fields = [T.StructField(n, T.DoubleType()) for n in (shifted, *names)]
-    placed = df.where(F.col(rn).isNotNull())
-    rows = halo(with_blocks(placed, max(block_rows, reach), rn, "pk_wblk"), reach, max(block_rows, reach), rn,
-                "pk_wblk").withColumnRenamed("_home", "pk_home")
-    schema = T.StructType(df.schema.fields + fields)
-    own = df.columns
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(rn).reset_index(drop=True)
-        x = pdf[value].to_numpy(dtype="float64", na_value=np.nan).copy()
-        x[~np.isfinite(x)] = np.nan
-        home = pdf["pk_home"].to_numpy(dtype=bool)
-        u = _shifted(x, 1)
-        cols = {shifted: u}
-        for k in windows:
-            mean, std, total = _trailing(u, k, k if min_periods is None else min_periods)
-            base = _shifted(u, k)
-            with np.errstate(all="ignore"):
-                roc = np.where(base != 0, u / base, np.nan) - 1
-            roc[~np.isfinite(roc)] = np.nan
-            cols.update({f"{prefix}mean_{k}": mean, f"{prefix}std_{k}": std, f"{prefix}roc_{k}": roc,
-                         f"{prefix}cum_{k}": total})
-        for j in lags:
-            cols[f"{prefix}lag_{j}"] = _shifted(x, j)
-        new = pd.DataFrame({c: pd.arrays.FloatingArray(np.nan_to_num(v[home]), np.isnan(v[home]))
-                            for c, v in cols.items()})
-        old = pdf.loc[home, own].reset_index(drop=True)
-        return pd.concat([old, new], axis=1)
-
-    done = rows.groupBy(*ks, "pk_wblk").applyInPandas(block, schema)
-    none = [F.lit(None).cast("double").alias(f.name) for f in fields]
-    return done.unionByName(df.where(F.col(rn).isNull()).select("*", *none))
+                 block_rows: int = DEFAULT_BLOCK_ROWS, ewms: Mapping[str, float] | None = None) -> DataFrame:
+    """Lagged, rolling and rate-of-change statistics of ``value`` in one pass (see ``shifted_stats``)."""
+    return series_pass(df, shifted_stats(value, windows, lags, min_periods, prefix, shifted, ewms or {}), keys, rn, block_rows, rn)
+
+
+def shifted_stats(value: str, windows: Sequence[int], lags: Sequence[int], min_periods: int | None = None,
+                  prefix: str = "", shifted: str | None = None, ewms: Mapping[str, float] | None = None) -> dict[str, Stat | Ewm]:
+    """With u = lag(value, 1): ``mean_k``, ``std_k``, ``cum_k`` (trailing k rows of u) and ``roc_k`` = u / lag(u, k) - 1
+    for every window, ``lag_j`` = lag(value, j), EWMs of u, and u itself as ``shifted``."""
+    outs: dict[str, Stat | Ewm] = {shifted: Stat("lag", value, 1)} if shifted else {}
+    for k in windows:
+        for name, kind in (("mean", "mean"), ("std", "std"), ("roc", "roc"), ("cum", "sum")):
+            outs[f"{prefix}{name}_{k}"] = Stat(kind, value, k, min_periods, shift=1)
+    outs.update({f"{prefix}lag_{j}": Stat("lag", value, j) for j in lags})
+    outs.update({f"{prefix}{n}": Ewm(value, a, shift=1) for n, a in (ewms or {}).items()})
+    return outs

@@ -15,7 +15,7 @@ def test_exact_quantiles_match_numpy(spark):
     g = np.repeat([0, 1, 2], 1500)
     pdf = pd.DataFrame({"g": g, "v": v})
     df = spark.createDataFrame(pdf)
-    got = PR.exact_quantiles(df, "v", [0.1, 0.25, 0.5, 0.9], by="g", buckets=16).toPandas()
+    got = PR.exact_quantiles(df, "v", [0.1, 0.25, 0.5, 0.9], by="g").toPandas()
     for (k, q), r in got.set_index(["g", "q"]).iterrows():
         assert abs(r["quantile"] - np.quantile(pdf[pdf.g == k].v, q)) < 1e-12
     whole = PR.exact_quantiles(df, "v", [0.5]).first()["quantile"]
@@ -68,3 +68,58 @@ def test_business_day_matches_pandas(spark):
         got = [r[0] for r in spark.range(40).select(business_day("id", start)).collect()]
         ref = pd.bdate_range(start=start, periods=40)
         assert [d.isoformat() for d in got] == [d.date().isoformat() for d in ref]
+
+
+def test_enet_cv_is_the_direct_one(spark):
+    """CV losses and the refit against a plain solve on the rows; any chunk gives the same."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(400, 4))
+    y = x @ [0.8, 0.0, -0.3, 0.0] + 0.5 * rng.normal(size=400) + 3
+    fold = np.arange(400) * 5 // 400
+    rows = [(g, int(f), *map(float, r), float(t)) for g in (None, 7) for f, r, t in zip(fold, x, y)]
+    df = spark.createDataFrame(rows, "g long, fold int, a double, b double, c double, d double, y double")
+    alphas = [0.01, 0.03, 0.1, 0.3, 1.0]
+
+    def solved(xs, ys, a):
+        C, c = np.cov(xs.T, bias=True), (xs - xs.mean(0)).T @ (ys - ys.mean()) / len(ys)
+        w = LI.enet_cd(C, c, a, 0.5)
+        assert LI.kkt_violation(C, c, w, a, 0.5) < 1e-8
+        return w, ys.mean() - xs.mean(0) @ w
+
+    want = {}
+    for a in alphas:
+        loss = []
+        for f in range(5):
+            w, b = solved(x[fold != f], y[fold != f], a)
+            loss.append(((x[fold == f] @ w + b - y[fold == f]) ** 2).mean())
+        want[a] = np.mean(loss)
+    for chunk in (1, 2, 10):
+        cv, model = LI.enet_cv(df, ["a", "b", "c", "d"], "y", by="g", alphas=alphas, chunk=chunk)
+        got = {(r.g, r.alpha): r.mse for r in cv.collect()}
+        assert set(got) == {(g, a) for g in (None, 7) for a in alphas}
+        for (_, a), v in got.items():
+            assert abs(v - want[a]) < 1e-9
+        w, b = solved(x, y, min(want, key=want.get))
+        for r in model.collect():
+            np.testing.assert_allclose(r.coef, w, atol=1e-7)
+            assert abs(r.intercept - b) < 1e-7
+
+
+def test_quantiles_of_any_size_with_null_keys(spark):
+    rng = np.random.default_rng(1)
+    rows = [(None, float(v)) for v in rng.normal(size=25_000)] + [(1, float(v)) for v in rng.integers(0, 3, 4000)]
+    rows += [(k, float(v)) for k in range(2, 40) for v in rng.normal(size=k)] + [(50, None), (51, float("nan")), (52, 5.0)]
+    df = spark.createDataFrame(rows, "g long, v double")
+    qs = [0.0, 0.01, 0.25, 0.5, 0.777, 1.0]
+    got = {(r.g, r.q): r.quantile for r in PR.exact_quantiles(df, "v", qs, by="g").collect()}
+    pdf = pd.DataFrame(rows, columns=["g", "v"])
+    pdf = pdf[pdf.v.notna()]
+    pdf["g"] = pdf.g.astype(float).fillna(-1)
+    want = {(None if g < 0 else int(g), q): np.quantile(x.v, q) for g, x in pdf.groupby("g") for q in qs}
+    assert set(got) == set(want)
+    for k, v in want.items():
+        assert abs(got[k] - v) < 1e-12, k
+    d = {r.g: r for r in PR.describe(df, by="g", value="v").collect()}
+    assert abs(d[None].q50 - want[None, 0.5]) < 1e-12 and d[50].q50 is None and d[50]["count"] == 0
+    b = {r.g: r for r in PR.box_stats(df, "v", by="g").collect()}
+    assert abs(b[None].q3 - np.quantile(pdf[pdf.g == -1].v, 0.75)) < 1e-12
