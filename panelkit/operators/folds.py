@@ -59,6 +59,23 @@ def kfold_contiguous(df: DataFrame, k: int, keys: Keys = (), rn: str = "rn", n:
     return df.withColumn("fold", fold.cast("int"))
 
 
+def fold_dates(rows: DataFrame, folds: DataFrame, order: str = "t", keys: Keys = "series_id",
+               rn: str = "rn") -> DataFrame:
+    """Train/test start, end and size of every valid fold with train rows (V5) from its bounds: only the rows at
+    a bound are read, no row is copied."""
+    ks = _keys(keys)
+    f = folds.where("valid and train_hi > 0")
+    at = F.array(F.lit(0).cast("long"), F.col("train_hi") - 1, F.col("test_lo"), F.col("test_hi") - 1)
+    bounds = f.groupBy(*ks).agg(F.array_distinct(F.flatten(F.collect_list(at))).alias("pk_bounds"))
+    marks = attach(rows.select(*ks, rn, order), bounds, ks).where(F.array_contains("pk_bounds", F.col(rn)))
+    marks = marks.groupBy(*ks).agg(F.map_from_entries(F.collect_list(F.struct(rn, order))).alias("pk_m"))
+    t = lambda pos: F.col("pk_m")[pos]
+    return attach(f, marks, ks).select(
+        *ks, "fold", t(F.lit(0).cast("long")).alias("train_start"), t(F.col("train_hi") - 1).alias("train_end"),
+        t(F.col("test_lo")).alias("test_start"), t(F.col("test_hi") - 1).alias("test_end"),
+        F.col("train_hi").alias("train_size"), (F.col("test_hi") - F.col("test_lo")).alias("test_size"))
+
+
 def fold_metadata(assigned: DataFrame, order: str = "t", by: Keys = ("series_id",)) -> DataFrame:
     """Train/test start, end and size per fold (V5)."""
     ks = [*_keys(by), "fold"]
