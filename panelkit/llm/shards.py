@@ -1,13 +1,15 @@
 """Vector bin packing of documents into shards.
 
-Every group (equal texts) is a vector (bytes, tokens, rows).  The law is
+Every group (equal texts) is a vector (bytes, tokens, rows); tokens are counted by a
+tokenizer.  The law is
 ``bytes``: shard sizes come out near equal, and among the shards that still
 have room in bytes a group goes where the dot product of its vector with the
 residual capacities is highest, so tokens and rows are balanced as well.
 
-Nothing that grows with the corpus reaches the driver.  Groups are summed by a
-fixed number of cells (``cells_per_shard`` x shards, by hash of the text), so a
-cell holds whole groups; a group that is heavier than a shard's
+What reaches the driver is bounded.  Groups are summed by cells (by hash of the
+text; ``cells_per_shard`` a shard, more with the root of the number of groups up to
+``MAX_CELLS``), and cells are packed, not single groups: a cell holds whole groups
+and is a small part of a shard; a group that is heavier than a shard's
 ``1 / split`` in any dimension leaves its cell and is cut into pieces by a hash
 of the row's number, which is written once with the rows, so rows that share a
 doc_id spread too (at most 3 x split x shards such groups exist).  The driver packs
@@ -20,17 +22,25 @@ are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelkit.llm.bpe import each_slice, encoder
 from panelkit.llm.store import stored
 
 CELLS_PER_SHARD = 256
 SPLIT = 32
 OVERHEAD = 16
-#: token estimate: runs of letters or digits, and single signs
-TOKEN_PATTERN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
+MAX_CELLS = 4096
+FILE_ROWS, FILES = 1 << 16, 64  # rows of neighbouring slots in one file, and the most files of a shard
+#: share of a shard by which levelling may move tokens or rows beyond their present extremes
+SLACK = 0.05
 
 
 def pack(items: np.ndarray, shards: int) -> np.ndarray:
@@ -55,44 +65,75 @@ def pack(items: np.ndarray, shards: int) -> np.ndarray:
         s = int(np.argmax(dot))
         out[i] = s
         left[s] -= v[i]
-    return _level(items[:, 0].astype(float), out, shards)
+    return _level(v, out, shards)
 
 
-def _level(size: np.ndarray, where: np.ndarray, shards: int) -> np.ndarray:
-    """Move single items from the fullest shard to the emptiest while that
-    brings the two closer; the packing leaves little to do."""
-    total = np.bincount(where, size, shards)
+def _level(v: np.ndarray, where: np.ndarray, shards: int) -> np.ndarray:
+    """Move an item from the shard with most bytes to the one with least, or swap two, while
+    that brings them closer and leaves the spread of tokens and rows as it is (or within
+    ``SLACK`` of their mean); the packing leaves little to do.  ``v`` is in shares of a shard."""
+    total = np.stack([np.bincount(where, c, shards) for c in v.T], 1)
     for _ in range(40 * shards):
-        hi, lo = int(total.argmax()), int(total.argmin())
-        gap = total[hi] - total[lo]
-        if gap <= 1e-3 * total.mean():
-            break
-        own = np.flatnonzero((where == hi) & (size > 0) & (size < gap))
-        if not len(own):
+        hi, lo = int(total[:, 0].argmax()), int(total[:, 0].argmin())
+        gap = total[hi, 0] - total[lo, 0]
+        if gap <= 1e-3:
             break
-        i = own[np.argmin(np.abs(size[own] - gap / 2))]
-        if min(size[i], gap - size[i]) <= 0.01 * gap:
+        mean = total.mean(0)
+        top, low = np.maximum(total.max(0), mean + SLACK), np.minimum(total.min(0), mean - SLACK)
+        mine, other = np.flatnonzero(where == hi), np.flatnonzero(where == lo)
+        # a move is a swap with nothing; of lo's items the one whose size leaves half the gap
+        other = np.append(other[np.argsort(v[other, 0], kind="stable")], -1)
+        weight = np.vstack([v, np.zeros(v.shape[1])])
+        near = np.searchsorted(weight[other[:-1], 0], weight[mine, 0] - gap / 2)
+        pairs = [(mine, np.full(len(mine), -1))]
+        pairs += [(mine, other[np.clip(near - k, 0, len(other) - 2)]) for k in (0, 1) if len(other) > 1]
+        i, j = (np.concatenate(x) for x in zip(*pairs))
+        d = weight[i] - weight[j]
+        gain = np.minimum(d[:, 0], gap - d[:, 0])
+        fair = (total[lo, 1:] + d[:, 1:] <= top[1:]).all(1) & (total[hi, 1:] - d[:, 1:] >= low[1:]).all(1)
+        fair &= (total[hi, 1:] - d[:, 1:] <= top[1:]).all(1) & (total[lo, 1:] + d[:, 1:] >= low[1:]).all(1)
+        gain[~fair] = -1
+        best = int(gain.argmax()) if len(gain) else -1
+        if best < 0 or gain[best] <= 0.01 * gap:
             break
-        where[i] = lo
-        total[hi] -= size[i]
-        total[lo] += size[i]
+        where[i[best]] = lo
+        if j[best] >= 0:
+            where[j[best]] = hi
+        total[hi] -= d[best]
+        total[lo] += d[best]
     return where
 
 
+def _measured(tokenizer: str):
+    """``(at, text)`` -> the sizes and hashes of each text; tokens as the library counts them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer)
+        for b in batches:
+            n = [enc.counts(d, o) for _, _, d, o in each_slice(b)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(n) if n else [], pa.int64())],
+                                             names=[*b.schema.names[:-1], "tokens"])
+    return run
+
+
 def shard_plan(docs: DataFrame, shards: int = 40, cells_per_shard: int = CELLS_PER_SHARD, split: int = SPLIT,
-               overhead: int = OVERHEAD) -> DataFrame:
+               overhead: int = OVERHEAD, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
     """``(doc_id, size, text_crc32, law, shard, slot, grown_shard)`` for each row."""
+    return _plan(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("at")), shards, cells_per_shard, split,
+                 overhead, tokenizer).drop("at")
+
+
+def _plan(docs: DataFrame, shards: int, cells_per_shard: int, split: int, overhead: int, tokenizer: str) -> DataFrame:
     spark = docs.sparkSession
-    cells = shards * cells_per_shard
     text = F.coalesce("text", F.lit(""))
     rows = stored(docs.select(
-        "doc_id", (F.octet_length(text) + overhead).cast("long").alias("size"),
-        F.regexp_count(text, F.lit(TOKEN_PATTERN)).cast("long").alias("tokens"),
-        F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("g"),
-        F.octet_length(text).alias("n"), F.monotonically_increasing_id().alias("at")), "shard-rows")
+        "doc_id", (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.xxhash64(text).alias("g"), F.octet_length(text).alias("n"), "at", text.alias("text")).mapInArrow(
+        _measured(tokenizer), "doc_id long, size long, text_crc32 long, g long, n int, at long, tokens long"), "shard-rows")
     sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")]
     groups = stored(rows.groupBy("g", "n").agg(*sums), "shard-groups")
-    total = groups.agg(*[F.sum(c) for c in ("size", "tokens", "rows")]).first()
+    *total, n_groups = groups.agg(*[F.sum(c) for c in ("size", "tokens", "rows")], F.count(F.lit(1))).first()
+    # cells grow with the root of the number of groups, up to MAX_CELLS a shard
+    cells = shards * min(MAX_CELLS, max(cells_per_shard, math.isqrt(n_groups) // 4))
     heavy: Column = F.lit(False)
     weight: Column = F.lit(0.0)
     for name, t in zip(("size", "tokens", "rows"), total):
@@ -125,12 +166,19 @@ def shard_plan(docs: DataFrame, shards: int = 40, cells_per_shard: int = CELLS_P
             & F.col("hn").eqNullSafe(F.col("m")) & F.col("piece").eqNullSafe(F.col("p")))
     return numbered.join(plan, same).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-        (F.col("first") + F.col("rn")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-
-
-def write_shards(docs: DataFrame, plan: DataFrame, path: str) -> None:
-    """Write ``docs`` with their shard as one folder a shard, ordered by slot in
-    each file.  ``plan`` is ``shard_plan(docs)``; doc_id must be unique here."""
-    where = plan.select("doc_id", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    (docs.join(where, "doc_id").repartition("_shard", F.pmod("_slot", F.lit(16)))
-     .sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").parquet(path))
+        (F.col("first") + F.col("rn")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "at")
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 40, cells_per_shard: int = CELLS_PER_SHARD, split: int = SPLIT,
+                 overhead: int = OVERHEAD, tokenizer: str = "byte_bpe_50k.json") -> None:
+    """Write every row of ``docs`` (all its columns) as one folder ``shard=k`` per shard, ordered by slot
+    in each file.  Rows are numbered and written once before, so NULL and repeated doc_ids keep
+    their own places; ``docs`` must have no column ``shard``."""
+    if "shard" in [c.lower() for c in docs.columns]:
+        raise ValueError("the folders' column is named shard")
+    at, slot = (f"{c}_{uuid.uuid4().hex}" for c in ("at", "slot"))
+    rows = stored(docs.withColumn(at, F.monotonically_increasing_id()), "numbered-rows")
+    plan = _plan(rows.select("doc_id", "text", F.col(at).alias("at")), shards, cells_per_shard, split, overhead, tokenizer)
+    plan = plan.select(F.col("at").alias(at), "shard", F.col("slot").alias(slot))
+    (rows.join(plan, at).repartition("shard", F.pmod(F.xxhash64(F.floor(F.col(slot) / FILE_ROWS)), F.lit(FILES)))
+     .sortWithinPartitions("shard", slot).drop(at, slot).write.partitionBy("shard").parquet(path))
