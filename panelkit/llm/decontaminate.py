@@ -77,16 +77,17 @@ def _windows(rows: DataFrame, length: Column) -> DataFrame:
 def _hits(docs: DataFrame, benchmark: DataFrame, span: int, k: int) -> tuple[DataFrame, DataFrame]:
     """``(measured, hits)``: every row's key with ``n_words``, and the windows
     ``(doc_id, h, pos, len, item_id)`` found in documents."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism  # a small file is one task otherwise
     items = stored(benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
-                   .withColumn("len", F.least(F.size("w"), F.lit(span))), "benchmark-words")
+                   .withColumn("len", F.least(F.size("w"), F.lit(span))).repartition(cores, "item_id", "w"), "benchmark-words")
     item_windows = stored(_windows(items, F.col("len")).select("win", "len", "item_id").distinct(), "benchmark-windows")
     short = sorted(r.len for r in items.where(F.col("len") < span).select("len").distinct().collect())
-    marks = fingerprints(_word_hashes(items.where(F.col("len") == span).select("w")), span, k) \
-        .select(F.explode("fp").alias("f"))
+    # the fingerprints are written as arrays first: an explode on top would work them out for every entry
+    whole = fingerprints(_word_hashes(items.where(F.col("len") == span).select("w")), span, k).select("fp")
     for m in short:
-        marks = marks.unionByName(_word_hashes(items.where(F.col("len") == m).select("w"))
-                                  .select(F.explode(_grams(F.col("wh"), F.col("n_words"), m)).alias("f")))
-    marks = stored(marks.distinct(), "benchmark-marks")
+        whole = whole.unionByName(_word_hashes(items.where(F.col("len") == m).select("w"))
+                                  .select(_grams(F.col("wh"), F.col("n_words"), m).alias("fp")))
+    marks = stored(stored(whole, "item-marks").select(F.explode("fp").alias("f")).distinct(), "benchmark-marks")
 
     key = F.xxhash64("text", F.octet_length("text"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -136,7 +137,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark window, all columns kept."""
     _, hits = _hits(docs, benchmark, span, k)
-    bad = stored(hits.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct(), "contaminated")
+    bad = stored(hits.select("doc_id", "h").distinct(), "contaminated")
     text = F.coalesce(docs["text"], F.lit(""))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_d"))
-                     & (F.xxhash64(text, F.octet_length(text)) == F.col("_h")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(text, F.octet_length(text)) == bad["h"]),
+                     "left_anti")
