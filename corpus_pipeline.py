@@ -2,6 +2,12 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all its predecessor
 kept; all but the last return the columns of ``documents``.
+
+Defined results: null and empty texts are scored like others and, where kept,
+are no one's near duplicate; of rows equal in doc_id and text one stays; rows
+without doc_id stay only where their whole group of near duplicates has none; of a
+group the smallest doc_id stays, so ties do not occur; an empty table gives an
+empty result; extra columns pass through every stage but the last.
 """
 
 from __future__ import annotations
@@ -15,8 +21,7 @@ from panelkit.sources.tables import table
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the classifier, fitted on the labelled ones, rejects."""
-    stats = stored(quality.document_statistics(docs), "quality-stats")
-    return quality.keep_good(docs, quality.fit(stats, table(spark, sf_dir, "labels")))
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,13 +21,16 @@ empty result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelkit.llm.bpe import each_slice
 from panelkit.llm.line_rules import measures
@@ -231,10 +234,22 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scores(stats, fit(stats, labels))
 
 
-def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` whose score is 0.5 or more, all columns kept."""
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose score is 0.5 or more, all columns kept.  The
+    statistics are worked out once: written with the rows, they train the model and are scored."""
+    x = f"x_{uuid.uuid4().hex}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, d, o in each_slice(b):
-                yield b.slice(i, j - i).filter(pa.array(model.score(statistics(d, o)) >= 0.5))
-    return docs.mapInArrow(run, docs.schema)
+                yield b.slice(i, j - i).append_column(x, pa.array(list(statistics(d, o)), pa.list_(pa.float64())))
+
+    rows = stored(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(x, T.ArrayType(T.DoubleType()))])),
+                  "quality-rows")
+    model = fit(rows.select("doc_id", F.col(x).alias("x")), labels)
+
+    @F.pandas_udf("boolean")
+    def good(v: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.stack(v.to_list())) >= 0.5) if len(v) else pd.Series([], dtype=bool)
+
+    return rows.where(good(x)).drop(x)
