@@ -2,6 +2,7 @@
 
 import zlib
 
+import brute
 import numpy as np
 import pytest
 
@@ -41,6 +42,68 @@ def test_quality_odd_rows(spark):
     assert quality.classify(odd.limit(0), bad).count() == 0
 
 
+def _plain_statistics(text):
+    """The statistics of one text, word by word."""
+    import re
+    t = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    (_, n, chars, symbols, dups, repeats, _, _), = brute.line_rules([(0, t)])
+    lost = 0
+    seen = set()
+    for line in t.split("\n"):
+        x = re.findall(r"[^\x20\x09-\x0D]+", line)
+        if x:
+            size, signs = sum(map(len, x)), len(re.findall(r"[#*$%&|<>]", line))
+            bad = line in seen or signs > 0.1 * max(size, 1) or x.count("|") >= 3
+            lost += size if bad or len(x) >= 3 and sum("!!" in y for y in x) > 0.5 * len(x) else 0
+            seen.add(line)
+    b, nw, nc = t.encode(), max(n, 1), max(chars, 1)
+    lines = b.count(b"\n")
+    ends = [x.encode()[-1:] in (b"!", *(bytes([c]) for c in b"#*$%&|<>")) for x in w]
+    return [np.log1p(n), chars / nw, sum(65 <= c <= 90 for c in b) / nc, sum(48 <= c <= 57 for c in b) / nc, symbols / nc,
+            b.count(b"!") / nc, w.count("|") / nw,
+            sum(32 < c < 127 and not chr(c).isalnum() for c in b) / nc, sum(ends) / nw, np.log1p(lines) - np.log1p(n),
+            len(set(w)) / nw, repeats / nw, dups / (lines + 1), sum(c >= 0xC0 for c in b) / nc,
+            sum(len(x.encode()) <= 3 for x in w) / nw, lost / nc]
+
+
+def test_quality_is_the_plain_computation(spark):
+    """Statistics, ridge solution and calibration against numpy on all rows at once; a very long text among them."""
+    rows = [tuple(r) for r in table(spark, SF, "documents").select("doc_id", "text").collect()]
+    rows += [(10 ** 6, "Long text, 3 words! " * 60_000), (10 ** 6 + 1, None), (10 ** 6 + 2, "é | | | ñ\n!!\n\n!!")]
+    labels = {r.doc_id: float(r.quality) for r in table(spark, SF, "labels").collect() if r.quality in (0, 1)}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    stats = {r.doc_id: np.array(r.x) for r in quality.document_statistics(frame).collect()}
+    for d, t in rows:
+        np.testing.assert_allclose(stats[d], _plain_statistics(t), rtol=1e-9, atol=1e-12)
+    model = quality.fit(quality.document_statistics(frame), table(spark, SF, "labels"))
+    crc = {d: zlib.crc32(str(d).encode()) for d, _ in rows}
+    use = [d for d, _ in rows if d in labels and crc[d] % 3 != 1]
+    x, y = np.stack([stats[d] for d in use]), np.array([labels[d] for d in use])
+    np.testing.assert_allclose(model.mean, x.mean(0), rtol=1e-9, atol=1e-12)
+    np.testing.assert_allclose(model.scale, np.sqrt(np.maximum(x.var(0), 1e-12)), rtol=1e-6)
+    cal = np.array([crc[d] // 3 % 4 == 0 for d in use])
+    z = model.features(x[~cal])
+    a = z.T @ z + quality.RIDGE * len(z) * np.diag([0.0] + [1.0] * quality.FEATURES)
+    w = np.linalg.solve(a, z.T @ y[~cal])
+    np.testing.assert_allclose(model.features(x) @ model.weights, model.features(x) @ w, atol=1e-6)
+    raw = model.raw(x[cal])
+    k = np.clip(((raw - quality.LOW) / (quality.HIGH - quality.LOW) * quality.BINS).astype(int), 0, quality.BINS - 1)
+    seen = np.unique(k)
+    n, t = np.array([(k == i).sum() for i in seen], float), np.array([y[cal][k == i].sum() for i in seen])
+    # the isotonic fit by its min-max formula
+    run_n, run_t = np.append(0, np.cumsum(n)), np.append(0, np.cumsum(t))
+    level = [max(min((run_t[j + 1] - run_t[i]) / (run_n[j + 1] - run_n[i]) for j in range(q, len(n))) for i in range(q + 1))
+             for q in range(len(n))]
+    np.testing.assert_allclose(model.levels, level, atol=1e-9)
+    got = {r.doc_id: r.score for r in quality.scores(quality.document_statistics(frame), model).collect()}
+    want = np.clip(np.interp(model.raw(np.stack([stats[d] for d, _ in rows])), model.edges, model.levels), 0, 1)
+    np.testing.assert_allclose([got[d] for d, _ in rows], want, atol=1e-9)
+    kept = quality.keep_good(frame.selectExpr("*", "1 as x", "text as x_"), table(spark, SF, "labels"))
+    assert kept.columns == ["doc_id", "text", "x", "x_"]
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for (d, _), v in zip(rows, want) if v >= 0.5)
+
+
 def test_isotonic():
     w = np.array([1.0, 2, 1, 1, 3])
     t = np.array([0.5, 0.4, 0.9, 0.1, 3])
@@ -67,6 +130,45 @@ def test_shards(spark):
     assert sorted((r.doc_id, r["size"], r.text_crc32) for r in rows) == want
 
 
+def test_shards_balance_tokens_and_rows(spark):
+    """The tokens are the library's; no dimension of the plan is far from even."""
+    from tokenizers import Tokenizer
+
+    from panelkit.llm import bpe
+    tok = Tokenizer.from_file(bpe.tokenizer_path("byte_bpe_50k.json"))
+    docs = [tuple(r) for r in table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text").collect()]
+    rows, by = _plan(table(spark, "/root/testdata/sf0.1", "documents"))
+    count = {d: len(e.ids) for (d, _), e in zip(docs, tok.encode_batch([t for _, t in docs], add_special_tokens=False))}
+    for measure, bound in ((lambda r: r["size"], 1.01), (lambda r: count[r.doc_id], 1.25), (lambda r: 1, 1.25)):
+        total = [sum(map(measure, x)) for x in by.values()]
+        assert max(total) / min(total) < bound, (max(total), min(total))
+
+
+def test_level_keeps_the_other_dimensions():
+    rng = np.random.default_rng(3)
+    v = rng.lognormal(0, 1, (3000, 3))
+    v = v / v.sum(0) * 12
+    where = rng.integers(0, 12, 3000)
+    before = np.stack([np.bincount(where, c, 12) for c in v.T], 1)
+    after = np.stack([np.bincount(shards._level(v, where.copy(), 12), c, 12) for c in v.T], 1)
+    assert np.ptp(after[:, 0]) < np.ptp(before[:, 0])
+    for d in (1, 2):
+        assert after[:, d].max() <= max(before[:, d].max(), 1 + shards.SLACK) + 1e-9
+        assert after[:, d].min() >= min(before[:, d].min(), 1 - shards.SLACK) - 1e-9
+
+
+def test_write_shards(spark, tmp_path):
+    """Rows without or with equal doc_ids keep their places; other columns come along."""
+    rows = [(None, "a", 1), (None, "a", 2), (None, None, 3), (5, "b", 4), (5, "c", 5), (5, "c", 5), (6, "", 6)] * 30
+    frame = spark.createDataFrame(rows, "doc_id long, text string, slot int")
+    shards.write_shards(frame, f"file://{tmp_path}/out", shards=4)
+    back = spark.read.parquet(f"file://{tmp_path}/out")
+    assert sorted(back.columns) == ["doc_id", "shard", "slot", "text"]
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(tuple, back.select("doc_id", "text", "slot").collect()), key=key) == sorted(rows, key=key)
+    assert {r.shard for r in back.select("shard").distinct().collect()} == {0, 1, 2, 3}
+
+
 def test_shards_hot_group(spark):
     """A group of copies with a third of all rows is cut; smaller groups stay together."""
     rows = [(i, "hot text " * 9) for i in range(3000)] + [(10000 + i, f"text {i // 2} " * (5 + i % 7)) for i in range(6000)]
@@ -165,3 +267,24 @@ def test_pipeline(spark, sf):
             assert set(after) == {r[0] for r in brute.contamination(before, items) if not r[-1]}
     out = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in out} == set(after) <= set(text)
+
+
+def test_pipeline_edges(spark):
+    """Odd rows and columns whose names the stages use themselves go through all stages; an empty table gives an empty one."""
+    words = " ".join(f"word{i} of a plain sentence," for i in range(40))
+    rows = [(None, None), (None, ""), (1, words), (1, words), (2, words + " more"), (3, ""), (3, None), (4, "x" * 100_000),
+            (None, "A text of its own. " + " ".join(f"p{i}" for i in range(60))), (5, "T " + " ".join(f"p{i}" for i in range(60)))]
+    frame = spark.createDataFrame([(d, t, len(t or ""), "b", 2, "g", 3.0) for d, t in rows],
+                                  "doc_id long, text string, n_chars int, _bucket string, _d int, _h string, x double")
+    for sf in (SF, "/root/testdata/sf0.001"):
+        docs = frame
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = corpus_pipeline.stored(stage(spark, docs, sf), f"edge-{name}")
+            assert out.schema == frame.schema
+            assert out.count() <= docs.count()
+            docs = out
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == docs.count()
+    docs = frame.limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.stored(stage(spark, docs, SF), f"none-{name}")
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
