@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from panelkit.catalog import ctes
 from panelkit.catalog import sqlgen as G
+from panelkit.catalog.q_features import _example_src
 from panelkit.catalog.q_score import SHARPE_OUT
-from panelkit.catalog.spec import register
+from panelkit.catalog.spec import REGISTRY, register
 from panelkit.functions import calendar as CAL
+from panelkit.operators import features as FE
 from panelkit.operators import folds as FO
 from panelkit.operators import linear as LI
 from panelkit.operators import order as OR
@@ -210,3 +212,103 @@ def t3_batch_validation(spark, sf_dir):
     more = e.where(odd & b.isin(2, 3)).withColumn("series_id", F.col("series_id") + F.when(b == 2, 100_000).otherwise(0))
     pred = e.where(~(odd & (b == 1))).withColumn("prediction", v).unionByName(more)
     return ST.validate_batches(pred, e, ["series_id", "t"])
+
+
+# ---------------------------------------------------- operators on a NULL key
+
+_KEYED = "CASE WHEN l_suppkey = 3 THEN -1 ELSE l_suppkey END AS series_id"
+
+
+def _twin(name: str) -> tuple[str, list]:
+    """The twin of a registered query over the panel whose series 3 has no key."""
+    q = REGISTRY[name]
+    sql = q.sql.replace("l_suppkey AS series_id", _KEYED).replace("GROUP BY l_suppkey, CAST(l_shipdate AS DATE))", "GROUP BY ALL)")
+    return f"SELECT * REPLACE (CASE WHEN series_id >= 0 THEN series_id END AS series_id) FROM ({sql}) AS keyed", list(q.out)
+
+
+def _numbered_key():
+    return F.when(F.col("l_suppkey") == 3, F.lit(-1)).otherwise(F.col("l_suppkey")).cast("long")
+
+
+def _no_key(df):
+    return df.withColumn("series_id", F.when(F.col("series_id") >= 0, F.col("series_id")))
+
+
+@register("p8_first_complete_null_key", *_twin("p8_first_complete"))
+def p8_first_complete_null_key(spark, sf_dir):
+    """P8 where one series has no key."""
+    g = _no_key(T.panel_gaps(spark, sf_dir, _numbered_key()))
+    return FE.first_complete(g, ["P1", "E1", "V1"]).select("series_id", "t", "P1", "E1", "V1")
+
+
+@register("p9_median_fill_null_key", *_twin("p9_median_fill"))
+def p9_median_fill_null_key(spark, sf_dir):
+    """P9 by medians where one series has no key."""
+    g = _no_key(T.panel_gaps(spark, sf_dir, _numbered_key()))
+    return FE.impute_global_median(g, ["E1", "P1"]).select("series_id", "t", "E1", "P1")
+
+
+@register("p6_example_dataset_null_key", *_twin("p6_example_dataset"))
+def p6_example_dataset_null_key(spark, sf_dir):
+    """P6 where one series has no key."""
+    return FE.example_dataset(_no_key(_example_src(spark, sf_dir, _numbered_key())))
+
+
+@register("w16_bfill_ffill_null_key", *_twin("w16_bfill_ffill"))
+def w16_bfill_ffill_null_key(spark, sf_dir):
+    """Carried values where one series has no key."""
+    g, names = _no_key(T.panel_gaps(spark, sf_dir, _numbered_key())), ("P1", "E1", "M1")
+    f = scan.carry(g, {f"{k}_{c}": (k, c) for c in names for k in ("next", "last")}, span=200)
+    return f.select("series_id", "t", *[F.coalesce(f"next_{c}", f"last_{c}").alias(f"{c.lower()}_filled") for c in names])
+
+
+@register("w3_rolling_std_null_key", *_twin("w3_rolling_std"))
+def w3_rolling_std_null_key(spark, sf_dir):
+    """Rolling std over blocks of 300 rows where one series has no key."""
+    p = _no_key(T.panel(spark, sf_dir, _numbered_key()).select("series_id", "t", "forward_returns"))
+    return scan.series_pass(p, {f"fr_std_{k}": scan.Stat("std", "forward_returns", k) for k in FE.WINDOWS},
+                            block_rows=300).drop("forward_returns")
+
+
+@register("s7_perf_metrics_null_key", *_twin("s7_perf_metrics"))
+def s7_perf_metrics_null_key(spark, sf_dir):
+    """Performance metrics where one strategy has no key."""
+    return S.perf_metrics(_no_key(T.scores(spark, sf_dir, _numbered_key())).withColumnRenamed("prediction", "position"), by="series_id")
+
+
+@register("f1_describe_null_key", ctes.PANEL + """,
+k AS (SELECT CASE WHEN series_id <> 3 THEN series_id END AS series_id, px FROM panel)
+SELECT series_id, count(px) AS count, avg(px) AS mean, stddev_samp(px) AS std, min(px) AS min, quantile_cont(px, 0.25) AS q25,
+       quantile_cont(px, 0.5) AS q50, quantile_cont(px, 0.75) AS q75, max(px) AS max FROM k GROUP BY series_id""",
+          [("series_id", "i"), ("count", "i"), *((c, 6) for c in ("mean", "std", "min", "q25", "q50", "q75", "max"))])
+def f1_describe_null_key(spark, sf_dir):
+    """Describe by series where one has no key."""
+    p = T.panel(spark, sf_dir).select(F.when(F.col("series_id") != 3, F.col("series_id")).alias("series_id"), "px")
+    return PR.describe(p, by="series_id", value="px")
+
+
+@register("f10_box_null_key", ctes.PANEL + """,
+k AS (SELECT CASE WHEN series_id <> 3 THEN series_id END AS series_id, px FROM panel),
+q AS (SELECT series_id, quantile_cont(px, 0.25) AS q1, quantile_cont(px, 0.5) AS median, quantile_cont(px, 0.75) AS q3
+      FROM k GROUP BY series_id)
+SELECT q.series_id, q1, median, q3, count(*) FILTER (WHERE NOT (px BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))) AS outliers
+FROM k JOIN q ON k.series_id IS NOT DISTINCT FROM q.series_id GROUP BY ALL""",
+          [("series_id", "i"), ("q1", 6), ("median", 6), ("q3", 6), ("outliers", "i")])
+def f10_box_null_key(spark, sf_dir):
+    """Box statistics by series where one has no key."""
+    p = T.panel(spark, sf_dir).select(F.when(F.col("series_id") != 3, F.col("series_id")).alias("series_id"), "px")
+    return PR.box_stats(p, "px", by="series_id")
+
+
+@register("s2_s3_null_key", ctes.PANEL + """,
+k AS (SELECT CASE WHEN series_id <> 3 THEN series_id END AS series_id, t, forward_returns AS p, qty AS v FROM panel),
+st AS (SELECT series_id, avg(p) AS mu, stddev_pop(p) AS sigma, median(v) AS vm FROM k GROUP BY series_id)
+SELECT k.series_id, k.t, v / vm AS vol_factor,
+       least(greatest(1 + 0.25 / (1 + 0.5 * (v / vm)) * (p - mu) / sigma, 0), 2) AS position
+FROM k JOIN st ON k.series_id IS NOT DISTINCT FROM st.series_id""", KEY + [("vol_factor", 6), ("position", 6)])
+def s2_s3_null_key(spark, sf_dir):
+    """Vol factor and positions where one series has no key."""
+    p = T.panel(spark, sf_dir).select(F.when(F.col("series_id") != 3, F.col("series_id")).alias("series_id"), "t",
+                                      F.col("forward_returns").alias("y_pred"), F.col("qty").cast("double").alias("v"))
+    d = S.vol_factor(p, "v", by="series_id").withColumn("rmse_factor", F.lit(0.0))
+    return S.signal_to_position(d, S.pred_stats(p, "series_id"), "series_id", regime=None)

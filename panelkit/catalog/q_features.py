@@ -54,7 +54,13 @@ def w7_ewm_adjust_true(spark, sf_dir):
 
 # ----------------------------------------------------------------- P1 / P2
 
-def _p1_sql() -> str:
+_TARGET_SQL = ctes.PANEL + """,
+tl AS (SELECT series_id, t, forward_returns, risk_free_rate, """ + G.log1p("market_forward_excess_returns") + """ AS y
+       FROM panel)"""
+
+
+def _p1_sql(source: str = _TARGET_SQL) -> str:
+    """P1 over ``tl(series_id, t, forward_returns, risk_free_rate, y)``."""
     cols = []
     for k in FE.WINDOWS:
         cols += [f"{G.roll('avg', 's', k)} AS MOM_mean_{k}",
@@ -64,9 +70,7 @@ def _p1_sql() -> str:
     cols += [f"{G.lag('y', j)} AS MOM_lag_{j}" for j in FE.LAGS]
     names = FE.momentum_names()
     filled = ", ".join(f"coalesce({G.fin(n)}, -9999.0) AS {n}" for n in names)
-    return (ctes.PANEL + """,
-tl AS (SELECT series_id, t, forward_returns, risk_free_rate, """ + G.log1p("market_forward_excess_returns") + """ AS y
-       FROM panel),
+    return (source + """,
 sh AS (SELECT *, lag(y, 1) OVER (PARTITION BY series_id ORDER BY t) AS s FROM tl)"""
             + G.ewm_ctes("sh", "s", {"MOM_ema_fast": A_FAST, "MOM_ema_slow": A_SLOW}) + f""",
 f AS (SELECT *, {', '.join(cols)} FROM ewm),
@@ -247,9 +251,9 @@ wide AS (SELECT series_id, t, market_forward_excess_returns AS target,
          FROM numbered)"""
 
 
-def _example_src(spark, sf_dir):
+def _example_src(spark, sf_dir, series=None):
     w = R.series_window()
-    p = T.panel(spark, sf_dir).withColumn("rn", F.row_number().over(w))
+    p = T.panel(spark, sf_dir, series).withColumn("rn", F.row_number().over(w))
     rn, sid = F.col("rn"), F.col("series_id")
     return p.select(
         "series_id", "t", F.col("market_forward_excess_returns").alias("target"),

@@ -225,3 +225,127 @@ def v4_walk_forward_folds(spark, sf_dir):
     """Per-fold metrics table of the walk-forward run."""
     _, fm = _wf(spark, sf_dir)
     return fm
+
+
+# the walk-forward run with one feature, which SQL can express: OLS on the fit rows of every fold
+_WF_ONE_SQL = _FOLDS_SQL + f""",
+src AS (SELECT series_id, t, {G.log1p('market_forward_excess_returns')} AS y, tax AS f, forward_returns AS fr, risk_free_rate AS rf
+        FROM market),
+vol AS (SELECT *, coalesce({G.roll('stddev_samp', 'y', 21)}, 0) AS v FROM src),
+vm AS (SELECT median(v) AS vm FROM vol),
+x AS (SELECT a.fold, a.rn, a.role, v.* FROM assigned a JOIN vol v USING (series_id, t) WHERE role IS NOT NULL),
+m AS (SELECT fold, regr_slope(y, f) AS w, regr_intercept(y, f) AS b FROM x WHERE role = 'fit' GROUP BY fold),
+p AS (SELECT x.*, m.b + m.w * f AS yp FROM x JOIN m USING (fold)),
+st AS (SELECT fold, avg(yp) AS mu, stddev_pop(yp) AS sigma FROM p WHERE role <> 'test' GROUP BY fold),
+tr AS (SELECT *, (y - yp) * (y - yp) AS e2 FROM p WHERE role <> 'test'),
+rr AS (SELECT fold, rn, {G.roll('avg', 'e2', 126, 50, 'fold', 'rn')} AS mt, {G.roll('avg', 'e2', 252, 50, 'fold', 'rn')} AS mb
+       FROM tr),
+ra AS (SELECT fold, sqrt(arg_max(mt, rn)) AS tail, median(sqrt(mb)) AS base FROM rr GROUP BY fold),
+pos AS (SELECT p.*, tail / base AS rmse_factor,
+               least(greatest(1 + 0.25 / (1 + 0.5 * (v / vm) + 0.5 * (tail / base)) * (yp - mu) / sigma, 0), 2) AS position
+        FROM p JOIN st USING (fold) JOIN ra USING (fold), vm WHERE role = 'test')"""
+
+
+def _wf_one(spark, sf_dir, fitter=None):
+    m = FE.target_log(T.market(spark, sf_dir), out="y_log").withColumn("f", F.col("tax"))
+    m = scan.series_pass(m, {"vol21": scan.Stat("std", "y_log", 21)}).withColumn("vol21", F.coalesce("vol21", F.lit(0.0)))
+    return WF.walk_forward(m, ["f"], "y_log", K, SIZE, GAP, vol="vol21", fitter=fitter)
+
+
+@register("v4_one_feature_oof", _WF_ONE_SQL + """
+SELECT series_id, t, fold, y AS y_log, yp AS y_pred_log, exp(yp) - 1 AS y_pred_arith, position FROM pos""",
+          [("series_id", "i"), ("t", "date"), ("fold", "i"), ("y_log", 8), ("y_pred_log", 8), ("y_pred_arith", 8), ("position", 8)])
+def v4_one_feature_oof(spark, sf_dir):
+    """Walk-forward over disjoint segments: out-of-fold predictions and positions of an OLS on one feature."""
+    oof, _ = _wf_one(spark, sf_dir)
+    return oof
+
+
+@register("v4_one_feature_folds", _WF_ONE_SQL + f""",
+d AS (SELECT fold, min(t) FILTER (WHERE role <> 'test') AS train_start, max(t) FILTER (WHERE role <> 'test') AS train_end,
+             min(t) FILTER (WHERE role = 'test') AS test_start, max(t) FILTER (WHERE role = 'test') AS test_end,
+             count(*) FILTER (WHERE role <> 'test') AS train_size, count(*) FILTER (WHERE role = 'test') AS test_size
+      FROM x GROUP BY fold),
+e AS (SELECT fold, 1 - sum((y - yp) * (y - yp)) / (var_pop(y) * count(*)) AS r2, avg((y - yp) * (y - yp)) AS mse,
+             avg(abs(y - yp)) AS mae, any_value(rmse_factor) AS rmse_factor FROM pos GROUP BY fold)
+SELECT 0 AS series_id, d.*, r2, mse, sqrt(mse) AS rmse, mae, rmse_factor, 'ok' AS status FROM d JOIN e USING (fold)""",
+          [("series_id", "i"), ("fold", "i"), ("train_start", "date"), ("train_end", "date"), ("test_start", "date"),
+           ("test_end", "date"), ("train_size", "i"), ("test_size", "i"), ("r2", 8), ("mse", 8), ("rmse", 8), ("mae", 8),
+           ("rmse_factor", 8), ("status", "s")])
+def v4_one_feature_folds(spark, sf_dir):
+    """The fold table of the same run."""
+    _, folds = _wf_one(spark, sf_dir)
+    return folds
+
+
+@register("v4_walk_forward_trees", None,
+          [("series_id", "i"), ("fold", "i"), ("status", "s"), ("train_size", "i"), ("test_size", "i"), ("best_iteration", "i"),
+           ("r2", 8), ("mse", 8), ("rmse", 8), ("mae", 8), ("adjusted_sharpe", 8)])
+def v4_walk_forward_trees(spark, sf_dir):
+    """Walk-forward with boosted trees (up to 5 000 rounds, patience 100 on each fold's eval rows)."""
+    m = FE.target_log(T.market(spark, sf_dir), out="y_log")
+    feats = {"f_lag1": scan.Stat("lag", "y_log", 1), "f_mean5": scan.Stat("mean", "y_log", 5, 1, shift=1),
+             "vol21": scan.Stat("std", "y_log", 21, 2, shift=1), "vol252": scan.Stat("std", "y_log", 252, 2, shift=1)}
+    m = scan.series_pass(m, feats)
+    m = m.withColumns({"f_disc": F.col("disc"), "f_tax": F.col("tax"),
+                       "regime": (F.col("vol21") > FE.HIGHVOL_RATIO * F.col("vol252")).cast("int")})
+    _, folds = WF.walk_forward(m, ["f_lag1", "f_mean5", "f_disc", "f_tax", "vol21"], "y_log", K, SIZE, GAP, vol="vol21",
+                               regime="regime", fitter=WF.TreeFitter())
+    return folds
+
+
+# the solutions of one standardised feature in closed form: soft threshold over 1 + ridge
+@register("m4_lasso_one_feature", ctes.PANEL + """,
+s AS (SELECT series_id, avg(tax) AS mt, stddev_pop(tax) AS st FROM panel GROUP BY series_id),
+z AS (SELECT p.series_id, (tax - mt) / CASE WHEN st = 0 OR st IS NULL THEN 1 ELSE st END AS z, qty AS y
+      FROM panel p JOIN s USING (series_id)),
+g AS (SELECT series_id, covar_pop(z, y) AS c, var_pop(z) AS v, avg(y) AS my, avg(z) AS mz FROM z GROUP BY series_id),
+w AS (SELECT *, sign(c) * greatest(abs(c) - 0.5, 0) / v AS w FROM g)
+SELECT series_id, w, my - mz * w AS intercept FROM w""", [("series_id", "i"), ("w", 6), ("intercept", 6)])
+def m4_lasso_one_feature(spark, sf_dir):
+    """Lasso with a penalty that leaves weights: quantity on the standardised tax, per series."""
+    p = T.panel(spark, sf_dir).withColumn("z", F.col("tax"))
+    z = LI.scaler_apply(p, LI.scaler_fit(p, ["z"], by="series_id"), ["z"], by="series_id")
+    m = LI.fit(z, ["z"], "qty", by="series_id", alpha=0.5, l1_ratio=1.0)
+    return m.select("series_id", F.element_at("coef", 1).alias("w"), "intercept")
+
+
+_ENET_ONE_SQL = ctes.PANEL + """,
+n AS (SELECT series_id, t, qty AS y, tax AS x, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS rn,
+             count(*) OVER (PARTITION BY series_id) AS n FROM panel),
+k AS (SELECT *, CAST(CASE WHEN rn < (n % 10) * (n // 10 + 1) THEN rn // (n // 10 + 1)
+                ELSE n % 10 + (rn - (n % 10) * (n // 10 + 1)) // (n // 10) END AS INTEGER) AS fold FROM n),
+a AS (SELECT power(10.0::DOUBLE, -4.0 + i * 6.0 / 99) AS alpha FROM range(0, 100) r(i)),
+o AS (SELECT f.series_id, f.fold, covar_pop(k.x, k.y) AS c, var_pop(k.x) AS v, avg(k.x) AS mx, avg(k.y) AS my
+      FROM (SELECT DISTINCT series_id, fold FROM k) f JOIN k ON k.series_id = f.series_id AND k.fold <> f.fold GROUP BY ALL),
+w AS (SELECT series_id, fold, alpha, mx, my, sign(c) * greatest(abs(c) - 0.5 * alpha, 0) / (v + 0.5 * alpha) AS w FROM o, a),
+h AS (SELECT series_id, fold, avg(x) AS hx, avg(y) AS hy, var_pop(x) AS hv, var_pop(y) AS hw, covar_pop(x, y) AS hc
+      FROM k GROUP BY ALL),
+l AS (SELECT series_id, alpha, avg(hw - 2 * w * hc + w * w * hv + power(hy - my - w * (hx - mx), 2)) AS mse
+      FROM w JOIN h USING (series_id, fold) GROUP BY series_id, alpha)"""
+
+
+def _enet_one(spark, sf_dir):
+    p = scan.row_index(T.panel(spark, sf_dir), "series_id", "t", out="rn", size="n")
+    return LI.enet_cv(FO.kfold_contiguous(p, LI.CV_FOLDS), ["tax"], "qty", by="series_id")
+
+
+@register("m5_enet_one_feature", _ENET_ONE_SQL + "\nSELECT series_id, alpha, mse FROM l",
+          [("series_id", "i"), ("alpha", 6), ("mse", 6)])
+def m5_enet_one_feature(spark, sf_dir):
+    """CV losses of the elastic net on one feature, per series: 10 folds x 100 alphas, against the closed form."""
+    return _enet_one(spark, sf_dir)[0]
+
+
+@register("m6_enet_one_feature", _ENET_ONE_SQL + """,
+b AS (SELECT series_id, min({'mse': round(mse, 9), 'alpha': alpha}).alpha AS alpha FROM l GROUP BY series_id),
+t AS (SELECT series_id, covar_pop(x, y) AS c, var_pop(x) AS v, avg(x) AS mx, avg(y) AS my FROM k GROUP BY series_id),
+r AS (SELECT series_id, alpha, mx, my, sign(c) * greatest(abs(c) - 0.5 * alpha, 0) / (v + 0.5 * alpha) AS w
+      FROM t JOIN b USING (series_id))
+SELECT series_id, w = 0 AS empty, CASE WHEN w <> 0 THEN alpha END AS alpha, w, my - mx * w AS intercept FROM r""",
+          [("series_id", "i"), ("empty", "b"), ("alpha", 6), ("w", 6), ("intercept", 6)])
+def m6_enet_one_feature(spark, sf_dir):
+    """The refit at the best alpha (alphas that leave no weight are one model, so theirs is not compared)."""
+    w = F.element_at("coef", 1)
+    m = _enet_one(spark, sf_dir)[1]
+    return m.select("series_id", (w == 0).alias("empty"), F.when(w != 0, F.col("alpha")).alias("alpha"), w.alias("w"), "intercept")

@@ -1,8 +1,8 @@
 """Registered queries: Structured Streaming.
 
-Each query replays ``events`` as one file per day through a file stream
-(``maxFilesPerTrigger=1``, ``Trigger.AvailableNow``) into a sink under the
-session's checkpoint folder, then returns the sink as a DataFrame.
+Each query replays ``events`` through a file stream (``maxFilesPerTrigger=1``,
+``Trigger.AvailableNow``) into a sink under the session's checkpoint folder, then
+returns the sink as a DataFrame.
 """
 
 from __future__ import annotations
@@ -12,26 +12,28 @@ from pyspark.sql import functions as F
 from panelkit.catalog import ctes
 from panelkit.catalog import sqlgen as G
 from panelkit.catalog.spec import register
-from panelkit.functions.compat import clip
+from panelkit.catalog.q_features import _p1_sql
+from panelkit.operators import features as FE
+from panelkit.plans.scorer import LinearScorer
 from panelkit.sources import tables as T
 from panelkit.streaming import stream as ST
 
 
-def _source(spark, sf_dir):
-    root = ST.scratch(spark, "events-by-day")
-    ST.write_daily_files(T.table(spark, sf_dir, "events"), root)
+def _source(spark, sf_dir, step=None, close=None):
+    root = ST.scratch(spark, "events-by-step")
+    ST.write_steps(T.table(spark, sf_dir, "events"), root, step, close)
     return ST.read_stream(spark, root)
 
 
-@register("t4_stream_features", G.recursive(ctes.EVENTS + """,
-h AS (SELECT series_id, t, px, n FROM hourly)""" + G.ewm_ctes("h", "px", {"px_ema10": 2.0 / 11.0}) + f"""
-SELECT series_id, CAST(t AS VARCHAR) AS t, px, n, {G.lag('px', 1)} AS px_lag1, {G.roll('avg', 'px', 5)} AS px_mean5,
-       px_ema10 FROM ewm"""),
-          [("series_id", "s"), ("t", "s"), ("px", 8), ("n", "i"), ("px_lag1", 8), ("px_mean5", 8), ("px_ema10", 8)])
+@register("t4_stream_features", G.recursive(_p1_sql(ctes.EVENTS + """,
+tl AS (SELECT series_id, t, n, px, 0 AS forward_returns, 0 AS risk_free_rate, px AS y FROM hourly)""") + f"""
+SELECT p1.series_id, CAST(p1.t AS VARCHAR) AS t, hourly.px, hourly.n, {', '.join(f'p1.{c}' for c in FE.momentum_names())}
+FROM p1 JOIN hourly ON p1.series_id = hourly.series_id AND p1.t = hourly.t"""),
+          [("series_id", "s"), ("t", "s"), ("px", 8), ("n", "i"), *((c, 6) for c in FE.momentum_names())])
 def t4_stream_features(spark, sf_dir):
-    """Hourly bars, lag, rolling mean and EWM kept in per-series state across
-    micro-batches; equal to the batch computation over the whole history."""
-    src = _source(spark, sf_dir)
+    """Hourly bars with the momentum columns (P1) kept in per-series state; files end at half past eleven at night,
+    so hours are split over micro-batches.  Equal to the batch computation over the whole history."""
+    src = _source(spark, sf_dir, F.to_date(F.col("ts") + F.expr("interval 30 minutes")), "3650 days")
     out, ck = ST.scratch(spark, "t4-out"), ST.scratch(spark, "t4-ckpt")
     ST.run_available_now(ST.stateful_features(src), out, ck)
     return spark.read.parquet(out).withColumn("t", F.date_format("t", "yyyy-MM-dd HH:mm:ss"))
@@ -58,29 +60,62 @@ def t5_stream_running_score(spark, sf_dir):
     return last.select("event_type", *[F.col(f"v.{c}").alias(c) for c in cols])
 
 
-@register("t6_watermark_hourly", None, [("series_id", "s"), ("t", "s"), ("px", 8), ("n", "i")])
+@register("t6_watermark_hourly", ctes.EVENTS + """
+SELECT series_id, CAST(t AS VARCHAR) AS t, px, n FROM hourly""", [("series_id", "s"), ("t", "s"), ("px", 8), ("n", "i")])
 def t6_watermark_hourly(spark, sf_dir):
-    """Hourly bars under a 1-hour event-time watermark (late rows dropped)."""
-    src = _source(spark, sf_dir)
-    out, ck = ST.scratch(spark, "t6-out"), ST.scratch(spark, "t6-ckpt")
-    ST.run_available_now(ST.hourly_with_watermark(src), out, ck)
-    return spark.read.parquet(out).withColumn("t", F.date_format("t", "yyyy-MM-dd HH:mm:ss"))
+    """Hourly bars under a 1-hour watermark where some rows arrive a day late: the bars written on
+    time and the late rows of the side table make every hour whole."""
+    late = F.when(F.col("event_id") % 37 == 5, 1).otherwise(0)  # when a row arrives; none is left out
+    src = lambda root: ST.read_stream(spark, root)
+    root = ST.scratch(spark, "events-by-step")
+    ST.write_steps(T.table(spark, sf_dir, "events"), root, F.date_add(F.to_date("ts"), late))
+    out, dead = ST.scratch(spark, "t6-out"), ST.scratch(spark, "t6-late")
+    ST.run_available_now(ST.hourly_with_watermark(src(root)), out, ST.scratch(spark, "t6-ckpt"))
+    ST.late_rows(src(root), dead, ST.scratch(spark, "t6-late-ckpt"))
+    bars = ST.complete_hours(spark.read.parquet(out), spark.read.parquet(f"{dead}/late"))
+    return bars.withColumn("t", F.date_format("t", "yyyy-MM-dd HH:mm:ss"))
+
+
+# features of the scored stream: the hour of the day, and the user's number, missing for some events
+_T2_SQL = """
+WITH x AS (SELECT event_id, ts, value AS y, CAST(extract(hour FROM ts) AS DOUBLE) AS a,
+                  CASE WHEN event_id % 50 <> 7 THEN user_id / 1000.0::DOUBLE END AS b FROM events),
+m AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb, avg(y) AS my,
+             covar_pop(a, y) AS cay, covar_pop(b, y) AS cby, covar_pop(a, b) AS cab FROM x WHERE b IS NOT NULL),
+w AS (SELECT *, (cay * sb * sb - cab * cby) / (sa * sa * sb * sb - cab * cab) AS wa,
+             (cby * sa * sa - cab * cay) / (sa * sa * sb * sb - cab * cab) AS wb FROM m)
+SELECT event_id, CASE WHEN b IS NOT NULL THEN least(greatest(0.01 * (my + wa * (a - ma) + wb * (b - mb)) + 1, 0), 2) END AS prediction,
+       CASE WHEN b IS NULL THEN 'missing_features' ELSE 'ok' END AS status FROM x, w"""
+
+
+def _features(events):
+    return events.withColumns({"a": F.hour("ts").cast("double"), "y": F.col("value"),
+                               "b": F.when(F.col("event_id") % 50 != 7, F.col("user_id") / 1000.0)})
+
+
+def _scored(spark, sf_dir):
+    ev = T.table(spark, sf_dir, "events")
+    scorer = LinearScorer.fit(_features(ev.withColumn("ts", F.col("ts").cast("timestamp"))), ["a", "b"], "y", multiplier=0.01)
+    out = ST.scratch(spark, "t2-out")
+    ST.score_stream(_source(spark, sf_dir), out, lambda b: scorer(_features(b)), ST.scratch(spark, "t2-ckpt"), ["event_id"])
+    return out
 
 
-def _signal(batch):
-    h = batch.groupBy(F.col("event_type").alias("series_id"), F.date_trunc("hour", "ts").alias("t")).agg(
-        F.avg("value").alias("px"))
-    d = h.groupBy("series_id").agg(F.avg("px").alias("mpx"))
-    j = h.join(d, "series_id")
-    return j.select("series_id", "t", clip(4 * (F.col("px") / F.col("mpx") - 1) + 1, 0, 2).alias("prediction"))
+@register("t2_scored_stream", _T2_SQL, [("event_id", "i"), ("prediction", 6), ("status", "s")])
+def t2_scored_stream(spark, sf_dir):
+    """Every event scored in its micro-batch by a model fitted before (scaler, linear model, signal); rows
+    with a missing feature are flagged, not dropped."""
+    out = _scored(spark, sf_dir)
+    rows = spark.read.parquet(f"{out}/pred").unionByName(spark.read.parquet(f"{out}/flagged"))
+    return rows.select("event_id", "prediction", "status")
 
 
-@register("t2_t3_stream_scoring", None, [("batch_id", "i"), ("received", "i"), ("expected", "i"),
-                                         ("missing", "i"), ("unexpected", "i"), ("repeated", "i"),
-                                         ("bad_values", "i"), ("status", "s")])
+@register("t2_t3_stream_scoring", """
+SELECT row_number() OVER (ORDER BY d) - 1 AS batch_id, n AS received, n AS expected, 0 AS missing, 0 AS unexpected, 0 AS repeated,
+       0 AS bad_values, 'ok' AS status
+FROM (SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events WHERE event_id % 50 <> 7 GROUP BY 1) x""",
+          [("batch_id", "i"), ("received", "i"), ("expected", "i"), ("missing", "i"), ("unexpected", "i"), ("repeated", "i"),
+           ("bad_values", "i"), ("status", "s")])
 def t2_t3_stream_scoring(spark, sf_dir):
-    """Score each micro-batch and validate it (row count, ids, finite values)."""
-    src = _source(spark, sf_dir)
-    out = ST.scratch(spark, "t2-out")
-    ST.score_stream(src, out, _signal, ST.scratch(spark, "t2-ckpt"))
-    return spark.read.parquet(f"{out}/status")
+    """The status row of every scored micro-batch, one per day."""
+    return spark.read.parquet(f"{_scored(spark, sf_dir)}/status")

@@ -1,61 +1,56 @@
-"""Registered queries: boosted trees (M8, M9, M11, C4); rows-only checks."""
+"""Registered queries: boosted trees (M8, M9, M11, C4) with the reference's rounds, rates and patience.
+
+Rows-only: a forest has no SQL twin; tests hold the models against quality bands on planted signals."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from panelkit.catalog.spec import register
+from panelkit.operators import boost as B
 from panelkit.operators import features as FE
-from panelkit.operators import rolling as R
-from panelkit.operators import trees as TR
 from panelkit.plans import scan
+from panelkit.plans.written import written
 from panelkit.sources import tables as T
 
 FEATS = ["f_lag1", "f_lag2", "f_mean5", "f_std21", "f_disc", "f_tax", "f_qty"]
-ROUNDS = 20  # round budget of the registered check; the API takes any max_iter
 
 
 def _data(spark, sf_dir):
+    """The market series with features, its row position, and the bounds of the test and eval rows."""
     m = FE.target_log(T.market(spark, sf_dir), out="y")
-    w = R.series_window()
-    s = R.lag("y", 1, w)
-    m = m.withColumns({"f_lag1": s, "f_lag2": R.lag("y", 2, w),
-                       "f_mean5": F.avg("y").over(w.rowsBetween(-5, -1)),
-                       "f_std21": F.stddev_samp("y").over(w.rowsBetween(-21, -1)),
-                       "f_disc": F.col("disc"), "f_tax": F.col("tax"), "f_qty": F.col("qty")})
-    m = m.withColumns({c: F.coalesce(F.col(c), F.lit(FE.SENTINEL)) for c in FEATS})
-    m = scan.row_index(m, "series_id", "t", out="rn")
+    m = scan.series_pass(scan.row_index(m, "series_id", "t", out="rn"), {
+        "f_lag1": scan.Stat("lag", "y", 1), "f_lag2": scan.Stat("lag", "y", 2),
+        "f_mean5": scan.Stat("mean", "y", 5, 1, shift=1), "f_std21": scan.Stat("std", "y", 21, 1, shift=1)}, rn="rn")
+    m = m.withColumns({"f_disc": F.col("disc"), "f_tax": F.col("tax"), "f_qty": F.col("qty").cast("double")})
+    m = written(m.withColumns({c: F.coalesce(F.col(c), F.lit(FE.SENTINEL)) for c in FEATS}).select("t", "rn", "y", *FEATS), "trees")
     n = m.agg(F.max("rn")).first()[0] + 1
-    cut, ev = int(n * 0.8), int(n * 0.8) - max(min(int(n * 0.8) // 5, 252), 50)
-    return m, cut, ev
+    cut = int(n * 0.8)
+    return m, cut, cut - max(min(cut // 5, 252), 50)
 
 
 @register("m8_gbt_predict", None, [("t", "date"), ("y", 8), ("y_pred", 8)])
 def m8_gbt_predict(spark, sf_dir):
-    """Boosted trees (depth 5, step 0.05, subsample 0.7, 70 % features) fit on the
+    """Boosted trees (500 rounds, depth 5, rate 0.05, 70 % of rows and features) fit on the
     first 80 % of the market series, predictions on the rest."""
     m, cut, _ = _data(spark, sf_dir)
-    model = TR.gbt("y", max_iter=ROUNDS).fit(TR.assemble(m.where(F.col("rn") < cut), FEATS))
-    return TR.predict(model, m.where(F.col("rn") >= cut), FEATS).select("t", "y", "y_pred")
+    model = B.fit(m.where(F.col("rn") < cut), FEATS, "y", B.BATCH)
+    return B.predict(model, m.where(F.col("rn") >= cut)).select("t", "y", "y_pred")
 
 
 @register("m9_gbt_early_stopping", None, [("best_rounds", "i"), ("valid_mse", 8), ("test_mse", 8)])
 def m9_gbt_early_stopping(spark, sf_dir):
-    """Patience-based early stopping on the eval tail, refit at the best prefix."""
+    """Up to 5 000 rounds, stopped once 100 rounds brought no better loss on the eval tail."""
     m, cut, ev = _data(spark, sf_dir)
     fit_rows, eval_rows = m.where(F.col("rn") < ev), m.where((F.col("rn") >= ev) & (F.col("rn") < cut))
-    model, k = TR.fit_early_stopping(fit_rows, eval_rows, FEATS, "y", max_iter=ROUNDS, patience=5, step=0.08)
-    ev_p = TR.predict(model, eval_rows, FEATS)
-    te_p = TR.predict(model, m.where(F.col("rn") >= cut), FEATS)
-    e = F.pow(F.col("y") - F.col("y_pred"), 2)
-    a = ev_p.agg(F.avg(e).alias("valid_mse")).withColumn("pk_one", F.lit(1))
-    b = te_p.agg(F.avg(e).alias("test_mse")).withColumn("pk_one", F.lit(1))
-    return a.join(b, "pk_one").select(F.lit(k).alias("best_rounds"), "valid_mse", "test_mse")
+    model = B.fit(fit_rows, FEATS, "y", B.WALK_FORWARD, eval_rows)
+    p = B.predict(model, m.where(F.col("rn") >= ev)).withColumn("e", F.pow(F.col("y") - F.col("y_pred"), 2))
+    return p.agg(F.lit(len(model.trees)).alias("best_rounds"), F.avg(F.when(F.col("rn") < cut, F.col("e"))).alias("valid_mse"),
+                 F.avg(F.when(F.col("rn") >= cut, F.col("e"))).alias("test_mse"))
 
 
 @register("m11_c4_feature_importance", None, [("feature", "s"), ("importance", 8), ("splits", "i")])
 def m11_c4_feature_importance(spark, sf_dir):
-    """Top-20 features by gain-like importance, with split counts."""
+    """Top-20 features by their share of the average gain, with split counts, of the 500-round model."""
     m, cut, _ = _data(spark, sf_dir)
-    model = TR.gbt("y", max_iter=ROUNDS).fit(TR.assemble(m.where(F.col("rn") < cut), FEATS))
-    return TR.importances(spark, model, FEATS, top=20)
+    return B.importances(spark, B.fit(m.where(F.col("rn") < cut), FEATS, "y", B.BATCH), top=20)

@@ -33,7 +33,7 @@ N_ALPHAS = 100
 ALPHA_LOG_RANGE = (-4.0, 2.0)
 CV_FOLDS = 10
 
-ALPHA_CHUNK = 10  # alphas that one task solves
+ALPHA_CHUNK = 25  # alphas that one task solves
 
 
 def alphas_grid(n: int = N_ALPHAS, lo: float = ALPHA_LOG_RANGE[0], hi: float = ALPHA_LOG_RANGE[1]) -> list[float]:

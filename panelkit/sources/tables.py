@@ -40,10 +40,10 @@ def _with_returns(base: DataFrame) -> DataFrame:
                     (fr - F.col("tax") / 252).alias("market_forward_excess_returns")))
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B1: one series per supplier, daily, with forward returns in (-0.02, 0.02)."""
+def panel(spark: SparkSession, sf_dir: str, series: F.Column | None = None) -> DataFrame:
+    """B1: one series per supplier (or per value of ``series``), daily, with forward returns in (-0.02, 0.02)."""
     li = table(spark, sf_dir, "lineitem")
-    return _with_returns(_daily(li, F.col("l_suppkey")))
+    return _with_returns(_daily(li, F.col("l_suppkey") if series is None else series))
 
 
 def market(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,10 +52,10 @@ def market(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_returns(_daily(li, F.lit(0).cast("bigint")))
 
 
-def panel_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def panel_gaps(spark: SparkSession, sf_dir: str, series: F.Column | None = None) -> DataFrame:
     """Deterministic nulls: late start, scattered gaps, zeros, all-null, constant."""
     w = Window.partitionBy("series_id").orderBy("t")
-    p = panel(spark, sf_dir).withColumn("rn", F.row_number().over(w))
+    p = panel(spark, sf_dir, series).withColumn("rn", F.row_number().over(w))
     sid, rn = F.col("series_id"), F.col("rn")
     return p.select(
         "series_id", "t", "rn",
@@ -85,10 +85,10 @@ def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(F.avg("value").alias("px"), F.count(F.lit(1)).alias("n")))
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scores(spark: SparkSession, sf_dir: str, series: F.Column | None = None) -> DataFrame:
     """A prediction per panel row from the mean of the 21 previous returns."""
     w = Window.partitionBy("series_id").orderBy("t").rowsBetween(-21, -1)
-    p = panel(spark, sf_dir)
+    p = panel(spark, sf_dir, series)
     pred = F.least(F.greatest(40 * F.coalesce(F.avg("forward_returns").over(w), F.lit(0.0)) + 1,
                               F.lit(0.0)), F.lit(2.0))
     return p.withColumn("prediction", pred)

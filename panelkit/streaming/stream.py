@@ -1,29 +1,35 @@
 """Structured Streaming operators.
 
-* T1 ordered micro-batches: a file source read with ``maxFilesPerTrigger=1``
-  over one file per time step, processed with ``Trigger.AvailableNow``.
-* T2/T3 scoring and validation per micro-batch in ``foreachBatch``; outputs
-  are written with the batch id so a retried batch overwrites, not appends.
-* T4 stateful features per series with ``applyInPandasWithState``: the state
-  keeps the last k values and the EWM state, so streaming features equal the
-  batch features of the whole history.
+* T1 ordered micro-batches: one partitioned write, one file per step, read with
+  ``maxFilesPerTrigger=1`` in the order of the steps, ``Trigger.AvailableNow``.
+* T2/T3 scoring with a fitted scorer and validation per micro-batch; outputs are
+  written with the batch id so a retried batch overwrites, not appends.
+* T4 the momentum features (P1) per series in state: open hours, the last values
+  and both EWMs.  An hour enters the features once the watermark has passed it, so
+  hours split over files come out as in the batch.
 * T5 running score: a streaming grouped aggregate in update mode.
-* T6 late rows: event-time watermark (TIMESTAMP, not TIMESTAMP_NTZ).
+* T6 hourly bars under a watermark, with every late row kept in a side table.
+
+A replay ends with a marker, a row of a time far ahead without a key: it moves the
+watermark past every open hour, so nothing stays open at the end.
 """
 
 from __future__ import annotations
 
-import math
 import os
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from panelkit.functions import series
+from panelkit.operators import features as FE
+from panelkit.plans.scorer import Scorer
 from panelkit.session import checkpoint_dir
 
 EVENT_SCHEMA = T.StructType([
@@ -37,17 +43,28 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def write_daily_files(events: DataFrame, out: str) -> str:
-    """One parquet folder per day, written in day order (T1 fixture).
-
-    The file source orders files by modification time, so days are written
-    one after the other; the day list is bounded by the calendar.
-    """
-    ev = events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("day", F.to_date("ts"))
-    days = [r[0] for r in ev.select("day").distinct().orderBy("day").collect()]
-    for d in days:
-        (ev.where(F.col("day") == F.lit(d)).drop("day").coalesce(1)
-         .write.mode("overwrite").parquet(f"{out}/day={d.isoformat()}"))
+def write_steps(events: DataFrame, out: str, step: F.Column | None = None, close: str | None = "3650 days") -> str:
+    """T1 fixture: ``events`` as one file per ``step`` (the day by default), written in one job.
+
+    The file source reads files by modification time, so the files' times are set in the
+    order of their steps.  With ``close`` two last files hold the end marker."""
+    spark = events.sparkSession
+    ev = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    ev = ev.withColumn("day", F.to_date("ts") if step is None else step)
+    ev.repartition("day").write.mode("overwrite").partitionBy("day").parquet(out)
+    if close:  # the batch after the first marker closes what the marker has passed
+        last = ev.agg(F.max("ts").alias("ts"), F.max("day").alias("day")).where("ts is not null")
+        marks = last.select((F.col("ts") + F.expr(f"interval {close}")).alias("ts"), F.explode(F.array(
+            F.date_add("day", 1), F.date_add("day", 2))).alias("day"))
+        marks = marks.select(*[F.col(c) if c in ("ts", "day") else F.lit(None).cast(ev.schema[c].dataType).alias(c) for c in ev.columns])
+        marks.repartition("day").write.mode("append").partitionBy("day").parquet(out)
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(out)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    days = sorted(str(d.getPath()) for d in fs.listStatus(path) if d.isDirectory())
+    for i, d in enumerate(days):  # one entry per step
+        for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(d)):
+            fs.setTimes(f.getPath(), 1_600_000_000_000 + 1000 * i, -1)
     return out
 
 
@@ -64,55 +81,82 @@ def run_available_now(df: DataFrame, sink: str, ckpt: str, mode: str = "append",
     q.awaitTermination()
 
 
+def _real() -> F.Column:
+    """Not the end marker.  The condition names the time too, so that it is not moved below
+    the watermark, which must see the marker."""
+    return F.when(F.col("ts").isNotNull(), F.col("event_type")).isNotNull()
+
+
 # ----------------------------------------------------------------- T4 state
 
+_REACH = max(max(FE.WINDOWS), max(FE.LAGS)) + 2
 FEATURE_OUT = T.StructType([
     T.StructField("series_id", T.StringType()), T.StructField("t", T.TimestampType()),
     T.StructField("px", T.DoubleType()), T.StructField("n", T.LongType()),
-    T.StructField("px_lag1", T.DoubleType()), T.StructField("px_mean5", T.DoubleType()),
-    T.StructField("px_ema10", T.DoubleType())])
+    *(T.StructField(c, T.DoubleType()) for c in FE.momentum_names())])
 FEATURE_STATE = T.StructType([
-    T.StructField("pos", T.LongType()), T.StructField("m", T.DoubleType()),
-    T.StructField("last_obs", T.LongType()), T.StructField("window", T.ArrayType(T.DoubleType()))])
-WINDOW_K, EMA_SPAN = 5, 10
+    T.StructField("hour", T.ArrayType(T.LongType())), T.StructField("total", T.ArrayType(T.DoubleType())),
+    T.StructField("count", T.ArrayType(T.LongType())), T.StructField("pos", T.LongType()),
+    T.StructField("tail", T.ArrayType(T.DoubleType())), T.StructField("ema", T.ArrayType(T.DoubleType()))])
+_HOUR_MS = 3_600_000
+
+
+def _momentum(old: np.ndarray, new: np.ndarray, pos: int, means: list) -> tuple[dict, list]:
+    """The P1 columns of the bars ``new`` that follow ``old`` (``pos`` bars stand before them), and the EWM means after."""
+    x = np.concatenate([old, new])
+    u, home = series.shifted(x, 1), slice(len(old), None)
+    out = {}
+    for k in FE.WINDOWS:
+        t = series.trailing(u, k)
+        out.update({f"MOM_mean_{k}": t["mean"][home], f"MOM_std_{k}": t["std"][home], f"MOM_roc_{k}": series.rate(u, k)[home],
+                    f"MOM_cum_{k}": t["sum"][home]})
+    at, after = np.arange(pos, pos + len(new)), []
+    for (name, span), mean in zip(FE.EMA_SPANS.items(), means):
+        state = (None, None, 0.0) if mean is None else (pos - 1, mean, 1.0)
+        out[f"MOM_{name}"], state = series.ewm(u[home], at, 2.0 / (span + 1.0), False, state)
+        after.append(state[1])
+    out.update({f"MOM_lag_{j}": series.shifted(x, j)[home] for j in FE.LAGS})
+    fast, slow = out["MOM_ema_fast"], out["MOM_ema_slow"]
+    with np.errstate(all="ignore"):
+        out["MOM_ema_diff"], out["MOM_ema_ratio"] = fast - slow, fast / slow - 1
+        out["MOM_std_21_252_ratio"] = out["MOM_std_21"] / out["MOM_std_252"]
+    return {c: np.where(np.isfinite(out[c]), out[c], FE.SENTINEL) for c in FE.momentum_names()}, after
 
 
 def _feature_step(key, pdfs, state):
-    """Hourly bars of one series -> lag 1, rolling mean 5, EWM span 10 (adjust=False)."""
-    a = 2.0 / (EMA_SPAN + 1.0)
-    b = 1.0 - a
+    """Close the hours that the watermark has passed and emit their features."""
+    hours, pos, tail, ema = {}, 0, [], [None] * len(FE.EMA_SPANS)
     if state.exists:
-        pos, m, last_obs, win = state.get
-        m = None if m is None or (isinstance(m, float) and math.isnan(m)) else m
-        win = list(win)
-    else:
-        pos, m, last_obs, win = -1, None, None, []
-    pdf = pd.concat(list(pdfs))
-    bars = (pdf.assign(t=pdf["ts"].dt.floor("h")).groupby("t", sort=True)
-            .agg(px=("value", "mean"), n=("value", "size")).reset_index())
-    rows = []
-    for r in bars.itertuples(index=False):
-        pos += 1
-        lag1 = win[-1] if win else None
-        x = float(r.px)
-        if m is None:
-            m = x
-        elif m != x:
-            w = b ** (pos - last_obs)
-            m = (w * m + a * x) / (w + a)
-        last_obs = pos
-        win = (win + [x])[-WINDOW_K:]
-        mean5 = sum(win) / WINDOW_K if len(win) == WINDOW_K else None
-        rows.append((key[0], r.t, x, int(r.n), lag1, mean5, m))
-    state.update((pos, m, last_obs, win))
-    yield pd.DataFrame(rows, columns=[f.name for f in FEATURE_OUT.fields])
-
-
-def stateful_features(stream: DataFrame) -> DataFrame:
-    """T4: per-series state so streaming features equal batch features."""
-    ev = stream.select(F.col("event_type").alias("series_id"), "ts", "value")
-    return ev.groupBy("series_id").applyInPandasWithState(
-        _feature_step, FEATURE_OUT, FEATURE_STATE, "append", GroupStateTimeout.NoTimeout)
+        h, total, count, pos, tail, ema = state.get
+        hours = {a: [b, c] for a, b, c in zip(h, total, count)}
+        ema = [None if m is None or np.isnan(m) else float(m) for m in ema]
+    for pdf in pdfs:
+        at = pdf["ts"].astype("int64") if str(pdf["ts"].dtype) == "int64" else pdf["ts"].astype("datetime64[ms]").astype("int64")
+        for hour, v in pdf["value"].groupby(at // _HOUR_MS):
+            had = hours.setdefault(int(hour), [0.0, 0])
+            had[0], had[1] = had[0] + float(v.sum()), had[1] + int(v.count())
+    mark = state.getCurrentWatermarkMs()
+    done = sorted(h for h in hours if (h + 1) * _HOUR_MS <= mark)
+    closed = [(h, *hours.pop(h)) for h in done]
+    if closed:
+        px = np.array([s / n if n else np.nan for _, s, n in closed])
+        cols, ema = _momentum(np.array(tail, float), px, pos, ema)
+        pos, tail = pos + len(px), [*tail, *px.tolist()][-_REACH:]
+        yield pd.DataFrame({"series_id": key[0], "t": pd.to_datetime([h * _HOUR_MS for h in done], unit="ms"), "px": px,
+                            "n": [n for _, _, n in closed], **cols})[[f.name for f in FEATURE_OUT.fields]]
+    left = sorted(hours)
+    state.update((left, [hours[h][0] for h in left], [hours[h][1] for h in left], pos, [float(v) for v in tail],
+                  [float("nan") if m is None else float(m) for m in ema]))
+    if left:
+        state.setTimeoutTimestamp(max((left[0] + 1) * _HOUR_MS, mark + 1))
+
+
+def stateful_features(stream: DataFrame, delay: str = "2 hours") -> DataFrame:
+    """T4: hourly bars of every series with the columns of P1 on their price, equal to the batch over the
+    whole history for rows at most ``delay`` late."""
+    ev = stream.withWatermark("ts", delay).where(_real())
+    return ev.select(F.col("event_type").alias("series_id"), "ts", "value").groupBy("series_id").applyInPandasWithState(
+        _feature_step, FEATURE_OUT, FEATURE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ----------------------------------------------------------------- T5 / T6
@@ -127,11 +171,38 @@ def running_score(stream: DataFrame, key: str = "event_type", value: str = "valu
 
 
 def hourly_with_watermark(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Event-time hourly bars; rows later than the watermark are dropped."""
-    ev = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    """Event-time hourly bars, each written once the watermark has passed its end."""
+    ev = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).where(_real())
     return (ev.groupBy(F.window("ts", "1 hour").alias("w"), "event_type")
-            .agg(F.avg("value").alias("px"), F.count(F.lit(1)).alias("n"))
-            .select(F.col("event_type").alias("series_id"), F.col("w.start").alias("t"), "px", "n"))
+            .agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"))
+            .select(F.col("event_type").alias("series_id"), F.col("w.start").alias("t"), "total", "n"))
+
+
+def late_rows(stream: DataFrame, out: str, ckpt: str, delay: str = "1 hour") -> None:
+    """The rows that ``hourly_with_watermark`` over the same files drops, by batch id.
+
+    A batch drops what lies behind the watermark of the batch before it, which is the largest time
+    of all batches before that one less ``delay``; those times are written per batch, so a retried
+    batch sees the same ones."""
+    def each(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        top = batch.agg(F.max("ts").alias("top"), F.lit(epoch).alias("epoch"))
+        top.write.mode("overwrite").parquet(f"{out}/times/batch_id={epoch}")
+        seen = spark.read.schema("top timestamp, epoch int").parquet(f"{out}/times").where(F.col("epoch") < epoch - 1)
+        mark = seen.agg((F.max("top") - F.expr(f"interval {delay}")).alias("mark"))
+        end = F.date_trunc("hour", "ts") + F.expr("interval 1 hour")
+        late = batch.where(F.col("event_type").isNotNull()).join(F.broadcast(mark), end <= F.col("mark"))  # one row
+        late.drop("mark").write.mode("overwrite").parquet(f"{out}/late/batch_id={epoch}")
+    run_available_now(stream, out, ckpt, foreach=each)
+
+
+def complete_hours(bars: DataFrame, late: DataFrame) -> DataFrame:
+    """Bars and late rows together: every hour as the batch computes it."""
+    more = late.groupBy(F.col("event_type").alias("series_id"), F.date_trunc("hour", "ts").alias("t")).agg(
+        F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"))
+    both = bars.select("series_id", "t", "total", "n").unionByName(more)
+    both = both.groupBy("series_id", "t").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return both.select("series_id", "t", (F.col("total") / F.col("n")).alias("px"), "n")
 
 
 # ----------------------------------------------------------------- T2 / T3
@@ -171,17 +242,16 @@ def validate_batch(pred: DataFrame, expected_ids: DataFrame, ids: list[str], val
         "status", F.coalesce("status", F.lit("no_expected_rows")))
 
 
-def score_stream(stream: DataFrame, out: str, signal: Callable[[DataFrame], DataFrame], ckpt: str) -> None:
+def score_stream(stream: DataFrame, out: str, scorer: Scorer, ckpt: str, ids: list[str]) -> None:
     """T2 + T3: score each micro-batch, validate it, write a status row and the
-    predictions keyed by the batch id (idempotent on retry).  The predictions
-    of a batch that fails go to ``quarantine`` instead of ``pred``."""
+    predictions keyed by the batch id (idempotent on retry).  Rows the scorer flags go to
+    ``flagged``; of the others the predictions of a batch that fails go to ``quarantine`` instead of ``pred``."""
     def each(batch: DataFrame, epoch: int) -> None:
-        ids = ["series_id", "t"]
-        pred = signal(batch)
-        expected = batch.select(F.col("event_type").alias("series_id"),
-                                F.date_trunc("hour", F.col("ts")).alias("t")).distinct()
+        scored = scorer(batch.where(F.col(ids[0]).isNotNull()))
+        good = scored.where("status = 'ok'")
+        scored.where("status <> 'ok'").write.mode("overwrite").parquet(f"{out}/flagged/batch_id={epoch}")
         where = f"{out}/status/batch_id={epoch}"
-        validate_batch(pred, expected, ids).write.mode("overwrite").parquet(where)
-        good = batch.sparkSession.read.parquet(where).first().status == "ok"
-        pred.write.mode("overwrite").parquet(f"{out}/{'pred' if good else 'quarantine'}/batch_id={epoch}")
+        validate_batch(good, good.select(*ids), ids).write.mode("overwrite").parquet(where)
+        ok = batch.sparkSession.read.parquet(where).first().status == "ok"
+        good.write.mode("overwrite").parquet(f"{out}/{'pred' if ok else 'quarantine'}/batch_id={epoch}")
     run_available_now(stream, out, ckpt, foreach=each)
