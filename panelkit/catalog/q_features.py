@@ -340,3 +340,32 @@ def p9_median_fill(spark, sf_dir):
     """Research mode of P9: NULL -> the series' median (looks ahead)."""
     g = T.panel_gaps(spark, sf_dir)
     return FE.impute_global_median(g, ["E1", "P1"]).select("series_id", "t", "E1", "P1")
+
+
+# ----------------------------------------------------------------- end to end
+
+_PIPE_OUT = ["MOM_mean_5", "MOM_std_252", "MOM_ema_fast", "MOM_lag_126", "VI_regime_highvol", "VI_regime_shock", "VI_volofvol_21",
+             "px_mean_5", "px_std_21", "px_lag_1", "px_ema_fast"]
+
+
+def _pipeline_sql() -> str:
+    body = _p2_sql(-9999.0).rsplit("\nSELECT series_id, t, VI_regime_highvol", 1)[0]
+    filled = ", ".join(f"coalesce({G.fin(c)}, -9999.0) AS {c}" for c in _PIPE_OUT[-4:])
+    return (body + """,
+pu AS (SELECT series_id, t, px, qty, lag(px, 1) OVER (PARTITION BY series_id ORDER BY t) AS u,
+              row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS rn FROM panel)"""
+            + G.ewm_ctes("pu", "u", {"px_ema_fast": A_FAST}, name="xpx") + f""",
+px4 AS (SELECT *, {G.roll('avg', 'u', 5, 5)} AS px_mean_5, {G.roll('stddev_samp', 'u', 21, 5)} AS px_std_21, u AS px_lag_1 FROM xpx),
+pxf AS (SELECT series_id, t, px, qty, rn, {filled} FROM px4)
+SELECT p2b.series_id, p2b.t, CAST(DATE '1990-01-01' + CAST(floor(rn / 5) * 7 + rn % 5 AS INTEGER) AS DATE) AS date,
+       y AS log_market_forward_excess_returns, px, qty, {', '.join(_PIPE_OUT)}
+FROM p2b JOIN pxf ON p2b.series_id = pxf.series_id AND p2b.t = pxf.t""")
+
+
+@register("panel_pipeline", G.recursive(_pipeline_sql()),
+          KEY + [("date", "date"), ("log_market_forward_excess_returns", 8), ("px", 6), ("qty", 6)]
+          + [(c, "i" if "regime" in c else 3 if "volofvol" in c else 6) for c in _PIPE_OUT])
+def panel_pipeline(spark, sf_dir):
+    """Calendar, log target, momentum, volatility, fills, extension and guards of the raw panel in one run."""
+    from panelkit.plans import pipeline as PL
+    return PL.panel_pipeline(T.panel(spark, sf_dir), extend=["px"], stats=["mean_5", "std_21", "lag_1", "ema_fast"])

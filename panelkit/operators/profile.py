@@ -8,6 +8,7 @@ features.  Exact quantiles never buffer a whole group in one task (see
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -95,30 +96,36 @@ def histogram(df: DataFrame, value: str, bins: int = 200, by: Keys = ()) -> Data
                     (F.col("lo") + (F.col("bin") + 1) * width).alias("right"), "count")
 
 
-def kde_curve(hist: DataFrame, points: int = 200, by: Keys = ()) -> DataFrame:
-    """Gaussian KDE evaluated on a grid from a histogram.
+def kde_curve(df: DataFrame, value: str, points: int = 200, by: Keys = (), bins: int = 1024) -> DataFrame:
+    """Gaussian KDE on a grid of ``points`` between each group's extremes.
 
-    Bandwidth: Scott, ``n^(-1/5) * std``.  Values are represented by their
-    bin centres, so this is the binned KDE; the join is bins x grid points
-    per group (both bounded by the bin and grid sizes).
+    Bandwidth: Scott, ``n^(-1/5) * std``.  Every value is shared linearly between the two
+    nearest of ``bins`` nodes, which replaces the kernel by its linear interpolation
+    between nodes: no density is off by more than ``error_bound`` = ``d^2 / (8 sqrt(2 pi) bw^3)``,
+    ``d`` the distance of nodes.  One aggregate over the rows; then nodes x grid points per group.
+    A group of equal values has no density (NULL).
     """
     ks = _keys(by)
-    c = hist.withColumn("x", (F.col("left") + F.col("right")) / 2)
-    st = c.groupBy(*ks).agg(
-        F.sum("count").alias("n"), F.min("left").alias("lo"), F.max("right").alias("hi"),
-        (F.sum(F.col("count") * F.col("x")) / F.sum("count")).alias("mu"),
-        F.sum(F.col("count") * F.col("x") * F.col("x")).alias("sxx"))
-    st = st.withColumn("sd", F.sqrt(F.greatest((F.col("sxx") - F.col("n") * F.col("mu") * F.col("mu"))
-                                               / (F.col("n") - 1), F.lit(0.0))))
-    st = st.withColumn("bw", F.pow(F.col("n"), -0.2) * F.col("sd"))
-    grid = st.select(*ks, "n", "bw", F.posexplode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i", "_k"),
-                     "lo", "hi")
-    grid = grid.withColumn("g", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (points - 1))
-    j = attach(grid, c.select(*ks, "x", "count"), ks) if ks else _bucket_join_all(
-        grid, c.select("x", "count"))
-    z = (F.col("g") - F.col("x")) / F.col("bw")
-    dens = F.sum(F.col("count") * F.exp(-0.5 * z * z)) / (F.col("n") * F.col("bw") * math.sqrt(2 * math.pi))
-    return j.groupBy(*ks, "i", "g", "n", "bw").agg(dens.alias("density")).select(*ks, "i", "g", "density")
+    x = df.select(*ks, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    st = x.groupBy(*ks).agg(F.count(F.lit(1)).alias("pk_n"), F.min("_v").alias("pk_lo"), F.max("_v").alias("pk_hi"),
+                            F.stddev_samp("_v").alias("pk_sd"))
+    step = (F.col("pk_hi") - F.col("pk_lo")) / (bins - 1)
+    at = F.coalesce(safe_div(F.col("_v") - F.col("pk_lo"), step), F.lit(0.0))
+    node = F.least(F.floor(at), F.lit(bins - 2)).cast("int")
+    own = attach(x, st.select(*ks, "pk_lo", "pk_hi"), ks).select(*ks, node.alias("pk_k"), (at - node).alias("pk_f"))
+    own = own.groupBy(*ks, "pk_k").agg(F.sum(1 - F.col("pk_f")).alias("pk_w0"), F.sum("pk_f").alias("pk_w1"))
+    nodes = own.select(*ks, F.explode(F.array(F.struct("pk_k", F.col("pk_w0").alias("pk_w")), F.struct(
+        (F.col("pk_k") + 1).alias("pk_k"), F.col("pk_w1").alias("pk_w")))).alias("pk_e")).groupBy(*ks, F.col("pk_e.pk_k").alias("pk_k")).agg(F.sum("pk_e.pk_w").alias("pk_w"))
+    bw = F.pow(F.col("pk_n"), F.lit(-0.2)) * F.col("pk_sd")
+    grid = st.select(*ks, "pk_n", "pk_lo", step.alias("pk_step"), F.when(F.col("pk_sd") > 0, bw).alias("pk_bw"), "pk_hi",
+                     F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
+    grid = grid.withColumn("g", F.col("pk_lo") + (F.col("pk_hi") - F.col("pk_lo")) * F.col("i") / (points - 1))
+    j = attach(grid, nodes, ks) if ks else _bucket_join_all(grid, nodes)
+    z = (F.col("g") - (F.col("pk_lo") + F.col("pk_k") * F.col("pk_step"))) / F.col("pk_bw")
+    dens = F.sum(F.col("pk_w") * F.exp(-0.5 * z * z)) / (F.col("pk_n") * F.col("pk_bw") * math.sqrt(2 * math.pi))
+    bound = F.col("pk_step") * F.col("pk_step") / (8 * math.sqrt(2 * math.pi) * F.pow("pk_bw", 3))
+    return j.groupBy(*ks, "i", "g", "pk_n", "pk_bw", "pk_step").agg(dens.alias("density")).select(
+        *ks, "i", "g", "density", bound.alias("error_bound"))
 
 
 def box_stats(df: DataFrame, value: str, by: Keys = ()) -> DataFrame:
@@ -157,24 +164,28 @@ def target_correlations(df_long: DataFrame, target: str, by: Keys = "feature",
 # ----------------------------------------------------------------- Gram matrix
 
 GRAM_STATS = ("n", "mx", "my", "cxx", "cyy", "cxy")
+GRAM_TILE = 256
 GRAM_HELD = 1 << 22  # numbers a task keeps before it emits its partial statistics
 
 
-def _batch_moments(X: np.ndarray) -> np.ndarray:
-    """Pairwise-complete count, means and centred sums of one block: 6 x p x p.
+def _batch_moments(X: np.ndarray, Y: np.ndarray | None = None) -> np.ndarray:
+    """Pairwise-complete count, means and centred sums of the columns of one block
+    against those of another: 6 x p x q.
 
-    The block is shifted by its own column means first, so large offsets do
+    The blocks are shifted by their own column means first, so large offsets do
     not cancel."""
-    M = ~np.isnan(X)
-    k = M.sum(0)
-    mu = np.where(M, X, 0.0).sum(0) / np.maximum(k, 1)
-    Z = np.where(M, X - mu, 0.0)
-    M = M.astype("float64")
-    n = M.T @ M
+    def centred(A):
+        M = ~np.isnan(A)
+        mu = np.where(M, A, 0.0).sum(0) / np.maximum(M.sum(0), 1)
+        return M.astype("float64"), mu, np.where(M, A - mu, 0.0)
+
+    Mx, mx, Zx = centred(X)
+    My, my, Zy = (Mx, mx, Zx) if Y is None else centred(Y)
+    n = Mx.T @ My
     d = np.maximum(n, 1.0)
-    sx, sy = Z.T @ M, M.T @ Z
-    return np.stack([n, mu[:, None] + sx / d, mu[None, :] + sy / d, (Z * Z).T @ M - sx * sx / d,
-                     M.T @ (Z * Z) - sy * sy / d, Z.T @ Z - sx * sy / d])
+    sx, sy = Zx.T @ My, Mx.T @ Zy
+    return np.stack([n, mx[:, None] + sx / d, my[None, :] + sy / d, (Zx * Zx).T @ My - sx * sx / d,
+                     Mx.T @ (Zy * Zy) - sy * sy / d, Zx.T @ Zy - sx * sy / d])
 
 
 def merge_moments(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -189,27 +200,36 @@ def merge_moments(a: np.ndarray, b: np.ndarray) -> np.ndarray:
                      a[3] + b[3] + dx * dx * f, a[4] + b[4] + dy * dy * f, a[5] + b[5] + dx * dy * f])
 
 
-def gram(df: DataFrame, cols: Sequence[str], by: Keys = ()) -> DataFrame:
+def gram(df: DataFrame, cols: Sequence[str], by: Keys = (), tile: int = GRAM_TILE) -> DataFrame:
     """Sufficient statistics per group over pairs of ``cols`` (M1).
 
     Output long table ``(by..., i, j, n, sx, sy, sxx, syy, sxy, mx, my, cxx,
-    cyy, cxy)``, pairwise complete; ``m`` are means, ``c`` centred sums.  Each
-    task keeps one centred p x p state per group and emits it once, as one row
-    per (group, i) with arrays over j (earlier if it holds ``GRAM_HELD``
-    numbers); the rows of a (group, i) are merged pairwise.
+    cyy, cxy)``, pairwise complete; ``m`` are means, ``c`` centred sums.  The unit
+    of work is a pair of tiles of up to ``tile`` columns: each pair reads only its
+    columns, and a task keeps one centred state of at most ``6 tile^2`` numbers per
+    group and emits it once, as one row per (group, i) with arrays over the
+    second tile (earlier if it holds ``GRAM_HELD`` numbers); the rows of a
+    (group, i, tile) are merged pairwise.
     """
-    ks = _keys(by)
-    p = len(cols)
+    tiles = [range(a, min(a + tile, len(cols))) for a in range(0, len(cols), tile)]
+    pairs = [_gram_pair(df, cols, a, b, _keys(by)) for k, a in enumerate(tiles) for b in tiles[k:]]
+    return functools.reduce(DataFrame.unionByName, pairs)
+
+
+def _gram_pair(df: DataFrame, cols: Sequence[str], first: range, second: range, ks: list[str]) -> DataFrame:
+    """The Gram rows of the columns ``first`` against ``second``, and their mirror image if they differ."""
+    same = first == second
     kf = [f for f in df.schema.fields if f.name in ks]
     arr = T.ArrayType(T.DoubleType())
     part_schema = T.StructType(kf + [T.StructField("i", T.IntegerType())] + [T.StructField(c, arr) for c in GRAM_STATS])
     raw = ("sx", "sy", "sxx", "syy", "sxy")
     out_schema = T.StructType(kf + [T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())] +
                               [T.StructField(c, T.DoubleType()) for c in ("n", *raw, *GRAM_STATS[1:])])
+    left, right = [f"x{i}" for i in first], [f"x{i}" for i in second]
 
     def rows_of(state: dict) -> pd.DataFrame:
-        recs = [{**dict(zip(ks, key)), "i": i, **{c: m[q, i] for q, c in enumerate(GRAM_STATS)}}
-                for key, m in state.items() for i in range(p)]
+        recs = [{**dict(zip(ks, key)), "i": i, **{c: m[q, k] for q, c in enumerate(GRAM_STATS)}}
+                for key, m in state.items() for k, i in enumerate(first)]
         return pd.DataFrame(recs, columns=[f.name for f in part_schema.fields])
 
     def partial(it):
@@ -218,9 +238,9 @@ def gram(df: DataFrame, cols: Sequence[str], by: Keys = ()) -> DataFrame:
             groups = pdf.groupby(ks, sort=False, dropna=False) if ks else [((), pdf)]
             for key, g in groups:
                 key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
-                m = _batch_moments(g[list(cols)].to_numpy(dtype="float64"))
+                m = _batch_moments(g[left].to_numpy(dtype="float64"), None if same else g[right].to_numpy(dtype="float64"))
                 state[key] = merge_moments(state[key], m) if key in state else m
-                if len(state) * 6 * p * p > GRAM_HELD and len(state) > 1:
+                if len(state) * m.size > GRAM_HELD and len(state) > 1:
                     yield rows_of(state)
                     state = {}
         if state:
@@ -232,15 +252,21 @@ def gram(df: DataFrame, cols: Sequence[str], by: Keys = ()) -> DataFrame:
             x = np.stack([np.asarray(getattr(r, c), dtype="float64") for c in GRAM_STATS])
             m = x if m is None else merge_moments(m, x)
         n, mx, my, cxx, cyy, cxy = m
-        out = pd.DataFrame({"j": np.arange(p, dtype="int32"), "n": n, "sx": n * mx, "sy": n * my,
+        out = pd.DataFrame({"j": np.array(second, dtype="int32"), "n": n, "sx": n * mx, "sy": n * my,
                             "sxx": cxx + n * mx * mx, "syy": cyy + n * my * my, "sxy": cxy + n * mx * my,
                             "mx": mx, "my": my, "cxx": cxx, "cyy": cyy, "cxy": cxy})
         for k in [*ks, "i"]:
             out[k] = pdf[k].iloc[0]
         return out[[f.name for f in out_schema.fields]]
 
-    parts = df.select(*ks, *[F.col(c).cast("double") for c in cols]).mapInPandas(partial, part_schema)
-    return parts.groupBy(*ks, "i").applyInPandas(merge, out_schema)
+    used = dict.fromkeys([*first, *second])
+    data = df.select(*ks, *[F.col(cols[i]).cast("double").alias(f"x{i}") for i in used])
+    out = data.mapInPandas(partial, part_schema).groupBy(*ks, "i").applyInPandas(merge, out_schema)
+    if same:
+        return out
+    swap = {"i": "j", "j": "i", "sx": "sy", "sy": "sx", "sxx": "syy", "syy": "sxx", "mx": "my", "my": "mx", "cxx": "cyy", "cyy": "cxx"}
+    both = F.explode(F.array(*[F.struct(*[F.col(m.get(c, c)).alias(c) for c in out.columns if c not in ks]) for m in ({}, swap)]))
+    return out.select(*ks, both.alias("pk_e")).select(*ks, *[F.col(f"pk_e.{c}").alias(c) for c in out.columns if c not in ks])
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str], by: Keys = ()) -> DataFrame:

@@ -123,3 +123,38 @@ def test_quantiles_of_any_size_with_null_keys(spark):
     assert abs(d[None].q50 - want[None, 0.5]) < 1e-12 and d[50].q50 is None and d[50]["count"] == 0
     b = {r.g: r for r in PR.box_stats(df, "v", by="g").collect()}
     assert abs(b[None].q3 - np.quantile(pdf[pdf.g == -1].v, 0.75)) < 1e-12
+
+
+def test_density_within_its_bound(spark):
+    rng = np.random.default_rng(3)
+    rows = [(None, float(v)) for v in rng.normal(size=3000)] + [(1, float(v)) for v in rng.exponential(size=800)]
+    rows += [(2, 5.0)] * 7 + [(1, None)]
+    df = spark.createDataFrame(rows, "g long, v double")
+    for bins in (32, 256, 1024):
+        got = PR.kde_curve(df.withColumnRenamed("g", "k"), "v", 60, by="k", bins=bins).toPandas()
+        for g in (None, 1):
+            v = np.array([x for k, x in rows if k == g and x is not None])
+            bw = len(v) ** -0.2 * v.std(ddof=1)
+            part = got[(got.iloc[:, 0].isna() if g is None else got.iloc[:, 0] == g)].sort_values("i")
+            at = v.min() + (v.max() - v.min()) * part["i"].to_numpy() / 59
+            exact = np.exp(-0.5 * ((at[:, None] - v) / bw) ** 2).sum(1) / (len(v) * bw * np.sqrt(2 * np.pi))
+            assert (np.abs(part["density"].to_numpy() - exact) <= part["error_bound"].to_numpy() + 1e-12).all()
+    assert part["error_bound"].max() < 2e-4  # densities reach 0.7
+    assert got[got.iloc[:, 0] == 2]["density"].isna().all()
+
+
+def test_tiled_gram(spark):
+    """Pairs of column tiles give the one-tile result, gaps and a NULL key included."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 11)) + 1e6
+    x[rng.random(x.shape) < 0.1] = np.nan
+    cols = [f"c{i}" for i in range(11)]
+    rows = [(None if k % 3 == 0 else k % 3, *[None if np.isnan(v) else float(v) for v in r]) for k, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "g long, " + ", ".join(f"{c} double" for c in cols))
+    key = lambda r: ((r["g"] or 0), r["i"], r["j"])
+    one = sorted(PR.gram(df, cols, "g").collect(), key=key)
+    many = sorted(PR.gram(df, cols, "g", tile=4).collect(), key=key)
+    assert len(one) == len(many) == 3 * 121
+    for a, b in zip(one, many):
+        assert key(a) == key(b)
+        np.testing.assert_allclose([a[c] for c in a.asDict() if c != "g"], [b[c] for c in a.asDict() if c != "g"], rtol=1e-9, atol=1e-6)
