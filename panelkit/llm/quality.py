@@ -245,7 +245,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 yield b.slice(i, j - i).append_column(x, pa.array(list(statistics(d, o)), pa.list_(pa.float64())))
 
     rows = stored(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(x, T.ArrayType(T.DoubleType()))])),
-                  "quality-rows")
+                  "quality-rows", compression="zstd")
     model = fit(rows.select("doc_id", F.col(x).alias("x")), labels)
 
     @F.pandas_udf("boolean")
