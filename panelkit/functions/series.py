@@ -43,8 +43,9 @@ class _Strips:
         return before, own
 
     def centre(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first valid value of every strip (no row depends on later ones), and the deviations from it."""
         v = np.where(self.valid, self.cut(v, 0.0), 0.0)
-        c = v.sum(1, keepdims=True) / np.maximum(self.valid.sum(1, keepdims=True), 1)
+        c = np.take_along_axis(v, self.valid.argmax(1)[:, None], 1)
         return c, np.where(self.valid, v - c, 0.0)
 
     def cross(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -12,8 +12,7 @@ def sortedness(df: DataFrame, position: str, value: str, block_rows: int = 65536
     Each block of positions checks itself against the last value of the
     previous block *that has rows* (a lag over the one-row-per-block table), so
     gaps in the positions do not matter.  Rows without a position have no place in
-    the order and are not judged; an empty order is sorted.  One row:
-    ``is_sorted, violations``.
+    the order and are not judged.  One row: ``is_sorted`` (NULL for an empty order), ``violations``.
     """
     df = df.where(F.col(position).isNotNull())
     blk = F.floor(F.col(position) / F.lit(block_rows))
@@ -23,7 +22,7 @@ def sortedness(df: DataFrame, position: str, value: str, block_rows: int = 65536
     w = Window.partitionBy("_b").orderBy("_p")
     j = b.join(carry, "_b").withColumn("_prev", F.when(F.row_number().over(w) == 1, F.col("_carry"))
                                        .otherwise(F.lag("_v").over(w)))
-    return j.agg(F.coalesce(F.bool_and(F.coalesce(F.col("_v") >= F.col("_prev"), F.lit(True))), F.lit(True)).alias("is_sorted"),
+    return j.agg(F.bool_and(F.coalesce(F.col("_v") >= F.col("_prev"), F.lit(True))).alias("is_sorted"),
                  F.count_if(F.col("_v") < F.col("_prev")).alias("violations"))
 
 
