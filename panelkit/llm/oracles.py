@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import string
 
+from panelkit.llm import line_rules
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 
@@ -91,6 +93,9 @@ SELECT conv_id, call_id, turn, NULL, 'orphan', '', '{"arguments":null,"call_id":
 FROM a ANTI JOIN k USING (conv_id, call_id)
 """
 
+#: the rules' fixed lists as SQL lists
+END_MARKS, SEPARATORS, NOTICES = ("[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+                                  for xs in (line_rules.END_MARKS, line_rules.SEPARATORS, line_rules.NOTICES))
 OP10 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
 g AS (SELECT r, p, count(*) OVER (PARTITION BY r, h) AS n
@@ -99,21 +104,35 @@ g AS (SELECT r, p, count(*) OVER (PARTITION BY r, h) AS n
 e AS (SELECT r, count(DISTINCT q) AS repeats FROM (SELECT r, unnest(range(p, p + 5)) AS q FROM g WHERE n > 1) GROUP BY r),
 l AS (SELECT r, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
 m AS (SELECT r, i, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw FROM l),
-o AS (SELECT r, row_number() OVER (PARTITION BY r, line ORDER BY i) > 1 AS again, len(lw) AS words,
+o AS (SELECT r, i, line, len(lw) AS words, row_number() OVER (PARTITION BY r, line ORDER BY i) > 1 AS again,
+        row_number() OVER (PARTITION BY r ORDER BY i) AS k,
+        md5(coalesce(lag(line) OVER (PARTITION BY r ORDER BY i), '') || chr(10)
+            || coalesce(lead(line) OVER (PARTITION BY r ORDER BY i), '')) AS around,
         length(array_to_string(lw, '')) AS chars, len(regexp_extract_all(line, '[#*$%&|<>]')) AS signs,
-        len(list_filter(lw, lambda x: x = '|')) AS bars, len(list_filter(lw, lambda x: contains(x, '!!'))) AS shout
+        len(list_filter(lw, lambda x: x = '|')) AS bars, len(list_filter(lw, lambda x: contains(x, '!!'))) AS shout,
+        len(list_filter(lw, lambda x: list_contains({SEPARATORS}, x))) AS seps,
+        NOT list_contains({END_MARKS}, right(lw[len(lw)], 1)) AS unclosed,
+        len(list_filter({NOTICES}, lambda x: contains(translate(line, '{string.ascii_uppercase}', '{string.ascii_lowercase}'),
+                                                      x))) > 0 AS notice
       FROM m WHERE len(lw) > 0),
-s AS (SELECT r, count(*) FILTER (WHERE again) AS dups,
-        sum(chars) FILTER (WHERE again OR signs > 0.1::DOUBLE * greatest(chars, 1) OR bars >= 3
-                           OR (words >= 3 AND shout > 0.5::DOUBLE * words)) AS lost
-      FROM o GROUP BY r),
+y AS (SELECT *, count(*) OVER (PARTITION BY r, menu, k - j) AS run
+      FROM (SELECT *, row_number() OVER (PARTITION BY r, menu ORDER BY k) AS j
+            FROM (SELECT *, unclosed AND words <= 6 AS menu FROM o))),
+u AS (SELECT *, again OR signs > 0.1::DOUBLE * greatest(chars, 1) OR bars >= 3
+          OR (words >= 3 AND shout > 0.5::DOUBLE * words) OR (unclosed AND words <= 3)
+          OR (seps >= 3 AND 4 * seps >= words) OR (menu AND run >= 4) OR (notice AND words <= 24) AS bad FROM y),
+c AS (SELECT line FROM u WHERE NOT bad AND words <= 24 GROUP BY line
+      HAVING count(DISTINCT around) >= greatest(10, (SELECT (count(*) + 999) // 1000 FROM d WHERE len(w) > 0))),
+s AS (SELECT r, count(*) FILTER (WHERE again) AS dups, count(*) FILTER (WHERE bad OR c.line IS NOT NULL) AS n_bad,
+        sum(chars) FILTER (WHERE bad OR c.line IS NOT NULL) AS lost
+      FROM u LEFT JOIN c ON c.line = u.line AND NOT bad AND words <= 24 GROUP BY r),
 z AS (SELECT d.r, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
         len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(dups, 0) AS n_dup_lines,
-        coalesce(repeats, 0) AS n_repeat_words, coalesce(lost, 0) AS lost
+        coalesce(repeats, 0) AS n_repeat_words, coalesce(n_bad, 0) AS n_bad, coalesce(lost, 0) AS lost
       FROM d LEFT JOIN e USING (r) LEFT JOIN s USING (r))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
-  n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
-  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, n_bad::BIGINT AS n_bad_lines,
+  lost::BIGINT AS lost_chars, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost <= 0.5::DOUBLE * word_chars AS kept
 FROM z
 """

@@ -80,7 +80,7 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
         m["n_symbols"] / chars, share(data == 33, chars), by_word(lone), share(sign, chars), by_word(odd),
         np.log1p(lines) - np.log1p(m["n_words"]), by_word(first), m["n_repeat_words"] / words,
         m["n_dup_lines"] / (lines + 1), share(data >= 0xC0, chars), by_word(lens <= 3),
-        m["lost_chars"] / chars], 1).astype(np.float64)
+        m["noise_chars"] / chars], 1).astype(np.float64)
 
 
 @dataclass

@@ -74,29 +74,52 @@ def contamination(docs, items, span=10):
     return out
 
 
+def _own_line_faults(lines):
+    """Which of a text's lines with a word fail a rule that needs no other text, and their words."""
+    marks = set(".!?:;\"')]»”’。！？")
+    seps = set("|>/›·•→")
+    notices = ["all rights reserved", "licensed under", "terms of use", "terms of service", "privacy policy",
+               "cookie policy", "uses cookies", "use of cookies", "enable javascript", "skip to content",
+               "subscribe to our newsletter", "back to top"]
+    cut = [re.findall(SPACE, x) for x in lines]
+    menu = [len(x) <= 6 and x[-1][-1] not in marks for x in cut]
+    out = []
+    for i, (line, x) in enumerate(zip(lines, cut)):
+        signs, lone = len(re.findall(r"[#*$%&|<>]", line)), sum(y in seps for y in x)
+        bad = line in lines[:i] or signs > 0.1 * max(sum(map(len, x)), 1) or x.count("|") >= 3
+        bad = bad or len(x) >= 3 and sum("!!" in y for y in x) > 0.5 * len(x)
+        bad = bad or len(x) <= 3 and x[-1][-1] not in marks or lone >= 3 and 4 * lone >= len(x)
+        lo, hi = i, i
+        while menu[i] and lo > 0 and menu[lo - 1]:
+            lo -= 1
+        while menu[i] and hi + 1 < len(lines) and menu[hi + 1]:
+            hi += 1
+        bad = bad or menu[i] and hi - lo + 1 >= 4
+        out.append(bad or len(x) <= 24 and any(n in lower(line) for n in notices))
+    return out, cut
+
+
 def line_rules(docs):
+    texts = [[x for x in (t or "").split("\n") if re.search(SPACE, x)] for _, t in docs]
+    judged = [_own_line_faults(x) for x in texts]
+    spread = defaultdict(set)
+    for lines, (bad, cut) in zip(texts, judged):
+        for i, x in enumerate(lines):
+            if not bad[i] and len(cut[i]) <= 24:
+                spread[x].add((lines[i - 1] if i else None, lines[i + 1] if i + 1 < len(lines) else None))
+    least = max(10, math.ceil(sum(map(bool, texts)) / 1000))
     out = []
-    for d, t in docs:
+    for (d, t), lines, (own, cut) in zip(docs, texts, judged):
         t = t or ""
         w = re.findall(SPACE, t)
         n = Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4))
         rep = {j for i in range(len(w) - 4) if n[tuple(w[i:i + 5])] > 1 for j in range(i, i + 5)}
-        seen, dup, lost = set(), 0, 0
-        for line in t.split("\n"):
-            x = re.findall(SPACE, line)
-            if not x:
-                continue
-            again = line in seen
-            seen.add(line)
-            dup += again
-            chars, signs = sum(map(len, x)), len(re.findall(r"[#*$%&|<>]", line))
-            bad = again or signs > 0.1 * max(chars, 1) or x.count("|") >= 3
-            bad = bad or len(x) >= 3 and sum("!!" in y for y in x) > 0.5 * len(x)
-            lost += chars if bad else 0
+        bad = [b or len(x) <= 24 and len(spread[y]) >= least for b, x, y in zip(own, cut, lines)]
+        lost = sum(len(y) for b, x in zip(bad, cut) if b for y in x)
         chars = sum(map(len, w))
         failed = len(w) < 10 or 100 * len(rep) > 20 * len(w)
-        out.append((d, len(w), chars, len(re.findall(r"[#*$%&|<>]", t)), dup, len(rep), failed,
-                    not failed and lost <= 0.5 * chars))
+        out.append((d, len(w), chars, len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(rep), sum(bad),
+                    lost, failed, not failed and lost <= 0.5 * chars))
     return out
 
 

@@ -47,7 +47,7 @@ def _plain_statistics(text):
     import re
     t = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
-    (_, n, chars, symbols, dups, repeats, _, _), = brute.line_rules([(0, t)])
+    (_, n, chars, symbols, dups, repeats, *_), = brute.line_rules([(0, t)])
     lost = 0
     seen = set()
     for line in t.split("\n"):

@@ -176,8 +176,7 @@ def test_decontamination(spark, docs):
 
 def test_line_rules(docs):
     frame, rows = docs
-    got = line_rules.judge(frame).drop("n_bad_lines", "lost_chars")
-    same(got.collect(), brute.line_rules(rows))
+    same(line_rules.judge(frame).collect(), brute.line_rules(rows))
     clean = line_rules.clean(frame)
     assert clean.columns == frame.columns
     assert clean.count() == sum(r[-1] for r in brute.line_rules(rows))
@@ -185,6 +184,49 @@ def test_line_rules(docs):
         assert r.text == "plain words stand here and more"
 
 
+def _prose(seed, lines):
+    return [" ".join(f"p{seed}q{i}r{j}" for j in range(9)) + "." for i in range(lines)]
+
+
+def test_line_rules_across_documents(spark):
+    """Lines that recur between different neighbours go; those of copies and near copies stay."""
+    common, notice = "please share this page with your friends and family today.", "(c) 2020 ALL Rights reserved by us."
+    menu = ["Home page", "About our company today", "Contact the sales people", "Jobs in the team"]
+    texts = ["\n".join([*_prose(i, 3), common, *_prose(100 + i, 2)]) for i in range(12)]
+    texts += ["\n".join([_prose(50, 1)[0], *([common] * 3), "x y z w"])]
+    near = _prose(900, 12)
+    texts += ["\n".join(near)] * 30 + ["\n".join([*near[:i], f"changed line {i} stands here now.", *near[i + 1:]])
+                                       for i in range(4)]
+    texts += ["\n".join([*_prose(60, 2), notice, *menu]), "\n".join(["a few words stand here in one line.", *menu, " "]),
+              "Start > Shop > Shoes > Men and\n" + "\n".join(_prose(61, 2)), "all rights", " reserved text",
+              "Kapitel eins\n" + "\n".join(_prose(62, 2)) + "\nthe end of « the text »", "\n".join([*menu[:3], *_prose(63, 2)]),
+              "\r\n".join([*_prose(64, 2), common]), "„Ja“ sagte er。\n" + " ".join(["wort"] * 3) + " …"]
+    rows = [(i if i % 7 else None, t, 5, "r", "c") for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, row int, common string, doc string").repartition(5)
+    want = brute.line_rules([r[:2] for r in rows])
+    same(line_rules.judge(frame).collect(), want)
+    assert [w[6] for w in want[:12]] == [1] * 12 and not want[12][-1]
+    assert all(w[6] == 0 and w[-1] for w in want[13:47])
+    assert want[47][6] == 5 and not want[48][-1] and want[49][6] == 1
+    clean = line_rules.clean(frame)
+    assert clean.columns == frame.columns
+    got = {r.text for r in clean.collect()}
+    assert clean.count() == sum(w[-1] for w in want) and not any(common in t.split("\n") for t in got)
+    assert "\n".join(_prose(60, 2)) in got and "\n".join(near) in got
+    assert {(r.row, r.common, r.doc) for r in clean.collect()} == {(5, "r", "c")}
+
+
+def test_line_rules_twin(spark, docs):
+    """The SQL twin on the same rows, lines across documents included."""
+    import duckdb
+    frame, rows = docs
+    extra = [(10**6 + i, "\n".join([*_prose(i, 2), "one line of them all stands here.", *_prose(300 + i, 1)])) for i in range(11)]
+    documents = spark.createDataFrame(rows + extra, "doc_id long, text string").toPandas()  # noqa: F841
+    con = duckdb.connect()
+    con.register("documents", documents)
+    same(con.execute(oracles.OP10).fetchall(), brute.line_rules(rows + extra))
+
+
 @pytest.mark.parametrize("run", [ngram_join.near_duplicates, ngram_join.keep_one, substrings.removals,
                                  substrings.remove, line_rules.judge, line_rules.clean])
 def test_empty(spark, run):
