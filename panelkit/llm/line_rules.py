@@ -2,8 +2,10 @@
 
 Each line is judged by punctuation, navigation and boilerplate rules; failing
 lines are removed; a document that loses more than ``MAX_LOSS`` of its word
-characters is rejected, and so is one that fails the document rules (too few
-words, too much of it repeated).
+characters to lines at fault by themselves is rejected, and so is one that loses
+more than ``MAX_COMMON`` of them to these and to lines that recur across
+documents (such a line may be sound prose, so a short text that holds one stays),
+and one that fails the document rules (too few words, too much of it repeated).
 
 Line rules (a line is what stands between ``\\n``; lines without a word are
 neither judged nor counted):
@@ -55,6 +57,7 @@ MIN_WORDS = 10
 REPEAT_WINDOW = 5
 MAX_REPEAT_PERCENT = 20
 MAX_LOSS = 0.5
+MAX_COMMON = 0.9
 MAX_SYMBOLS = 0.1
 MIN_BARS = 3
 MIN_SHOUT = 3
@@ -257,12 +260,13 @@ def _common_lines(rows: DataFrame) -> DataFrame:
 def judge(docs: DataFrame) -> DataFrame:
     """Counts and verdict of each row of ``docs(doc_id, text)``."""
     rows = _measured(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
-    lost = _common_lines(rows).groupBy("row").agg(F.count("*").alias("more_lines"), F.sum("chars").alias("more_chars"))
-    n_bad = F.col("n_bad_lines") + F.coalesce("more_lines", F.lit(0))
-    gone = F.col("lost_chars") + F.coalesce("more_chars", F.lit(0))
-    return rows.drop("lines").join(lost, "row", "left").select(
-        "doc_id", *COLUMNS[:-2], n_bad.alias("n_bad_lines"), gone.alias("lost_chars"), "base_failed",
-        (~F.col("base_failed") & (gone <= MAX_LOSS * F.col("word_chars"))).alias("kept"))
+    common = _common_lines(rows).groupBy("row").agg(F.count("*").alias("n_common_lines"),
+                                                    F.sum("chars").alias("common_chars"))
+    full = rows.drop("lines").join(common, "row", "left").fillna(0, ["n_common_lines", "common_chars"])
+    sound = (F.col("lost_chars") <= MAX_LOSS * F.col("word_chars")) & (
+        F.col("lost_chars") + F.col("common_chars") <= MAX_COMMON * F.col("word_chars"))
+    return full.select("doc_id", *COLUMNS, "n_common_lines", "common_chars", "base_failed",
+                       (~F.col("base_failed") & sound).alias("kept"))
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,8 +282,9 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of = pa.compute.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.uint64)
             bad = x["bad"] | x["asked"] & np.isin(mix64(x["hash"] + x["doc"].astype(np.uint64) * salt),
                                                   mix64(common + of * salt))
-            lost = _per(_running(np.where(bad, x["chars"], 0)), x["first"])
-            kept = ~m["base_failed"] & (lost <= MAX_LOSS * m["word_chars"])
+            gone = _per(_running(np.where(bad, x["chars"], 0)), x["first"])
+            kept = ~m["base_failed"] & (m["lost_chars"] <= MAX_LOSS * m["word_chars"]) & (
+                gone <= MAX_COMMON * m["word_chars"])
             raw, texts = d.tobytes(), []
             for r in range(j - i):
                 good = [raw[x["start"][y]: x["end"][y]].decode() for y in range(x["first"][r], x["first"][r + 1])

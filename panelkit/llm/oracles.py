@@ -123,17 +123,20 @@ u AS (SELECT *, again OR signs > 0.1::DOUBLE * greatest(chars, 1) OR bars >= 3
           OR (seps >= 3 AND 4 * seps >= words) OR (menu AND run >= 4) OR (notice AND words <= 24) AS bad FROM y),
 c AS (SELECT line FROM u WHERE NOT bad AND words <= 24 GROUP BY line
       HAVING count(DISTINCT around) >= greatest(10, (SELECT (count(*) + 999) // 1000 FROM d WHERE len(w) > 0))),
-s AS (SELECT r, count(*) FILTER (WHERE again) AS dups, count(*) FILTER (WHERE bad OR c.line IS NOT NULL) AS n_bad,
-        sum(chars) FILTER (WHERE bad OR c.line IS NOT NULL) AS lost
+s AS (SELECT r, count(*) FILTER (WHERE again) AS dups, count(*) FILTER (WHERE bad) AS n_bad,
+        sum(chars) FILTER (WHERE bad) AS lost, count(c.line) AS n_common,
+        sum(chars) FILTER (WHERE c.line IS NOT NULL) AS common
       FROM u LEFT JOIN c ON c.line = u.line AND NOT bad AND words <= 24 GROUP BY r),
 z AS (SELECT d.r, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
         len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(dups, 0) AS n_dup_lines,
-        coalesce(repeats, 0) AS n_repeat_words, coalesce(n_bad, 0) AS n_bad, coalesce(lost, 0) AS lost
+        coalesce(repeats, 0) AS n_repeat_words, coalesce(n_bad, 0) AS n_bad, coalesce(lost, 0) AS lost,
+        coalesce(n_common, 0) AS n_common, coalesce(common, 0) AS common
       FROM d LEFT JOIN e USING (r) LEFT JOIN s USING (r))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
   n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, n_bad::BIGINT AS n_bad_lines,
-  lost::BIGINT AS lost_chars, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost <= 0.5::DOUBLE * word_chars AS kept
+  lost::BIGINT AS lost_chars, n_common::BIGINT AS n_common_lines, common::BIGINT AS common_chars, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost <= 0.5::DOUBLE * word_chars
+    AND lost + common <= 0.9::DOUBLE * word_chars AS kept
 FROM z
 """
 

@@ -114,12 +114,12 @@ def line_rules(docs):
         w = re.findall(SPACE, t)
         n = Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4))
         rep = {j for i in range(len(w) - 4) if n[tuple(w[i:i + 5])] > 1 for j in range(i, i + 5)}
-        bad = [b or len(x) <= 24 and len(spread[y]) >= least for b, x, y in zip(own, cut, lines)]
-        lost = sum(len(y) for b, x in zip(bad, cut) if b for y in x)
+        common = [not b and len(x) <= 24 and len(spread[y]) >= least for b, x, y in zip(own, cut, lines)]
+        lost, more = (sum(len(y) for b, x in zip(f, cut) if b for y in x) for f in (own, common))
         chars = sum(map(len, w))
         failed = len(w) < 10 or 100 * len(rep) > 20 * len(w)
-        out.append((d, len(w), chars, len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(rep), sum(bad),
-                    lost, failed, not failed and lost <= 0.5 * chars))
+        out.append((d, len(w), chars, len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(rep), sum(own),
+                    lost, sum(common), more, failed, not failed and lost <= 0.5 * chars and lost + more <= 0.9 * chars))
     return out
 
 

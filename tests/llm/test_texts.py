@@ -202,12 +202,15 @@ def test_line_rules_across_documents(spark):
               "Kapitel eins\n" + "\n".join(_prose(62, 2)) + "\nthe end of « the text »", "\n".join([*menu[:3], *_prose(63, 2)]),
               "\r\n".join([*_prose(64, 2), common]), "„Ja“ sagte er。\n" + " ".join(["wort"] * 3) + " …"]
     rows = [(i if i % 7 else None, t, 5, "r", "c") for i, t in enumerate(texts)]
+    rows.append((77, common + "\nSo say we too, now.", 5, "r", "c"))  # mostly common, but something of its own
+    rows.append((78, common + "\nYes.", 5, "r", "c"))  # hardly anything of its own
     frame = spark.createDataFrame(rows, "doc_id long, text string, row int, common string, doc string").repartition(5)
     want = brute.line_rules([r[:2] for r in rows])
     same(line_rules.judge(frame).collect(), want)
-    assert [w[6] for w in want[:12]] == [1] * 12 and not want[12][-1]
-    assert all(w[6] == 0 and w[-1] for w in want[13:47])
+    assert [w[8] for w in want[:12]] == [1] * 12 and all(w[-1] for w in want[:12]) and not want[12][-1]
+    assert all(w[6] == w[8] == 0 and w[-1] for w in want[13:47])
     assert want[47][6] == 5 and not want[48][-1] and want[49][6] == 1
+    assert want[-2][-1] and not want[-1][-1]
     clean = line_rules.clean(frame)
     assert clean.columns == frame.columns
     got = {r.text for r in clean.collect()}
