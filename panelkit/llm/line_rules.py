@@ -122,7 +122,7 @@ def _ends_with(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, marks: tu
     for mark in marks:
         at = np.ones(len(ends), bool)
         for back, byte in enumerate(reversed(mark.encode()), 1):
-            at &= (ends - back >= starts) & (data[ends - back] == byte)
+            at &= (ends - back >= starts) & (data[np.maximum(ends - back, 0)] == byte)
         out |= at
     return out
 

@@ -219,6 +219,16 @@ def test_line_rules_across_documents(spark):
     assert {(r.row, r.common, r.doc) for r in clean.collect()} == {(5, "r", "c")}
 
 
+@pytest.mark.parametrize("text", ["x", "é", "\n", ".", "", None, "。", "\na", "| |"])
+def test_line_rules_of_one_text(text):
+    """A slice that holds a single tiny text."""
+    import numpy as np
+    data = np.frombuffer((text or "").encode(), np.uint8)
+    m = line_rules.measures(data, np.array([0, len(data)]))
+    (want,) = brute.line_rules([(0, text)])
+    assert [int(m[c][0]) for c in line_rules.COLUMNS] == list(want[1:8]) and bool(m["base_failed"][0])
+
+
 def test_line_rules_twin(spark, docs):
     """The SQL twin on the same rows, lines across documents included."""
     import duckdb
