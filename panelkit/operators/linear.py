@@ -19,6 +19,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +35,7 @@ ALPHA_LOG_RANGE = (-4.0, 2.0)
 CV_FOLDS = 10
 
 ALPHA_CHUNK = 25  # alphas that one task solves
+NARROW = 8  # up to so many features, problems are solved by the Arrow batch, else one at a time
 
 
 def alphas_grid(n: int = N_ALPHAS, lo: float = ALPHA_LOG_RANGE[0], hi: float = ALPHA_LOG_RANGE[1]) -> list[float]:
@@ -112,6 +114,28 @@ def enet_cd(C: np.ndarray, c: np.ndarray, alpha: float, l1: float, w0=None,
     return w
 
 
+def enet_cd_many(C: np.ndarray, c: np.ndarray, alpha: np.ndarray, l1: float, w0: np.ndarray | None = None,
+                 max_iter: int = 10_000, tol: float = 1e-10) -> np.ndarray:
+    """``enet_cd`` over a stack of problems at once; each stops by itself."""
+    w = np.zeros(c.shape) if w0 is None else w0.copy()
+    alpha, live = np.broadcast_to(np.asarray(alpha, float), len(c)), np.arange(len(c))
+    for _ in range(max_iter):
+        if not len(live):
+            break
+        Cl, cl, wl, al = C[live], c[live], w[live], alpha[live]
+        lam1, lam2, delta = al * l1, al * (1 - l1), np.zeros(len(live))
+        for j in range(c.shape[1]):
+            den = Cl[:, j, j] + lam2
+            rho = cl[:, j] - (Cl[:, j] * wl).sum(1) + Cl[:, j, j] * wl[:, j]
+            new = np.sign(rho) * np.maximum(np.abs(rho) - lam1, 0.0) / np.where(den > 0, den, 1.0)
+            new = np.where(den > 0, new, wl[:, j])
+            delta = np.maximum(delta, np.abs(new - wl[:, j]))
+            wl[:, j] = new
+        w[live] = wl
+        live = live[~(delta < tol)]
+    return w
+
+
 def _solve_ols(C, c):
     return np.linalg.lstsq(C, c, rcond=None)[0]
 
@@ -126,22 +150,19 @@ def fit(df: DataFrame, features: Sequence[str], label: str, by: Keys = (), alpha
     ks = _keys(by)
     p = len(features)
     data = df.select(*ks, *features, label).dropna()
-    g = gram(data, [*features, label], ks)
+    g = _packed(gram(data, [*features, label], ks), ks, p)
     kf = [f for f in g.schema.fields if f.name in ks]
     schema = T.StructType(kf + [T.StructField("n", T.DoubleType()), T.StructField("intercept", T.DoubleType()),
                                 T.StructField("coef", T.ArrayType(T.DoubleType()))])
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, mean, S = _matrices(pdf, p)
-        mx, my, C, c = _moments(n, mean, S, p)
-        w = _solve_ols(C, c) if alpha == 0 else enet_cd(C, c, alpha, l1_ratio, max_iter=max_iter)
-        row = {k: pdf[k].iloc[0] for k in ks}
-        row.update(n=n, intercept=float(my - mx @ w), coef=[float(v) for v in w])
-        return pd.DataFrame([row])
+    def solve(t: pa.Table) -> pa.Table:
+        n, mean, S = _stacked(t, p)
+        mx, my, C, c = mean[:, :p], mean[:, p], S[:, :p, :p] / n[:, None, None], S[:, :p, p] / n[:, None]
+        w = np.array([_solve_ols(A, v) for A, v in zip(C, c)]).reshape(-1, p) if alpha == 0 else \
+            enet_cd_many(C, c, alpha, l1_ratio, max_iter=max_iter)
+        return _columns(t, ks, {"n": n, "intercept": my - (mx * w).sum(1), "coef": w})
 
-    return g.groupBy(*ks).applyInPandas(solve, schema) if ks else \
-        g.withColumn("pk_one", F.lit(1)).groupBy("pk_one").applyInPandas(
-            lambda pdf: solve(pdf), schema)
+    return _each(g.where("n > 0"), solve, schema, p)
 
 
 _STATS = pa.schema([("n", pa.float64()), ("mean", pa.list_(pa.float64())), ("s", pa.list_(pa.float64()))])
@@ -150,7 +171,7 @@ _STATS_SQL = "n double, mean array<double>, s array<double>"
 
 def _packed(g: DataFrame, keys: list[str], p: int) -> DataFrame:
     """Gram rows as one row per group: ``n``, the means and the centred sums (row by row)."""
-    rows = g.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "j", "n", "mx", "cxy"))).alias("r"))
+    rows = (g.groupBy(*keys) if keys else g).agg(F.sort_array(F.collect_list(F.struct("i", "j", "n", "mx", "cxy"))).alias("r"))
     diagonal = F.filter("r", lambda r: r["i"] == r["j"])
     return rows.select(*keys, F.array_max("r.n").alias("n"), F.transform(diagonal, lambda r: r["mx"]).alias("mean"),
                        F.col("r.cxy").alias("s"))
@@ -160,6 +181,36 @@ def _stats(row: dict, p: int):
     return row["n"], np.array(row["mean"]), np.array(row["s"]).reshape(p + 1, p + 1)
 
 
+def _stacked(t: pa.Table, p: int, prefix: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``n``, means and centred sums of all rows of a packed table."""
+    flat = lambda c: pc.list_flatten(t.column(prefix + c)).to_numpy()
+    return t.column(prefix + "n").to_numpy(), flat("mean").reshape(-1, p + 1), flat("s").reshape(-1, p + 1, p + 1)
+
+
+def _columns(t: pa.Table, keys: list[str], values: dict[str, np.ndarray]) -> pa.Table:
+    """The keys of ``t`` with new columns; two-dimensional values become arrays."""
+    out = t.select(keys)
+    for name, v in values.items():
+        x = pa.array(np.ascontiguousarray(v).reshape(-1), pa.float64())
+        if v.ndim == 2:
+            x = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * v.shape[1], pa.int32()), x)
+        out = out.append_column(name, x)
+    return out
+
+
+def _each(df: DataFrame, solve, schema, p: int) -> DataFrame:
+    """``solve`` over all rows, each one a problem of its own: by the batch if its statistics are small, else one at a time."""
+    if p > NARROW:
+        return df.withColumn("pk_id", F.monotonically_increasing_id()).groupBy("pk_id").applyInArrow(solve, schema)
+
+    def batches(it):
+        for b in it:
+            if b.num_rows:
+                yield from solve(pa.Table.from_batches([b])).to_batches()
+
+    return df.mapInArrow(batches, schema)
+
+
 def _table(rows: list[dict], like: pa.Table, keys: list[str], fields: list[tuple]) -> pa.Table:
     return pa.Table.from_pylist(rows, pa.schema([*(like.schema.field(k) for k in keys), *fields]))
 
@@ -186,49 +237,51 @@ def enet_cv(df: DataFrame, features: Sequence[str], label: str, fold: str = "fol
     pair = [("pk_fold", pa.int64()), *((f.name, f.type) for f in _STATS), *((f"out_{f.name}", f.type) for f in _STATS)]
 
     def leave_out(t: pa.Table) -> pa.Table:
-        rows = t.to_pylist()
-        folds = [_stats(r, p) for r in rows]
-        total = functools.reduce(_joined, folds)
         out = []
-        for r, f in [*zip(rows, folds), ({**rows[0], "pk_fold": None}, None)]:  # no fold: all rows
-            n, m, S = total if f is None else _without(total, f)
-            out.append({**r, "out_n": n, "out_mean": m.tolist(), "out_s": S.reshape(-1).tolist()})
+        for g in t.to_pylist():
+            rows = g["r"]
+            folds = [_stats(r, p) for r in rows]
+            total = functools.reduce(_joined, folds)
+            for r, f in [*zip(rows, folds), ({**rows[0], "pk_fold": None}, None)]:  # no fold: all rows
+                n, m, S = total if f is None else _without(total, f)
+                out.append({**{k: g[k] for k in gk}, **r, "out_n": n, "out_mean": m.tolist(), "out_s": S.reshape(-1).tolist()})
         return _table(out, t, gk, pair)
 
     out_sql = ", ".join(f"out_{c}" for c in _STATS_SQL.split(", "))
-    parts = written(own.groupBy(*gk).applyInArrow(leave_out, f"{kf}pk_fold long, {_STATS_SQL}, {out_sql}"), "cv-folds")
+    groups = own.groupBy(*gk).agg(F.sort_array(F.collect_list(F.struct("pk_fold", "n", "mean", "s"))).alias("r"))
+    parts = written(_each(groups, leave_out, f"{kf}pk_fold long, {_STATS_SQL}, {out_sql}", p), "cv-folds")
     chunks = -(-len(alphas) // chunk)
     jobs = parts.where("pk_fold is not null").withColumn("pk_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    # every alpha of a chunk, the largest first; the last chunk may hold fewer
+    grid = np.full(chunks * chunk, np.nan)
+    grid[: len(alphas)] = alphas
+    grid = grid.reshape(chunks, chunk)[:, ::-1]
 
     def solve(t: pa.Table) -> pa.Table:
-        r = t.to_pylist()[0]
-        mx, my, C, c = _moments(*_out(r), p)
-        nf, mf, Sf = _stats(r, p)
-        w, rows = np.zeros(p), []
-        for a in reversed(alphas[r["pk_chunk"] * chunk: (r["pk_chunk"] + 1) * chunk]):  # warm starts
-            w = enet_cd(C, c, a, l1_ratio, w0=w, max_iter=max_iter)
-            beta, b = np.append(w, -1.0), my - mx @ w
+        (n, mean, S), (nf, mf, Sf) = _stacked(t, p, "out_"), _stacked(t, p)
+        mx, my, C, c = mean[:, :p], mean[:, p], S[:, :p, :p] / n[:, None, None], S[:, :p, p] / n[:, None]
+        mine, w, out = grid[t.column("pk_chunk").to_numpy()], np.zeros(c.shape), []
+        for a in mine.T:  # warm starts
+            at = np.flatnonzero(~np.isnan(a))
+            w[at] = enet_cd_many(C[at], c[at], a[at], l1_ratio, w[at], max_iter)
+            beta, b = np.column_stack([w[at], -np.ones(len(at))]), my[at] - (mx[at] * w[at]).sum(1)
             # held-out SSE of (x.w + b - y) from the fold's statistics
-            rows.append({**{k: r[k] for k in gk}, "alpha": a, "mse": (beta @ Sf @ beta + nf * (beta @ mf + b) ** 2) / nf})
-        return _table(rows, t, gk, [("alpha", pa.float64()), ("mse", pa.float64())])
+            sse = np.einsum("bi,bij,bj->b", beta, Sf[at], beta) + nf[at] * ((beta * mf[at]).sum(1) + b) ** 2
+            out.append(_columns(t.take(pa.array(at)), gk, {"alpha": a[at], "mse": sse / nf[at]}))
+        return pa.concat_tables(out)
 
-    def _out(r: dict):
-        return r["out_n"], np.array(r["out_mean"]), np.array(r["out_s"]).reshape(p + 1, p + 1)
-
-    losses = jobs.groupBy(*gk, "pk_fold", "pk_chunk").applyInArrow(solve, f"{kf}alpha double, mse double")
+    losses = _each(jobs, solve, f"{kf}alpha double, mse double", p)
     cv = written(losses.groupBy(*gk, "alpha").agg(F.avg("mse").alias("mse")), "cv-losses")
     best = cv.groupBy(*gk).agg(F.min(F.struct("mse", "alpha"))["alpha"].alias("alpha"))
     whole = attach(parts.where("pk_fold is null"), best, gk)
 
     def refit(t: pa.Table) -> pa.Table:
-        rows = []
-        for r in t.to_pylist():
-            mx, my, C, c = _moments(*_out(r), p)
-            w = enet_cd(C, c, r["alpha"], l1_ratio, max_iter=max_iter)
-            rows.append({**{k: r[k] for k in gk}, "alpha": r["alpha"], "intercept": my - mx @ w, "coef": w.tolist()})
-        return _table(rows, t, gk, [("alpha", pa.float64()), ("intercept", pa.float64()), ("coef", pa.list_(pa.float64()))])
-
-    model = whole.groupBy(*gk).applyInArrow(refit, f"{kf}alpha double, intercept double, coef array<double>")
+        n, mean, S = _stacked(t, p, "out_")
+        alpha = t.column("alpha").to_numpy()
+        w = enet_cd_many(S[:, :p, :p] / n[:, None, None], S[:, :p, p] / n[:, None], alpha, l1_ratio, max_iter=max_iter)
+        return _columns(t, gk, {"alpha": alpha, "intercept": mean[:, p] - (mean[:, :p] * w).sum(1), "coef": w})
+
+    model = _each(whole, refit, f"{kf}alpha double, intercept double, coef array<double>", p)
     return cv.drop("pk_all"), model.drop("pk_all")
 
 

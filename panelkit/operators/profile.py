@@ -14,6 +14,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -165,6 +167,7 @@ def target_correlations(df_long: DataFrame, target: str, by: Keys = "feature",
 
 GRAM_STATS = ("n", "mx", "my", "cxx", "cyy", "cxy")
 GRAM_TILE = 256
+GRAM_NARROW = 8  # up to so many columns the groups of a batch are summed up together
 GRAM_HELD = 1 << 22  # numbers a task keeps before it emits its partial statistics
 
 
@@ -209,13 +212,89 @@ def gram(df: DataFrame, cols: Sequence[str], by: Keys = (), tile: int = GRAM_TIL
     columns, and a task keeps one centred state of at most ``6 tile^2`` numbers per
     group and emits it once, as one row per (group, i) with arrays over the
     second tile (earlier if it holds ``GRAM_HELD`` numbers); the rows of a
-    (group, i, tile) are merged pairwise.
+    (group, i, tile) are merged pairwise.  Up to ``GRAM_NARROW`` columns all groups
+    of a batch are centred and summed up together, so that a group costs a row, not a Python call.
     """
+    if len(cols) <= GRAM_NARROW:
+        return _gram_narrow(df, cols, _keys(by))
     tiles = [range(a, min(a + tile, len(cols))) for a in range(0, len(cols), tile)]
     pairs = [_gram_pair(df, cols, a, b, _keys(by)) for k, a in enumerate(tiles) for b in tiles[k:]]
     return functools.reduce(DataFrame.unionByName, pairs)
 
 
+def _with_lists(keys: pa.Table, values: np.ndarray) -> pa.Table:
+    """``keys`` with one array of numbers per row."""
+    flat = values.reshape(values.shape[0], -1)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * flat.shape[1], pa.int32()), pa.array(flat.reshape(-1)))
+    return keys.append_column("pk_s", lists) if keys.num_columns else pa.table({"pk_s": lists})
+
+
+def _gram_narrow(df: DataFrame, cols: Sequence[str], ks: list[str]) -> DataFrame:
+    """The Gram rows of a few columns: the groups of an Arrow batch are summed up side by side, then merged per group."""
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    data = df.select(*ks, *[F.col(c).cast("double").alias(f"pk_x{i}") for i, c in enumerate(cols)])
+    kf = [f for f in data.schema.fields if f.name in ks]
+
+    def partial(it):
+        for b in it:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            code = t.select(ks).to_pandas().groupby(ks, sort=False, dropna=False).ngroup().to_numpy() if ks else np.zeros(t.num_rows, int)
+            order = np.argsort(code, kind="stable")
+            code = code[order]
+            starts = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            X = np.column_stack([t.column(f"pk_x{i}").to_numpy() for i in range(len(cols))])[order].astype(float)
+            M = ~np.isnan(X)
+            total = lambda v: np.add.reduceat(v, starts, axis=0)
+            mu = total(np.where(M, X, 0.0)) / np.maximum(total(M.astype(float)), 1)
+            M, Z = M.astype(float), np.where(M, X - mu[code], 0.0)  # as in _batch_moments, for all groups
+            out = np.empty((len(starts), len(pairs), len(GRAM_STATS)))
+            for k, (i, j) in enumerate(pairs):
+                n, sx, sy = total(M[:, i] * M[:, j]), total(Z[:, i] * M[:, j]), total(M[:, i] * Z[:, j])
+                d = np.maximum(n, 1.0)
+                out[:, k] = np.stack([n, mu[:, i] + sx / d, mu[:, j] + sy / d, total(Z[:, i] ** 2 * M[:, j]) - sx * sx / d,
+                                      total(Z[:, j] ** 2 * M[:, i]) - sy * sy / d, total(Z[:, i] * Z[:, j]) - sx * sy / d], 1)
+            yield from _with_lists(t.select(ks).take(pa.array(order[starts])), out).to_batches()
+
+    def merge(it):
+        for b in it:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            parts = t.column("pk_parts").combine_chunks()
+            first = np.append(0, np.cumsum(pc.list_value_length(parts).to_numpy()))
+            x = pc.list_flatten(pc.list_flatten(parts)).to_numpy().reshape(-1, len(pairs), len(GRAM_STATS))
+            code = np.repeat(np.arange(len(first) - 1), np.diff(first))
+            total = lambda v: np.add.reduceat(v, first[:-1], axis=0)
+            n = x[..., 0]
+            all_ = total(n)
+            some = lambda v: np.where(n > 0, v, 0.0)
+            ref = x[first[:-1]][..., 1:3]
+            mean = [ref[..., k] + total(n * some(x[..., k + 1] - ref[code][..., k])) / np.maximum(all_, 1.0) for k in (0, 1)]
+            dx, dy = (some(x[..., k + 1] - mean[k][code]) for k in (0, 1))
+            sums = [total(x[..., k]) + total(n * v) for k, v in ((3, dx * dx), (4, dy * dy), (5, dx * dy))]
+            yield from _with_lists(t.select(ks), np.stack([all_, *mean, *sums], -1)).to_batches()
+
+    arr = T.ArrayType(T.DoubleType())
+    parts = data.mapInArrow(partial, T.StructType(kf + [T.StructField("pk_s", arr)]))
+    g = parts.groupBy(*ks).agg(F.collect_list("pk_s").alias("pk_parts")).where(F.size("pk_parts") > 0)
+    g = g.mapInArrow(merge, T.StructType(kf + [T.StructField("pk_s", arr)]))
+    where_ = {p: k * len(GRAM_STATS) for k, p in enumerate(pairs)}
+
+    def row(i: int, j: int) -> Column:
+        k = where_[min(i, j), max(i, j)]
+        n, mx, my, cxx, cyy, cxy = (F.col("pk_s")[k + q] for q in range(len(GRAM_STATS)))
+        if i > j:
+            mx, my, cxx, cyy = my, mx, cyy, cxx
+        values = {"n": n, "sx": n * mx, "sy": n * my, "sxx": cxx + n * mx * mx, "syy": cyy + n * my * my,
+                  "sxy": cxy + n * mx * my, "mx": mx, "my": my, "cxx": cxx, "cyy": cyy, "cxy": cxy}
+        return F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), *[v.alias(c) for c, v in values.items()])
+
+    rows = F.explode(F.array(*[row(i, j) for i in range(len(cols)) for j in range(len(cols))]))
+    return g.select(*ks, rows.alias("pk_e")).select(*ks, "pk_e.*")
+
+
 def _gram_pair(df: DataFrame, cols: Sequence[str], first: range, second: range, ks: list[str]) -> DataFrame:
     """The Gram rows of the columns ``first`` against ``second``, and their mirror image if they differ."""
     same = first == second

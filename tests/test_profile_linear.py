@@ -1,6 +1,7 @@
 """Quantiles, moments, Gram / linear models, folds, calendar."""
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from panelkit.operators import profile as PR
@@ -158,3 +159,46 @@ def test_tiled_gram(spark):
     for a, b in zip(one, many):
         assert key(a) == key(b)
         np.testing.assert_allclose([a[c] for c in a.asDict() if c != "g"], [b[c] for c in a.asDict() if c != "g"], rtol=1e-9, atol=1e-6)
+
+
+def test_narrow_gram_equals_the_tiled_one(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 3)) + [1e8, 0.0, 5.0]
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:300, 1] = 2.0
+    df = spark.createDataFrame([(None if i < 200 else i % 3, *map(float, r)) for i, r in enumerate(x)],
+                               "k long, a double, b double, c double").repartition(5)
+    for by in ((), ("k",)):
+        order = [*by, "i", "j"]
+        want = PR._gram_pair(df, ["a", "b", "c"], range(3), range(3), list(by)).toPandas().sort_values(order)
+        got = PR.gram(df, ["a", "b", "c"], by)
+        assert "FlatMapGroups" not in got._jdf.queryExecution().analyzed().toString() and got.columns == list(want.columns)
+        np.testing.assert_allclose(got.toPandas().sort_values(order).to_numpy(float), want.to_numpy(float), rtol=1e-9, atol=1e-6)
+
+
+def test_stacked_elastic_nets_equal_single_ones():
+    rng = np.random.default_rng(6)
+    X = rng.normal(size=(7, 40, 3))
+    C, c, alpha = np.einsum("bni,bnj->bij", X, X) / 40, rng.normal(size=(7, 3)), np.geomspace(1e-4, 10, 7)
+    C[3, 1] = C[3, :, 1] = 0.0  # a constant feature
+    got = LI.enet_cd_many(C, c, alpha, 0.5)
+    want = np.array([LI.enet_cd(C[i], c[i], alpha[i], 0.5) for i in range(7)])
+    np.testing.assert_allclose(got, want, rtol=0, atol=1e-12)
+
+
+@pytest.mark.parametrize("p", [2, LI.NARROW + 1])
+def test_groups_are_solved_by_the_batch(spark, p):
+    rng = np.random.default_rng(7)
+    rows = [(g, i % 5, *map(float, rng.normal(size=p + 1))) for g in range(4) for i in range(60)]
+    feats = [f"f{i}" for i in range(p)]
+    df = spark.createDataFrame(rows, "g long, fold int, " + ", ".join(f"{f} double" for f in [*feats, "y"]))
+    cv, model = LI.enet_cv(df, feats, "y", by="g", alphas=[0.01, 0.1, 1.0], chunk=2)
+    assert cv.count() == 12 and model.count() == 4
+    one = {(r.g, r.alpha): r.mse for r in LI.enet_cv(df.where("g = 2"), feats, "y", by="g", alphas=[0.01, 0.1, 1.0], chunk=3)[0].collect()}
+    got = {(r.g, r.alpha): r.mse for r in cv.where("g = 2").collect()}
+    assert got == pytest.approx(one, rel=1e-8)
+    x = df.where("g = 1").toPandas()
+    w = np.linalg.lstsq(np.column_stack([x[feats], np.ones(len(x))]), x["y"], rcond=None)[0]
+    assert LI.fit(df, feats, "y", by="g").where("g = 1").first().coef == pytest.approx(w[:-1].tolist(), rel=1e-8)
+    if p <= LI.NARROW:  # no Python call per group
+        assert "FlatMapGroups" not in model._jdf.queryExecution().analyzed().toString()
