@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelkit.functions.compat import finite, safe_div
-from panelkit.operators.quantiles import exact_quantiles, quantile_columns
+from panelkit.operators.quantiles import exact_quantiles, few, quantile_columns
 from panelkit.operators.rolling import Keys, _keys, attach
 
 
@@ -89,7 +89,7 @@ def histogram(df: DataFrame, value: str, bins: int = 200, by: Keys = ()) -> Data
     ks = _keys(by)
     mm = df.groupBy(*ks).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     j = df.select(*ks, value).where(F.col(value).isNotNull())
-    j = attach(j, mm, ks)
+    j = attach(j, few(mm, "ranges") if ks else mm, ks)
     width = (F.col("hi") - F.col("lo")) / bins
     b = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col(value) - F.col("lo")) / width), F.lit(bins - 1)))
@@ -111,6 +111,7 @@ def kde_curve(df: DataFrame, value: str, points: int = 200, by: Keys = (), bins:
     x = df.select(*ks, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     st = x.groupBy(*ks).agg(F.count(F.lit(1)).alias("pk_n"), F.min("_v").alias("pk_lo"), F.max("_v").alias("pk_hi"),
                             F.stddev_samp("_v").alias("pk_sd"))
+    st = few(st, "ranges") if ks else st
     step = (F.col("pk_hi") - F.col("pk_lo")) / (bins - 1)
     at = F.coalesce(safe_div(F.col("_v") - F.col("pk_lo"), step), F.lit(0.0))
     node = F.least(F.floor(at), F.lit(bins - 2)).cast("int")
@@ -136,7 +137,7 @@ def box_stats(df: DataFrame, value: str, by: Keys = ()) -> DataFrame:
     q = quantile_columns(exact_quantiles(df, value, [0.25, 0.5, 0.75], ks), ks,
                          [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     j = df.select(*ks, value).where(F.col(value).isNotNull())
-    j = attach(j, q, ks)
+    j = attach(j, few(q, "quartiles") if ks else q, ks)
     iqr = F.col("q3") - F.col("q1")
     lo_f, hi_f = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     v = F.col(value)

@@ -6,7 +6,8 @@
 2. Rows below a bracket are only counted, rows above it are dropped, rows inside it are
    counted by value; partial aggregation does that before the exchange.  What
    crosses it per group and quantile is one row per task and the bracket's
-   distinct values, a share of the group that the margin bounds.
+   distinct values, a share of the group that the margin bounds.  The brackets of up to
+   ``FEW_GROUPS`` groups are broadcast, so that large groups are not brought together.
 3. A running count over those values names both neighbours of every position at once.
 """
 
@@ -19,11 +20,22 @@ from pyspark.sql import functions as F
 
 from panelkit.operators.rolling import Keys, _keys, attach
 from panelkit.plans.scan import one_key
+from panelkit.plans.written import written
 
 ACCURACY = 10_000
 MARGINS = (0.001, 0.01, 0.1, 1.0)  # the first one that spans two rows and the rank error is used
 
 
+FEW_GROUPS = 10_000
+
+
+def few(stats: DataFrame, label: str) -> DataFrame:
+    """Statistics by group, written once; marked for a broadcast if there are few groups, whose rows would else all meet in
+    as few tasks as there are groups."""
+    out = written(stats, label)
+    return F.broadcast(out) if out.count() <= FEW_GROUPS else out
+
+
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Keys = ()) -> DataFrame:
     """``(by, q, quantile)``: linear-interpolated quantiles as pandas and ``quantile_cont`` give
     them.  NULL and NaN values do not count; NULL keys form one group; groups without values have no rows."""
@@ -44,6 +56,7 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Keys = (
     brackets = x.groupBy("pk_key").agg(F.percentile_approx("v", probs, ACCURACY).alias("e"), F.count(F.lit(1)).alias("n"))
     brackets = brackets.select("pk_key", "n", F.array(*[F.struct(
         F.lit(q).alias("q"), pick(q, -1).alias("lo"), pick(q, 1).alias("hi")) for q in qs]).alias("b"))
+    brackets = few(brackets, "brackets") if ks else brackets
     rows = x.join(brackets, "pk_key") if ks else attach(x.select("v"), brackets, ())
     key = F.struct("pk_key", "n").alias("pk_key")
     rows = rows.select(key, "v", F.explode("b").alias("b")).where(F.col("v") <= F.col("b.hi"))
