@@ -151,15 +151,13 @@ UNION ALL
 SELECT series_id, t, px, 'tail' AS part FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t DESC) AS r FROM panel) y WHERE r <= 3""",
           KEY + [("px", 6), ("part", "s")])
 def c2_head_tail(spark, sf_dir):
-    """First and last 3 rows of every series (row_number both ways, no global sort)."""
+    """First and last 3 rows of every series (positions from both ends on one sort, no global sort)."""
     p = T_.panel(spark, sf_dir)
     up = Window.partitionBy("series_id").orderBy("t")
-    dn = Window.partitionBy("series_id").orderBy(F.col("t").desc())
-    h = (p.withColumn("_r", F.row_number().over(up)).where(F.col("_r") <= 3)
-         .select("series_id", "t", "px", F.lit("head").alias("part")))
-    t = (p.withColumn("_r", F.row_number().over(dn)).where(F.col("_r") <= 3)
-         .select("series_id", "t", "px", F.lit("tail").alias("part")))
-    return h.unionByName(t)
+    r, n = F.row_number().over(up), F.count(F.lit(1)).over(Window.partitionBy("series_id"))
+    p = p.select("series_id", "t", "px", r.alias("_r"), n.alias("_n"))
+    part = F.array_compact(F.array(F.when(F.col("_r") <= 3, "head"), F.when(F.col("_r") > F.col("_n") - 3, "tail")))
+    return p.where((F.col("_r") <= 3) | (F.col("_r") > F.col("_n") - 3)).select("series_id", "t", "px", F.explode(part).alias("part"))
 
 
 @register("c3_top_bottom_k", ctes.PANEL + ctes.SCORES + """,
