@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Out = Sequence[tuple[str, object]]
@@ -35,9 +35,29 @@ class Query:
         return None if self.sql is None else finalize_sql(self.sql, self.out)
 
 
+MANY = 8  # so many rounded columns go through one array
+
+
+def _rounded(x: Column) -> Column:
+    e = F.greatest(F.least(F.floor(F.log2(F.abs(x))), F.lit(990)), F.lit(-990))
+    sc = F.pow(F.lit(2.0), F.lit(BITS) - e)
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.floor(x * sc + F.lit(0.5)).cast("double") / sc)
+
+
 def finalize(df: DataFrame, out: Out) -> DataFrame:
+    """Names, types and rounding of ``out``.  Many rounded columns are rounded as one array: as single expressions they
+    make one generated method too long for the JVM to compile, which then is interpreted byte by byte."""
+    digits = [name for name, fmt in out if isinstance(fmt, int)]
+    place = {}
+    if len(digits) > MANY:
+        others = dict.fromkeys(name for name, fmt in out if not isinstance(fmt, int))
+        df = df.select(*others, F.transform(F.array(*[F.col(n).cast("double") for n in digits]), _rounded).alias("pk_digits"))
+        place = {n: i for i, n in enumerate(digits)}
     cols = []
     for name, fmt in out:
+        if name in place:
+            cols.append(F.col("pk_digits")[place[name]].alias(name))
+            continue
         c = F.col(name)
         if fmt == "i":
             c = c.cast("bigint")
@@ -48,11 +68,7 @@ def finalize(df: DataFrame, out: Out) -> DataFrame:
         elif fmt == "b":
             c = c.cast("boolean")
         elif isinstance(fmt, int):
-            x = c.cast("double")
-            e = F.greatest(F.least(F.floor(F.log2(F.abs(x))), F.lit(990)), F.lit(-990))
-            sc = F.pow(F.lit(2.0), F.lit(BITS) - e)
-            c = F.when(x == 0, F.lit(0.0)).otherwise(
-                F.floor(x * sc + F.lit(0.5)).cast("double") / sc)
+            c = _rounded(c.cast("double"))
         cols.append(c.alias(name))
     return df.select(*cols)
 

@@ -4,7 +4,8 @@ Trailing windows cost O(n) whatever their length: the block is cut into strips o
 ``k`` rows, and a window is the end of one strip plus the start of the next.
 Sums are only ever added, never taken back, so nothing cancels; squares are
 centred per strip and merged pairwise; a window of equal values has exactly
-that mean and no variance.
+that mean and no variance.  ``place`` holds the rows' places in their own series, where
+several series lie one after the other: strips, windows and lags end at a series' first row.
 """
 
 from __future__ import annotations
@@ -12,26 +13,34 @@ from __future__ import annotations
 import numpy as np
 
 
-def shifted(x: np.ndarray, j: int) -> np.ndarray:
+def shifted(x: np.ndarray, j: int, place: np.ndarray | None = None) -> np.ndarray:
     out = np.full(len(x), np.nan)
     if j < len(x):
         out[j:] = x[: len(x) - j]
+    if place is not None:
+        out[place < j] = np.nan
     return out
 
 
 class _Strips:
     """Running sums from the start and from the end of every strip of ``k`` rows."""
 
-    def __init__(self, k: int, valid: np.ndarray):
-        self.k, self.n = k, len(valid)
-        self.rows = -(-self.n // k)
+    def __init__(self, k: int, valid: np.ndarray, place: np.ndarray | None = None):
+        place = np.arange(len(valid)) if place is None else place
+        self.k = k = min(k, int(place.max(initial=0)) + 1)  # a window never reaches beyond a series
+        first = np.flatnonzero(place == 0)
+        size = np.diff(np.append(first, len(valid)))
+        strips = -(-size // k)
+        self.first = np.cumsum(strips) - strips  # the first strip of every series
+        self.rows = int(strips.sum())
+        self.slot = np.repeat(self.first * k, size) + place
         self.valid = self.cut(valid, False)
         self.n_a, self.n_b = self.halves(self.valid.astype(float))
         self.count = self.n_a + self.n_b
 
     def cut(self, v: np.ndarray, fill) -> np.ndarray:
         out = np.full(self.rows * self.k, fill, v.dtype)
-        out[: self.n] = v
+        out[self.slot] = v
         return out.reshape(self.rows, self.k)
 
     def halves(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,6 +49,7 @@ class _Strips:
         before = np.zeros_like(z)
         if self.rows > 1:
             before[1:, :-1] = np.cumsum(z[:-1, ::-1], 1)[:, ::-1][:, 1:]
+            before[self.first] = 0.0
         return before, own
 
     def centre(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,47 +71,53 @@ class _Strips:
         return (pa - xa * ya / na) + (pb - xb * yb / nb) + dx * dy * both
 
     def flat(self, v: np.ndarray) -> np.ndarray:
-        return v.reshape(-1)[: self.n]
+        return v.reshape(-1)[self.slot]
 
 
-def _differs(x: np.ndarray, valid: np.ndarray, k: int) -> np.ndarray:
+def _differs(x: np.ndarray, valid: np.ndarray, k: int, place: np.ndarray | None = None) -> np.ndarray:
     """True where the trailing ``k`` rows hold two different valid values."""
     at = np.flatnonzero(valid)
     last = np.full(len(x), -1)
-    change = np.flatnonzero(x[at[1:]] != x[at[:-1]])
+    if place is not None:
+        last = np.where(place == 0, np.arange(len(x)) - 1, -1)  # what changed in the series before does not count
+        series = np.cumsum(place == 0)
+        new = (x[at[1:]] != x[at[:-1]]) & (series[at[1:]] == series[at[:-1]])
+    else:
+        new = x[at[1:]] != x[at[:-1]]
+    change = np.flatnonzero(new)
     last[at[change + 1]] = at[change]
     return np.maximum.accumulate(last) > np.arange(len(x)) - k if len(x) else last > 0
 
 
-def trailing(x: np.ndarray, k: int, min_periods: int | None = None) -> dict[str, np.ndarray]:
+def trailing(x: np.ndarray, k: int, min_periods: int | None = None, place: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """``mean``, ``std`` (sample) and ``sum`` of the trailing ``k`` rows."""
     valid = ~np.isnan(x)
-    s = _Strips(k, valid)
+    s = _Strips(k, valid, place)
     n = s.flat(s.count)
     total = s.flat(sum(s.halves(np.where(s.valid, s.cut(x, 0.0), 0.0))))
     ok = n >= max(k if min_periods is None else min_periods, 1)
     with np.errstate(all="ignore"):
         var = np.maximum(s.flat(s.cross(x, x)), 0) / np.maximum(n - 1, 1)
-        std = np.where(_differs(x, valid, k), np.sqrt(var), 0.0)
+        std = np.where(_differs(x, valid, k, place), np.sqrt(var), 0.0)
         return {"mean": np.where(ok, total / n, np.nan), "sum": np.where(ok, total, np.nan),
                 "std": np.where(ok & (n > 1), std, np.nan)}
 
 
-def trailing_corr(x: np.ndarray, y: np.ndarray, k: int, min_periods: int | None = None) -> np.ndarray:
+def trailing_corr(x: np.ndarray, y: np.ndarray, k: int, min_periods: int | None = None, place: np.ndarray | None = None) -> np.ndarray:
     """Pearson correlation of the trailing ``k`` rows where both are present."""
     valid = ~np.isnan(x) & ~np.isnan(y)
     x, y = np.where(valid, x, np.nan), np.where(valid, y, np.nan)
-    s = _Strips(k, valid)
+    s = _Strips(k, valid, place)
     n = s.flat(s.count)
     with np.errstate(all="ignore"):
         r = s.flat(s.cross(x, y)) / np.sqrt(s.flat(s.cross(x, x))) / np.sqrt(s.flat(s.cross(y, y)))
-    ok = (n >= max(k if min_periods is None else min_periods, 2)) & _differs(x, valid, k) & _differs(y, valid, k)
+    ok = (n >= max(k if min_periods is None else min_periods, 2)) & _differs(x, valid, k, place) & _differs(y, valid, k, place)
     return np.where(ok & np.isfinite(r), r, np.nan)
 
 
-def rate(x: np.ndarray, k: int) -> np.ndarray:
+def rate(x: np.ndarray, k: int, place: np.ndarray | None = None) -> np.ndarray:
     """x / lag(x, k) - 1; NaN for a zero or missing base."""
-    base = shifted(x, k)
+    base = shifted(x, k, place)
     with np.errstate(all="ignore"):
         out = np.where(base != 0, x / base, np.nan) - 1
     out[~np.isfinite(out)] = np.nan

@@ -108,17 +108,19 @@ def momentum_volatility(df: DataFrame, target: str = "log_market_forward_excess_
                         order: str = "t", fill: float = SENTINEL, first_fill: float = SENTINEL,
                         block_rows: int = scan.DEFAULT_BLOCK_ROWS) -> DataFrame:
     """P1 and P2 together: one running product, then one pass over the series for all windows."""
-    s = _wealth(df, target, keys, order, first_fill)
+    longest = scan.longest_series(df, keys, order)
+    s = _wealth(df, target, keys, order, first_fill, longest)
     outs = {**scan.shifted_stats(target, WINDOWS, LAGS, None, "MOM_", ewms=_EMA_ALPHAS), **_regime_stats(target)}
-    s = _momentum_columns(scan.series_pass(s, outs, keys, order, block_rows), fill)
+    s = _momentum_columns(scan.series_pass(s, outs, keys, order, block_rows, longest=longest), fill)
     # MOM_std_21 of the row before, filled as P1 fills it; the first row has none before
     return _volatility_columns(s.withColumn("_v1", F.when(F.col("_has").isNotNull(), sentinel("_sd", fill))))
 
 
-def _wealth(df: DataFrame, target: str, keys: Keys, order: str, first_fill: float) -> DataFrame:
+def _wealth(df: DataFrame, target: str, keys: Keys, order: str, first_fill: float, longest: int | None = None) -> DataFrame:
     """The target one row earlier, and the wealth curve over it."""
     return scan.carry(df, {"_s": ("lag", target), "_has": ("lag", F.lit(1))},
-                      {"_mkt": ("product", 1 + F.coalesce(F.col("_s"), F.lit(float(first_fill))))}, keys=keys, order=order)
+                      {"_mkt": ("product", 1 + F.coalesce(F.col("_s"), F.lit(float(first_fill))))}, keys=keys, order=order,
+                      longest=longest)
 
 
 def _regime_stats(target: str) -> dict:
@@ -157,15 +159,19 @@ def null_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def impute(df: DataFrame, fill: float = SENTINEL, excluded: Sequence[str] = EXCLUDED,
-           keys: Sequence[str] = ("series_id", "t")) -> tuple[DataFrame, list[str]]:
+           keys: Sequence[str] = ("series_id", "t"), counted: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     """``{c}_is_missing`` for columns with any NULL, then NULL -> fill.
 
     Phase 1 is one aggregate returning a single row of counts (size = number
-    of columns); phase 2 is a projection.  Returns (frame, flag columns).
+    of columns); phase 2 is a projection.  Returns (frame, flag columns).  Columns that
+    cannot be NULL by their schema are not counted; if ``counted`` (the same rows, before
+    columns were added) holds all others, it is counted instead.
     """
     feats = [c for c in df.columns if c not in excluded and c not in keys]
-    cnt = null_counts(df, feats).first().asDict()
-    with_nulls = [c for c in feats if cnt[c] > 0]
+    may = [c for c in feats if df.schema[c].nullable]
+    source = counted if counted is not None and set(may) <= set(counted.columns) else df
+    cnt = null_counts(source, may).first().asDict()
+    with_nulls = [c for c in may if cnt[c] > 0]
     flags = {f"{c}_is_missing": F.col(c).isNull().cast("int") for c in with_nulls}
     out = df.withColumns(flags).withColumns({c: F.coalesce(F.col(c), F.lit(float(fill)))
                                              for c in feats})
@@ -236,7 +242,8 @@ def guard_long(df_long: DataFrame, feature: str = "feature", value: str = "value
                fill: float = SENTINEL, threshold: float = VARIANCE_FLOOR) -> DataFrame:
     """P5 on the long layout: keep guarded features only (a semi join, no action)."""
     keep = guard_keep(guard_stats(df_long, feature, value, fill), threshold).select(feature)
-    return (df_long.join(keep, feature, "left_semi")
+    # one row per feature name: broadcast, or the rows of a feature would all meet in one task
+    return (df_long.join(F.broadcast(keep), feature, "left_semi")
             .withColumn(value, sentinel(value, fill)))
 
 

@@ -16,18 +16,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from panelkit.functions import series
 from panelkit.operators.rolling import Keys, _keys
+from panelkit.plans.written import written
 
 DEFAULT_BLOCK_ROWS = 1 << 16
 
@@ -130,7 +131,7 @@ _SCANS = {
 
 
 def carry(df: DataFrame, *stages: Mapping[str, tuple[str, F.Column | str]], keys: Keys = "series_id", order: str = "t",
-          span: int = 1024) -> DataFrame:
+          span: int = 1024, longest: int | None = None) -> DataFrame:
     """Add running values per series: name -> (kind, value), kinds ``sum``, ``product``, ``max``, ``min``, ``last``
     (non-NULL so far), ``next`` (first non-NULL from here on) and ``lag`` (the row before).
 
@@ -138,10 +139,13 @@ def carry(df: DataFrame, *stages: Mapping[str, tuple[str, F.Column | str]], keys
     blocks; one summary row per block is scanned per series, and what it carries into a
     block is combined with the local value.  So a hot series spreads over tasks.
     Later stages may use the names of earlier ones; all share one exchange.
+    Where no series has more than ``span`` rows, each is one block: plain windows on one sort, nothing is summed up or joined.
     Rows without a time belong to no order and get NULLs.
     """
     ks = _keys(keys)
     out = _bucketed(df, ks, order, span)
+    if (longest_series(df, ks, order) if longest is None else longest) <= span:
+        return _carry_short(out, stages, order).drop("pk_key", "pk_tb")
     block = ["pk_key", "pk_tb"]
     rows = Window.partitionBy(*block).orderBy(order)
     blocks = Window.partitionBy("pk_key").orderBy("pk_tb")
@@ -167,40 +171,104 @@ def carry(df: DataFrame, *stages: Mapping[str, tuple[str, F.Column | str]], keys
     return out.drop(*block)
 
 
+def _carry_short(out: DataFrame, stages: Sequence[Mapping], order: str) -> DataFrame:
+    """``carry`` where every series is one block; rows without a time stay in buckets of their own."""
+    rows = Window.partitionBy("pk_key", "pk_tb").orderBy(order)
+    start, end = Window.unboundedPreceding, Window.unboundedFollowing
+    out = out.withColumn("pk_tb", F.when(F.col(order).isNull(), F.col("pk_tb")).otherwise(F.lit(0).cast("long")))
+    for outs in stages:
+        done = {}
+        for name, (kind, x) in outs.items():
+            x = F.col(x) if isinstance(x, str) else x
+            c = F.lag(x).over(rows) if kind == "lag" else _SCANS[kind][0](x).over(
+                rows.rowsBetween(0, end) if kind == "next" else rows.rowsBetween(start, 0))
+            done[name] = F.when(F.col(order).isNotNull(), c)
+        out = out.withColumns(done)
+    return out
+
+
 # ------------------------------------------------------- one pass over blocks
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups and the groups' first rows, from rows sorted by ``keys`` (NULLs are equal).
+    A table holds the groups that end in one Arrow batch, so many short groups cost one call."""
+    def change(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
+        out = pc.fill_null(pc.not_equal(a, b), False).to_numpy() | (pc.is_null(a).to_numpy() != pc.is_null(b).to_numpy())
+        if pa.types.is_floating(a.type):
+            out &= ~(pc.fill_null(pc.is_nan(a), False).to_numpy() & pc.fill_null(pc.is_nan(b), False).to_numpy())
+        return out
+
+    held: list[pa.Table] = []  # parts of one group that is still open
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        head = pa.concat_tables([held[-1].slice(held[-1].num_rows - 1), t]) if held else t
+        new = np.zeros(head.num_rows - 1, bool)
+        for k in keys:
+            c = head.column(k)
+            new |= change(c.slice(0, len(c) - 1), c.slice(1))
+        cuts = np.flatnonzero(new) + (0 if held else 1)  # rows of t that begin a group
+        if not len(cuts):
+            held.append(t)
+            continue
+        before = sum(h.num_rows for h in held)
+        out = pa.concat_tables([*held, t.slice(0, cuts[-1])])
+        yield out.combine_chunks(), np.append(0, cuts[:-1] + before)
+        held = [t.slice(cuts[-1])]
+    if held:
+        yield pa.concat_tables(held).combine_chunks(), np.zeros(1, int)
+
+
+def by_group(df: DataFrame, keys: Sequence[str], order: Sequence[str | F.Column], fn, schema) -> DataFrame:
+    """``fn(table, first rows of the groups)`` over whole groups of ``keys``, sorted by ``order`` inside."""
+    def run(batches):
+        for t, starts in _groups(batches, keys):
+            yield from fn(t, starts).to_batches()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 class _Block:
-    """The rows of one (series, block) in order, with the halo before them."""
-
-    def __init__(self, t: pa.Table, rn: str):
-        self.table = t
-        rows = t.column(rn).to_numpy()
-        self.order = np.argsort(rows, kind="stable")
-        self.rn = rows[self.order]
-        self.home = t.column(_HOME).to_numpy()[self.order].astype(bool)
+    """The rows of several (series, block) groups, one after the other and in order, each with the halo before it."""
+
+    def __init__(self, t: pa.Table, starts: np.ndarray, rn: str | None):
+        self.table, self.starts = t, starts
+        self.ends = np.append(starts[1:], t.num_rows)
+        self.place = np.arange(t.num_rows) - np.repeat(starts, self.ends - starts)
+        self.rn = self.place if rn is None else pc.fill_null(t.column(rn), -1).to_numpy()
+        self.home = t.column(_HOME).to_numpy().astype(bool) if _HOME in t.column_names else np.ones(t.num_rows, bool)
         self.cache: dict = {}
 
+    def groups(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Every group's first row and its home rows."""
+        for a, z in zip(self.starts, self.ends):
+            yield a, a + np.flatnonzero(self.home[a:z])
+
     def values(self, name: str, shift: int = 0) -> np.ndarray:
         if (name, shift) not in self.cache:
-            x = np.array(self.table.column(name).cast(pa.float64()).to_numpy(), float)[self.order]
-            x[~np.isfinite(x)] = np.nan
-            self.cache[name, shift] = series.shifted(x, shift) if shift else x
+            if shift:
+                x = series.shifted(self.values(name), shift, self.place)
+            else:
+                x = np.array(self.table.column(name).cast(pa.float64()).to_numpy(), float)
+                x[~np.isfinite(x)] = np.nan
+            self.cache[name, shift] = x
         return self.cache[name, shift]
 
     def trailing(self, name: str, shift: int, k: int, mp: int | None) -> dict:
         key = (name, shift, k, mp, "trailing")
         if key not in self.cache:
-            self.cache[key] = series.trailing(self.values(name, shift), k, mp)
+            self.cache[key] = series.trailing(self.values(name, shift), k, mp, self.place)
         return self.cache[key]
 
     def stat(self, w: "Stat") -> np.ndarray:
         if w.kind == "corr":
-            return series.trailing_corr(self.values(w.value, w.shift), self.values(w.other, w.shift), w.k, w.min_periods)
+            return series.trailing_corr(self.values(w.value, w.shift), self.values(w.other, w.shift), w.k, w.min_periods, self.place)
         if w.kind == "lag":
             return self.values(w.value, w.shift + w.k)
         if w.kind == "roc":
-            return series.rate(self.values(w.value, w.shift), w.k)
+            return series.rate(self.values(w.value, w.shift), w.k, self.place)
         return self.trailing(w.value, w.shift, w.k, w.min_periods)[w.kind]
 
 
@@ -227,60 +295,77 @@ class Ewm:
     shift: int = 0
 
 
-_HOME, _BLK, _N, _RN = "pk_home", "pk_blk", "pk_n", "pk_rn"
+_HOME, _BLK, _N, _RN, _ST = "pk_home", "pk_blk", "pk_n", "pk_rn", "pk_states"
 
 
 def series_pass(df: DataFrame, outs: Mapping[str, Stat | Ewm], keys: Keys = "series_id", order: str = "t",
-                block_rows: int = DEFAULT_BLOCK_ROWS, rn: str | None = None) -> DataFrame:
+                block_rows: int = DEFAULT_BLOCK_ROWS, rn: str | None = None, longest: int | None = None) -> DataFrame:
     """Add all ``outs`` in one pass over (series, block) groups.
 
     Every block sees the last rows of the one before (a halo of the longest
     window), so no group holds more than ``block_rows`` plus the halo, however
-    long the series, and one exchange serves all columns.  EWMs need the state at the
-    block's start: for series of several blocks a narrow pass sums each block up in one
-    row, and a walk over those rows gives the states; series of one block skip it.
+    long the series, and one exchange serves all columns.  A Python call works on all
+    groups of an Arrow batch at once.  The longest series is looked up first: if it fits a block, rows need no
+    numbers and no halo, their places follow from the order.  EWMs need the state at the
+    block's start: for series of several blocks the numbered rows are written once, a narrow pass sums each block up in one
+    row, and a walk over those rows gives the states.
     ``rn`` names a 0-based row position; otherwise it is computed.  Rows without
-    a position get NULLs.
+    a position get NULLs.  ``longest`` is the longest series' length, where it is known.
     """
     ks = _keys(keys)
     outs = dict(outs)
     ewms = {n: o for n, o in outs.items() if isinstance(o, Ewm)}
     reach = max([o.shift + (o.k if isinstance(o, Stat) else 0) for o in outs.values()] + [1])
     block_rows = max(block_rows, reach)
-    base, rcol = (_sized(df, ks, rn) if ewms else df, rn) if rn else (row_index(df, ks, order, out=_RN, size=_N), _RN)
     own = df.columns
-    placed = with_blocks(base, block_rows, rcol, _BLK)  # rows without a position are spread over blocks of their own
-    placed = placed.withColumn(_BLK, F.coalesce(_BLK, -1 - F.monotonically_increasing_id() % 1024))
-    rows = halo(placed, reach + 1, block_rows, rcol, _BLK, _HOME).select(
-        *own, *([] if rn else [_RN]), _BLK, _HOME)
+    spread = -1 - F.monotonically_increasing_id() % 1024  # rows without a position are spread over blocks of their own
+    short = rn is None and (longest_series(df, ks, order) if longest is None else longest) <= block_rows
+    if short:
+        rcol, rows, states = None, df.withColumn(_BLK, F.when(F.col(order).isNotNull(), F.lit(0).cast("long")).otherwise(spread)), None
+    else:
+        base, rcol = (_sized(df, ks, rn) if ewms else df, rn) if rn else (row_index(df, ks, order, out=_RN, size=_N), _RN)
+        placed = with_blocks(base, block_rows, rcol, _BLK).withColumn(_BLK, F.coalesce(_BLK, spread))
+        if ewms:
+            placed = written(placed, "placed-rows")
+        rows = halo(placed, reach + 1, block_rows, rcol, _BLK, _HOME).select(*own, *([] if rn else [_RN]), _BLK, _HOME)
+        states = _block_states(placed.where((F.col(_N) > block_rows) & F.col(rcol).isNotNull()), ewms, ks, rcol, block_rows, reach) \
+            if ewms else None
+    marked = states is not None
+    if marked:  # a block's states are a row before its rows
+        rows = rows.withColumn(_ST, F.lit(None).cast(_STATES_SQL)).unionByName(states, allowMissingColumns=True)
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.DoubleType()) for n in outs)])
 
-    def block(t: pa.Table, states: pa.Table | None = None) -> pa.Table:
-        if t.column(rcol).null_count:
-            out = t.select(own)
-            for n in outs:
-                out = out.append_column(n, pa.nulls(t.num_rows, pa.float64()))
-            return out
-        b = _Block(t, rcol)
-        start = states.column("states")[0].as_py() if states is not None and states.num_rows else None
-        cols = {}
-        for i, (n, o) in enumerate(outs.items()):
-            if isinstance(o, Stat):
-                cols[n] = b.stat(o)[b.home]
-        for (n, o), st in zip(ewms.items(), start or [None] * len(ewms)):
-            x = b.values(o.value, o.shift)[b.home]
-            cols[n], _ = series.ewm(x, b.rn[b.home], o.alpha, o.adjust, _state(st))
-        out = t.select(own).take(pa.array(b.order[b.home]))
+    def blocks(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        begin: dict = {}
+        if marked:
+            marks = pc.is_valid(t.column(_ST)).to_numpy()
+            at = np.flatnonzero(marks)
+            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, t.num_rows)))
+            begin = dict(zip(group[at].tolist(), t.column(_ST).take(pa.array(at)).to_pylist()))
+            gone = np.append(0, np.cumsum(marks))
+            t, starts = t.filter(pa.array(~marks)).combine_chunks(), starts - gone[starts]
+        b = _Block(t, starts, rcol)
+        none = t.column(_BLK).to_numpy() < 0
+        cols = {n: b.stat(o) for n, o in outs.items() if isinstance(o, Stat)}
+        cols.update({n: np.full(t.num_rows, np.nan) for n in ewms})
+        for g, (a, home) in enumerate(b.groups() if ewms else ()):
+            if len(home) and not none[a]:
+                for (n, o), st in zip(ewms.items(), begin.get(g) or [None] * len(ewms)):
+                    cols[n][home], _ = series.ewm(b.values(o.value, o.shift)[home], b.rn[home], o.alpha, o.adjust, _state(st))
+        out = t.select(own)
         for n in outs:
-            out = out.append_column(n, pa.array(cols[n], pa.float64(), mask=np.isnan(cols[n])))
-        return out
+            out = out.append_column(n, pa.array(cols[n], pa.float64(), mask=np.isnan(cols[n]) | none))
+        return out if b.home.all() else out.filter(pa.array(b.home))
 
-    gk = [*ks, _BLK]
-    if ewms:
-        states = _block_states(placed.where((F.col(_N) > block_rows) & F.col(rcol).isNotNull()), ewms, ks, rcol, block_rows, reach)
-        return rows.groupBy(*gk).cogroup(states.groupBy(*gk)).applyInArrow(
-            lambda t, s: block(t, s) if t.num_rows else to_arrow_schema(schema).empty_table(), schema)
-    return rows.groupBy(*gk).applyInArrow(lambda t: block(t), schema)
+    first = [F.col(_ST).isNull()] if marked else []
+    return by_group(rows, [*ks, _BLK], [*first, rcol or order], blocks, schema)
+
+
+def longest_series(df: DataFrame, keys: Keys = "series_id", order: str = "t") -> int:
+    """Rows of the longest series, rows without a time aside."""
+    ks = _keys(keys)
+    n = df.where(F.col(order).isNotNull()).groupBy(one_key(ks).alias("pk_key")).agg(F.count(F.lit(1)).alias("n"))
+    return n.agg(F.max("n")).first()[0] or 0
 
 
 def _sized(df: DataFrame, ks: list[str], rn: str) -> DataFrame:
@@ -309,10 +394,17 @@ def _block_states(placed: DataFrame, ewms: Mapping[str, Ewm], ks: list[str], rn:
     part = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("x", pa.float64()),
                                *((c, pa.float64()) for c in ("c", "d", "wc", "wd"))]))
 
-    def summary(t: pa.Table) -> pa.Table:
-        b, out = _Block(t, rn), []
+    def summary(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        b = _Block(t, starts, rn)
+        out = [parts_of(b, home) for _, home in b.groups()]
+        at = pa.array(starts)
+        return pa.table([*(t.column(k).take(at) for k in gk), pa.array(out, part)], names=[*gk, "parts"]).filter(
+            pa.array([any(h) for h in (b.home[a:z] for a, z in zip(b.starts, b.ends))]))
+
+    def parts_of(b: _Block, home: np.ndarray) -> list:
+        out = []
         for o in ewms.values():
-            x, at = b.values(o.value, o.shift)[b.home], b.rn[b.home]
+            x, at = b.values(o.value, o.shift)[home], b.rn[home]
             have = np.flatnonzero(~np.isnan(x))
             if not len(have):
                 out.append(None)
@@ -326,20 +418,19 @@ def _block_states(placed: DataFrame, ewms: Mapping[str, Ewm], ks: list[str], rn:
                 c, d = series.affine(np.append(1.0, w / (w + o.alpha)), np.append(0.0, o.alpha / (w + o.alpha) * (v[1:] - v[0])))
                 wc = wd = np.zeros(1)
             out.append({"first": int(pos[0]), "last": int(pos[-1]), "x": v[0], "c": c[-1], "d": d[-1], "wc": wc[-1], "wd": wd[-1]})
-        return pa.table([*(t.column(k).slice(0, 1) for k in gk), pa.array([out], part)], names=[*gk, "parts"])
+        return out
 
-    sums = rows.groupBy(*gk).applyInArrow(
-        summary, f"{kf}, {_BLK} long, parts array<struct<first: long, last: long, x: double, c: double, d: double, wc: double, wd: double>>")
+    sums = by_group(rows, gk, [rn], summary, f"{kf}, {_BLK} long, parts array<struct<first: long, last: long, x: double, c: double, d: double, wc: double, wd: double>>")
 
-    def walk(t: pa.Table) -> pa.Table:
-        t = t.take(pa.array(np.argsort(t.column(_BLK).to_numpy())))
-        now, out = [_state(None)] * len(ewms), []
-        for parts in t.column("parts").to_pylist():
+    def walk(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        out, begins = [], set(starts.tolist())
+        for i, parts in enumerate(t.column("parts").to_pylist()):
+            now = [_state(None)] * len(ewms) if i in begins else now
             out.append([{"last": s[0], "mean": s[1], "weight": s[2]} for s in now])
             now = [_after(s, p, o) for s, p, o in zip(now, parts, ewms.values())]
-        return t.select(gk).append_column("states", pa.array(out, _STATES))
+        return t.select(gk).append_column(_ST, pa.array(out, _STATES))
 
-    return sums.groupBy(*ks).applyInArrow(walk, f"{kf}, {_BLK} long, states {_STATES_SQL}")
+    return by_group(sums, ks, [_BLK], walk, f"{kf}, {_BLK} long, {_ST} {_STATES_SQL}")
 
 
 def _after(state: tuple, p: dict | None, o: Ewm) -> tuple:
