@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelkit.operators import features as FE
 from panelkit.operators.rolling import Keys, _keys, join_same
 from panelkit.plans import scan
-from panelkit.session import checkpoint_dir
+from panelkit.plans.written import written
 
 LOG_TARGET = "log_market_forward_excess_returns"
 DERIVED_PREFIXES = ("MOM_", "VI_")
@@ -37,20 +37,22 @@ def panel_pipeline(df: DataFrame, arith: str = "market_forward_excess_returns",
     of a row in its series gives its date.
     """
     ks = [*_keys(keys), order]
-    d = scan.row_index(df, keys, order, out="pk_pos")
-    d = FE.add_date(d, start, "pk_pos").drop("pk_pos")
+    # only the numbered raw rows are written; the wide columns are worked out again for the guards and for the
+    # output, as they would take many times the disk
+    raw = written(scan.row_index(df, keys, order, out="pk_pos"), "panel-rows")
+    d = FE.add_date(raw, start, "pk_pos").drop("pk_pos")
     d = FE.target_log(d, arith, LOG_TARGET)
     excluded = [*FE.EXCLUDED, arith, LOG_TARGET]
     base = [c for c in base_features(df.columns, excluded, ks) if extend is None or c in extend]
-    checkpoint_dir(df.sparkSession)
-    # the frame feeds the counts of P3, the fill and the guards: worked out once
-    d = FE.momentum_volatility(d, LOG_TARGET, keys, order, fill, first_fill, block_rows).checkpoint()
-    filled, _ = FE.impute(d, fill, excluded, ks)
     # P4 reads base features only, so it starts from the raw panel
-    source = df.select(*ks, *[F.coalesce(F.col(c).cast("double"), F.lit(float(fill))).alias(c) if impute_first
-                              else F.col(c) for c in base])
+    source = raw.select(*ks, *[F.coalesce(F.col(c).cast("double"), F.lit(float(fill))).alias(c) if impute_first
+                               else F.col(c) for c in base])
     lng = FE.extend_long(FE.to_long(source, base, ks), keys, order, fill=fill, block_rows=block_rows)
     kept = list(stats) if stats is not None else FE.extension_names()
     wide = FE.to_wide(lng, base, kept, ks)
-    both = join_same(filled, wide, ks).checkpoint()
-    return FE.guard_wide(both, fill, excluded, ks)
+    extended = [c for c in wide.columns if c not in ks]
+    # joined while the panel is narrow
+    d = FE.momentum_volatility(join_same(d, wide, ks), LOG_TARGET, keys, order, fill, first_fill, block_rows)
+    filled, _ = FE.impute(d, fill, [*excluded, *extended], ks, counted=raw)
+    filled = filled.select(*[c for c in filled.columns if c not in extended], *extended)
+    return FE.guard_wide(filled, fill, excluded, ks)
