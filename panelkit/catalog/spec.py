@@ -46,7 +46,7 @@ def _rounded(x: Column) -> Column:
 
 def finalize(df: DataFrame, out: Out) -> DataFrame:
     """Names, types and rounding of ``out``.  Many rounded columns are rounded as one array: as single expressions they
-    make one generated method too long for the JVM to compile, which then is interpreted byte by byte."""
+    make one very long generated method."""
     digits = [name for name, fmt in out if isinstance(fmt, int)]
     place = {}
     if len(digits) > MANY:
