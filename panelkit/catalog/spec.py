@@ -38,20 +38,25 @@ class Query:
 MANY = 8  # so many rounded columns go through one array
 
 
-def _rounded(x: Column) -> Column:
+def _scale(x: Column) -> Column:
     e = F.greatest(F.least(F.floor(F.log2(F.abs(x))), F.lit(990)), F.lit(-990))
-    sc = F.pow(F.lit(2.0), F.lit(BITS) - e)
+    return F.pow(F.lit(2.0), F.lit(BITS) - e)
+
+
+def _rounded(x: Column, scale: Column | None = None) -> Column:
+    sc = _scale(x) if scale is None else scale
     return F.when(x == 0, F.lit(0.0)).otherwise(F.floor(x * sc + F.lit(0.5)).cast("double") / sc)
 
 
 def finalize(df: DataFrame, out: Out) -> DataFrame:
     """Names, types and rounding of ``out``.  Many rounded columns are rounded as one array: as single expressions they
-    make one very long generated method."""
+    make one very long generated method.  Their scales are an array too, so that each is worked out once."""
     digits = [name for name, fmt in out if isinstance(fmt, int)]
     place = {}
     if len(digits) > MANY:
         others = dict.fromkeys(name for name, fmt in out if not isinstance(fmt, int))
-        df = df.select(*others, F.transform(F.array(*[F.col(n).cast("double") for n in digits]), _rounded).alias("pk_digits"))
+        df = df.select(*others, F.array(*[F.col(n).cast("double") for n in digits]).alias("pk_digits"))
+        df = df.select(*others, F.zip_with("pk_digits", F.transform("pk_digits", _scale), _rounded).alias("pk_digits"))
         place = {n: i for i, n in enumerate(digits)}
     cols = []
     for name, fmt in out:

@@ -47,9 +47,13 @@ def fill(c: ColumnOrName, value) -> Column:
     return F.coalesce(col(c), value if isinstance(value, Column) else F.lit(value))
 
 
+LARGEST = 1.7976931348623157e308
+
+
 def sentinel(c: ColumnOrName, value: float) -> Column:
-    """+-inf/NaN -> NULL -> constant."""
-    return F.coalesce(finite(c), F.lit(float(value)))
+    """+-inf/NaN -> NULL -> constant.  One comparison (NaN is larger than any number), so that many columns stay short code."""
+    x = col(c).cast("double")
+    return F.coalesce(F.when(F.abs(x) <= LARGEST, x), F.lit(float(value)))
 
 
 def log1p(c: ColumnOrName) -> Column:

@@ -180,9 +180,10 @@ def impute(df: DataFrame, fill: float = SENTINEL, excluded: Sequence[str] = EXCL
 
 def to_long(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ("series_id", "t"),
             feature: str = "feature", value: str = "value") -> DataFrame:
-    """Unpivot features into (keys..., feature, value); NULL values are kept."""
-    return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in features]).unpivot(
-        list(keys), list(features), feature, value)
+    """Unpivot features into (keys..., feature, value); NULL values are kept.  As a generator, which leaves rows that lie
+    together by the keys so for what follows (``unpivot`` does not, and they would be moved again as long rows)."""
+    rows = [F.struct(F.lit(c).alias(feature), F.col(c).cast("double").alias(value)) for c in features]
+    return df.select(*keys, F.inline(F.array(*rows)))
 
 
 def to_wide(df_long: DataFrame, features: Sequence[str], stat_cols: Sequence[str],
@@ -216,13 +217,20 @@ def extend_long(df_long: DataFrame, keys: Keys = "series_id", order: str = "t",
     ``u = lag(value, 1)``; rolling mean/std/sum with ``min_periods``; roc on
     u; lags ``lag(u, j-1)``; EWM fast/slow on u; NULL/non-finite -> fill.
     """
-    ks = [*_keys(keys), feature]
-    outs = scan.shifted_stats(value, windows, lags, min_periods, ewms=_EMA_ALPHAS)
-    d = scan.series_pass(df_long, outs, ks, order, block_rows, rn).withColumns({
-        "ema_diff": F.col("ema_fast") - F.col("ema_slow"),
-        "ema_ratio": safe_div("ema_fast", "ema_slow") - 1})
-    names = extension_names(windows, lags)
-    return d.withColumns({n: sentinel(n, fill) for n in names})
+    outs = _extension_stats(value, "", windows, lags, min_periods)
+    return _extension_columns(scan.series_pass(df_long, outs, [*_keys(keys), feature], order, block_rows, rn), fill, "", windows, lags)
+
+
+def _extension_stats(value: str, prefix: str, windows: Sequence[int] = WINDOWS, lags: Sequence[int] = LAGS,
+                     min_periods: int = 5) -> dict[str, scan.Stat | scan.Ewm]:
+    return scan.shifted_stats(value, windows, lags, min_periods, prefix, ewms=_EMA_ALPHAS)
+
+
+def _extension_columns(d: DataFrame, fill: float, prefix: str, windows: Sequence[int] = WINDOWS,
+                       lags: Sequence[int] = LAGS) -> DataFrame:
+    fast, slow = f"{prefix}ema_fast", f"{prefix}ema_slow"
+    d = d.withColumns({f"{prefix}ema_diff": F.col(fast) - F.col(slow), f"{prefix}ema_ratio": safe_div(fast, slow) - 1})
+    return d.withColumns({f"{prefix}{n}": sentinel(f"{prefix}{n}", fill) for n in extension_names(windows, lags)})
 
 
 def guard_stats(df_long: DataFrame, feature: str = "feature", value: str = "value",

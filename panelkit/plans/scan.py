@@ -10,6 +10,8 @@
 * ``series_pass``: trailing windows, lags, rates and EWMs per (series, block) in one
   Arrow pass, O(n) for every window; EWM states cross blocks through one summary
   row per block.  Matches pandas ``rolling`` and ``ewm(..., ignore_na=False)``.
+  Where every series is one block, a window on the series' own keys orders the rows, so
+  rows that lie together by (some of) these keys are not moved again.
 * ``carry``: running sums, extremes and last values as a scan over blocks, all in
   JVM expressions.
 """
@@ -53,15 +55,19 @@ def one_key(keys: Sequence[str]) -> F.Column:
 
 
 def row_index(df: DataFrame, keys: Keys = "series_id", order: str = "t", out: str = "rn",
-              bucket_span: int = 1024, size: str | None = None) -> DataFrame:
+              bucket_span: int = 1024, size: str | None = None, longest: int | None = None) -> DataFrame:
     """Add the exact 0-based position of each row inside its series (and, as ``size``,
     the number of placed rows of the series).
 
     No row is lost: rows with NULL keys form one series, rows with a NULL order
     value keep a NULL position (and are spread, as they need no numbering).
+    ``longest`` is the longest series' length, where it is known: series that fit a block are numbered
+    by one window each, which leaves rows that lie together by the keys where they are.
     """
     ks = _keys(keys)
     b = _bucketed(df, ks, order, bucket_span)
+    if longest is not None and longest <= DEFAULT_BLOCK_ROWS and not size:
+        return _carry_short(b, [{out: ("sum", F.lit(1))}], ks, order).select(*df.columns, (F.col(out) - 1).cast("long").alias(out))
     counts = b.where(F.col(order).isNotNull()).groupBy("pk_key", "pk_tb").agg(F.count(F.lit(1)).alias("pk_c"))
     wo = Window.partitionBy("pk_key").orderBy("pk_tb").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select("pk_key", "pk_tb", F.coalesce(F.sum("pk_c").over(wo), F.lit(0)).alias("pk_off"),
@@ -139,13 +145,14 @@ def carry(df: DataFrame, *stages: Mapping[str, tuple[str, F.Column | str]], keys
     blocks; one summary row per block is scanned per series, and what it carries into a
     block is combined with the local value.  So a hot series spreads over tasks.
     Later stages may use the names of earlier ones; all share one exchange.
-    Where no series has more than ``span`` rows, each is one block: plain windows on one sort, nothing is summed up or joined.
+    Where no series has more than ``span`` rows, each is one block: plain windows on one sort, nothing is summed up or joined,
+    and rows that lie together by the keys stay where they are.
     Rows without a time belong to no order and get NULLs.
     """
     ks = _keys(keys)
     out = _bucketed(df, ks, order, span)
     if (longest_series(df, ks, order) if longest is None else longest) <= span:
-        return _carry_short(out, stages, order).drop("pk_key", "pk_tb")
+        return _carry_short(out, stages, ks, order).drop("pk_key", "pk_tb")
     block = ["pk_key", "pk_tb"]
     rows = Window.partitionBy(*block).orderBy(order)
     blocks = Window.partitionBy("pk_key").orderBy("pk_tb")
@@ -171,9 +178,9 @@ def carry(df: DataFrame, *stages: Mapping[str, tuple[str, F.Column | str]], keys
     return out.drop(*block)
 
 
-def _carry_short(out: DataFrame, stages: Sequence[Mapping], order: str) -> DataFrame:
+def _carry_short(out: DataFrame, stages: Sequence[Mapping], ks: Sequence[str], order: str) -> DataFrame:
     """``carry`` where every series is one block; rows without a time stay in buckets of their own."""
-    rows = Window.partitionBy("pk_key", "pk_tb").orderBy(order)
+    rows = Window.partitionBy(*ks, "pk_tb").orderBy(order)  # by the keys themselves: NULLs are equal in a window
     start, end = Window.unboundedPreceding, Window.unboundedFollowing
     out = out.withColumn("pk_tb", F.when(F.col(order).isNull(), F.col("pk_tb")).otherwise(F.lit(0).cast("long")))
     for outs in stages:
@@ -295,7 +302,8 @@ class Ewm:
     shift: int = 0
 
 
-_HOME, _BLK, _N, _RN, _ST = "pk_home", "pk_blk", "pk_n", "pk_rn", "pk_states"
+_HOME, _BLK, _N, _RN, _ST, _AT = "pk_home", "pk_blk", "pk_n", "pk_rn", "pk_states", "pk_at"
+WIDEST = 256  # so many columns a Python call returns of a block of ``DEFAULT_BLOCK_ROWS``
 
 
 def series_pass(df: DataFrame, outs: Mapping[str, Stat | Ewm], keys: Keys = "series_id", order: str = "t",
@@ -306,7 +314,7 @@ def series_pass(df: DataFrame, outs: Mapping[str, Stat | Ewm], keys: Keys = "ser
     window), so no group holds more than ``block_rows`` plus the halo, however
     long the series, and one exchange serves all columns.  A Python call works on all
     groups of an Arrow batch at once.  The longest series is looked up first: if it fits a block, rows need no
-    numbers and no halo, their places follow from the order.  EWMs need the state at the
+    numbers and no halo, their places follow from the order, and only the values go to Python.  EWMs need the state at the
     block's start: for series of several blocks the numbered rows are written once, a narrow pass sums each block up in one
     row, and a walk over those rows gives the states.
     ``rn`` names a 0-based row position; otherwise it is computed.  Rows without
@@ -319,17 +327,16 @@ def series_pass(df: DataFrame, outs: Mapping[str, Stat | Ewm], keys: Keys = "ser
     block_rows = max(block_rows, reach)
     own = df.columns
     spread = -1 - F.monotonically_increasing_id() % 1024  # rows without a position are spread over blocks of their own
-    short = rn is None and (longest_series(df, ks, order) if longest is None else longest) <= block_rows
-    if short:
-        rcol, rows, states = None, df.withColumn(_BLK, F.when(F.col(order).isNotNull(), F.lit(0).cast("long")).otherwise(spread)), None
-    else:
-        base, rcol = (_sized(df, ks, rn) if ewms else df, rn) if rn else (row_index(df, ks, order, out=_RN, size=_N), _RN)
-        placed = with_blocks(base, block_rows, rcol, _BLK).withColumn(_BLK, F.coalesce(_BLK, spread))
-        if ewms:
-            placed = written(placed, "placed-rows")
-        rows = halo(placed, reach + 1, block_rows, rcol, _BLK, _HOME).select(*own, *([] if rn else [_RN]), _BLK, _HOME)
-        states = _block_states(placed.where((F.col(_N) > block_rows) & F.col(rcol).isNotNull()), ewms, ks, rcol, block_rows, reach) \
-            if ewms else None
+    if rn is None and (longest_series(df, ks, order) if longest is None else longest) <= block_rows:
+        return _short_pass(df.withColumn(_BLK, F.when(F.col(order).isNotNull(), F.lit(0).cast("long")).otherwise(spread)), outs, ks, order)
+    block_rows = max(min(block_rows, block_rows * WIDEST // len(outs)), reach)
+    base, rcol = (_sized(df, ks, rn) if ewms else df, rn) if rn else (row_index(df, ks, order, out=_RN, size=_N), _RN)
+    placed = with_blocks(base, block_rows, rcol, _BLK).withColumn(_BLK, F.coalesce(_BLK, spread))
+    if ewms:
+        placed = written(placed, "placed-rows")
+    rows = halo(placed, reach + 1, block_rows, rcol, _BLK, _HOME).select(*own, *([] if rn else [_RN]), _BLK, _HOME)
+    states = _block_states(placed.where((F.col(_N) > block_rows) & F.col(rcol).isNotNull()), ewms, ks, rcol, block_rows, reach) \
+        if ewms else None
     marked = states is not None
     if marked:  # a block's states are a row before its rows
         rows = rows.withColumn(_ST, F.lit(None).cast(_STATES_SQL)).unionByName(states, allowMissingColumns=True)
@@ -358,7 +365,55 @@ def series_pass(df: DataFrame, outs: Mapping[str, Stat | Ewm], keys: Keys = "ser
         return out if b.home.all() else out.filter(pa.array(b.home))
 
     first = [F.col(_ST).isNull()] if marked else []
-    return by_group(rows, [*ks, _BLK], [*first, rcol or order], blocks, schema)
+    return by_group(rows, [*ks, _BLK], [*first, rcol], blocks, schema)
+
+
+def _short_pass(rows: DataFrame, outs: dict[str, Stat | Ewm], ks: Sequence[str], order: str) -> DataFrame:
+    """``series_pass`` where every series is one block.  A window places the rows, which moves them only if they do not lie
+    together by the keys; the values go to Python in that order, batch by batch, and a series is worked out where it ends.
+    Rows without a time are alone.  Columns beyond ``WIDEST`` come from further calls."""
+    at = F.when(F.col(_BLK) < 0, -1).otherwise(F.row_number().over(Window.partitionBy(*ks, _BLK).orderBy(order)) - 1)
+    rows = rows.withColumn(_AT, at)
+    names = list(outs)
+    parts = [{n: outs[n] for n in names[i: i + WIDEST]} for i in range(0, len(names), WIDEST)]
+    for i, part in enumerate(parts):
+        values = list(dict.fromkeys(v for o in part.values() for v in (o.value, getattr(o, "other", None)) if v))
+        rows = rows.withColumn(f"pk_part{i}", _series_udf(part, values)(_AT, *[F.col(v).cast("double") for v in values]))
+    done = {n: F.col(f"pk_part{i}")[n] for i, part in enumerate(parts) for n in part}
+    return rows.withColumns(done).drop(_BLK, _AT, *[f"pk_part{i}" for i in range(len(parts))])
+
+
+def _series_udf(outs: Mapping[str, Stat | Ewm], values: Sequence[str]):
+    """The columns ``outs`` as one struct, from the rows' places (0 begins a series, -1 stands alone) and ``values``.
+    Not deterministic for the optimizer: no filter may go below it and take rows out of the windows."""
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        held: list[pa.Table] = []  # parts of the series that is still open
+        for cols in batches:
+            t = pa.Table.from_arrays(list(cols), [_AT, *values])
+            begins = np.flatnonzero(t.column(_AT).to_numpy() <= 0)
+            if len(begins):
+                yield from columns([*held, t.slice(0, begins[-1])])
+                held = []
+            held.append(t.slice(begins[-1]) if len(begins) else t)
+        yield from columns(held)
+
+    def columns(parts: list[pa.Table]) -> Iterator[pa.Array]:
+        if not sum(p.num_rows for p in parts):
+            return
+        t = pa.concat_tables(parts).combine_chunks()
+        at = t.column(_AT).to_numpy()
+        b, none = _Block(t, np.flatnonzero(at <= 0), None), at < 0
+        cols = {n: b.stat(o) if isinstance(o, Stat) else np.full(len(at), np.nan) for n, o in outs.items()}
+        for n, o in outs.items():
+            if isinstance(o, Ewm):
+                x = b.values(o.value, o.shift)
+                for a, z in zip(b.starts, b.ends):
+                    if not none[a]:
+                        cols[n][a:z], _ = series.ewm(x[a:z], b.place[a:z], o.alpha, o.adjust, _state(None))
+        yield pa.StructArray.from_arrays([pa.array(c, pa.float64(), mask=np.isnan(c) | none) for c in cols.values()], list(cols))
+
+    schema = T.StructType([T.StructField(n, T.DoubleType()) for n in outs])
+    return F.arrow_udf(run, schema).asNondeterministic()
 
 
 def longest_series(df: DataFrame, keys: Keys = "series_id", order: str = "t") -> int:
