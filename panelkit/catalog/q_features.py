@@ -368,4 +368,4 @@ FROM p2b JOIN pxf ON p2b.series_id = pxf.series_id AND p2b.t = pxf.t""")
 def panel_pipeline(spark, sf_dir):
     """Calendar, log target, momentum, volatility, fills, extension and guards of the raw panel in one run."""
     from panelkit.plans import pipeline as PL
-    return PL.panel_pipeline(T.panel(spark, sf_dir), extend=["px"], stats=["mean_5", "std_21", "lag_1", "ema_fast"])
+    return PL.panel_pipeline(T.panel(spark, sf_dir), extend=["px"], stats=["mean_5", "std_21", "lag_1", "ema_fast"], together=True)

@@ -106,21 +106,35 @@ def volatility(df: DataFrame, target: str = "log_market_forward_excess_returns",
 
 def momentum_volatility(df: DataFrame, target: str = "log_market_forward_excess_returns", keys: Keys = "series_id",
                         order: str = "t", fill: float = SENTINEL, first_fill: float = SENTINEL,
-                        block_rows: int = scan.DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """P1 and P2 together: one running product, then one pass over the series for all windows."""
-    longest = scan.longest_series(df, keys, order)
-    s = _wealth(df, target, keys, order, first_fill, longest)
+                        block_rows: int = scan.DEFAULT_BLOCK_ROWS, longest: int | None = None,
+                        extend: Sequence[str] = (), extend_fill: float | None = None) -> DataFrame:
+    """P1 and P2 together: one running product, then one pass over the series for all windows.
+
+    The same pass gives P4 of the columns ``extend`` in the wide layout, ``{column}_{statistic}``: what ``extend_long``
+    gives between ``to_long`` and ``to_wide``, without moving the rows there and back.  ``extend_fill`` stands for
+    NULLs that the extension sees.  ``longest`` is the longest series' length, where it is known."""
+    longest = scan.longest_series(df, keys, order) if longest is None else longest
+    seen = {c: f"pk_seen_{c}" for c in extend}
+    value = lambda c: F.col(c).cast("double")
+    s = df.withColumns({n: value(c) if extend_fill is None else F.coalesce(value(c), F.lit(float(extend_fill)))
+                        for c, n in seen.items()})
+    s = _wealth(s, target, keys, order, first_fill, longest, block_rows if longest <= block_rows else None)
     outs = {**scan.shifted_stats(target, WINDOWS, LAGS, None, "MOM_", ewms=_EMA_ALPHAS), **_regime_stats(target)}
-    s = _momentum_columns(scan.series_pass(s, outs, keys, order, block_rows, longest=longest), fill)
+    for c, n in seen.items():
+        outs.update(_extension_stats(n, f"{c}_"))
+    s = _momentum_columns(scan.series_pass(s, outs, keys, order, block_rows, longest=longest).drop(*seen.values()), fill)
+    for c in extend:
+        s = _extension_columns(s, fill, f"{c}_")
     # MOM_std_21 of the row before, filled as P1 fills it; the first row has none before
     return _volatility_columns(s.withColumn("_v1", F.when(F.col("_has").isNotNull(), sentinel("_sd", fill))))
 
 
-def _wealth(df: DataFrame, target: str, keys: Keys, order: str, first_fill: float, longest: int | None = None) -> DataFrame:
+def _wealth(df: DataFrame, target: str, keys: Keys, order: str, first_fill: float, longest: int | None = None,
+            span: int | None = None) -> DataFrame:
     """The target one row earlier, and the wealth curve over it."""
     return scan.carry(df, {"_s": ("lag", target), "_has": ("lag", F.lit(1))},
                       {"_mkt": ("product", 1 + F.coalesce(F.col("_s"), F.lit(float(first_fill))))}, keys=keys, order=order,
-                      longest=longest)
+                      span=span or 1024, longest=longest)
 
 
 def _regime_stats(target: str) -> dict:
@@ -264,12 +278,11 @@ def guard_wide(df: DataFrame, fill: float = SENTINEL, excluded: Sequence[str] =
     num = [f.name for f in df.schema.fields if f.name not in ex
            and isinstance(f.dataType, T.NumericType)]
     filled = df.select(*ex, *[sentinel(c, fill).alias(c) for c in num])
-    st = filled.agg(*[F.min(c).alias(f"mn_{i}") for i, c in enumerate(num)],
-                    *[F.max(c).alias(f"mx_{i}") for i, c in enumerate(num)],
-                    *[F.var_pop(c).alias(f"v_{i}") for i, c in enumerate(num)]).first()
-    keep = [c for i, c in enumerate(num)
-            if st[f"mn_{i}"] != st[f"mx_{i}"] and (st[f"v_{i}"] or 0.0) > threshold]
-    return filled.select(*ex, *keep)
+    # one group per column, as aggregates of many columns side by side make one very long generated method
+    st = (filled.select(F.posexplode(F.array(*num)).alias("pk_i", "pk_v")).groupBy("pk_i")
+          .agg(F.min("pk_v").alias("mn"), F.max("pk_v").alias("mx"), F.var_pop("pk_v").alias("v")).collect()) if num else []
+    kept = {r.pk_i for r in st if r.mn != r.mx and (r.v or 0.0) > threshold}
+    return filled.select(*ex, *[c for i, c in enumerate(num) if i in kept])
 
 
 def add_date(df: DataFrame, start: str = "1990-01-01", position: str = "rn",

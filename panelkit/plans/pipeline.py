@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from panelkit.operators import features as FE
-from panelkit.operators.rolling import Keys, _keys, join_same
+from panelkit.operators.rolling import Keys, _keys
 from panelkit.plans import scan
-from panelkit.plans.written import written
+from panelkit.plans.written import written, written_together
 
 LOG_TARGET = "log_market_forward_excess_returns"
 DERIVED_PREFIXES = ("MOM_", "VI_")
@@ -26,7 +25,7 @@ def panel_pipeline(df: DataFrame, arith: str = "market_forward_excess_returns",
                    order: str = "t", start: str = "1990-01-01", impute_first: bool = False,
                    extend: Sequence[str] | None = None, stats: Sequence[str] | None = None,
                    fill: float = FE.SENTINEL, first_fill: float = FE.SENTINEL,
-                   block_rows: int = scan.DEFAULT_BLOCK_ROWS) -> DataFrame:
+                   block_rows: int = scan.DEFAULT_BLOCK_ROWS, together: bool = False) -> DataFrame:
     """Calendar (P7), log target (B10), momentum (P1), volatility (P2), missing
     flags and fill (P3), extension (P4) and guards (P5) of a raw panel.
 
@@ -34,25 +33,28 @@ def panel_pipeline(df: DataFrame, arith: str = "market_forward_excess_returns",
     default; ``MOM_`` and ``VI_`` columns never are), ``stats`` the statistics
     of P4 to keep (all by default).  With ``impute_first`` missing values are
     filled before the extension sees them, otherwise after it.  The position
-    of a row in its series gives its date.
+    of a row in its series gives its date.  ``together`` says that the rows of a series
+    are in one partition of ``df``, as a window over the series leaves them.
     """
     ks = [*_keys(keys), order]
-    # only the numbered raw rows are written; the wide columns are worked out again for the guards and for the
-    # output, as they would take many times the disk
-    raw = written(scan.row_index(df, keys, order, out="pk_pos"), "panel-rows")
-    d = FE.add_date(raw, start, "pk_pos").drop("pk_pos")
+    # only the raw rows are written, in buckets of series; the wide columns are worked out again for the guards and for
+    # the output, as they would take many times the disk.  Where every series fits a block, all windows run inside the
+    # buckets: nothing is exchanged after this
+    buckets, raw = written_together(df, "panel-rows", _keys(keys), order, together)
+    longest = scan.longest_series(raw, keys, order)
+    if longest <= block_rows:
+        rows = scan.row_index(buckets, keys, order, out="pk_pos", longest=longest)
+    else:
+        rows = raw = written(scan.row_index(raw, keys, order, out="pk_pos"), "panel-positions")
+    d = FE.add_date(rows, start, "pk_pos").drop("pk_pos")
     d = FE.target_log(d, arith, LOG_TARGET)
     excluded = [*FE.EXCLUDED, arith, LOG_TARGET]
     base = [c for c in base_features(df.columns, excluded, ks) if extend is None or c in extend]
-    # P4 reads base features only, so it starts from the raw panel
-    source = raw.select(*ks, *[F.coalesce(F.col(c).cast("double"), F.lit(float(fill))).alias(c) if impute_first
-                               else F.col(c) for c in base])
-    lng = FE.extend_long(FE.to_long(source, base, ks), keys, order, fill=fill, block_rows=block_rows)
+    d = FE.momentum_volatility(d, LOG_TARGET, keys, order, fill, first_fill, block_rows, longest, extend=base,
+                               extend_fill=fill if impute_first else None)
     kept = list(stats) if stats is not None else FE.extension_names()
-    wide = FE.to_wide(lng, base, kept, ks)
-    extended = [c for c in wide.columns if c not in ks]
-    # joined while the panel is narrow
-    d = FE.momentum_volatility(join_same(d, wide, ks), LOG_TARGET, keys, order, fill, first_fill, block_rows)
+    extended = [f"{c}_{s}" for c in base for s in kept]
+    d = d.drop(*[f"{c}_{s}" for c in base for s in FE.extension_names() if s not in kept])
     filled, _ = FE.impute(d, fill, [*excluded, *extended], ks, counted=raw)
     filled = filled.select(*[c for c in filled.columns if c not in extended], *extended)
     return FE.guard_wide(filled, fill, excluded, ks)

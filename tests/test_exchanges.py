@@ -2,8 +2,11 @@
 
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from panelkit.operators import features as FE
 from panelkit.plans import scan
 
 SF = "/root/testdata/sf0.001"
@@ -30,6 +33,10 @@ def test_extension_moves_the_rows_once(spark):
     assert exchanges(E.queries()["p4_extend_long"](spark, SF)) == 1
 
 
+def test_pipeline_moves_nothing_after_its_rows_are_written(spark):
+    assert exchanges(E.queries()["panel_pipeline"](spark, SF)) == 0
+
+
 def test_short_pass_is_block_pass(spark):
     df = frame(spark)
     outs = {**scan.shifted_stats("A", (5, 63), (1, 21), 3, ewms={"e": 0.2}), "c": scan.Stat("corr", "A", 21, 5, other="market_forward_excess_returns"),
@@ -57,3 +64,39 @@ def test_filter_does_not_reach_the_windows(spark):
     whole = table(scan.series_pass(df, outs), ["series_id", "t"])
     some = table(scan.series_pass(df, outs).where("t >= 20"), ["series_id", "t"])
     pd.testing.assert_frame_equal(some, whole[whole.t >= 20].reset_index(drop=True), check_dtype=False)
+
+
+@pytest.mark.parametrize("fill", [None, FE.SENTINEL])
+def test_wide_extension_is_long_extension(spark, fill):
+    df = frame(spark).where("t is not null").withColumn("B", F.col("A") * 2 + 1)
+    d = FE.target_log(df, out="y")
+    wide = FE.momentum_volatility(d, "y", extend=["A", "B"], extend_fill=fill)
+    source = df if fill is None else df.fillna(fill, ["A", "B"])
+    long = FE.to_wide(FE.extend_long(FE.to_long(source, ["A", "B"])), ["A", "B"], FE.extension_names())
+    names = [f"{c}_{s}" for c in "AB" for s in FE.extension_names()]
+    by = ["series_id", "t"]
+    pd.testing.assert_frame_equal(table(wide, by)[by + names], table(long, by)[by + names])
+    without = FE.momentum_volatility(d, "y")
+    pd.testing.assert_frame_equal(table(wide, by)[without.columns], table(without, by))
+
+
+def test_pipeline_in_blocks_is_pipeline(spark):
+    from panelkit.plans import pipeline as PL
+    df = frame(spark)
+    by = ["series_id", "t", "A"]
+    # the flags of two windows that are equal but for rounding may differ, so they are left out
+    short, blocks = (table(PL.panel_pipeline(df, block_rows=b), by) for b in (scan.DEFAULT_BLOCK_ROWS, 300))
+    assert len(short) == df.count() and list(short.columns) == list(blocks.columns)
+    names = [c for c in short if not c.startswith("VI_")]
+    pd.testing.assert_frame_equal(short[names], blocks[names], rtol=1e-6, atol=1e-9)
+
+
+def test_guards_and_fill(spark):
+    df = spark.createDataFrame([(1, 1, float("inf"), 1.0, 3), (1, 2, None, 1.0, 4), (1, 3, float("nan"), 1.0, 5)],
+                               "series_id int, t int, a double, b double, c int")
+    got = FE.guard_wide(df)
+    assert got.columns == ["series_id", "t", "c"]  # a is all filled, b constant
+    from panelkit.functions.compat import sentinel
+    s = df.select(sentinel("a", -1.0).alias("a"), sentinel("c", -1.0).alias("c"))
+    assert [tuple(r) for r in s.collect()] == [(-1.0, 3.0), (-1.0, 4.0), (-1.0, 5.0)]
+    assert not s.schema["a"].nullable  # filled columns need no count of NULLs
