@@ -22,10 +22,12 @@ def _daily(li: DataFrame, series: F.Column, by_series: bool = False) -> DataFram
     # partial aggregation happens map-side: the shuffle carries one row per
     # (series, day) and map task, never raw lineitem rows.  ``by_series`` is for many series with
     # hardly two rows a day, where that saves nothing: rows meet by series at once, which serves
-    # the days and all windows over a series
+    # the days and all windows over a series; the partitions are not merged by their size here, as
+    # features in the long layout make many rows of one
     rows = li.select(series.alias("series_id"), F.to_date("l_shipdate").alias("t"),
                      "l_extendedprice", "l_quantity", "l_discount", "l_tax")
-    return ((rows.repartition("series_id") if by_series else rows)
+    parts = int(li.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ((rows.repartition(parts, "series_id") if by_series else rows)
             .groupBy("series_id", "t")
             .agg(F.avg("l_extendedprice").alias("px"), F.sum("l_quantity").alias("qty"),
                  F.avg("l_discount").alias("disc"), F.avg("l_tax").alias("tax")))
